@@ -20,7 +20,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +41,9 @@ def cut(global_start: int, n_tokens: int, length: int) -> list[tuple[int, int]]:
 def pieces(tokens: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY, with_ids: bool = False) -> DataFrame:
     """One row per piece of a written token table."""
 
+    kind = id_type(vocabulary)  # here, so that tasks need not load the vocabulary
+
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = id_type(vocabulary)
         for whole in batches:
             for at in range(0, whole.num_rows, 512):
                 batch = whole.slice(at, 512)
@@ -87,28 +87,39 @@ def sequences(tokens: DataFrame, length: int = LENGTH, vocabulary: str = VOCABUL
     width = id_type(vocabulary).itemsize
     schema = "sequence_id long, at long, ids binary, whole boolean"
 
-    def join(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq, begin, parts, size = -1, 0, [], 0
-
-        def closed() -> tuple:
-            return seq, begin, b"".join(parts), begin == 0 and size == length
-
-        for frame in frames:
-            done = []
-            for s, at, blob in zip(frame["sequence_id"], frame["offset"], frame["ids"], strict=True):
-                if s != seq or at != begin + size:
-                    if parts:
-                        done.append(closed())
-                    seq, begin, parts, size = s, at, [], 0
-                parts.append(blob)
-                size += len(blob) // width
-            yield pd.DataFrame(done, columns=["sequence_id", "at", "ids", "whole"])
-        if parts:
-            yield pd.DataFrame([closed()], columns=["sequence_id", "at", "ids", "whole"])
-
-    cuts = pieces(tokens, length, vocabulary, with_ids=True).select("sequence_id", "offset", "ids")
-    records = cuts.mapInPandas(join, schema)
-    # the separate scans of the two branches would tokenise nothing again: the token table is written
+        done: list[tuple[int, int, bytes, bool]] = []
+
+        def close() -> None:
+            if parts:
+                done.append((seq, begin, b"".join(parts), begin == 0 and size == length))
+
+        def batch_of() -> pa.RecordBatch:
+            columns = list(zip(*done, strict=True)) or [(), (), (), ()]
+            done.clear()
+            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.bool_())
+            return pa.RecordBatch.from_arrays(
+                [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["sequence_id", "at", "ids", "whole"]
+            )
+
+        for batch in batches:
+            for start, blob in zip(batch.column(1).to_pylist(), batch.column(0), strict=True):
+                ids = blob.as_buffer().to_pybytes()
+                for local, n in cut(start, len(ids) // width, length):
+                    s, at = divmod(start + local, length)
+                    if s != seq or at != begin + size:
+                        close()
+                        seq, begin, parts, size = s, at, [], 0
+                    parts.append(ids[local * width : (local + n) * width])
+                    size += n
+                if len(done) >= 512:
+                    yield batch_of()
+        close()
+        yield batch_of()
+
+    records = with_global_starts(tokens).select("ids", "global_start").mapInArrow(join, schema)
+    # both branches scan the written token table: no text is tokenised again
     inner = records.filter("whole").select("sequence_id", "ids")
     crossing = (
         records.filter("not whole")

@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ from .tokens import VOCABULARY, id_type, token_table
 
 SEED = 77_003
 ROUNDS = 6
-PER_SHARD = 4_096
+PER_SHARD = 1_024
 END = b"\n"
 
 
@@ -81,26 +82,45 @@ def write_shards(
     count: int | None = None,
 ) -> int:
     """Write seqs (sequence_id dense from 0, n_tokens, ids) under path; returns
-    the number of sequences. One file in path/shard=k for each shard."""
+    the number of sequences. One file in path/shard=k for each shard.
+
+    What a batch sends to a shard travels as one compressed block; a shard's
+    blocks are unpacked in one task, per_shard records in all.
+    """
     n = seqs.count() if count is None else count
     body = length * id_type(vocabulary).itemsize
 
-    def records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        press = zstandard.ZstdCompressor(level=6)
         for batch in batches:
             slots = permute(batch.column("sequence_id").to_numpy(), n, key)
-            rows = [
-                int(size).to_bytes(4, "little") + blob.as_py().ljust(body, b"\0")
-                for size, blob in zip(batch.column("n_tokens").to_pylist(), batch.column("ids"), strict=True)
-            ]
+            order, shards = np.argsort(slots), slots // per_shard
+            sizes, ids = batch.column("n_tokens").to_pylist(), batch.column("ids")
+            out: list[tuple[int, bytes, bytes]] = []
+            for shard in np.unique(shards):
+                own = [i for i in order if shards[i] == shard]
+                rows = [int(sizes[i]).to_bytes(4, "little") + ids[int(i)].as_buffer().to_pybytes().ljust(body, b"\0") for i in own]
+                out.append((int(shard), slots[own].astype("<i8").tobytes(), press.compress(b"".join(rows))))
+            columns = list(zip(*out, strict=True)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(slots // per_shard), pa.array(slots), pa.array(rows, type=pa.binary())],
-                names=["shard", "slot", "value"],
+                [pa.array(c, type=k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)],
+                names=["shard", "slots", "block"],
             )
 
+    def unpack(frame: pd.DataFrame) -> pd.DataFrame:
+        slots = np.concatenate([np.frombuffer(s, "<i8") for s in frame["slots"]])
+        unpress = zstandard.ZstdDecompressor()
+        data = b"".join(unpress.decompress(b) for b in frame["block"])
+        step = 4 + body
+        rows = [data[at : at + step] for at in range(0, len(data), step)]
+        return pd.DataFrame({"shard": slots // per_shard, "slot": slots, "value": rows})
+
     shards = -(-n // per_shard)
-    rows = seqs.select("sequence_id", "n_tokens", "ids").mapInArrow(records, "shard long, slot long, value binary")
+    blocks = seqs.select("sequence_id", "n_tokens", "ids").mapInArrow(pack, "shard long, slots binary, block binary")
     (
-        rows.repartition(max(1, shards), "shard")
+        blocks.repartition(max(1, shards), "shard")
+        .groupBy("shard")
+        .applyInPandas(unpack, "shard long, slot long, value binary")
         .sortWithinPartitions("shard", "slot")
         .select("shard", F.col("value").cast("string").alias("value"))
         .write.partitionBy("shard")
@@ -111,56 +131,59 @@ def write_shards(
 
 
 def read_shards(
-    spark: SparkSession, path: str, length: int = LENGTH, per_shard: int = PER_SHARD, vocabulary: str = VOCABULARY
+    spark: SparkSession,
+    path: str,
+    n: int,
+    length: int = LENGTH,
+    per_shard: int = PER_SHARD,
+    key: int = SEED,
+    vocabulary: str = VOCABULARY,
+    with_ids: bool = True,
 ) -> DataFrame:
-    """(shard, slot, byte_offset, n_tokens, ids) of all records, read back."""
-    step, width = stride(length, vocabulary), id_type(vocabulary).itemsize
+    """sequence_id, slot, shard, byte_offset, n_tokens, ids_crc32 (over the ids
+    as little-endian unsigned 32 bits) and, if wanted, ids of all records."""
+    kind, step = id_type(vocabulary), stride(length, vocabulary)
+    schema = "sequence_id long, slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long, ids binary"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for shard, blob in zip(batch.column("shard").to_pylist(), batch.column("content"), strict=True):
-                data = blob.as_buffer().to_pybytes()
+                data = memoryview(blob.as_buffer())
                 if len(data) % step:
                     raise ValueError(f"shard {shard} is no whole number of records")
                 for low in range(0, len(data), 512 * step):
-                    at = range(low, min(len(data), low + 512 * step), step)
+                    at = np.arange(low, min(len(data), low + 512 * step), step)
+                    slots = shard * per_shard + at // step
                     sizes = [int.from_bytes(data[i : i + 4], "little") for i in at]
+                    ids = [np.frombuffer(data[i + 4 : i + 4 + k * kind.itemsize], kind) for i, k in zip(at, sizes, strict=True)]
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([shard] * len(at), type=pa.int64()),
-                            pa.array([shard * per_shard + i // step for i in at], type=pa.int64()),
-                            pa.array(list(at), type=pa.int64()),
+                            pa.array(permute(slots, n, key, inverse=True)),
+                            pa.array(slots),
+                            pa.array(np.full(len(at), shard, dtype=np.int64)),
+                            pa.array(at.astype(np.int64)),
                             pa.array(sizes, type=pa.int64()),
-                            pa.array([data[i + 4 : i + 4 + k * width] for i, k in zip(at, sizes, strict=True)], type=pa.binary()),
+                            pa.array([zlib.crc32(x.astype("<u4").data) for x in ids], type=pa.int64()),
+                            pa.array([x.tobytes() if with_ids else None for x in ids], type=pa.binary()),
                         ],
-                        names=["shard", "slot", "byte_offset", "n_tokens", "ids"],
+                        names=[c.split()[0] for c in schema.split(", ")],
                     )
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
     shards = files.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("long").alias("shard"), "content")
-    return shards.mapInArrow(parse, "shard long, slot long, byte_offset long, n_tokens long, ids binary")
+    return shards.mapInArrow(parse, schema)
 
 
 def training_order(
     docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = SEED, vocabulary: str = VOCABULARY
 ) -> DataFrame:
     """Writes the shards of docs in the shared folder and reports what lies in
-    them: sequence_id, slot, shard, byte_offset, n_tokens, ids_crc32 (over the
-    ids as little-endian unsigned 32 bits)."""
+    them: sequence_id, slot, shard, byte_offset, n_tokens, ids_crc32."""
     spark = docs.sparkSession
     tokens = token_table(docs, vocabulary)
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
     path, n = scratch_path(spark, "shards"), -(-total // length)
-    schema = "sequence_id long, slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long"
     if not n:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "sequence_id long, slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long")
     write_shards(sequences(tokens, length, vocabulary), path, length, per_shard, key, vocabulary, count=n)
-    kind = id_type(vocabulary)
-
-    def told(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            frame["sequence_id"] = permute(frame["slot"].to_numpy(), n, key, inverse=True)
-            frame["ids_crc32"] = [zlib.crc32(np.frombuffer(x, dtype=kind).astype("<u4").data) for x in frame["ids"]]
-            yield frame[["sequence_id", "slot", "shard", "byte_offset", "n_tokens", "ids_crc32"]]
-
-    return read_shards(spark, path, length, per_shard, vocabulary).mapInPandas(told, schema)
+    return read_shards(spark, path, n, length, per_shard, key, vocabulary, with_ids=False).drop("ids")

@@ -86,7 +86,8 @@ def token_rows(
 def token_table(docs: DataFrame, vocabulary: str = VOCABULARY, **columns: str) -> DataFrame:
     """token_rows() as a written table: from here on parts and starts are fixed,
     also when a task runs again."""
-    return materialise(token_rows(docs, vocabulary, **columns), "tokens", compression="zstd")
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
+    return materialise(token_rows(docs, vocabulary, **columns), "tokens", **options)
 
 
 def with_global_starts(tokens: DataFrame) -> DataFrame:
