@@ -1,0 +1 @@
+"""Behaviour analytics on Spark: frame tables, intervals, detectors, metrics."""
