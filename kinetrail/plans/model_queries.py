@@ -69,11 +69,11 @@ CAND = """cd as (select 'a' as stratum, session_id, s, e, md5(concat('a', ':', c
 TAKE = """{n}o as (select *, row_number() over (partition by session_id order by h) as k from cd where stratum='{n}' {not_}),
   {n}w as (select session_id, k, s, e, h, [s] as used, true as ok from {n}o where k=1 union all select p.session_id, p.k, p.s, p.e, p.h, case when p.ok2 then list_append(w.used, p.s) else w.used end, p.ok2 from {n}w w join lateral
     (select *, len([u for u in w.used if abs(u-s)<5])=0 as ok2 from {n}o where {n}o.session_id=w.session_id and {n}o.k=w.k+1) p on true),
-  {n}t as (select session_id, '{n}' as stratum, s, e from {n}w where ok order by h limit 200)"""
+  {n}_taken as (select session_id, '{n}' as stratum, s, e from {n}w where ok order by h limit 200)"""
 
 
 @query("with recursive m as (" + S.MASKS_SQL + "), " + CAND.format(a=tiles_sql("a", 5), b=tiles_sql("b", 5)) + ", " + TAKE.format(n="a", not_="") + ", "
-    + TAKE.format(n="b", not_="and not exists (select 1 from at x where x.session_id=cd.session_id and x.s<=cd.e and cd.s<=x.e)") + ' select session_id, stratum, s as "start", e as "end" from at union all select session_id, stratum, s, e from bt')
+    + TAKE.format(n="b", not_="and not exists (select 1 from a_taken x where x.session_id=cd.session_id and x.s<=cd.e and cd.s<=x.e)") + ' select session_id, stratum, s as "start", e as "end" from a_taken union all select session_id, stratum, s, e from b_taken')
 def stratified_clips(spark, sf):
     m, parts = S.masks(spark, sf), None
     for stratum in ("a", "b"):

@@ -63,7 +63,7 @@ def read_sessions(spark, sf):
             part = next(x.getPath() for x in disk.listStatus(folder.getPath()) if x.getPath().getName().endswith(".csv"))
             disk.rename(part, fs.Path(f"{path}/S{name.split('=')[1]}.csv"))
             disk.delete(folder.getPath(), True)
-    schema = TB.T.StructType.fromDDL("frame long, motion_head double")
+    schema = TB.struct("frame long, motion_head double")
     return TB.read_sessions(spark, path, schema)
 
 

@@ -22,11 +22,20 @@ FEATURES = T.StructType(
     ]
     + [T.StructField("rule_label", T.IntegerType())]
 )
-LABELS = T.StructType.fromDDL("session_id string, animal_id string, field int, behavior string, start_frame long, end_frame long, annotator string")
-MANIFEST = T.StructType.fromDDL("session_id string, animal_id string, apparatus string, fps double, pose_model string, lighting string")
-OBJECTS = T.StructType.fromDDL("session_id string, object_id int, center_x double, center_y double, radius double")
-FLOORS = T.StructType.fromDDL("arena string, corner int, x double, y double, sessions int")
-PROGRESS = T.StructType.fromDDL("session_id string, annotator string, watched_until long, n_frames long, behaviors string, assisted boolean, mode string, seen string")
+_TYPES = {"string": T.StringType, "int": T.IntegerType, "long": T.LongType, "double": T.DoubleType, "boolean": T.BooleanType}
+
+
+def struct(columns: str) -> T.StructType:
+    """A schema of "name type" pairs; needs no session."""
+    pairs = [c.split() for c in columns.split(",")]
+    return T.StructType([T.StructField(name, _TYPES[kind]()) for name, kind in pairs])
+
+
+LABELS = struct("session_id string, animal_id string, field int, behavior string, start_frame long, end_frame long, annotator string")
+MANIFEST = struct("session_id string, animal_id string, apparatus string, fps double, pose_model string, lighting string")
+OBJECTS = struct("session_id string, object_id int, center_x double, center_y double, radius double")
+FLOORS = struct("arena string, corner int, x double, y double, sessions int")
+PROGRESS = struct("session_id string, annotator string, watched_until long, n_frames long, behaviors string, assisted boolean, mode string, seen string")
 
 
 def pose_schema(keypoints: Sequence[str] = KEYPOINTS) -> T.StructType:
