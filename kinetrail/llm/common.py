@@ -56,3 +56,10 @@ def text_of(df: DataFrame, column: str = "text") -> Column:
 def shard_count(rows: int, per_shard: int, least: int = 64) -> int:
     """Shards such that each holds about per_shard keys."""
     return max(least, -(-rows // per_shard))
+
+
+def dealt_anew(key: str) -> Column:
+    """The value of a long column under a new name for the planner: a join on it
+    gets an exchange of its own, and with one on either side AQE can split a hot
+    key. A table that an aggregate has dealt out already would get none."""
+    return F.bitwise_not(F.bitwise_not(F.col(key))).alias(key)

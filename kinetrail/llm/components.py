@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import dealt_anew, materialise
 
 MOST_ROUNDS = 60
 
@@ -13,7 +13,7 @@ MOST_ROUNDS = 60
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of every node move to its smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")).select(dealt_anew("u"), "m")
     return both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
@@ -21,7 +21,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Smaller neighbours of every node, and the node, move to the smallest."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
     least = down.groupBy("u").agg(F.min("v").alias("m"))
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    moved = down.join(least.select(dealt_anew("u"), "m"), "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
 
 
@@ -33,13 +33,13 @@ def components(edges: DataFrame) -> DataFrame:
     round is a written table.
     """
     now = materialise(edges.select("u", "v").filter("u <> v").distinct(), "edges")
-    print_now = None
+    before = None
     for _ in range(MOST_ROUNDS):
         now = materialise(_small_star(_large_star(now)), "edges")
         told = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if told == print_now:
+        if told == before:
             break
-        print_now = told
+        before = told
     else:
         raise RuntimeError("components did not settle")
     nodes = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))

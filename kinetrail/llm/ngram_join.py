@@ -47,7 +47,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, text_of
+from .common import dealt_anew, materialise, text_of
 from .components import components
 from .word_hashes import mix, shingle_set
 
@@ -253,7 +253,7 @@ def token_lists(documents: DataFrame) -> DataFrame:
         postings.groupBy("token")
         .agg(F.min("node").alias("lo"), F.max("node").alias("hi"), F.min(F.struct("rare", "node", "n", "pos")).alias("hub"))
         .filter("lo < hi")
-        .select("token", F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
+        .select(dealt_anew("token"), F.col("hub.node").alias("hub"), F.col("hub.n").alias("hub_n"), F.col("hub.pos").alias("hub_pos"))
     )
     # the hub side has one row per token: AQE splits the list of a hot token
     return postings.drop("rare").join(hubs, "token")
@@ -311,7 +311,7 @@ def verified(pairs: DataFrame, documents: DataFrame, docs: DataFrame, k: int = W
     """
     pairs = materialise(pairs, "pairs")
     facts = _only(documents.filter("filters is not null").select("node", "filters"), "node", _nodes(pairs))
-    facts = facts.dropDuplicates(["node"])
+    facts = materialise(facts.dropDuplicates(["node"]), "filters")
     left = materialise(_with_both(pairs, facts, "filters").mapInArrow(_share_prefixes, "u long, v long"), "candidates")
     needed = _only(documents.select("node", "doc_id"), "node", _nodes(left)).groupBy("node").agg(F.min("doc_id").alias("doc_id"))
     needed = materialise(needed, "needed")
