@@ -138,43 +138,45 @@ def parse(page: str) -> Node:
     return root
 
 
-def _measure(node: Node, in_link: bool) -> None:
-    """Characters, linked characters and points, from the leaves up; the tree's
-    depth is that of the page, so that a stack replaces recursion."""
-    order, stack = [], [(node, in_link)]
+def _measure(root: Node) -> None:
+    """Characters, linked characters and scores of all nodes. A page may be as
+    deep as it is long: a stack takes the place of recursion."""
+    order, stack, commas = [], [(root, False)], {}
     while stack:
-        at, link = stack.pop()
-        order.append(at)
-        link = link or at.tag == "a"
-        commas = 0
-        for child in at.children:
+        node, link = stack.pop()
+        order.append(node)
+        link = link or node.tag == "a"
+        commas[id(node)] = 0
+        for child in node.children:
             if isinstance(child, str):
                 size = len(child.strip())
-                at.chars += size
-                at.linked += size if link else 0
-                commas += child.count(",") + child.count("，") + child.count("、")
+                node.chars += size
+                node.linked += size if link else 0
+                commas[id(node)] += child.count(",") + child.count("，") + child.count("、")
             else:
                 stack.append((child, link))
-        at.score = -float(commas) if commas else 0.0  # kept negative until the node's text is known
-    commas_of = {}
-    for at in reversed(order):
-        own = -at.score + commas_of.pop(id(at), 0.0)
-        at.score = 0.0
-        up = at.parent
-        if up is not None and at is not node:
-            up.chars += at.chars
-            up.linked += at.linked
-            if at.tag in PARAGRAPHS or (at.tag in CONTAINERS and any(isinstance(c, str) and len(c.strip()) > 25 for c in at.children)):
-                at.bonus += 0.0
-                points = (1.0 + own + min(at.chars / 100.0, 3.0)) * (1.0 - at.linked / max(at.chars, 1))
-                level = 1.0
-                while up is not None and points > 0.01:
-                    up.bonus += points * level if up.tag in CONTAINERS else 0.0
-                    up, level = up.parent, level / 2.0
-            else:
-                commas_of[id(up)] = commas_of.get(id(up), 0.0) + own
-    for at in order:
-        at.score = at.bonus * (1.0 - at.linked / max(at.chars, 1)) if at.chars else 0.0
+    for node in reversed(order):  # children before their parents
+        up = node.parent
+        if node is root:
+            continue
+        up.chars += node.chars
+        up.linked += node.linked
+        if not _is_paragraph(node):  # its commas count for the paragraph around it
+            commas[id(up)] += commas[id(node)]
+            continue
+        points = (1.0 + commas[id(node)] + min(node.chars / 100.0, 3.0)) * (1.0 - node.linked / max(node.chars, 1))
+        while up is not None and points > 0.01:  # half as much for each level
+            up.bonus += points if up.tag in CONTAINERS else 0.0
+            up, points = up.parent, points / 2.0
+    for node in order:
+        node.score = node.bonus * (1.0 - node.linked / node.chars) if node.chars else 0.0
+
+
+def _is_paragraph(node: Node) -> bool:
+    """A paragraph by its tag, or a container with text of its own."""
+    if node.tag in PARAGRAPHS:
+        return True
+    return node.tag in CONTAINERS and any(isinstance(c, str) and len(c.strip()) > 25 for c in node.children)
 
 
 def _blocks(node: Node, out: list[str]) -> None:
@@ -209,7 +211,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
-    _measure(root, False)
+    _measure(root)
     best, stack = root, [root]
     while stack:
         at = stack.pop()
