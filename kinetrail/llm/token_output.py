@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import scratch_path, small_batches
 from .packing import LENGTH, sequences
 from .tokens import VOCABULARY, id_type, token_table
 
@@ -117,16 +117,17 @@ def write_shards(
 
     shards = -(-n // per_shard)
     blocks = seqs.select("sequence_id", "n_tokens", "ids").mapInArrow(pack, "shard long, slots binary, block binary")
-    (
-        blocks.repartition(max(1, shards), "shard")
-        .groupBy("shard")
-        .applyInPandas(unpack, "shard long, slot long, value binary")
-        .sortWithinPartitions("shard", "slot")
-        .select("shard", F.col("value").cast("string").alias("value"))
-        .write.partitionBy("shard")
-        .option("lineSep", END.decode())
-        .text(path)
-    )
+    with small_batches(seqs.sparkSession):
+        (
+            blocks.repartition(max(1, shards), "shard")
+            .groupBy("shard")
+            .applyInPandas(unpack, "shard long, slot long, value binary")
+            .sortWithinPartitions("shard", "slot")
+            .select("shard", F.col("value").cast("string").alias("value"))
+            .write.partitionBy("shard")
+            .option("lineSep", END.decode())
+            .text(path)
+        )
     return n
 
 
