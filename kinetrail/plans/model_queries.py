@@ -165,3 +165,17 @@ def prepare_session(spark, sf):
     return TS.centered_features(df, spec, (15, 60))
 
 
+
+
+@query()
+def session_features(spark, sf):
+    """The same with marked floors in place of the percentile rectangle, the
+    head's rise over the body and rule flags as signals."""
+    from ..operators import timeseries as TS
+    from .series_queries import floors, triaged
+
+    own = TS.frame_signals(triaged(spark, sf), S.objects(spark, sf))
+    df = TS.dwell_signals(TS.pose_rise(TS.with_floor(own, floors(spark, sf))))
+    rules = {f"rule_{c}": F.col(c).cast("double") for c in ("walking", "freezing", "low_activity", "active_head")}
+    spec = TS.SPEC | {"nose_floor": ("median", "p10", "p90"), "neck_rel_y": ("median", "p90"), "length_local": ("median", "std"), "still_sec": ("median",), "wall_sec": ("median",)}
+    return TS.centered_features(df.withColumns(rules), TS.spec_with_trend(spec | {r: ("mean",) for r in rules}), (15, 60))
