@@ -50,19 +50,11 @@ def read_labels(spark, sf):
 
 @query("with f as (" + S.FRAMES.replace("{lineitem}", "lineitem") + ") select concat('S', cast(session_id as varchar)) as session_id, rn as frame, cast(l_quantity as double) as motion_head from f where session_id % 25 = 1")
 def read_sessions(spark, sf):
-    """One CSV per session, the id in the file's name."""
-    f = spark.sql(S.FRAMES, lineitem=S.read(spark, sf, "lineitem")).filter("session_id % 25 = 1")
-    path, fs = _shared(spark, "sessions"), spark.sparkContext._jvm.org.apache.hadoop.fs
-    one = f.select("session_id", F.col("rn").alias("frame"), F.col("l_quantity").alias("motion_head"))
+    """A folder of CSV per session, the id in the folder's name."""
+    f = spark.sql(S.FRAMES, lineitem=S.read(spark, sf, "lineitem"))
+    path = _shared(spark, "sessions")
+    one = f.select(F.concat(F.lit("S"), F.col("session_id").cast("string")).alias("session_id"), F.col("rn").alias("frame"), F.col("l_quantity").alias("motion_head"))
     one.repartition("session_id").write.partitionBy("session_id").csv(path, header=True)
-    home = fs.Path(path)
-    disk = home.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    for folder in disk.listStatus(home):  # a name per session, no data
-        name = folder.getPath().getName()
-        if name.startswith("session_id="):
-            part = next(x.getPath() for x in disk.listStatus(folder.getPath()) if x.getPath().getName().endswith(".csv"))
-            disk.rename(part, fs.Path(f"{path}/S{name.split('=')[1]}.csv"))
-            disk.delete(folder.getPath(), True)
     schema = TB.struct("frame long, motion_head double")
     return TB.read_sessions(spark, path, schema)
 

@@ -89,9 +89,13 @@ def read_labels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_sessions(spark: SparkSession, path: str, schema: T.StructType, objects: DataFrame | None = None) -> DataFrame:
-    """One CSV per session; the session id is the file's stem. With objects only
-    sessions that have some."""
-    raw = spark.read.csv(path, header=True).withColumn("session_id", F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)\.csv$", 1))
+    """CSV by session; the session id is the name of a session_id=... folder, else
+    the file's stem. With objects only sessions that have some."""
+    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/session_id=([^/]+)/[^/]+$", 1)
+    for _ in range(2):  # escaped once as a partition's name, once as a path
+        folder = F.url_decode(F.regexp_replace(folder, r"\+", "%2B"))
+    stem = F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)\.csv$", 1)
+    raw = spark.read.csv(path, header=True).withColumn("session_id", F.when(folder != "", folder).otherwise(stem))
     require_columns(raw, schema)
     df = without_nan(raw.select("session_id", *(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)))
     return df if objects is None else df.join(objects.select("session_id"), "session_id", "left_semi")
