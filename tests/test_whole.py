@@ -1,9 +1,11 @@
 """Queries that once read a part of their input, against their SQL without that part's filter."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401 registers the queries
 from kinetrail.plans import registry
+from kinetrail.plans import standins as S
 from kinetrail.sources import tables as TB
 
 from .oracle import connect, rows
@@ -39,3 +41,18 @@ def test_session_ids_from_folders_and_files(spark, tmp_path):
     (tmp_path / "files" / "HD1_F2.csv").write_text("frame\n7\n")
     got = TB.read_sessions(spark, str(tmp_path / "files"), TB.struct("frame long")).collect()
     assert [tuple(r) for r in got] == [("HD1_F2", 7)]
+
+
+CLIP_QUERIES = sorted(n for n, text in registry.SQL.items() if " and rn<400" in text)
+
+
+@pytest.mark.parametrize("name", CLIP_QUERIES)
+def test_clips_cover_whole_sessions(spark, con, name):
+    whole(spark, con, name, " and rn<400")
+
+
+def test_clips_reach_the_last_rows(spark):
+    ends = S.clips(spark, SF).groupBy("session_id").agg(F.max("start_frame").alias("s"), F.count(F.lit(1)).alias("n"))
+    rows_of = spark.read.parquet(f"{SF}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("session_id")).agg(F.count(F.lit(1)).alias("r"))
+    got = ends.join(rows_of, "session_id").collect()
+    assert len(got) == rows_of.count() and all(r["n"] == -(-r["r"] // 40) and r["r"] - r["s"] <= 40 for r in got)
