@@ -7,7 +7,8 @@ blocks of each source is its quota. A binary tree of multivariate hypergeometric
 draws, each keyed by the tree's node, splits the quotas exactly among the output
 shards, so that a shard gets its counts from the path to it alone; prefix sums
 over the shards turn the counts into disjoint ranges of the permuted blocks, and
-every shard is shuffled locally by a keyed hash.
+every shard is shuffled locally by a keyed hash. A document's taken counts the
+times that the shards draw its row.
 
 Defined results: null text has size 0; a null source is one source, last in
 order; documents of size 0 are never taken; repeated rows are sized and taken as
@@ -21,6 +22,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,22 +107,23 @@ def split_counts(counts: np.ndarray, shard: int, shards: int, seed: int) -> np.n
 
 def _greedy(frame: pd.DataFrame) -> pd.DataFrame:
     """Of a block, the documents that come closest under what is missing."""
-    frame = frame.sort_values(["size", "order"], ascending=[False, True], kind="stable")
+    frame = frame.sort_values(["size", "order", "uid"], ascending=[False, True, True], kind="stable")
     missing, taken = float(frame["missing"].iloc[0]), []
     for size in frame["size"]:
         fits = 0 < size <= missing
         taken.append(fits)
         missing -= size * fits
     frame["fits"] = taken
-    return frame[["uid", "order", "source", "fits"]]
+    return frame[["uid", "order", "fits"]]
 
 
 class Plan(NamedTuple):
-    """taken: a row per document with its passes; blocks: those that the mix
-    takes, in their turns; sources: (_source, blocks); fits: the documents that
-    it takes of opened blocks."""
+    """rows: docs with _uid; placed: a row per document with its block; blocks:
+    those that the mix takes, in their turns; sources: (_source, blocks); fits:
+    the documents that it takes of opened blocks."""
 
-    taken: DataFrame
+    rows: DataFrame
+    placed: DataFrame
     blocks: DataFrame
     sources: DataFrame
     fits: DataFrame
@@ -134,6 +137,20 @@ def block_of(order: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(order, F.lit(1)), blocks)
 
 
+def with_row_id(docs: DataFrame) -> DataFrame:
+    """docs with _uid, a number of the row that is the same in every scan: from
+    file and position where docs is a plain scan, else written with the rows."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):  # these repeat no row
+        node = node.children().head()
+    if node.nodeName() == "LogicalRelation":
+        try:
+            return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_uid"))
+        except AnalysisException:  # not Parquet
+            pass
+    return materialise(docs.withColumn("_uid", F.monotonically_increasing_id()), "mix-rows")
+
+
 def plan_mix(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -144,13 +161,15 @@ def plan_mix(
     volume: float = VOLUME,
 ) -> Plan:
     """The plan of the mix."""
-    sized = docs.select(
-        docs[id_col].cast("long").alias("doc_id"),
-        docs[source_col].alias("source"),
-        word_count(text_of(docs, text_col)).alias("size"),
-        document_key(docs[id_col], docs[source_col], seed).alias("order"),
+    rows = with_row_id(docs)
+    sized = rows.select(
+        rows[id_col].cast("long").alias("doc_id"),
+        rows[source_col].alias("source"),
+        word_count(text_of(rows, text_col)).alias("size"),
+        document_key(rows[id_col], rows[source_col], seed).alias("order"),
+        rows["_uid"].alias("uid"),
     )
-    sized = materialise(sized.withColumn("uid", F.monotonically_increasing_id()), "mix-sizes")
+    sized = materialise(sized, "mix-sizes")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("docs"))
     per_source = materialise(per_source, "mix-sources")
     targets = source_targets(per_source.drop("docs"), weights, volume)
@@ -189,27 +208,11 @@ def plan_mix(
         placed.join(opened, same)
         .select("uid", "size", "order", "missing", "source")
         .groupBy("source")
-        .applyInPandas(_greedy, "uid long, order long, source string, fits boolean")
+        .applyInPandas(_greedy, "uid long, order long, fits boolean")
         .filter("fits")
     )
-    fits = materialise(fits.select("uid", "order", "source"), "mix-fits")
-    full = passes.filter("whole").groupBy(F.col("source").alias("_source"), F.col("block").alias("_block")).agg(
-        F.count(F.lit(1)).alias("full")
-    )
-    taken = (
-        placed.join(full, same, "left")
-        .join(fits.select(F.col("uid").alias("_uid"), F.lit(1).alias("extra")), F.col("uid") == F.col("_uid"), "left")
-        .withColumn("passes", F.coalesce("full", F.lit(0)) + F.coalesce("extra", F.lit(0)))
-        .withColumn("passes", F.when(F.col("size") > 0, F.col("passes")).otherwise(F.lit(0)))
-        .select("uid", "doc_id", "source", "size", "source_size", "target", "block", "order", "passes")
-    )
-    return Plan(taken, passes.select("source", "block", "pass", "turn", "docs", "whole"), facts.select("_source", "blocks"), fits)
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
-    """doc_id, size, source_size, target, taken: one row per document."""
-    taken = plan_mix(docs, **options).taken
-    return taken.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("passes")).alias("taken"))
+    fits = materialise(fits.select("uid", "order"), "mix-fits")
+    return Plan(rows, placed, passes.select("source", "block", "pass", "turn", "docs", "whole"), facts.select("_source", "blocks"), fits)
 
 
 def shard_plan(blocks: DataFrame, seed: int = SEED) -> DataFrame:
@@ -227,7 +230,7 @@ def shard_plan(blocks: DataFrame, seed: int = SEED) -> DataFrame:
 
     def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for shard in frame["id"]:
+            for shard in frame["id"] if names else ():
                 got = split_counts(numbers, int(shard), shards, seed)
                 yield pd.DataFrame({"k": range(len(names)), "source": names, "shard": int(shard), "n": got})
 
@@ -246,24 +249,45 @@ def _broadcast(written: DataFrame) -> DataFrame:
     return F.broadcast(written) if written.count() <= BROADCAST_ROWS else written
 
 
+def draw(rows: DataFrame, plan: Plan, seed: int = SEED) -> DataFrame:
+    """rows, once for each time that a shard draws them, with _pass and _shard.
+
+    rows have words, _uid, _order, _own (their source) and _block.
+    """
+    dealt = materialise(shard_plan(plan.blocks, seed), "mix-shards").select(
+        *(F.col(c).alias(f"_{c}") for c in ("pass", "whole", "shard")), F.col("block").alias("_of_block"), F.col("source").alias("_of")
+    )
+    # the order beside the uid: two hashes, so that no two rows are one
+    fits = plan.fits.select(F.col("uid").alias("_fit"), F.col("order").alias("_fit_order"), F.lit(True).alias("_fits"))
+    drawn = rows.join(_broadcast(dealt), F.col("_own").eqNullSafe(F.col("_of")) & (F.col("_block") == F.col("_of_block")))
+    drawn = drawn.join(_broadcast(fits), (F.col("_uid") == F.col("_fit")) & (F.col("_order") == F.col("_fit_order")) & ~F.col("_whole"), "left")
+    return drawn.filter(F.col("_whole") | F.coalesce("_fits", F.lit(False)))
+
+
+def mix(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
+    """doc_id, size, source_size, target, taken: one row per document."""
+    plan = plan_mix(docs, seed=seed, **options)
+    rows = plan.placed.filter("size > 0").select(
+        F.col("uid").alias("_uid"), F.col("order").alias("_order"), F.col("source").alias("_own"), F.col("block").alias("_block")
+    )
+    times = draw(rows, plan, seed).groupBy("_uid", "_order").agg(F.count(F.lit(1)).alias("_times"))
+    counted = plan.placed.join(times, (F.col("uid") == F.col("_uid")) & (F.col("order") == F.col("_order")), "left")
+    taken = F.col("size") * F.coalesce("_times", F.lit(0))
+    return counted.select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
 def mixed_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     """The mix itself: the columns of docs, a row for each time that a document
     is taken, written in shard order and shuffled within each shard."""
     plan = plan_mix(docs, seed=seed, **options)
     id_col, text_col, source_col = (options.get(c, d) for c, d in (("id_col", "doc_id"), ("text_col", "text"), ("source_col", "source")))
-    dealt = materialise(shard_plan(plan.blocks, seed), "mix-shards").select(
-        *(F.col(c).alias(f"_{c}") for c in ("block", "pass", "whole", "shard")), F.col("source").alias("_of")
-    )
     # a block stands for DOCS_PER_BLOCK documents: texts stay where they are until they go to their shard
-    fits = plan.fits.select(F.col("order").alias("_fit"), F.col("source").alias("_fit_of"), F.lit(True).alias("_fits"))
-    fits = materialise(fits.distinct(), "mix-fitting")
+    own = plan.rows
     sources = plan.sources.select(F.col("_source").alias("_own"), F.col("blocks").alias("_blocks"))
-    rows = docs.withColumn("_order", document_key(docs[id_col], docs[source_col], seed)).join(
-        _broadcast(sources), docs[source_col].eqNullSafe(F.col("_own"))
+    rows = own.withColumn("_order", document_key(own[id_col], own[source_col], seed)).join(
+        _broadcast(sources), own[source_col].eqNullSafe(F.col("_own"))
     )
-    rows = rows.filter(F.trim(text_of(docs, text_col), F.lit(" \t\n\x0b\f\r")) != "")
-    rows = rows.join(_broadcast(dealt), F.col("_own").eqNullSafe(F.col("_of")) & (block_of(F.col("_order"), F.col("_blocks")) == F.col("_block")))
-    rows = rows.join(_broadcast(fits), (F.col("_order") == F.col("_fit")) & F.col("_own").eqNullSafe(F.col("_fit_of")) & ~F.col("_whole"), "left")
-    mixed = rows.filter(F.col("_whole") | F.coalesce("_fits", F.lit(False)))
-    shuffled = mixed.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), "_order", "_pass"))
-    return shuffled.select([docs[c] for c in docs.columns])
+    rows = rows.filter(F.trim(text_of(own, text_col), F.lit(" \t\n\x0b\f\r")) != "")
+    mixed = draw(rows.withColumn("_block", block_of(F.col("_order"), F.col("_blocks"))), plan, seed)
+    shuffled = mixed.repartition("_shard").sortWithinPartitions("_shard", F.xxhash64(F.lit(seed), "_order", "_pass"), "_uid")
+    return shuffled.select([own[c] for c in docs.columns])

@@ -227,3 +227,30 @@ def test_mixed_documents_follow_the_plan(spark):
     out = mixing.mixed_documents(docs)
     got = {r["doc_id"]: r["count"] for r in out.groupBy("doc_id").count().collect()}
     assert out.columns == docs.columns and got == {d: n for d, n in want.items() if n}
+
+
+def repeated(spark, tmp_path):
+    """Repeated rows and rows without an id in small sources; a scan and no scan."""
+    texts = [("w " * (i % 7 + 1)).strip() for i in range(60)]
+    rows = [(None if i % 3 else i // 9, t, "en", "ab"[i % 2], len(t)) for i, t in enumerate(texts)] * 2
+    df = spark.createDataFrame(rows, H.SCHEMA)
+    df.write.parquet(str(tmp_path / "docs"))
+    return [df, spark.read.parquet(str(tmp_path / "docs"))]
+
+
+def test_mix_and_documents_agree_on_repeated_and_null_ids(spark, tmp_path):
+    for docs in repeated(spark, tmp_path):
+        words, rows = {}, {}
+        for r in mixing.mix(docs).collect():
+            words[r["doc_id"]] = words.get(r["doc_id"], 0) + r["taken"]
+        for r in mixing.mixed_documents(docs).collect():
+            rows[r["doc_id"]] = rows.get(r["doc_id"], 0) + len(r["text"].split())
+        assert rows == {d: n for d, n in words.items() if n}
+
+
+def test_the_tree_decides_what_is_taken(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "shard_plan", lambda blocks, seed: shard_plan(blocks, seed).filter("shard < 0"))
+    assert mixing.mix(table(spark, H.SF, "documents")).filter("taken > 0").count() == 0
+
+
+shard_plan = mixing.shard_plan
