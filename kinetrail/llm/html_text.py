@@ -3,10 +3,12 @@
 A lenient tokenizer builds a small tree of the page. Every paragraph-like block
 gives points for its length and its commas to its parent and, halved per level,
 to the ancestors above; a container's points are discounted by its share of link
-text. The best container is kept, and with it those siblings that score well or
-are long paragraphs with few links. Scripts, styles, forms, menus, page headers,
+text. The best container is kept with all of the article or main around it, or
+else with its siblings, except for blocks that are mostly links; beside an
+article, others and what scores well. Scripts, styles, forms, menus, page headers,
 footers, sidebars, notices, adverts and reader comments take no part, by their
-tag, role, class or id.
+tag, role, class or id; a class or id does not drop what holds most of the page's
+unlinked text, unless the page names its content elsewhere.
 
 Blocks are joined by "\n" in page order; inside a block white space becomes one
 space, a line break included. Character references are decoded once, as HTML5
@@ -21,7 +23,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -55,38 +57,40 @@ BAD_NAME = re.compile(
     re.IGNORECASE,
 )
 GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.IGNORECASE)
-SIBLING_SHARE, LONG_BLOCK, FEW_LINKS = 0.2, 80, 0.25
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+SIBLING_SHARE, FEW_LINKS, MOST = 0.2, 0.25, 0.5
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "bad", "bonus", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "bad", "named", "good", "bonus", "score", "chars", "linked")
 
-    def __init__(self, tag: str, parent: Node | None, bad: bool = False, bonus: float = 0.0) -> None:
+    def __init__(self, tag: str, parent: Node | None, bad: bool = False, bonus: float = 0.0, named: bool = False) -> None:
         self.tag, self.parent, self.children, self.bad, self.bonus = tag, parent, [], bad, bonus
+        self.named, self.good = named, bonus > 0.0
         self.score, self.chars, self.linked = 0.0, 0, 0
 
 
-def _named_bad(tag: str, attributes: str, inside: bool) -> tuple[bool, float]:
-    """Is the element boilerplate by its tag or attributes; its bonus."""
+def _named_bad(tag: str, attributes: str, inside: bool) -> tuple[bool, float, bool]:
+    """Is the element boilerplate by its tag, role or style; its bonus; is it
+    boilerplate by its class or id."""
     if tag in DROPPED or (tag == "header" and not inside):
-        return True, 0.0
-    bonus = 25.0 if tag in ("article", "main") else 0.0
+        return True, 0.0, False
+    bonus, named = 25.0 if tag in ("article", "main") else 0.0, False
     if not attributes or tag in ("html", "body"):
-        return False, bonus
+        return False, bonus, False
     if HIDDEN.search(attributes):
-        return True, 0.0
+        return True, 0.0, False
     for name, *values in ATTRIBUTE.findall(attributes):
         value = next(filter(None, values), "")
         name = name.lower()
         if name == "role":
             if value.lower() in DROPPED_ROLES:
-                return True, 0.0
+                return True, 0.0, False
             bonus += 25.0 if value.lower() in ("main", "article") else 0.0
         elif name in ("class", "id") and tag not in ("article", "main"):
-            if BAD_NAME.search(value):
-                return True, 0.0
+            named = named or BAD_NAME.search(value) is not None
             bonus += 10.0 if GOOD_NAME.search(value) else 0.0
-    return False, bonus
+    return False, 0.0 if named else bonus, named
 
 
 def parse(page: str) -> Node:
@@ -128,8 +132,8 @@ def parse(page: str) -> Node:
         up = node
         while up is not None and not inside:
             inside, up = up.tag in ("article", "main"), up.parent
-        bad, bonus = (True, 0.0) if node.bad else _named_bad(tag, match.group(4), inside)
-        child = Node(tag, node, bad, bonus)
+        bad, bonus, named = (True, 0.0, False) if node.bad else _named_bad(tag, match.group(4), inside)
+        child = Node(tag, node, bad, bonus, named)
         if not bad:
             node.children.append(child)
         node = child
@@ -138,6 +142,45 @@ def parse(page: str) -> Node:
     return root
 
 
+def _drop_named(root: Node) -> None:
+    """Takes boilerplate by class or id out of the tree, except for what holds
+    most of the unlinked text while no other part is named as content."""
+    order, stack = [], [(root, False)]
+    while stack:
+        node, link = stack.pop()
+        link = link or node.tag == "a"
+        order.append((node, link))
+        stack.extend((c, link) for c in node.children if not isinstance(c, str))
+    if not any(node.named for node, _ in order):
+        return
+    own: dict[int, int] = {}  # unlinked characters of a node and all below it
+    for node, link in reversed(order):
+        size = 0 if link else sum(len(c.strip()) for c in node.children if isinstance(c, str))
+        own[id(node)] = size + sum(own[id(c)] for c in node.children if not isinstance(c, str))
+
+    def keep(wanted: Callable[[Node], bool]) -> list[Node]:
+        left, stack = [], [root]
+        while stack:
+            node = stack.pop()
+            left.append(node)
+            node.children = [c for c in node.children if isinstance(c, str) or not c.named or wanted(c)]
+            stack.extend(c for c in node.children if not isinstance(c, str))
+        return left
+
+    left = keep(lambda c: own[id(c)] > MOST * own[id(root)])
+    above, below = {}, {}  # parts named as content around a node, and in it
+    for node in left:
+        above[id(node)] = 0 if node is root else above[id(node.parent)] + _counts(node.parent, own)
+    for node in reversed(left):
+        below[id(node)] = _counts(node, own) + sum(below[id(c)] for c in node.children if not isinstance(c, str))
+    keep(lambda c: below[id(root)] == below[id(c)] + above[id(c)])
+
+
+def _counts(node: Node, own: dict[int, int]) -> int:
+    """1 for a part named as content that has text."""
+    return int(node.good and own[id(node)] > 0)
+
+
 def _measure(root: Node) -> None:
     """Characters, linked characters and scores of all nodes. A page may be as
     deep as it is long: a stack takes the place of recursion."""
@@ -211,6 +254,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     root = parse(page)
+    _drop_named(root)
     _measure(root)
     best, stack = root, [root]
     while stack:
@@ -218,22 +262,42 @@ def main_text(page: str | None) -> str:
         if at.tag in CONTAINERS and at.score > best.score:
             best = at
         stack.extend(c for c in at.children if not isinstance(c, str))
-    kept, out = [best], []
-    if best.parent is not None:
-        kept = []
-        for sibling in best.parent.children:
-            if sibling is best:
-                kept.append(best)
-            elif not isinstance(sibling, str) and sibling.chars:
-                links = sibling.linked / sibling.chars
-                good = sibling.tag in CONTAINERS and sibling.score >= max(10.0, SIBLING_SHARE * best.score)
-                if good or (sibling.tag in ("p", "pre", "blockquote") and links < FEW_LINKS and sibling.chars > LONG_BLOCK):
-                    kept.append(sibling)
-    for node in kept:
-        _blocks(node, out)
+    top = best
+    while top is not None and top.tag not in ("article", "main"):
+        top = top.parent
+    path, at = {id(best)}, best
+    last = top or best.parent or best  # all of its blocks stay
+    while at is not last:
+        at = at.parent
+        path.add(id(at))
+    kept: list[Node | str] = []
+    for sibling in last.parent.children if top is not None and last.parent is not None else [last]:
+        if sibling is last:
+            stack = [last]
+            while stack:
+                at = stack.pop()
+                if isinstance(at, str) or id(at) not in path or at is best:
+                    if at is best or not _mostly_links(at):
+                        kept.append(at)
+                else:
+                    stack.extend(reversed(at.children))
+        elif not isinstance(sibling, str) and sibling.chars:
+            good = sibling.tag in CONTAINERS and sibling.score >= SIBLING_SHARE * best.score and sibling.score > 0
+            few = sibling.linked / sibling.chars < FEW_LINKS
+            if good or (few and sibling.tag in ("p", "pre", "blockquote", "article", "main")):
+                kept.append(sibling)
+    # neighbours in a line of text stay in one block
+    whole = Node("div", None)
+    whole.children = kept
+    out: list[str] = []
+    _blocks(whole, out)
     return "\n".join(out)
 
 
+def _mostly_links(node: Node | str) -> bool:
+    return not isinstance(node, str) and node.tag in BLOCKS and node.tag not in HEADINGS and node.linked > MOST * node.chars
+
+
 def extract(pages: DataFrame, html_col: str = "html", id_col: str = "page_id", url_col: str = "url") -> DataFrame:
     """page_id, url, text, n_chars: one row per page."""
 

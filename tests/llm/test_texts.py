@@ -36,6 +36,26 @@ def test_link_lists_lose():
     assert "real paragraph" in html_text.main_text(page) and "Link text" not in html_text.main_text(page)
 
 
+def test_parts_of_a_long_article_stay():
+    for n in (1, 8, 40):
+        text = [f"Paragraph {i}, of some length, " + "word " * 54 + "end." for i in range(n)]
+        body = "".join(f"<p>{p}</p>" for p in text)
+        rest = "<ul><li>one</li><li>two</li></ul><table><tr><td>cell</td></tr></table><figure><figcaption>caption</figcaption></figure><p>Short.</p><section><p>Last.</p></section>"
+        want = "\n".join(["Title", *text, "one", "two", "cell", "caption", "Short.", "Last."])
+        links = '<div><a href="/">One more page</a> <a href="/">and one more</a></div>' if n > 8 else ""
+        assert html_text.main_text(f"<body><article><h1>Title</h1><div class='entry-content'>{body}</div>{rest}{links}</article></body>") == want
+        assert html_text.main_text(f"<body><div><h1>Title</h1><div class='entry-content'>{body}</div>{rest}</div></body>") == want
+
+
+def test_a_name_does_not_drop_most_of_the_page():
+    text = "A paragraph, of some length, with commas and no links in it at all."
+    page = f"<body><div class='sidebar'><p>Aside.</p></div><div class='with-sidebar'><h1>Title</h1><p>{text}</p></div></body>"
+    assert html_text.main_text(page) == f"Title\n{text}"
+    thread = f"<div id='comments'><p>{text * 9}</p></div>"
+    assert html_text.main_text(f"<body><article><p>{text}</p></article>{thread}</body>") == text
+    assert html_text.main_text(f"<body><div class='post'><p>{text}</p></div>{thread}</body>") == text
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE), (2, None, None), (None, "v", "<p>x</p>")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text")).collect()
