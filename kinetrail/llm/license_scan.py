@@ -5,7 +5,8 @@ into an inverted index, which is as small as the templates and travels with the
 tasks. A document's words are mapped to the templates' vocabulary; runs of K
 known words that hit the index name a template and a diagonal. Near diagonals
 of a template are one candidate, which a banded alignment of the template with
-that stretch of the document turns into matched words, coverage and a span.
+that stretch of the document turns into matched words, coverage and a span; what
+the span leaves of the stretch on either side is aligned again.
 
 Defined results: null and empty texts and texts without a match give no row;
 each occurrence of a template is a row, of overlapping ones the one that matches
@@ -162,18 +163,23 @@ def scan_text(text: str, index: Index, coverage: float = COVERAGE, band: int = B
     for t, seen in hits.items():
         template, results, group = index.templates[t], [], []
         for diagonal, at in sorted(seen):
-            if group and diagonal - group[0] > band:
-                results.append(group)
+            if group and diagonal - group[0][0] > band:
+                results.append((group, 0, len(ids)))
                 group = []
-            group.append(diagonal)
-        results.append(group)
-        for group in results:
-            middle = group[len(group) // 2]
-            low, high = max(0, middle - band), min(len(ids), middle + len(template) + band)
+            group.append((diagonal, at))
+        results.append((group, 0, len(ids)))
+        while results:  # hits and the words that they may use
+            group, begin, end = results.pop()
+            middle = group[len(group) // 2][0]
+            low, high = max(begin, middle - band), min(end, middle + len(template) + band)
             got, first, last = align(template, ids[low:high], middle - low, band)
             share = got / len(template)
             if share >= coverage:
-                candidates.append((-got, -share, low + first, low + last, t))
+                first, last = low + first, low + last
+                candidates.append((-got, -share, first, last, t))
+                left = [hit for hit in group if hit[1] + K <= first]
+                right = [hit for hit in group if hit[1] >= last]
+                results += [part for part in ((left, begin, first), (right, last, end)) if part[0]]
     taken: list[tuple[int, int]] = []
     found = []
     for got, share, first, last, t in sorted(candidates):

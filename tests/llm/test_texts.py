@@ -168,6 +168,18 @@ def test_scan(spark):
     assert 0.9 < got[1]["coverage"] < 1
 
 
+def test_adjacent_notices_are_rows_each():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    for name, line in license_scan.TEMPLATES.items():
+        for n in (1, 2, 5, 9):
+            text = " ".join([line] * n)
+            got = license_scan.scan_text(text, index)
+            assert [r[0] for r in got] == [name] * n and all(r[3] == 1 for r in got), (name, n)
+            assert all(a[5] <= b[4] for a, b in zip(got, got[1:], strict=False))
+    near = license_scan.scan_text("Released under the MIT. Released under the MIT License.", index)
+    assert [(r[0], r[2]) for r in near] == [("mit", 4), ("mit", 5)]
+
+
 def test_scan_finds_every_notice(spark):
     lines = {k: license_scan.TEMPLATES[k] for k in ("mit", "cc-by-nc-4.0", "gpl-3.0", "apache-2.0", "all-rights-reserved")}
     docs = table(spark, H.SF, "documents").collect()
