@@ -297,7 +297,7 @@ def escape_summary(spark, sf):
 
 @query()
 def bootstrap_ci(spark, sf):
-    return CL.bootstrap_escape(evaluated(spark, sf), weights(spark, sf), 200)
+    return CL.bootstrap_escape(evaluated(spark, sf), weights(spark, sf))
 
 
 SC = S.with_(m=S.MASKS_SQL, clips=CLIP_SQL)

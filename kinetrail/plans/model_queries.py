@@ -107,13 +107,13 @@ def training(spark, sf) -> DataFrame:
 @query()
 def fit_model(spark, sf):
     df = training(spark, sf)
-    return models.score(models.fit_model(df, FEATURES, "y", rounds=5), df, FEATURES).select("session_id", "window", "y", "score")
+    return models.score(models.fit_model(df, FEATURES, "y"), df, FEATURES).select("session_id", "window", "y", "score")
 
 
 @query()
 def score_session(spark, sf):
     df = training(spark, sf)
-    model = models.fit_model(df, FEATURES, "y", balanced=True, rounds=3)
+    model = models.fit_model(df, FEATURES, "y", balanced=True)
     frames = S.masks(spark, sf).select("session_id", "frame", F.col("rn").alias("pos"))
     return models.score_session(model, df, frames, FEATURES, ["session_id"]).select("session_id", "frame", "score")
 
@@ -121,24 +121,24 @@ def score_session(spark, sf):
 @query()
 def context_model(spark, sf):
     df = training(spark, sf)
-    fitted = models.ContextModel.fit(df, FEATURES, "y", "animal", ["session_id"], folds=2, rounds=2)
+    fitted = models.ContextModel.fit(df, FEATURES, "y", "animal", ["session_id"])
     return fitted.score(df, ["session_id"]).select("session_id", "window", "y", "score")
 
 
 @query()
 def cross_validate(spark, sf):
-    return models.cross_validate(training(spark, sf), FEATURES, "y", "animal", folds=2, rounds=3).select("session_id", "window", "y", "score")
+    return models.cross_validate(training(spark, sf), FEATURES, "y", "animal").select("session_id", "window", "y", "score")
 
 
 @query()
 def leave_one_group_out(spark, sf):
-    return models.leave_one_group_out(training(spark, sf), FEATURES, "y", "animal", rounds=2).select("session_id", "window", "animal", "y", "score")
+    return models.leave_one_group_out(training(spark, sf), FEATURES, "y", "animal").select("session_id", "window", "animal", "y", "score")
 
 
 @query()
 def save_model(spark, sf):
     df, path = training(spark, sf), _shared(spark, "model")
-    models.save_model(models.fit_model(df, FEATURES, "y", rounds=2), path, spark, FEATURES, 0.4, ["S1"])
+    models.save_model(models.fit_model(df, FEATURES, "y"), path, spark, FEATURES, 0.4, ["S1"])
     model, _ = models.load_model(path, spark, FEATURES)
     return models.score(model, df, FEATURES).select("session_id", "window", "score")
 
@@ -148,7 +148,7 @@ def detect(spark, sf):
     """Stored model and threshold to gated episodes."""
     df = training(spark, sf)
     frames = S.masks(spark, sf).select("session_id", "frame", "freezing", F.col("rn").alias("pos"))
-    scored = models.score_session(models.fit_model(df, FEATURES, "y", rounds=3), df, frames, FEATURES, ["session_id"])
+    scored = models.score_session(models.fit_model(df, FEATURES, "y"), df, frames, FEATURES, ["session_id"])
     masked = detectors.frame_mask(scored, "score", 0.5, "m", keys=["session_id"])
     gated = detectors.gate(masked, "m", "rearing", "g", keys=["session_id"])
     return intervals.bouts(gated, "g", ["session_id"])
@@ -162,7 +162,7 @@ def prepare_session(spark, sf):
 
     df = TS.dwell_signals(signals(spark, sf))
     spec = TS.spec_with_trend(TS.SPEC | {"still_sec": ("median",), "wall_sec": ("median",)})
-    return TS.centered_features(df, spec, (15, 60))
+    return TS.centered_features(df, spec)
 
 
 
@@ -178,4 +178,4 @@ def session_features(spark, sf):
     df = TS.dwell_signals(TS.pose_rise(TS.with_floor(own, floors(spark, sf))))
     rules = {f"rule_{c}": F.col(c).cast("double") for c in ("walking", "freezing", "low_activity", "active_head")}
     spec = TS.SPEC | {"nose_floor": ("median", "p10", "p90"), "neck_rel_y": ("median", "p90"), "length_local": ("median", "std"), "still_sec": ("median",), "wall_sec": ("median",)}
-    return TS.centered_features(df.withColumns(rules), TS.spec_with_trend(spec | {r: ("mean",) for r in rules}), (15, 60))
+    return TS.centered_features(df.withColumns(rules), TS.spec_with_trend(spec | {r: ("mean",) for r in rules}))

@@ -1,9 +1,12 @@
 """Queries that once read a part of their input, against their SQL without that part's filter."""
 
+import inspect
+
 import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__  # noqa: F401 registers the queries
+from kinetrail.operators import clips, models
 from kinetrail.plans import registry
 from kinetrail.plans import standins as S
 from kinetrail.sources import tables as TB
@@ -56,3 +59,42 @@ def test_clips_reach_the_last_rows(spark):
     rows_of = spark.read.parquet(f"{SF}/lineitem.parquet").groupBy(F.col("l_suppkey").alias("session_id")).agg(F.count(F.lit(1)).alias("r"))
     got = ends.join(rows_of, "session_id").collect()
     assert len(got) == rows_of.count() and all(r["n"] == -(-r["r"] // 40) and r["r"] - r["s"] <= 40 for r in got)
+
+
+class Seen(Exception):
+    """Carries what a query asked for; nothing is fitted."""
+
+
+@pytest.mark.parametrize("name", ["fit_model", "score_session", "context_model", "cross_validate", "leave_one_group_out", "save_model", "detect"])
+def test_models_have_all_rounds(spark, monkeypatch, name):
+    def trees(**options):
+        raise Seen(options["maxIter"])
+
+    monkeypatch.setattr(models, "GBTClassifier", trees)
+    with pytest.raises(Seen, match="^150$"):
+        registry.QUERIES[name](spark, SF)
+
+
+@pytest.mark.parametrize(("name", "folds"), [("cross_validate", 5), ("context_model", 4)])  # there are four animals
+def test_models_have_all_folds(spark, monkeypatch, name, folds):
+    def out_of_fold(df, features, label, n, *rest, **options):
+        raise Seen(n)
+
+    monkeypatch.setattr(models, "_out_of_fold", out_of_fold)
+    with pytest.raises(Seen, match=f"^{folds}$"):
+        registry.QUERIES[name](spark, SF)
+
+
+@pytest.mark.parametrize("name", ["prepare_session", "session_features"])
+def test_sessions_have_all_windows(spark, name):
+    columns = registry.QUERIES[name](spark, SF).columns
+    assert all(any(c.startswith(f"w{size}_") for c in columns) for size in (15, 60, 120, 300))
+
+
+def test_bootstrap_has_all_resamples(spark, monkeypatch):
+    def escape(evaluated, weights, reps=inspect.signature(clips.bootstrap_escape).parameters["reps"].default):
+        raise Seen(reps)
+
+    monkeypatch.setattr(clips, "bootstrap_escape", escape)
+    with pytest.raises(Seen, match="^2000$"):
+        registry.QUERIES["bootstrap_ci"](spark, SF)
