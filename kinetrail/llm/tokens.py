@@ -2,8 +2,8 @@
 
 The ids are those of the byte-level BPE in `byte_bpe_50k.json`; the same
 vocabulary as ranks gives the same ids about four times as fast, which the tests
-hold against the `tokenizers` library. Strings of special tokens in a text are
-ordinary text. A document's ids end with SEPARATOR.
+hold against the `tokenizers` library. The string of the vocabulary's added
+token in a text is that token. A document's ids end with SEPARATOR.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from .common import materialise, small_batches, text_of
 SEPARATOR = 0
 #: A vocabulary file of the public_tokenizers package, or a path to one.
 VOCABULARY = "byte_bpe_50k.tiktoken"
+#: Fixed value: the added token of byte_bpe_50k.json, which its ranks leave free.
+ADDED = {"<|endoftext|>": 50256}
 TOKEN_SCHEMA = "doc_id long, part int, local_start long, n_tokens long, ids binary"
 
 
@@ -37,7 +39,8 @@ def encoder(vocabulary: str):
     path = vocabulary if os.path.exists(vocabulary) else public_tokenizers.path(vocabulary)
     with open(path, "rb") as lines:
         ranks = {base64.b64decode(word): int(rank) for word, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    added = {word: i for word, i in ADDED.items() if i not in ranks.values()}
+    return tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
 def encode(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
@@ -45,7 +48,9 @@ def encode(text: str, vocabulary: str = VOCABULARY) -> np.ndarray:
     (32 where the vocabulary is larger)."""
     enc = encoder(vocabulary)
     kind = "<u2" if enc.n_vocab <= 65_536 else "<u4"
-    return np.array([*enc.encode_ordinary(text), SEPARATOR], dtype=kind)
+    # the plain call is a third faster
+    ids = enc.encode(text, allowed_special="all") if any(w in text for w in enc.special_tokens_set) else enc.encode_ordinary(text)
+    return np.array([*ids, SEPARATOR], dtype=kind)
 
 
 def id_type(vocabulary: str = VOCABULARY) -> np.dtype:

@@ -14,7 +14,6 @@ from . import helpers as H
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: np.array([*t.encode(text or "", add_special_tokens=False).ids, 0], dtype="<u4")
 
 
@@ -81,6 +80,12 @@ def test_permutation(n):
         assert (slots != token_output.permute(np.arange(n), n, key=1)).any()
 
 
+def test_added_token(reference):
+    for text in ("<|endoftext|>", "a <|endoftext|> b", "  <|endoftext|>\n", "<|endoftext|><|endoftext|>", "x<|endoftext|", "Ü\xa0<|endoftext|>é"):
+        assert list(tokens.encode(text)) == list(reference(text))
+    assert list(tokens.encode("<|endoftext|>")) == [50256, 0]
+
+
 def test_shards_round_trip(spark):
     rows = [(i, 3 + i % 5, np.arange(i, i + 3 + i % 5).astype("<u2").tobytes()) for i in range(250)]
     seqs = spark.createDataFrame(rows, "sequence_id long, n_tokens long, ids binary").repartition(4)
