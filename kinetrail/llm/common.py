@@ -47,12 +47,12 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
 
 
 @contextmanager
-def small_batches(spark: SparkSession, rows: int = 500) -> Iterator[None]:
-    """While a job runs, Arrow batches hold at most rows rows: bounds the memory
-    of tasks whose rows are some KB each. For eager writes only."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def bounded_batches(spark: SparkSession, megabytes: int = 8) -> Iterator[None]:
+    """While a job runs, Arrow batches that go to Python hold about so many MB at
+    most, whatever the length of their rows. For eager writes only."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(name)
-    spark.conf.set(name, min(rows, int(before)) if int(before) > 0 else rows)
+    spark.conf.set(name, megabytes << 20)
     try:
         yield
     finally:

@@ -78,56 +78,60 @@ def pack(docs: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY) ->
     return pieces(token_table(docs, vocabulary), length, vocabulary).drop("ids")
 
 
-def sequences(tokens: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY) -> DataFrame:
-    """(sequence_id, n_tokens, ids): the unpadded sequences of a token table.
-
-    A task joins the pieces that follow each other in it; only a window that
-    another task began or ends leaves as a boundary record.
-    """
+def stretches(tokens: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(sequence_id, at, ids): what one task holds of a sequence without a gap,
+    all of it where no other task began or ends the window."""
     width = id_type(vocabulary).itemsize
-    schema = "sequence_id long, at long, ids binary, whole boolean"
+    body = length * width
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seq, begin, parts, size = -1, 0, [], 0
-        done: list[tuple[int, int, bytes, bool]] = []
+        seq, begin, parts, end = -1, 0, [], -1
+        done: tuple[list[int], list[int], list[bytes]] = ([], [], [])
 
         def close() -> None:
             if parts:
-                done.append((seq, begin, b"".join(parts), begin == 0 and size == length))
+                for column, value in zip(done, (seq, begin, b"".join(parts)), strict=True):
+                    column.append(value)
 
         def batch_of() -> pa.RecordBatch:
-            columns = list(zip(*done, strict=True)) or [(), (), (), ()]
-            done.clear()
-            kinds = (pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-            return pa.RecordBatch.from_arrays(
-                [pa.array(c, type=k) for c, k in zip(columns, kinds, strict=True)], names=["sequence_id", "at", "ids", "whole"]
-            )
+            kinds = (pa.int64(), pa.int64(), pa.binary())
+            out = [pa.array(c, type=k) for c, k in zip(done, kinds, strict=True)]
+            for column in done:
+                column.clear()
+            return pa.RecordBatch.from_arrays(out, names=["sequence_id", "at", "ids"])
 
         for batch in batches:
             for start, blob in zip(batch.column(1).to_pylist(), batch.column(0), strict=True):
-                ids = blob.as_buffer().to_pybytes()
-                for local, n in cut(start, len(ids) // width, length):
-                    s, at = divmod(start + local, length)
-                    if s != seq or at != begin + size:
+                ids, read, start = blob.as_buffer().to_pybytes(), 0, start * width
+                while read < len(ids):
+                    s, at = divmod(start + read, body)
+                    n = min(body - at, len(ids) - read)
+                    if s != seq or at != end:
                         close()
-                        seq, begin, parts, size = s, at, [], 0
-                    parts.append(ids[local * width : (local + n) * width])
-                    size += n
-                if len(done) >= 512:
+                        seq, begin, parts = s, at // width, []
+                    parts.append(ids[read : read + n])
+                    read, end = read + n, at + n
+                if len(done[0]) >= 1024:
                     yield batch_of()
         close()
         yield batch_of()
 
-    records = with_global_starts(tokens).select("ids", "global_start").mapInArrow(join, schema)
-    # both branches scan the written token table: no text is tokenised again
-    inner = records.filter("whole").select("sequence_id", "ids")
+    return with_global_starts(tokens).select("ids", "global_start").mapInArrow(join, "sequence_id long, at long, ids binary")
+
+
+def sequences(tokens: DataFrame, length: int = LENGTH, vocabulary: str = VOCABULARY) -> DataFrame:
+    """(sequence_id, n_tokens, ids): the unpadded sequences of a token table.
+    Only stretches shorter than a window are shuffled."""
+    width = id_type(vocabulary).itemsize
+    records = stretches(tokens, length, vocabulary)
+    whole = F.octet_length("ids") == length * width
     crossing = (
-        records.filter("not whole")
+        records.filter(~whole)
         .groupBy("sequence_id")
         .agg(F.array_sort(F.collect_list(F.struct("at", "ids"))).alias("parts"))
         .select("sequence_id", F.expr("aggregate(parts, cast('' as binary), (a, p) -> a || p.ids)").alias("ids"))
     )
-    return inner.unionByName(crossing).select(
+    return records.filter(whole).select("sequence_id", "ids").unionByName(crossing).select(
         "sequence_id", (F.octet_length("ids") / F.lit(width)).cast("long").alias("n_tokens"), "ids"
     )
 

@@ -7,7 +7,12 @@ the inverse tells which sequence lies in a slot. Shard k holds the slots
 [k * per_shard, (k + 1) * per_shard) in order, as one file of records of one
 length: a 4-byte little-endian token count, the ids padded with 0, one byte
 "\n". A reader that stopped at slot s goes on at shard s // per_shard, byte
-(s % per_shard) * stride.
+(s % per_shard) * stride: read_shards(from_slot=s).
+
+Slots are dealt by range: since they are dense, the ranges' borders are known
+without sampling, and a range is a number of whole shards. What crosses the
+shuffle are compressed blocks of records of one range; sequences that two tasks
+hold in part are put together in their range.
 
 Spark's text writer writes the bytes, so that any store that Spark reaches will
 do; its line separator is the record's last byte.
@@ -21,21 +26,26 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import scratch_path, small_batches
-from .packing import LENGTH, sequences
+from .common import bounded_batches, scratch_path
+from .packing import LENGTH, stretches
 from .tokens import VOCABULARY, id_type, token_table
 
 SEED = 77_003
 ROUNDS = 6
-PER_SHARD = 1_024
+#: Records of a shard: 134 MB at 1,024 ids of 2 bytes; fewer where the corpus would not give FEW_SHARDS.
+PER_SHARD, FEW_SHARDS = 65_536, 128
+#: Ranges that the slots are dealt to at most; beyond, a range holds several shards.
+MOST_RANGES = 20_000
+#: Bytes of records that a task gathers before it deals them, and records of a block.
+GATHERED, BLOCK = 32 << 20, 64
 END = b"\n"
 
 
@@ -72,63 +82,111 @@ def stride(length: int = LENGTH, vocabulary: str = VOCABULARY) -> int:
     return 4 + length * id_type(vocabulary).itemsize + len(END)
 
 
+def shard_size(n: int) -> int:
+    """Records of a shard in a corpus of n sequences."""
+    return max(1, min(PER_SHARD, -(-n // FEW_SHARDS)))
+
+
 def write_shards(
-    seqs: DataFrame,
+    parts: DataFrame,
     path: str,
+    n: int,
     length: int = LENGTH,
-    per_shard: int = PER_SHARD,
+    per_shard: int | None = None,
     key: int = SEED,
     vocabulary: str = VOCABULARY,
-    count: int | None = None,
 ) -> int:
-    """Write seqs (sequence_id dense from 0, n_tokens, ids) under path; returns
-    the number of sequences. One file in path/shard=k for each shard.
-
-    What a batch sends to a shard travels as one compressed block; a shard's
-    blocks are unpacked in one task, per_shard records in all.
+    """Write the n sequences that parts (sequence_id dense from 0, at, ids) hold
+    under path, one file in path/shard=k for each shard; returns the records of
+    a shard. A sequence may be one row or several without a gap or overlap.
     """
-    n = seqs.count() if count is None else count
-    body = length * id_type(vocabulary).itemsize
-
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        press = zstandard.ZstdCompressor(level=6)
-        for batch in batches:
-            slots = permute(batch.column("sequence_id").to_numpy(), n, key)
-            order, shards = np.argsort(slots), slots // per_shard
-            sizes, ids = batch.column("n_tokens").to_pylist(), batch.column("ids")
-            out: list[tuple[int, bytes, bytes]] = []
-            for shard in np.unique(shards):
-                own = [i for i in order if shards[i] == shard]
-                rows = [int(sizes[i]).to_bytes(4, "little") + ids[int(i)].as_buffer().to_pybytes().ljust(body, b"\0") for i in own]
-                out.append((int(shard), slots[own].astype("<i8").tobytes(), press.compress(b"".join(rows))))
-            columns = list(zip(*out, strict=True)) or [(), (), ()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, type=k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.binary()), strict=True)],
-                names=["shard", "slots", "block"],
+    per_shard = per_shard or shard_size(n)
+    width = id_type(vocabulary).itemsize
+    body = length * width
+    step = 4 + body
+    shards = max(1, -(-n // per_shard))
+    ranges = min(shards, MOST_RANGES)
+    per_range = -(-shards // ranges) * per_shard
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Blocks of records of one range; a part of a sequence is a record too."""
+        press = zstandard.ZstdCompressor(level=4)
+
+        def blocks(gathered: list[pa.RecordBatch]) -> pa.RecordBatch:
+            slots = permute(np.concatenate([b.column(0).to_numpy() for b in gathered]), n, key)
+            places = np.concatenate([b.column(1).to_numpy() for b in gathered]).astype("<u4")
+            ids = [x.as_buffer() for b in gathered for x in b.column(2)]
+            counts = np.array([x.size for x in ids]) // width
+            whole = counts == length
+            rows = np.zeros((len(ids), step), dtype=np.uint8)
+            rows[:, :4] = counts.astype("<u4").view(np.uint8).reshape(-1, 4)
+            rows[whole, 4:] = np.frombuffer(b"".join(ids[i] for i in np.flatnonzero(whole)), np.uint8).reshape(-1, body)
+            for i in np.flatnonzero(~whole):
+                rows[i, 4 : 4 + ids[i].size] = np.frombuffer(ids[i], np.uint8)
+            order = np.argsort(slots, kind="stable")
+            lanes = slots[order] // per_range
+            borders = np.flatnonzero(np.diff(lanes, prepend=-1, append=-1))
+            cuts = [order[at : min(at + BLOCK, end)] for begin, end in pairwise(borders) for at in range(begin, end, BLOCK)]
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([int(slots[c[0]] // per_range) for c in cuts], type=pa.int32()),
+                    pa.array([slots[c].astype("<i8").tobytes() for c in cuts], type=pa.binary()),
+                    pa.array([places[c].tobytes() for c in cuts], type=pa.binary()),
+                    pa.array([press.compress(rows[c].tobytes()) for c in cuts], type=pa.binary()),
+                ],
+                names=["range", "slots", "places", "block"],
             )
 
-    def unpack(frame: pd.DataFrame) -> pd.DataFrame:
-        slots = np.concatenate([np.frombuffer(s, "<i8") for s in frame["slots"]])
-        unpress = zstandard.ZstdDecompressor()
-        data = b"".join(unpress.decompress(b) for b in frame["block"])
-        step = 4 + body
-        rows = [data[at : at + step] for at in range(0, len(data), step)]
-        return pd.DataFrame({"shard": slots // per_shard, "slot": slots, "value": rows})
-
-    shards = -(-n // per_shard)
-    blocks = seqs.select("sequence_id", "n_tokens", "ids").mapInArrow(pack, "shard long, slots binary, block binary")
-    with small_batches(seqs.sparkSession):
+        gathered, held = [], 0
+        for batch in batches:
+            gathered.append(batch)
+            held += batch.num_rows * step
+            if held >= GATHERED:
+                yield blocks(gathered)
+                gathered, held = [], 0
+        if held:
+            yield blocks(gathered)
+
+    def records(slots: np.ndarray, data: bytes) -> pa.RecordBatch:
+        at = pa.py_buffer(np.arange(0, len(data) + 1, step, dtype=np.int32))
+        values = pa.Array.from_buffers(pa.binary(), len(slots), [None, at, pa.py_buffer(data)])
+        return pa.RecordBatch.from_arrays([pa.array(slots // per_shard), pa.array(slots), values], names=["shard", "slot", "value"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpress, parts = zstandard.ZstdDecompressor(), {}
+        for batch in batches:
+            for slots, places, block in zip(*(batch.column(c) for c in ("slots", "places", "block")), strict=True):
+                slots = np.frombuffer(slots.as_buffer(), "<i8")
+                data = unpress.decompress(block.as_buffer())
+                rows = np.frombuffer(data, np.uint8).reshape(-1, step)
+                counts = np.ascontiguousarray(rows[:, :4]).view("<u4")[:, 0]
+                whole = counts == length
+                for i in np.flatnonzero(~whole):  # two at most for each task that made token rows
+                    at, count = 4 + width * int(np.frombuffer(places.as_buffer(), "<u4")[i]), int(counts[i])
+                    record, had = parts.get(int(slots[i]), (bytearray(step), 0))
+                    record[at : at + count * width] = data[i * step + 4 : i * step + 4 + count * width]
+                    parts[int(slots[i])] = record, had + count
+                if whole.all():
+                    yield records(slots, data)
+                elif whole.any():
+                    yield records(slots[whole], rows[whole].tobytes())
+        for slot, (record, count) in parts.items():
+            record[:4] = count.to_bytes(4, "little")
+            yield records(np.array([slot]), bytes(record))
+
+    blocks = parts.select("sequence_id", "at", "ids").mapInArrow(deal, "range int, slots binary, places binary, block binary")
+    with bounded_batches(parts.sparkSession):
         (
-            blocks.repartition(max(1, shards), "shard")
-            .groupBy("shard")
-            .applyInPandas(unpack, "shard long, slot long, value binary")
+            blocks.repartitionById(ranges, "range")
+            .select("slots", "places", "block")
+            .mapInArrow(unpack, "shard long, slot long, value binary")
             .sortWithinPartitions("shard", "slot")
             .select("shard", F.col("value").cast("string").alias("value"))
             .write.partitionBy("shard")
             .option("lineSep", END.decode())
             .text(path)
         )
-    return n
+    return per_shard
 
 
 def read_shards(
@@ -136,14 +194,16 @@ def read_shards(
     path: str,
     n: int,
     length: int = LENGTH,
-    per_shard: int = PER_SHARD,
+    per_shard: int | None = None,
     key: int = SEED,
     vocabulary: str = VOCABULARY,
     with_ids: bool = True,
+    from_slot: int = 0,
 ) -> DataFrame:
     """sequence_id, slot, shard, byte_offset, n_tokens, ids_crc32 (over the ids
-    as little-endian unsigned 32 bits) and, if wanted, ids of all records."""
-    kind, step = id_type(vocabulary), stride(length, vocabulary)
+    as little-endian unsigned 32 bits) and, if wanted, ids of the records from
+    from_slot on; earlier shards are not opened."""
+    kind, step, per_shard = id_type(vocabulary), stride(length, vocabulary), per_shard or shard_size(n)
     schema = "sequence_id long, slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long, ids binary"
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -152,7 +212,7 @@ def read_shards(
                 data = memoryview(blob.as_buffer())
                 if len(data) % step:
                     raise ValueError(f"shard {shard} is no whole number of records")
-                for low in range(0, len(data), 512 * step):
+                for low in range(max(0, from_slot - shard * per_shard) * step, len(data), 512 * step):
                     at = np.arange(low, min(len(data), low + 512 * step), step)
                     slots = shard * per_shard + at // step
                     sizes = [int.from_bytes(data[i : i + 4], "little") for i in at]
@@ -170,13 +230,14 @@ def read_shards(
                         names=[c.split()[0] for c in schema.split(", ")],
                     )
 
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path)
-    shards = files.select(F.regexp_extract("path", r"shard=(\d+)", 1).cast("long").alias("shard"), "content")
+    # the folder's name is a column of its own: earlier shards are pruned
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path)
+    shards = files.select(F.col("shard").cast("long").alias("shard"), "content").filter(F.col("shard") >= from_slot // per_shard)
     return shards.mapInArrow(parse, schema)
 
 
 def training_order(
-    docs: DataFrame, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = SEED, vocabulary: str = VOCABULARY
+    docs: DataFrame, length: int = LENGTH, per_shard: int | None = None, key: int = SEED, vocabulary: str = VOCABULARY
 ) -> DataFrame:
     """Writes the shards of docs in the shared folder and reports what lies in
     them: sequence_id, slot, shard, byte_offset, n_tokens, ids_crc32."""
@@ -186,5 +247,5 @@ def training_order(
     path, n = scratch_path(spark, "shards"), -(-total // length)
     if not n:
         return spark.createDataFrame([], "sequence_id long, slot long, shard long, byte_offset long, n_tokens long, ids_crc32 long")
-    write_shards(sequences(tokens, length, vocabulary), path, length, per_shard, key, vocabulary, count=n)
+    per_shard = write_shards(stretches(tokens, length, vocabulary), path, n, length, per_shard, key, vocabulary)
     return read_shards(spark, path, n, length, per_shard, key, vocabulary, with_ids=False).drop("ids")

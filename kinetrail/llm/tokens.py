@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise, small_batches, text_of
+from .common import materialise, bounded_batches, text_of
 
 SEPARATOR = 0
 #: A vocabulary file of the public_tokenizers package, or a path to one.
@@ -91,8 +91,8 @@ def token_rows(
 def token_table(docs: DataFrame, vocabulary: str = VOCABULARY, **columns: str) -> DataFrame:
     """token_rows() as a written table: from here on parts and starts are fixed,
     also when a task runs again."""
-    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": "9"}
-    with small_batches(docs.sparkSession):
+    options = {"compression": "zstd", "parquet.compression.codec.zstd.level": "5"}
+    with bounded_batches(docs.sparkSession):
         return materialise(token_rows(docs, vocabulary, **columns), "tokens", **options)
 
 

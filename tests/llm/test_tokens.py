@@ -3,6 +3,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from kinetrail.llm import packing, token_output, tokens
@@ -87,21 +88,51 @@ def test_added_token(reference):
 
 
 def test_shards_round_trip(spark):
-    rows = [(i, 3 + i % 5, np.arange(i, i + 3 + i % 5).astype("<u2").tobytes()) for i in range(250)]
-    seqs = spark.createDataFrame(rows, "sequence_id long, n_tokens long, ids binary").repartition(4)
+    ids = [np.arange(i, i + 8).astype("<u2").tobytes() for i in range(249)] + [b"\x07\x00"]
+    rows = []
+    for i, x in enumerate(ids):  # every fifth sequence comes in two or three stretches
+        cuts = [0, 2, 6, len(x)] if i % 5 == 0 and len(x) == 16 else [0, 8, 16] if i % 7 == 0 and len(x) == 16 else [0, len(x)]
+        rows += [(i, a // 2, x[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+    stretches = spark.createDataFrame(rows, "sequence_id long, at long, ids binary").selectExpr("*", "1 as shard").repartition(4)
     path = scratch_path(spark, "test-shards")
-    n = token_output.write_shards(seqs, path, length=8, per_shard=32)
-    got = token_output.read_shards(spark, path, n, length=8, per_shard=32).collect()
-    assert {(r["sequence_id"], r["n_tokens"], bytes(r["ids"])) for r in got} == set(rows)
+    assert token_output.write_shards(stretches, path, len(ids), length=8, per_shard=32) == 32
+    read = lambda **more: token_output.read_shards(spark, path, len(ids), length=8, per_shard=32, **more).collect()
+    got = read()
+    assert {r["sequence_id"]: bytes(r["ids"]) for r in got} == dict(enumerate(ids)) and len(got) == len(ids)
+    assert all(r["n_tokens"] * 2 == len(r["ids"]) for r in got)
     step = token_output.stride(8)
     assert all(r["byte_offset"] == r["slot"] % 32 * step and r["shard"] == r["slot"] // 32 for r in got)
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(path).collect()
     assert len(files) == 8 and sum(f["length"] for f in files) == 250 * step
+    # a reader that stopped goes on at any slot
+    for slot in (0, 31, 32, 77, 249, 250):
+        assert {r["slot"] for r in read(from_slot=slot)} == set(range(slot, 250))
 
 
-def test_training_order(spark):
+def test_several_shards_in_a_range(spark, monkeypatch):
+    monkeypatch.setattr(token_output, "MOST_RANGES", 3)
+    ids = [np.full(4, i, dtype="<u2").tobytes() for i in range(100)]
+    path = scratch_path(spark, "test-ranges")
+    token_output.write_shards(spark.createDataFrame([(i, 0, x) for i, x in enumerate(ids)], "sequence_id long, at long, ids binary"), path, 100, length=4, per_shard=7)
+    got = token_output.read_shards(spark, path, 100, length=4, per_shard=7).collect()
+    assert {r["sequence_id"]: bytes(r["ids"]) for r in got} == dict(enumerate(ids)) and len(got) == 100
+
+
+def test_training_order_is_the_corpus_end_to_end(spark, reference):
+    """Every slot holds what plain concatenation and cutting gives."""
     docs = table(spark, H.SF, "documents")
-    got = token_output.training_order(docs, per_shard=16).collect()
-    assert sorted(r["slot"] for r in got) == list(range(len(got))) == sorted(r["sequence_id"] for r in got)
-    assert sum(r["n_tokens"] for r in got) == sum(r["length"] for r in packing.pack(docs).collect())
+    edges = H.documents(spark, H.edge_texts() + ["same", "same"], extra=False).withColumn("slot", F.lit("x")).withColumn("n_tokens", F.lit(1))
+    for df, parts in ((docs, 3), (edges, 4)):
+        df = df.repartition(parts).persist()
+        order = [r["text"] for r in tokens.token_table(df).join(df, "doc_id").select("part", "local_start", "text").orderBy("part", "local_start").collect()]
+        assert len(order) == df.count()
+        flat = np.concatenate([reference(t) for t in order])
+        got = token_output.training_order(df).collect()
+        n = -(-len(flat) // 1024)
+        assert sorted(r["slot"] for r in got) == list(range(n)) == sorted(r["sequence_id"] for r in got)
+        for r in got:
+            part = flat[r["sequence_id"] * 1024 : (r["sequence_id"] + 1) * 1024]
+            assert (r["n_tokens"], r["ids_crc32"]) == (len(part), zlib.crc32(part.tobytes()))
+            assert r["slot"] == token_output.permute(np.array([r["sequence_id"]]), n)[0]
+        df.unpersist()
     assert token_output.training_order(docs.limit(0)).count() == 0
