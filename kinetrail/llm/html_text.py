@@ -8,7 +8,9 @@ else with its siblings, except for blocks that are mostly links; beside an
 article, others and what scores well. Scripts, styles, forms, menus, page headers,
 footers, sidebars, notices, adverts and reader comments take no part, by their
 tag, role, class or id; a class or id does not drop what holds most of the page's
-unlinked text, unless the page names its content elsewhere.
+unlinked text, unless the page names its content elsewhere, nor does it drop the
+wrapper of a part that is named as content and holds most of it. A form around
+all paragraphs of a page is a wrapper too.
 
 Blocks are joined by "\n" in page order; inside a block white space becomes one
 space, a line break included. Character references are decoded once, as HTML5
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -39,7 +42,7 @@ ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))
 HIDDEN = re.compile(r"\shidden(?=[\s=/>]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav footer aside form button fieldset menu dialog head".split())
+DROPPED = frozenset("nav footer aside button fieldset menu dialog head".split())
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -57,16 +60,19 @@ BAD_NAME = re.compile(
     re.IGNORECASE,
 )
 GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.IGNORECASE)
+#: A class that tells what a page has or lacks does not name the element.
+STATE = re.compile(r"(?<!\S)(?:has|no|not|with|without)[_-]\S+", re.IGNORECASE)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
-SIBLING_SHARE, FEW_LINKS, MOST = 0.2, 0.25, 0.5
+SIBLING_SHARE, FEW_LINKS, MOST, ALL = 0.2, 0.25, 0.5, 0.9
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "bad", "named", "good", "bonus", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "bad", "named", "good", "inside", "bonus", "score", "chars", "linked")
 
     def __init__(self, tag: str, parent: Node | None, bad: bool = False, bonus: float = 0.0, named: bool = False) -> None:
         self.tag, self.parent, self.children, self.bad, self.bonus = tag, parent, [], bad, bonus
         self.named, self.good = named, bonus > 0.0
+        self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         self.score, self.chars, self.linked = 0.0, 0, 0
 
 
@@ -75,9 +81,9 @@ def _named_bad(tag: str, attributes: str, inside: bool) -> tuple[bool, float, bo
     boilerplate by its class or id."""
     if tag in DROPPED or (tag == "header" and not inside):
         return True, 0.0, False
-    bonus, named = 25.0 if tag in ("article", "main") else 0.0, False
+    bonus, named = 25.0 if tag in ("article", "main") else 0.0, tag == "form"
     if not attributes or tag in ("html", "body"):
-        return False, bonus, False
+        return False, bonus, named
     if HIDDEN.search(attributes):
         return True, 0.0, False
     for name, *values in ATTRIBUTE.findall(attributes):
@@ -88,7 +94,7 @@ def _named_bad(tag: str, attributes: str, inside: bool) -> tuple[bool, float, bo
                 return True, 0.0, False
             bonus += 25.0 if value.lower() in ("main", "article") else 0.0
         elif name in ("class", "id") and tag not in ("article", "main"):
-            named = named or BAD_NAME.search(value) is not None
+            named = named or BAD_NAME.search(STATE.sub("", value)) is not None
             bonus += 10.0 if GOOD_NAME.search(value) else 0.0
     return False, 0.0 if named else bonus, named
 
@@ -97,6 +103,16 @@ def parse(page: str) -> Node:
     """The tree of a page; text is a string child."""
     root = Node("html", None)
     node, at = root, 0
+    open_tags: Counter[str] = Counter()
+
+    def close(node: Node, last: Node) -> Node:
+        """Ends all from node up to last."""
+        while node is not last:
+            open_tags[node.tag] -= 1
+            node = node.parent
+        open_tags[last.tag] -= 1
+        return last.parent
+
     for match in TOKEN.finditer(page):
         if match.start() > at and not node.bad:
             node.children.append(page[at : match.start()])
@@ -106,11 +122,11 @@ def parse(page: str) -> Node:
             continue
         tag = tag.lower()
         if match.group(2):  # an end tag closes up to its start, if there is one
-            up = node
-            while up.parent is not None and up.tag != tag:
-                up = up.parent
-            if up.parent is not None:
-                node = up.parent
+            if open_tags[tag] > 0:
+                up = node
+                while up.tag != tag:
+                    up = up.parent
+                node = close(node, up)
             continue
         if tag == "html" or (tag == "body" and node is root):
             continue
@@ -120,20 +136,19 @@ def parse(page: str) -> Node:
             continue
         if tag in ENDS_P:
             # li, td and the like end their own kind; any block ends an open p
-            up = node
-            while up.parent is not None and up.tag not in CONTAINERS and up.tag not in ("ul", "ol", "table", "tr", "dl"):
-                if up.tag == "p" or up.tag == tag or (up.tag in ("dt", "dd") and tag in ("dt", "dd")):
-                    node = up.parent
-                    break
-                up = up.parent
+            ended = {"p", tag, *(("dt", "dd") if tag in ("dt", "dd") else ())}
+            if any(open_tags[t] > 0 for t in ended):
+                up = node
+                while up.parent is not None and up.tag not in CONTAINERS and up.tag not in ("ul", "ol", "table", "tr", "dl"):
+                    if up.tag in ended:
+                        node = close(node, up)
+                        break
+                    up = up.parent
             if tag in ("td", "th") and node.tag in ("td", "th"):
-                node = node.parent
-        inside = False
-        up = node
-        while up is not None and not inside:
-            inside, up = up.tag in ("article", "main"), up.parent
-        bad, bonus, named = (True, 0.0, False) if node.bad else _named_bad(tag, match.group(4), inside)
+                node = close(node, node)
+        bad, bonus, named = (True, 0.0, False) if node.bad else _named_bad(tag, match.group(4), node.inside)
         child = Node(tag, node, bad, bonus, named)
+        open_tags[tag] += 1
         if not bad:
             node.children.append(child)
         node = child
@@ -154,9 +169,23 @@ def _drop_named(root: Node) -> None:
     if not any(node.named for node, _ in order):
         return
     own: dict[int, int] = {}  # unlinked characters of a node and all below it
+    prose: dict[int, int] = {}  # those of its paragraphs
     for node, link in reversed(order):
+        parts = [c for c in node.children if not isinstance(c, str)]
         size = 0 if link else sum(len(c.strip()) for c in node.children if isinstance(c, str))
-        own[id(node)] = size + sum(own[id(c)] for c in node.children if not isinstance(c, str))
+        own[id(node)] = size + sum(own[id(c)] for c in parts)
+        prose[id(node)] = own[id(node)] if node.tag == "p" else sum(prose[id(c)] for c in parts)
+    page = own[id(root)]
+    wraps: dict[int, bool] = {}  # a part named as content with most of the page's text lies in it
+    for node, _ in reversed(order):
+        wraps[id(node)] = any(
+            not isinstance(c, str) and (wraps[id(c)] or (c.good and own[id(c)] > MOST * page)) for c in node.children
+        )
+
+    def most(node: Node) -> bool:
+        if node.tag == "form":
+            return prose[id(node)] > 0 and own[id(node)] > ALL * page
+        return own[id(node)] > MOST * page
 
     def keep(wanted: Callable[[Node], bool]) -> list[Node]:
         left, stack = [], [root]
@@ -167,13 +196,13 @@ def _drop_named(root: Node) -> None:
             stack.extend(c for c in node.children if not isinstance(c, str))
         return left
 
-    left = keep(lambda c: own[id(c)] > MOST * own[id(root)])
+    left = keep(most)
     above, below = {}, {}  # parts named as content around a node, and in it
     for node in left:
         above[id(node)] = 0 if node is root else above[id(node.parent)] + _counts(node.parent, own)
     for node in reversed(left):
         below[id(node)] = _counts(node, own) + sum(below[id(c)] for c in node.children if not isinstance(c, str))
-    keep(lambda c: below[id(root)] == below[id(c)] + above[id(c)])
+    keep(lambda c: wraps[id(c)] or below[id(root)] == below[id(c)] + above[id(c)])
 
 
 def _counts(node: Node, own: dict[int, int]) -> int:
