@@ -16,6 +16,7 @@ most words, then the largest share, stays; repeated rows are scanned each; other
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
@@ -33,6 +34,11 @@ WORDS = re.compile(r"[^\W_]+")
 #: Public notices.
 TEMPLATES = {
     "all-rights-reserved": "All rights reserved.",
+    "agpl-3.0-header": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU
+        Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at
+        your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+        Affero General Public License for more details.""",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-header": """Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file
         except in compliance with the License. You may obtain a copy of the License at
@@ -40,6 +46,17 @@ TEMPLATES = {
         distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,
         either express or implied. See the License for the specific language governing permissions and limitations under
         the License.""",
+    "bsd-2-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met: Redistributions of source code must retain the above copyright notice, this
+        list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
+        with the distribution.""",
+    "bsd-3-clause": """Redistribution and use in source and binary forms, with or without modification, are permitted provided
+        that the following conditions are met: Redistributions of source code must retain the above copyright notice, this
+        list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright
+        notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
+        with the distribution. Neither the name of the copyright holder nor the names of its contributors may be used to
+        endorse or promote products derived from this software without specific prior written permission.""",
     "cc-by-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
@@ -51,6 +68,11 @@ TEMPLATES = {
         General Public License for more details.""",
     "isc": """Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is
         hereby granted, provided that the above copyright notice and this permission notice appear in all copies.""",
+    "lgpl-2.1-header": """This library is free software; you can redistribute it and/or modify it under the terms of the GNU
+        Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at
+        your option) any later version. This library is distributed in the hope that it will be useful, but WITHOUT ANY
+        WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU
+        Lesser General Public License for more details.""",
     "mit": "Released under the MIT License.",
     "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and
         associated documentation files (the "Software"), to deal in the Software without restriction, including without
@@ -58,11 +80,16 @@ TEMPLATES = {
         Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
         The above copyright notice and this permission notice shall be included in all copies or substantial portions of
         the Software.""",
+    "mpl-2.0-header": """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL
+        was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.""",
+    "unlicense": """This is free and unencumbered software released into the public domain. Anyone is free to copy, modify,
+        publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any
+        purpose, commercial or non-commercial, and by any means.""",
 }
 
 
 def words_of(text: str) -> list[str]:
-    return WORDS.findall(text.lower())
+    return [w.lower() for w in WORDS.findall(text)]
 
 
 def winnow(hashes: list[int], window: int = WINDOW) -> list[int]:
@@ -147,7 +174,10 @@ def scan_text(text: str, index: Index, coverage: float = COVERAGE, band: int = B
     end are code points of the text."""
     known = index.vocabulary.get
     lower = text.lower()
-    ids = [known(w, -1) for w in WORDS.findall(lower)]
+    if len(lower) != len(text):  # some letter changed its length: words of the original, each in lower case
+        ids = [known(w.lower(), -1) for w in WORDS.findall(text)]
+    else:
+        ids = [known(w, -1) for w in WORDS.findall(lower)]
     hits: dict[int, list[tuple[int, int]]] = defaultdict(list)
     postings = index.postings.get
     for i in range(len(ids) - K + 1):
@@ -156,10 +186,8 @@ def scan_text(text: str, index: Index, coverage: float = COVERAGE, band: int = B
                 hits[t].append((i - at, i))
     if not hits:
         return []
-    # positions are those of the original: lower() keeps word boundaries but may change lengths
     candidates = []
-    spans = [m.span() for m in WORDS.finditer(text)] if len(lower) == len(text) else [m.span() for m in WORDS.finditer(lower)]
-    found = []
+    spans = [m.span() for m in WORDS.finditer(text)]
     for t, seen in hits.items():
         template, results, group = index.templates[t], [], []
         for diagonal, at in sorted(seen):
@@ -180,11 +208,12 @@ def scan_text(text: str, index: Index, coverage: float = COVERAGE, band: int = B
                 left = [hit for hit in group if hit[1] + K <= first]
                 right = [hit for hit in group if hit[1] >= last]
                 results += [part for part in ((left, begin, first), (right, last, end)) if part[0]]
-    taken: list[tuple[int, int]] = []
+    taken: list[tuple[int, int]] = []  # in order, none overlaps another
     found = []
     for got, share, first, last, t in sorted(candidates):
-        if all(last <= a or first >= b for a, b in taken):
-            taken.append((first, last))
+        at = bisect(taken, (first, last))
+        if (at == 0 or taken[at - 1][1] <= first) and (at == len(taken) or last <= taken[at][0]):
+            taken.insert(at, (first, last))
             found.append((index.names[t], len(index.templates[t]), -got, -share, spans[first][0], spans[last - 1][1]))
     return sorted(found, key=lambda f: (f[4], f[0]))
 

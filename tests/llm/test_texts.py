@@ -1,8 +1,11 @@
 import hashlib
+import html.parser
 import random
+import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinetrail.llm import ann, chat, html_text, license_scan, mixing, quality, queries
 from kinetrail.llm.common import table
@@ -56,6 +59,70 @@ def test_a_name_does_not_drop_most_of_the_page():
     assert html_text.main_text(f"<body><div class='post'><p>{text}</p></div>{thread}</body>") == text
 
 
+def test_a_state_is_no_name():
+    text = "A paragraph, of some length, with commas and no links in it at all."
+    for name in ("layout has-sidebar", "site no-comments", "content header-fixed", "without_menu"):
+        inner = f"<p>{text}</p>"
+        assert html_text.main_text(f"<body><div class='{name}'>{inner}</div></body>") == text
+        # another part named as content, as small as it may be
+        assert html_text.main_text(f"<body><div class='{name}'><div class='post'>{inner * 3}</div></div><div class='content'><p>x</p></div></body>").startswith(text)
+
+
+def test_a_form_around_the_page():
+    text = "A paragraph, of some length, with commas and no links in it at all."
+    assert html_text.main_text(f"<body><form id='page'><nav><a href='/'>Home</a></nav><p>{text}</p><button>Go</button></form></body>") == text
+    assert html_text.main_text(f"<body><article><p>Short.</p></article><form><p>{text * 9}</p></form></body>") == "Short."
+    assert html_text.main_text("<body><form>Name <input name='n'> Password <input name='p'></form></body>") == ""
+
+
+def test_deep_pages_in_linear_time():
+    began = time.time()
+    for page in ("<div>" * 100_000 + "deep, text" + "</div>" * 100_000, "<div>" * 100_000 + "</b>" * 100_000 + "deep, text",
+                 "<span>" * 50_000 + "<h1></h1>" * 50_000 + "deep, text", "<i><p>" * 50_000 + "deep, text"):
+        assert html_text.main_text(page) == "deep, text"
+    assert time.time() - began < 30
+
+
+class Article(html.parser.HTMLParser):
+    """The blocks of the article, read plainly."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.blocks = False, [""]
+
+    def handle_starttag(self, tag, attrs):
+        self.inside = self.inside or tag == "article"
+        if tag in html_text.BLOCKS:
+            self.blocks.append("")
+        elif tag == "br":
+            self.blocks[-1] += " "
+
+    def handle_endtag(self, tag):
+        self.inside = self.inside and tag != "article"
+        if tag in html_text.BLOCKS:
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_pages_equal_a_plain_reader(spark):
+    got = {r["page_id"]: r["text"] for r in queries.op9_html_text(spark, "/root/testdata/sf0.01").collect()}
+    for r in table(spark, "/root/testdata/sf0.01", "pages").collect():
+        plain = Article()
+        plain.feed(r["html"])
+        plain.close()
+        assert got[r["page_id"]] == "\n".join(b for b in (" ".join(b.split()) for b in plain.blocks) if b), r["page_id"]
+
+
+def test_pages_edges(spark):
+    schema = "page_id long, url string, html string"
+    df = spark.createDataFrame([(1, "u", "<p>x</p>"), (1, "u", "<p>x</p>"), (1, None, "<p>y</p>")], schema).selectExpr("*", "'c' as n_chars")
+    assert sorted(r["text"] for r in html_text.extract(df).collect()) == ["x", "x", "y"]
+    assert html_text.extract(df.limit(0)).count() == 0
+
+
 def test_pages_table(spark):
     rows = [(1, "u", PAGE), (2, None, None), (None, "v", "<p>x</p>")]
     got = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text")).collect()
@@ -180,6 +247,33 @@ def test_adjacent_notices_are_rows_each():
     assert [(r[0], r[2]) for r in near] == [("mit", 4), ("mit", 5)]
 
 
+def test_spans_are_those_of_the_original():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    text = "x İ y İİ All rights reserved. İ Released under the MIT License."
+    assert [text[r[4] : r[5]] for r in license_scan.scan_text(text, index)] == ["All rights reserved", "Released under the MIT License"]
+
+
+def test_many_notices_in_a_text():
+    index = license_scan.Index(license_scan.TEMPLATES)
+    began = time.time()
+    assert len(license_scan.scan_text("All rights reserved. foo bar. " * 20_000, index)) == 20_000
+    assert time.time() - began < 20
+
+
+def test_scan_edges(spark):
+    same = {"a": "one two three four", "b": "one two three four"}
+    df = H.documents(spark, ["x one two three four y"] * 2).selectExpr("*", "'c' as license", "1 as start")
+    got = license_scan.scan(df.withColumn("doc_id", F.lit(7)), same).collect()
+    assert [(r["doc_id"], r["license"], r["start"]) for r in got] == [(7, "a", 2)] * 2  # a tie goes to the first name
+    assert license_scan.scan(df.limit(0)).count() == 0
+
+
+def test_longer_licenses_win(spark):
+    for name in ("bsd-2-clause", "bsd-3-clause", "gpl-3.0-header", "agpl-3.0-header", "lgpl-2.1-header", "mpl-2.0-header", "unlicense"):
+        got = license_scan.scan_text("Copyright. " + license_scan.TEMPLATES[name] + " End.", license_scan.Index(license_scan.TEMPLATES))
+        assert [r[0] for r in got] == [name] and got[0][3] == 1
+
+
 def test_scan_finds_every_notice(spark):
     lines = {k: license_scan.TEMPLATES[k] for k in ("mit", "cc-by-nc-4.0", "gpl-3.0", "apache-2.0", "all-rights-reserved")}
     docs = table(spark, H.SF, "documents").collect()
