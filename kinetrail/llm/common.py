@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +64,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def with_row_id(docs: DataFrame) -> DataFrame:
+    """docs with _uid, a number of the row that is the same in every scan: from
+    file and position where docs is a plain scan, else written with the rows."""
+    node = docs._jdf.queryExecution().analyzed()
+    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):  # these repeat no row
+        node = node.children().head()
+    if node.nodeName() == "LogicalRelation":
+        try:
+            return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_uid"))
+        except AnalysisException:  # not Parquet
+            pass
+    return materialise(docs.withColumn("_uid", F.monotonically_increasing_id()), "rows")
+
+
 def text_of(df: DataFrame, column: str = "text") -> Column:
     """The text column with null as the empty string."""
     return F.coalesce(df[column], F.lit(""))

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from .common import dealt_anew, materialise
 
-MOST_ROUNDS = 60
-
 
 def _large_star(edges: DataFrame) -> DataFrame:
     """Larger neighbours of every node move to its smallest neighbour."""
@@ -33,14 +31,9 @@ def components(edges: DataFrame) -> DataFrame:
     round is a written table.
     """
     now = materialise(edges.select("u", "v").filter("u <> v").distinct(), "edges")
-    before = None
-    for _ in range(MOST_ROUNDS):
-        now = materialise(_small_star(_large_star(now)), "edges")
+    before, told = None, ()
+    while told != before:
+        before, now = told, materialise(_small_star(_large_star(now)), "edges")
         told = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if told == before:
-            break
-        before = told
-    else:
-        raise RuntimeError("components did not settle")
     nodes = now.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     return nodes.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -22,18 +22,17 @@ from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, text_of
+from .common import WORD, materialise, text_of, with_row_id
 
 WEIGHTS = (5.0, 2.0, 1.0)
 VOLUME = 1.5
 MAX_PASSES = 2
 DOCS_PER_BLOCK = 128
-#: A source's blocks are ordered in one task: beyond this many they get larger.
-MOST_BLOCKS = 50_000
+#: Turns of a source that one task puts in order, about.
+TURNS_PER_TASK = 50_000
 DOCS_PER_SHARD = 8_192
 #: Rows of the block plan that are broadcast (one for each block and pass); more are joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
@@ -42,8 +41,7 @@ SEED = 20_240_611
 
 def word_count(text: Column) -> Column:
     """Number of words of a non-null text."""
-    trimmed = F.regexp_replace(text, rf"^{SPACE}|{SPACE}$", "")
-    return F.when(trimmed == "", F.lit(0)).otherwise(F.size(F.split(trimmed, SPACE))).cast("long")
+    return F.regexp_count(text, F.lit(WORD)).cast("long")
 
 
 def source_targets(
@@ -130,25 +128,39 @@ class Plan(NamedTuple):
 
 
 def document_key(doc_id: Column, source: Column, seed: int) -> Column:
-    return F.xxhash64(F.lit(seed), doc_id.cast("long"), source)
+    return F.xxhash64(F.lit(seed), doc_id.cast("long"), source.cast("string"))
 
 
 def block_of(order: Column, blocks: Column) -> Column:
     return F.pmod(F.xxhash64(order, F.lit(1)), blocks)
 
 
-def with_row_id(docs: DataFrame) -> DataFrame:
-    """docs with _uid, a number of the row that is the same in every scan: from
-    file and position where docs is a plain scan, else written with the rows."""
-    node = docs._jdf.queryExecution().analyzed()
-    while node.nodeName() in ("Project", "Filter", "SubqueryAlias"):  # these repeat no row
-        node = node.children().head()
-    if node.nodeName() == "LogicalRelation":
-        try:
-            return docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("_uid"))
-        except AnalysisException:  # not Parquet
-            pass
-    return materialise(docs.withColumn("_uid", F.monotonically_increasing_id()), "mix-rows")
+def in_turns(passes: DataFrame, blocks: int, seed: int) -> DataFrame:
+    """passes (source, block, pass, words, ..) with turn, the place in the permuted
+    order of its source, and before, the words of all earlier turns.
+
+    The order is a hash, so that ranges of it are even: each range is ordered in
+    a task, after the totals of the ranges before it.
+    """
+    ranges = max(1, -(-blocks // TURNS_PER_TASK))
+    order = F.xxhash64(F.lit(seed), "block", "pass")
+    passes = passes.withColumn("_order", order).withColumn(
+        "_range", F.shiftright((F.shiftright("_order", 40) + F.lit(1 << 23)) * F.lit(ranges), 24)
+    )
+    totals = passes.groupBy("source", "pass", "_range").agg(F.count(F.lit(1)).alias("n"), F.sum("words").alias("w"))
+    earlier = Window.partitionBy("source").orderBy("pass", "_range").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select(
+        F.col("source").alias("_s"), F.col("pass").alias("_p"), F.col("_range").alias("_r"),
+        F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("_turns"), F.coalesce(F.sum("w").over(earlier), F.lit(0)).alias("_words"),
+    )
+    same = F.col("source").eqNullSafe(F.col("_s")) & (F.col("pass") == F.col("_p")) & (F.col("_range") == F.col("_r"))
+    within = Window.partitionBy("source", "pass", "_range").orderBy("_order", "block")
+    return (
+        passes.join(bases, same)
+        .withColumn("turn", F.col("_turns") + F.row_number().over(within))
+        .withColumn("before", F.col("_words") + F.sum("words").over(within.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
+        .drop("_order", "_range", "_s", "_p", "_r", "_turns", "_words")
+    )
 
 
 def plan_mix(
@@ -164,7 +176,7 @@ def plan_mix(
     rows = with_row_id(docs)
     sized = rows.select(
         rows[id_col].cast("long").alias("doc_id"),
-        rows[source_col].alias("source"),
+        rows[source_col].cast("string").alias("source"),
         word_count(text_of(rows, text_col)).alias("size"),
         document_key(rows[id_col], rows[source_col], seed).alias("order"),
         rows["_uid"].alias("uid"),
@@ -175,8 +187,7 @@ def plan_mix(
     targets = source_targets(per_source.drop("docs"), weights, volume)
     facts = materialise(
         targets.join(
-            per_source.select(F.col("source").alias("_s"), F.least(
-                F.ceil(F.col("docs") / DOCS_PER_BLOCK), F.lit(MOST_BLOCKS)).alias("blocks")),
+            per_source.select(F.col("source").alias("_s"), F.ceil(F.col("docs") / DOCS_PER_BLOCK).alias("blocks")),
             F.col("source").eqNullSafe(F.col("_s")),
         ).drop("_s"),
         "mix-targets",
@@ -190,13 +201,9 @@ def plan_mix(
         F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs"), F.first("target").alias("target")
     )
     passes = blocks.withColumn("pass", F.explode(F.array([F.lit(i) for i in range(MAX_PASSES)])))
-    permuted = Window.partitionBy("source").orderBy("pass", F.xxhash64(F.lit(seed), "block", "pass"), "block")
-    passes = (
-        passes.withColumn("turn", F.row_number().over(permuted))
-        .withColumn("before", F.sum("words").over(permuted.rowsBetween(Window.unboundedPreceding, 0)) - F.col("words"))
-        .filter(F.col("before") < F.col("target"))
-        .withColumn("whole", F.col("before") + F.col("words") <= F.col("target"))
-    )
+    most = facts.agg(F.max("blocks")).first()[0] or 0
+    passes = in_turns(passes, most, seed).filter(F.col("before") < F.col("target"))
+    passes = passes.withColumn("whole", F.col("before") + F.col("words") <= F.col("target"))
     passes = materialise(passes, "mix-blocks")
 
     # a source has one opened block at most, of some DOCS_PER_BLOCK documents
@@ -285,7 +292,7 @@ def mixed_documents(docs: DataFrame, seed: int = SEED, **options) -> DataFrame:
     own = plan.rows
     sources = plan.sources.select(F.col("_source").alias("_own"), F.col("blocks").alias("_blocks"))
     rows = own.withColumn("_order", document_key(own[id_col], own[source_col], seed)).join(
-        _broadcast(sources), own[source_col].eqNullSafe(F.col("_own"))
+        _broadcast(sources), own[source_col].cast("string").eqNullSafe(F.col("_own"))
     )
     rows = rows.filter(F.trim(text_of(own, text_col), F.lit(" \t\n\x0b\f\r")) != "")
     mixed = draw(rows.withColumn("_block", block_of(F.col("_order"), F.col("_blocks"))), plan, seed)

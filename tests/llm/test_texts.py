@@ -340,6 +340,33 @@ def test_mix_edges(spark):
     assert mixing.mix(df.limit(0)).count() == 0
 
 
+def test_words_are_counted_in_linear_time(spark):
+    texts = ["a \x85", "a \u2028", "\u2029 b\n", "a" + " " * 1_000_000 + "b", " " * 1_000_000, "\x1c \xa0\x0b", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").persist()
+    df.count()
+    began = time.time()
+    assert [r[0] for r in df.select(mixing.word_count(F.col("t"))).collect()] == [len(H.WORD.findall(t)) for t in texts] == [2, 2, 2, 2, 0, 2, 0]
+    assert time.time() - began < 5
+
+
+def test_turns_are_the_same_in_ranges(spark, monkeypatch):
+    rows = [(s, b, p, (7 * b + p) % 11) for s in ("a", "b", None) for b in range(40) for p in (0, 1)]
+    blocks = spark.createDataFrame(rows, "source string, block long, pass int, words long")
+    whole = sorted(map(str, mixing.in_turns(blocks, 40, 5).collect()))
+    monkeypatch.setattr(mixing, "TURNS_PER_TASK", 3)
+    parts = mixing.in_turns(blocks, 40, 5).collect()
+    assert sorted(map(str, parts)) == whole
+    for s in ("a", "b", None):
+        own = sorted((r for r in parts if r["source"] == s), key=lambda r: r["turn"])
+        assert [r["turn"] for r in own] == list(range(1, 81)) and [r["pass"] for r in own] == [0] * 40 + [1] * 40
+        assert all(b["before"] == a["before"] + a["words"] for a, b in zip(own, own[1:], strict=False)) and own[0]["before"] == 0
+
+
+def test_sources_of_another_type(spark):
+    df = spark.createDataFrame([(i, "a b", i % 2) for i in range(8)], "doc_id long, text string, source int")
+    assert mixing.mix(df).count() == 8 and mixing.mixed_documents(df).schema["source"].dataType.simpleString() == "int"
+
+
 def test_splitting_tree_is_exact():
     counts = np.array([500, 0, 37, 1200, 3])
     parts = [mixing.split_counts(counts, s, 7, 1) for s in range(7)]
