@@ -9,19 +9,19 @@ hash sends strangers to some slot too. Members update the slot's winner,
 nonmembers stay groups of their own.
 
 Defined results: null text counts as empty, and all empty texts form a group. A
-null id loses every tie against a number. Rows that repeat the winner's id and
-length all carry kept = true: they are the same document. Other columns,
-whatever their names, are not read.
+null id loses every tie against a number. Of rows that repeat the winner's id and
+length one is kept, so that one row of every group stays. An empty table gives no
+rows. Other columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialise, shard_count, text_of
+from .common import SPACE, materialise, shard_count, text_of, with_row_id
 
 #: Mean number of digests in a shard; bounds the memory of a build or lookup task.
 DIGESTS_PER_SHARD = 50_000
@@ -33,19 +33,20 @@ NO_ID = -(2**63)
 
 INDEX_SCHEMA = (
     "shard int, keys long, level_sizes array<long>, bits binary, "
-    "digests binary, ids binary, id_known binary, lengths binary, counts binary"
+    "digests binary, ids binary, id_known binary, uids binary, lengths binary, counts binary"
 )
-GROUP_SCHEMA = "digest binary, keep_id long, group_size long"
+GROUP_SCHEMA = "digest binary, keep_id long, keep_uid long, group_size long"
 
 
-def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digest_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", uid: Column | None = None) -> DataFrame:
     """(doc_id, length, digest): code points of the original text and SHA-256
-    of the text without white space."""
+    of the text without white space; uid too, if there is one."""
     text = text_of(docs, text_col)
     return docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         F.length(text).cast("long").alias("length"),
         F.unhex(F.sha2(F.regexp_replace(text, SPACE, ""), 256)).alias("digest"),
+        *([] if uid is None else [uid.alias("uid")]),
     )
 
 
@@ -55,7 +56,7 @@ def group_winners(rows: DataFrame) -> DataFrame:
     pandas has no null long: a null id is 0 with known = false.
     """
     # -1 - id falls as the id grows and cannot overflow
-    rank = F.struct("length", F.coalesce(-1 - F.col("doc_id"), F.lit(NO_ID)).alias("order"), "doc_id")
+    rank = F.struct("length", F.coalesce(-1 - F.col("doc_id"), F.lit(NO_ID)).alias("order"), "doc_id", "uid")
     return (
         rows.groupBy("digest")
         .agg(F.max(rank).alias("best"), F.count(F.lit(1)).alias("copies"))
@@ -64,6 +65,7 @@ def group_winners(rows: DataFrame) -> DataFrame:
             "best.length",
             F.coalesce("best.doc_id", F.lit(0)).alias("doc_id"),
             F.col("best.doc_id").isNotNull().alias("known"),
+            "best.uid",
             "copies",
         )
     )
@@ -143,6 +145,7 @@ def _build_shard(frame: pd.DataFrame) -> pd.DataFrame:
         "digests": digests[order].tobytes(),
         "ids": frame["doc_id"].to_numpy(dtype="<i8")[order].tobytes(),
         "id_known": frame["known"].to_numpy(dtype=bool)[order].tobytes(),
+        "uids": frame["uid"].to_numpy(dtype="<i8")[order].tobytes(),
         "lengths": frame["length"].to_numpy(dtype="<i8")[order].tobytes(),
         "counts": frame["copies"].to_numpy(dtype="<i8")[order].tobytes(),
     }
@@ -161,23 +164,25 @@ def build_index(history: DataFrame, shards: int) -> DataFrame:
     return _with_shard(history, shards).groupBy("shard").applyInPandas(_build_shard, INDEX_SCHEMA)
 
 
-def _answers(digests: list[bytes], ids: np.ndarray, known: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
+def _answers(digests: list[bytes], ids: np.ndarray, known: np.ndarray, uids: np.ndarray, sizes: np.ndarray) -> pd.DataFrame:
     keep = pd.array(ids, dtype="Int64")
     keep[~known] = pd.NA
-    return pd.DataFrame({"digest": digests, "keep_id": keep, "group_size": sizes})
+    return pd.DataFrame({"digest": digests, "keep_id": keep, "keep_uid": uids, "group_size": sizes})
 
 
 def _look_up(incoming: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
     new_ids = incoming["doc_id"].to_numpy(dtype=np.int64)
     new_known = incoming["known"].to_numpy(dtype=bool)
+    new_uids = incoming["uid"].to_numpy(dtype=np.int64)
     new_len = incoming["length"].to_numpy(dtype=np.int64)
     new_n = incoming["copies"].to_numpy(dtype=np.int64)
     if not len(index):
-        return _answers(list(incoming["digest"]), new_ids, new_known, new_n)
+        return _answers(list(incoming["digest"]), new_ids, new_known, new_uids, new_n)
     shard = index.iloc[0]
     stored = np.frombuffer(shard["digests"], dtype=np.uint8).reshape(-1, 32)
     ids = np.frombuffer(shard["ids"], dtype="<i8").copy()
     known = np.frombuffer(shard["id_known"], dtype=bool).copy()
+    uids = np.frombuffer(shard["uids"], dtype="<i8").copy()
     lengths = np.frombuffer(shard["lengths"], dtype="<i8")
     counts = np.frombuffer(shard["counts"], dtype="<i8").copy()
     answers = []
@@ -191,17 +196,18 @@ def _look_up(incoming: pd.DataFrame, index: pd.DataFrame) -> pd.DataFrame:
         better = (new_len[hit] > lengths[at]) | ((new_len[hit] == lengths[at]) & earlier)
         ids[at[better]] = new_ids[hit[better]]
         known[at[better]] = new_known[hit[better]]
+        uids[at[better]] = new_uids[hit[better]]
         counts[at] += new_n[hit]
         own = np.flatnonzero(slot < 0)
         answers.append(
-            _answers([incoming["digest"].iloc[i] for i in own], new_ids[own], new_known[own], new_n[own])
+            _answers([incoming["digest"].iloc[i] for i in own], new_ids[own], new_known[own], new_uids[own], new_n[own])
         )
-    answers.append(_answers([x.tobytes() for x in stored], ids, known, counts))
+    answers.append(_answers([x.tobytes() for x in stored], ids, known, uids, counts))
     return pd.concat(answers)
 
 
 def look_up(incoming: DataFrame, index: DataFrame, shards: int) -> DataFrame:
-    """Final groups (digest, keep_id, group_size) of history and incoming.
+    """Final groups (digest, keep_id, keep_uid, group_size) of history and incoming.
 
     Shards are dealt to tasks by cogroup; a shard holds a bounded number of
     distinct digests whatever the number of copies.
@@ -221,11 +227,20 @@ def exact_dedup(
     """
     new = digest_rows(docs, id_col, text_col)
     if history is None:
-        rows = new.withColumn("old", F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0)
+        rows = new.withColumn("old", _in_old_half())
     else:
         rows = digest_rows(history, id_col, text_col).withColumn("old", F.lit(True)).unionByName(
             new.withColumn("old", F.lit(False))
         )
+    return _grouped(rows.withColumn("uid", F.monotonically_increasing_id())).drop("uid")
+
+
+def _in_old_half() -> Column:
+    return F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
+    """The result for rows (doc_id, length, digest, old, uid), with uid."""
     rows = materialise(rows, "digests")
     shards = shard_count(rows.count(), DIGESTS_PER_SHARD)
     index = materialise(build_index(group_winners(rows.filter("old")), shards), "mph-index")
@@ -235,13 +250,16 @@ def exact_dedup(
         "doc_id",
         "keep_id",
         "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
+        (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("uid") == F.col("keep_uid"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "uid",
     )
 
 
 def survivors(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that stay, with all their columns."""
-    kept = exact_dedup(docs, None, id_col, text_col).filter("kept").select(F.col("keep_id").alias("__keep_id"))
-    return docs.join(kept, docs[id_col].eqNullSafe(kept["__keep_id"]), "left_semi")
-
+    """The rows of docs that stay, one of each group, with all their columns."""
+    own = with_row_id(docs)
+    rows = digest_rows(own, id_col, text_col, own["_uid"]).withColumn("old", _in_old_half())
+    kept = _grouped(rows).filter("kept").select(F.col("doc_id").alias("__id"), F.col("uid").alias("__uid"))
+    same = own[id_col].cast("long").eqNullSafe(kept["__id"]) & (own["_uid"] == kept["__uid"])
+    return own.join(kept, same, "left_semi").select([own[c] for c in docs.columns])

@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from kinetrail.llm import exact_dedup, ngram_join, queries
 from kinetrail.llm.common import table
@@ -42,7 +43,7 @@ def test_exact_dedup_history_and_null_ids(spark):
     old = spark.createDataFrame([(5, "same"), (None, "other")], "doc_id long, text string")
     new = spark.createDataFrame([(2, "sa me"), (7, "same"), (None, "other"), (9, "new")], "doc_id long, text string")
     got = sorted(((r["doc_id"] or -1, r["keep_id"] or -1, r["group_size"], r["kept"]) for r in exact_dedup.exact_dedup(new, old).collect()))
-    assert got == [(-1, -1, 2, True), (-1, -1, 2, True), (2, 2, 3, True), (5, 2, 3, False), (7, 2, 3, False), (9, 9, 1, True)]
+    assert got == [(-1, -1, 2, False), (-1, -1, 2, True), (2, 2, 3, True), (5, 2, 3, False), (7, 2, 3, False), (9, 9, 1, True)]
 
 
 def test_exact_dedup_matches_sql(spark):
@@ -50,6 +51,18 @@ def test_exact_dedup_matches_sql(spark):
     assert rows(queries.op1_exact_dedup(spark, H.SF).toPandas()) == rows(want)
 
 
+def test_one_row_of_repeated_ids_stays(spark, tmp_path):
+    rows = [(1, "aa"), (1, "aa"), (1, "a a"), (2, "aa"), (3, "b"), (3, "c"), (None, "d"), (None, "d"), (4, "b b"), (4, "bb")] * 2
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("uid", F.lit("x"))
+    got = exact_dedup.exact_dedup(df).filter("kept").collect()
+    assert sorted((r["doc_id"] or -1, r["keep_id"] or -1, r["group_size"]) for r in got) == [(-1, -1, 4), (1, 1, 8), (3, 3, 2), (3, 3, 2), (4, 4, 4)]
+    df.write.parquet(str(tmp_path / "docs"))
+    for docs in (df, spark.read.parquet(str(tmp_path / "docs"))):
+        out = exact_dedup.survivors(docs)
+        assert out.columns == docs.columns
+        assert sorted((r["doc_id"] or -1, r["text"]) for r in out.collect()) == [(-1, "d"), (1, "a a"), (3, "b"), (3, "c"), (4, "b b")]
+
+
 def test_survivors_keep_columns(spark):
     docs = H.documents(spark, ["a", "a ", "b"])
     out = exact_dedup.survivors(docs)
