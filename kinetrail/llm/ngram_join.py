@@ -32,7 +32,8 @@ words' hash.
 Defined results: null and empty texts and texts of white space have no shingle
 and link with nothing, themselves their component; a null id takes part and is
 ignored where the smallest id is taken, null if there is no other; repeated rows
-are equal sets; an empty table gives no rows; other columns are not read.
+are equal sets, of which one_of_each() keeps one; an empty table gives no rows;
+other columns are not read.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import dealt_anew, materialise, text_of
+from .common import dealt_anew, materialise, text_of, with_row_id
 from .components import components
 from .word_hashes import mix, shingle_set
 
@@ -110,7 +111,7 @@ def prefixes(tokens: np.ndarray, counts: np.ndarray, orders: int = ORDERS) -> li
 
 
 def document_table(docs: DataFrame, k: int = WORDS, orders: int = ORDERS) -> DataFrame:
-    """A written row per document: the task that made it, doc_id, n, the class
+    """A written row per document (with _uid): the task that made it, doc_id, uid, n, the class
     (hash of the set, null without shingles), the share of rare tokens, the
     first order's prefix and those of the others; prefixes are left out where
     the task had a document of the class before."""
@@ -147,6 +148,7 @@ def document_table(docs: DataFrame, k: int = WORDS, orders: int = ORDERS) -> Dat
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0),
+                        batch.column(2),
                         pa.array([part] * batch.num_rows, type=pa.int32()),
                         pa.array(out["n"], type=pa.int64()),
                         pa.array(out["node"], type=pa.int64()),
@@ -154,11 +156,11 @@ def document_table(docs: DataFrame, k: int = WORDS, orders: int = ORDERS) -> Dat
                         pa.array(out["prefix"], type=pa.binary()),
                         pa.array(out["filters"], type=pa.list_(pa.binary())),
                     ],
-                    names=["doc_id", "part", "n", "node", "rare", "prefix", "filters"],
+                    names=["doc_id", "uid", "part", "n", "node", "rare", "prefix", "filters"],
                 )
 
-    schema = "doc_id long, part int, n long, node long, rare long, prefix binary, filters array<binary>"
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text")).mapInArrow(run, schema)
+    schema = "doc_id long, uid long, part int, n long, node long, rare long, prefix binary, filters array<binary>"
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"), "_uid").mapInArrow(run, schema)
     return materialise(rows, "ngram-documents")
 
 
@@ -332,9 +334,9 @@ def verified(pairs: DataFrame, documents: DataFrame, docs: DataFrame, k: int = W
     return _with_both(left, sets, "tokens").mapInArrow(_compare, "u long, v long")
 
 
-def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_id, the smallest doc_id with
-    the same set: one row per document."""
+def _components_of_rows(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, uid, n, component (null without shingles), component_id, class_id
+    of docs with _uid."""
     documents = document_table(docs, k)
     lists = materialise(token_lists(documents), "token-lists")
     near_hub = (
@@ -372,19 +374,33 @@ def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
     whole = classes.join(everything, "node", "left").withColumn("component", F.coalesce("component", "node"))
     whole = materialise(whole, "class-components")
     smallest = whole.groupBy("component").agg(F.min("class_id").alias("component_id"))
-    named = whole.join(smallest, "component").select("node", "class_id", "component_id")
+    named = whole.join(smallest, "component").select("node", "component", "class_id", "component_id")
     # one row per class on the right: AQE splits the partition of a hot class on the left
-    return documents.select("doc_id", "n", "node").join(named, "node", "left").select(
+    return documents.select("doc_id", "uid", "n", "node").join(named, "node", "left").select(
         "doc_id",
-        F.col("n").alias("n_shingles"),
+        "uid",
+        "n",
+        "component",
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"),
         F.when(F.col("n") > 0, F.col("class_id")).otherwise(F.col("doc_id")).alias("class_id"),
     )
 
 
+def jaccard_components(docs: DataFrame, k: int = WORDS) -> DataFrame:
+    """doc_id, n_shingles, component_id and class_id, the smallest doc_id with
+    the same set: one row per document."""
+    rows = docs.select("doc_id", "text").withColumn("_uid", F.lit(0).cast("long"))
+    return _components_of_rows(rows, k).select("doc_id", F.col("n").alias("n_shingles"), "component_id", "class_id")
+
+
 def one_of_each(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """The rows of docs whose id is their component's: one document of each
-    group, and every document that links with nothing; all columns stay."""
-    firsts = jaccard_components(docs, k).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = firsts.select(F.col("doc_id").alias("__keep_id"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__keep_id"]), "left_semi")
+    """One row of each group, of those with the smallest id, and every row that
+    links with nothing; all columns stay."""
+    own = with_row_id(docs)
+    rows = _components_of_rows(own.select("doc_id", "text", "_uid"), k)
+    firsts = rows.filter((F.col("n") > 0) & F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # the partial aggregate leaves a row per task of a hot group
+    firsts = firsts.groupBy("component", "doc_id").agg(F.min("uid").alias("uid")).select("doc_id", "uid")
+    kept = firsts.unionByName(rows.filter("n = 0").select("doc_id", "uid")).toDF("__id", "__uid")
+    same = own["doc_id"].cast("long").eqNullSafe(kept["__id"]) & (own["_uid"] == kept["__uid"])
+    return own.join(kept, same, "left_semi").select([own[c] for c in docs.columns])

@@ -126,6 +126,16 @@ def test_join_empty_and_null_ids(spark):
     assert got == [(-1, -1, 0), (-1, 4, 2), (4, 4, 2), (4, 4, 2)]
 
 
+def test_one_row_of_each_group_stays(spark, tmp_path):
+    rows = [(4, "a b c d e f"), (4, "a b c d e f"), (4, "A b c d e f"), (5, "a b c d e f"), (None, "a b c d e f"), (None, "g h i"), (None, "g h i"), (None, "j k"), (7, ""), (7, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("uid", F.lit("x"))
+    df.write.parquet(str(tmp_path / "docs"))
+    for docs in (df, spark.read.parquet(str(tmp_path / "docs"))):
+        out = ngram_join.one_of_each(docs)
+        assert out.columns == docs.columns
+        assert sorted((r["doc_id"] or -1, r["text"].lower()) for r in out.collect()) == [(-1, "g h i"), (-1, "j k"), (4, "a b c d e f"), (7, ""), (7, "")]
+
+
 def test_join_on_the_table(spark):
     docs = table(spark, H.SF, "documents")
     by_id = {r["doc_id"]: r["text"] for r in docs.collect()}
