@@ -2,9 +2,8 @@
 
 A record's nested field paths (array steps as "[]") are cut to those that any
 mapping knows, sorted and hashed; the hash picks a declarative mapping that says
-where turns, roles and texts lie. Tables with one row per turn are chosen by the
-paths of their columns, JSON records each by their own paths. The result is
-canonical turns (role, text), which one template writes:
+where turns, roles and texts lie. Tables are mapped by the paths of their columns,
+in columns; JSON records each by their own paths. The result is canonical turns (role, text), which one template writes:
 
     system     <<SYS>> text <</SYS>>
     user       [INST] text [/INST]
@@ -18,7 +17,7 @@ assistant texts lie under the loss mask.
 Defined results: null text is empty, a null role is the empty role, null turns
 come last, turns with equal numbers are ordered by role and text; rows with a
 null conversation id form one conversation; repeated rows are repeated turns; an
-empty table gives no rows; a record that no mapping fits gives no turns and its
+empty table gives no rows; an item that is null is an empty turn; a record that no mapping fits gives no turns and its
 fingerprint is reported; unknown columns are not read.
 """
 
@@ -29,10 +28,11 @@ import json
 import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 from urllib.parse import quote, unquote
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,6 +103,41 @@ def value_paths(value: object, prefix: str = "") -> Iterator[str]:
         yield prefix
 
 
+def mapping_of(schema: T.StructType) -> Mapping:
+    """The mapping that the field paths of a table select."""
+    found = BY_FINGERPRINT.get(fingerprint(p for p in schema_paths(schema) if p != "conv_id" or "turn" in schema.names))
+    if found is None:
+        raise ValueError("no mapping for these columns")
+    return found
+
+
+def turn_rows(table: DataFrame) -> DataFrame:
+    """Canonical turns (conv_id, turn, role, text) of a table of any known layout:
+    one row per turn, or one row per conversation with nested or fixed fields."""
+    mapping, text = mapping_of(table.schema), lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    conv = table["conv_id"].cast("long").alias("conv_id")
+    if not (mapping.turns or mapping.fixed):
+        return table.select(conv, table["turn"].cast("long").alias("turn"), text(table["role"]).alias("role"), text(table["text"]).alias("text"))
+    fixed = []
+    for source, role in mapping.fixed:
+        parts = [F.when(text(table[c]) != "", table[c].cast("string")) for c in source.split("+")]
+        fixed.append(F.struct(F.lit(role).alias("role"), F.concat_ws("\n", *parts).alias("text")))
+    turns = F.array(*fixed) if fixed else None
+    if mapping.turns:
+        roles = F.create_map(*(F.lit(x) for pair in mapping.roles.items() for x in pair)) if mapping.roles else None
+
+        def turn(item: Column) -> Column:
+            role = text(item[mapping.role])
+            role = role if roles is None else F.coalesce(roles[role], role)
+            return F.struct(role.alias("role"), text(item[mapping.text]).alias("text"))
+
+        nested = F.coalesce(F.transform(table[mapping.turns], turn), F.array().cast("array<struct<role:string,text:string>>"))
+        turns = nested if turns is None else F.concat(turns, nested)
+    return table.select(conv, F.posexplode(turns).alias("turn", "_turn")).select(
+        "conv_id", F.col("turn").cast("long").alias("turn"), "_turn.role", "_turn.text"
+    )
+
+
 def record_turns(record: dict) -> list[tuple[str, str]] | None:
     """Canonical turns of one record; None where no mapping fits."""
     mapping = BY_FINGERPRINT.get(fingerprint(value_paths(record)))
@@ -113,6 +148,7 @@ def record_turns(record: dict) -> list[tuple[str, str]] | None:
         parts = [str(record[name]) for name in source.split("+") if record.get(name) not in (None, "")]
         turns.append((role, "\n".join(parts)))
     for item in record[mapping.turns] if mapping.turns else ():
+        item = item if isinstance(item, dict) else {}
         role = "" if item.get(mapping.role) is None else str(item[mapping.role])
         text = "" if item.get(mapping.text) is None else str(item[mapping.text])
         turns.append((mapping.roles.get(role, role), text))
@@ -179,17 +215,12 @@ def _rows(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame([closed()], columns=names)
 
 
-def format_rows(rows: DataFrame) -> DataFrame:
-    """Formats a table with one row per turn: conv_id, formatted, loss_starts,
-    loss_ends. Its column paths must select a mapping by rows."""
-    if BY_FINGERPRINT.get(fingerprint(schema_paths(rows.schema))) is not MAPPINGS[0]:
-        raise ValueError("no row mapping for these columns")
+def format_rows(*tables: DataFrame) -> DataFrame:
+    """Formats the conversations of tables, each of any known layout: conv_id,
+    formatted, loss_starts, loss_ends."""
+    rows = reduce(DataFrame.unionByName, map(turn_rows, tables))
     slim = rows.select(
-        F.coalesce(rows["conv_id"].cast("long"), F.lit(0)).alias("conv"),
-        rows["conv_id"].isNotNull().alias("known"),
-        rows["turn"].cast("long").alias("turn"),
-        F.coalesce(rows["role"], F.lit("")).alias("role"),
-        F.coalesce(rows["text"], F.lit("")).alias("text"),
+        F.coalesce("conv_id", F.lit(0)).alias("conv"), F.col("conv_id").isNotNull().alias("known"), "turn", "role", "text"
     )
     dealt = slim.repartition("conv", "known").sortWithinPartitions(
         "conv", "known", F.col("turn").asc_nulls_last(), "role", "text"

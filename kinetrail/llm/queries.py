@@ -46,15 +46,13 @@ def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "</s>[INST] ok [/INST]"
-    own = spark.range(2).select(
+    # a second layout: one row per conversation with nested messages
+    own = spark.range(1).select(
         F.lit(-1).cast("long").alias("conv_id"),
-        F.col("id").alias("turn"),
-        F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
-        F.lit(said).alias("text"),
+        F.array(*(F.struct(F.lit(role).alias("role"), F.lit(said).alias("content")) for role in ("user", "assistant"))).alias("messages"),
     )
-    return chat.read_back(chat.format_rows(rows.unionByName(own)))
+    return chat.read_back(chat.format_rows(table(spark, sf_dir, "conversations"), own))
 
 
 QUERIES = {
