@@ -19,21 +19,31 @@ _own_dirs: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that the driver and all executors see: spark.checkpoint.dir.
+    """Folder of this application that the driver and all executors see, in
+    spark.checkpoint.dir.
 
-    Where the session names none (tests on one machine) a folder of our own is
-    made once per application and also becomes the checkpoint folder.
+    Where the session names none and runs on one machine (tests), a folder of our
+    own is made once per application and also becomes the checkpoint folder.
     """
+    app = spark.sparkContext.applicationId
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
+        return f"{named.rstrip('/')}/kinetrail-{app}"
     if app not in _own_dirs:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="kinetrail-")
         spark.sparkContext.setCheckpointDir(_own_dirs[app])
     return _own_dirs[app]
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Removes all tables that this application has written in the shared folder.
+    To be called when no DataFrame of it is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(shared_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from kinetrail.llm import packing, token_output, tokens
+from kinetrail.llm import common, packing, token_output, tokens
 from kinetrail.llm.common import scratch_path, table
 
 from . import helpers as H
@@ -72,6 +72,18 @@ def test_sequences_and_padding(spark):
     assert packing.padded_length(512) == 512 and packing.padded_length(513) == 1024 and packing.padded_length(1) == 1
 
 
+def test_cleanup_removes_what_was_written(spark, tmp_path):
+    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
+    try:
+        tokens.token_table(table(spark, H.SF, "documents").limit(3))
+        (run,) = tmp_path.iterdir()
+        assert any(run.iterdir())
+        common.cleanup(spark)
+        assert not run.exists()
+    finally:
+        spark.conf.unset("spark.checkpoint.dir")
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000, 4097])
 def test_permutation(n):
     slots = token_output.permute(np.arange(n), n)
