@@ -7,8 +7,10 @@ labels the unlabelled documents that it is sure of for the other one. A held-out
 part of the labelled rows calibrates both views (Platt scaling); the sum of the
 calibrated log odds, less the prior that both contain, scores every document.
 
-Fitted on bounded samples: LABELLED_ROWS and POOL_ROWS, chosen by hashed id.
-Every document of the table is scored over its whole text.
+Fitted on a bounded sample of the labelled rows, LABELLED_ROWS, and on a pool of
+the others that grows with the table, POOL_SHARE of it (POOL_ROWS where that is
+more), both chosen by hashed id. Every document of the table is scored over its
+whole text.
 
 Defined results: null text is empty; null source or lang is a value of its own;
 several labels of a document count as their largest; labels that are null take
@@ -32,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import materialise, text_of
 from .word_hashes import word_hashes
 
-LABELLED_ROWS, POOL_ROWS = 12_000, 12_000
+LABELLED_ROWS, POOL_SHARE, POOL_ROWS = 12_000, 0.05, 12_000
 ROUNDS = 2
 SURE = 0.97
 THRESHOLD = 0.5
@@ -121,6 +123,11 @@ def _share(seed: int) -> Column:
     return F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
 
 
+def held_out() -> Column:
+    """Is a labelled document kept from the fit, for the calibration."""
+    return _share(3) < 0.25
+
+
 class Model:
     """Weights of both views with their calibration; small whatever the data."""
 
@@ -169,26 +176,22 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, sure: float =
         .agg(F.max("y").alias("y"))
     )
     picked = known.filter(_share(1) < min(1.0, LABELLED_ROWS / max(1, labels.count())))
-    pool_share = min(1.0, POOL_ROWS / max(1, docs.count()))
-    ids = docs.select(docs["doc_id"].cast("long").alias("doc_id")).filter(_share(2) < pool_share).distinct()
-    sample = (
-        picked.select("doc_id", "y").join(ids.withColumn("pool", F.lit(True)), "doc_id", "full")
-        .withColumnRenamed("doc_id", "_id")
-    )
-    rows = docs.join(sample, docs["doc_id"].cast("long") == F.col("_id")).select(
-        docs["doc_id"], docs["text"], docs["source"], docs["lang"]
-    )
-    sampled = feature_rows(rows.dropDuplicates(["doc_id"])).join(
-        sample.withColumnRenamed("_id", "doc_id"), "doc_id"
+    pool_share = min(1.0, max(POOL_SHARE, POOL_ROWS / max(1, docs.count())))
+    # LABELLED_ROWS ids, whatever the input; the pool is told by the id alone: no text is shuffled to find the sample
+    slim = _slim(docs, "doc_id", "text").filter("doc_id is not null")
+    rows = slim.join(F.broadcast(picked.withColumnRenamed("doc_id", "_id")), F.col("doc_id") == F.col("_id"), "left").filter(
+        F.col("y").isNotNull() | (_share(2) < pool_share)
     )
+    sampled = feature_rows(rows.select("doc_id", "text", "source", "lang").dropDuplicates(["doc_id"]))
+    sampled = sampled.join(F.broadcast(picked), "doc_id", "left")
     data = materialise(
-        sampled.withColumn("held", F.col("y").isNotNull() & (_share(3) < 0.25)), "quality-sample"
+        sampled.withColumn("held", F.col("y").isNotNull() & held_out()), "quality-sample"
     )
     counts = {r["y"]: r["count"] for r in data.filter("y is not null and not held").groupBy("y").count().collect()}
     if len(counts) < 2:
         return next(iter(counts), 1.0)
     frames = {
-        name: data.select("doc_id", "y", "held", array_to_vector(F.col(name).cast("array<double>")).alias("x")).persist()
+        name: data.select("doc_id", "y", "held", array_to_vector(F.col(name).cast("array<double>")).alias("x"))
         for name in ("content", "metadata")
     }
     other = {"content": "metadata", "metadata": "content"}
@@ -212,8 +215,6 @@ def fit(docs: DataFrame, labels: DataFrame, rounds: int = ROUNDS, sure: float =
         weights, intercept = np.array(model.coefficients.toArray()), float(model.intercept)
         scores = np.array([np.asarray(x, dtype=float) @ weights + intercept for x in held[name]])
         views[name] = (weights, intercept, *_platt(scores, held["y"].to_numpy()))
-    for frame in frames.values():
-        frame.unpersist()
     good = counts.get(1.0, 1) / max(1, sum(counts.values()))
     return Model(views, float(np.log(good / max(1e-9, 1 - good))))
 

@@ -169,6 +169,32 @@ def test_chat_edges(spark):
     assert chat.format_rows(df.limit(0)).count() == 0
 
 
+def test_tables_of_every_layout(spark):
+    """A table's columns select the mapping that its records would."""
+    tables = {
+        "conv_id long, messages array<struct<role string, content string>>, x int": [(1, [("user", "q"), (None, None), None], 0)],
+        "conv_id long, system string, messages array<struct<role string, content string>>": [(1, "s", [("user", "q")])],
+        "conv_id long, conversations array<struct<`from` string, value string>>": [(1, [("human", "h"), ("gpt", "g"), ("tool", "t")])],
+        "conv_id long, turns array<struct<speaker string, text string>>": [(1, [("bot", "b")])],
+        "conv_id long, prompt string, response string, formatted int": [(1, "p", None, 3)],
+        "conv_id long, prompt string, completion string": [(1, "p", "c")],
+        "conv_id long, system string, prompt string, response string": [(1, None, "p", "r")],
+        "conv_id long, instruction string, output string": [(1, "i", "o")],
+        "conv_id long, instruction string, input string, output string": [(1, "i", "in", "o"), (2, "i", "", "o"), (3, "i", None, "o")],
+        "conv_id long, question string, answer string": [(1, "q", "a")],
+    }
+    seen = set()
+    for schema, data in tables.items():
+        df = spark.createDataFrame(data, schema)
+        seen.add(chat.mapping_of(df.schema).paths)
+        got = {r["conv_id"]: chat.parse_turns(r["formatted"]) for r in chat.format_rows(df).collect()}
+        assert got == {r["conv_id"]: chat.record_turns({k: v for k, v in r.asDict(True).items() if k != "conv_id"}) for r in df.collect()}, schema
+    assert seen == {m.paths for m in chat.MAPPINGS[1:]}
+    assert chat.format_rows(spark.createDataFrame([(1, None)], "conv_id long, messages array<struct<role string, content string>>")).count() == 0
+    with pytest.raises(ValueError, match="no mapping"):
+        chat.format_rows(spark.createDataFrame([(1, 2)], "conv_id long, odd int"))
+
+
 def test_layouts(spark):
     records = ['{"prompt": "p", "response": "r"}', '{"instruction": "i", "input": "in", "output": "o"}', '{"messages": [{"role": "user", "content": "q"}], "id": 7}',
                '{"conversations": [{"from": "human", "value": "h"}, {"from": "gpt", "value": "g"}]}', '{"odd": 1}', None, "no json"]
@@ -178,20 +204,48 @@ def test_layouts(spark):
 
 
 # --- neighbours ---------------------------------------------------------------
-def test_recall_and_scores(spark):
-    rows = table(spark, H.SF, "embeddings").collect()
+def recall(rows, got, every):
+    """The share of the true neighbours that were found; ranks and scores must hold."""
     ids, x = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], dtype=float)
-    got = queries.op2_nearest_neighbours(spark, H.SF).collect()
-    hit = total = 0
-    for q in ids[ids % 100 == 0]:
+    by_query, hit, total = {}, 0, 0
+    for r in got:
+        by_query.setdefault(r["query_id"], []).append(r)
+    asked = ids[ids % every == 0]
+    assert set(by_query) == set(asked)
+    for q in asked:
         d = np.sqrt(((x - x[ids == q]) ** 2).sum(axis=1))
         d[ids == q] = np.inf
         want = ids[np.lexsort((ids, d))[:10]]
-        mine = sorted((r for r in got if r["query_id"] == q), key=lambda r: r["rank"])
+        mine = sorted(by_query[q], key=lambda r: r["rank"])
         assert [r["rank"] for r in mine] == list(range(1, 11))
+        assert [(r["score"], r["vec_id"]) for r in mine] == sorted((r["score"], r["vec_id"]) for r in mine)
         assert all(abs(d[ids == r["vec_id"]][0] - r["score"]) < 1e-12 for r in mine)
         hit, total = hit + len({r["vec_id"] for r in mine} & set(want)), total + 10
-    assert hit / total >= 0.9
+    return hit / total
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01", "0.1"])
+def test_recall_and_scores(spark, sf):
+    folder = f"/root/testdata/sf{sf}"
+    assert recall(table(spark, folder, "embeddings").collect(), queries.op2_nearest_neighbours(spark, folder).collect(), 100) >= 0.9
+
+
+def test_recall_with_lists_split_again(spark, monkeypatch):
+    monkeypatch.setattr(ann, "MOST_CENTROIDS", 16)
+    monkeypatch.setattr(ann, "LIST_ROWS", 20)
+    monkeypatch.setattr(ann, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(ann, "BROADCAST_ROWS", 0)
+    rows = table(spark, "/root/testdata/sf0.1", "embeddings")
+    assert recall(rows.collect(), ann.search(rows).collect(), 100) >= 0.9
+
+
+def test_very_large_and_small_components(spark):
+    rows = [(0, [1e300, 0.0]), (1, [-1e300, 1e300]), (2, [1e300, 1e300]), (3, [1e-200, 0.0]), (4, [1e-200, 3e-200]), (100, [0.0, 1e-200]), (5, [1.5e308, -1.5e308])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {(r["query_id"], r["vec_id"]): r["score"] for r in ann.search(df).collect()}
+    assert len(got) == 12 and got[0, 2] == 1e300 and got[0, 1] == pytest.approx(5**0.5 * 1e300)
+    assert got[100, 3] == pytest.approx(2**0.5 * 1e-200) and got[100, 4] == pytest.approx(5**0.5 * 1e-200)
+    assert got[0, 5] == pytest.approx(2.0518e308, rel=1e-3) or got[0, 5] == float("inf")
 
 
 def test_vectors_that_take_no_part(spark):
@@ -283,12 +337,16 @@ def test_scan_finds_every_notice(spark):
 
 
 # --- quality ------------------------------------------------------------------
-def test_quality_accuracy(spark):
-    got = {r["doc_id"]: r["kept"] for r in queries.op5_quality(spark, "/root/testdata/sf0.01").collect()}
-    truth = {r["doc_id"]: r["quality"] == 1 for r in table(spark, "/root/testdata/sf0.01", "labels").collect()}
-    right = [got[d] == t for d, t in truth.items()]
-    assert sum(right) / len(right) > 0.97
-    assert sum(got[d] for d, t in truth.items() if t) / sum(truth.values()) > 0.98
+def test_quality_on_labels_that_were_not_fitted(spark):
+    labels = table(spark, "/root/testdata/sf0.01", "labels")
+    held = {r["doc_id"]: r["quality"] == 1 for r in labels.filter(quality.held_out()).collect()}
+    assert 0.15 < len(held) / labels.count() < 0.35
+    got = {r["doc_id"]: r for r in queries.op5_quality(spark, "/root/testdata/sf0.01").collect()}
+    right = lambda view: sum((got[d][view] >= 0.5) == t for d, t in held.items()) / len(held)
+    both = right("score")
+    assert both > 0.97 and both >= max(right("p_content"), right("p_metadata")) - 0.01
+    assert min(right("p_content"), right("p_metadata")) > 0.8
+    assert sum(got[d]["kept"] for d, t in held.items() if t) / sum(held.values()) > 0.98
 
 
 def test_quality_edges(spark):
