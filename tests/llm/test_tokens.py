@@ -72,16 +72,13 @@ def test_sequences_and_padding(spark):
     assert packing.padded_length(512) == 512 and packing.padded_length(513) == 1024 and packing.padded_length(1) == 1
 
 
-def test_cleanup_removes_what_was_written(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        tokens.token_table(table(spark, H.SF, "documents").limit(3))
-        (run,) = tmp_path.iterdir()
-        assert any(run.iterdir())
-        common.cleanup(spark)
-        assert not run.exists()
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+def test_cleanup_removes_what_was_written(spark, tmp_path, monkeypatch):
+    run = tmp_path / "run"
+    monkeypatch.setitem(common._own_dirs, spark.sparkContext.applicationId, f"file://{run}")
+    tokens.token_table(table(spark, H.SF, "documents").limit(3))
+    assert any(run.iterdir())
+    common.cleanup(spark)
+    assert not run.exists()
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000, 4097])
