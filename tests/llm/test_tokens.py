@@ -74,7 +74,7 @@ def test_sequences_and_padding(spark):
 
 def test_cleanup_removes_what_was_written(spark, tmp_path, monkeypatch):
     run = tmp_path / "run"
-    monkeypatch.setitem(common._own_dirs, spark.sparkContext.applicationId, f"file://{run}")
+    monkeypatch.setattr(common, "shared_dir", lambda spark: f"file://{run}")
     tokens.token_table(table(spark, H.SF, "documents").limit(3))
     assert any(run.iterdir())
     common.cleanup(spark)
