@@ -385,7 +385,8 @@ SEG = f"""(select session_id, min(lo) as start_frame, max(hi) as end_frame from
     group by session_id, g)"""
 
 
-@query(T + f"""select s.session_id, s.start_frame, s.end_frame, round(a.time_ms, 3) as start_ms, round(b.time_ms, 3) as end_ms, s.end_frame-s.start_frame+1 as n_frames from {SEG} s
+#: tri is read three times: computed once.
+@query(T.replace("tri as (", "tri as materialized (") + f"""select s.session_id, s.start_frame, s.end_frame, round(a.time_ms, 3) as start_ms, round(b.time_ms, 3) as end_ms, s.end_frame-s.start_frame+1 as n_frames from {SEG} s
     join tri a on a.session_id=s.session_id and a.frame=s.start_frame join tri b on b.session_id=s.session_id and b.frame=s.end_frame""")
 def review_segments(spark, sf):
     out = D.review_segments(triaged(spark, sf))

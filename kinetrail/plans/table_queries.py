@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
@@ -15,13 +16,16 @@ from .registry import query
 from .series_queries import FLOOR, layer, r6
 
 
+_own_dirs: dict[str, str] = {}
+
+
 def _shared(spark, name: str) -> str:
     """A fresh folder that all executors see."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        import tempfile
-
-        base = "file://" + tempfile.mkdtemp(prefix="kinetrail-")
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
+        base = _own_dirs.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="kinetrail-"))
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -48,7 +52,7 @@ def read_labels(spark, sf):
     return TB.label_violations(S.marks(spark, sf), ["click", "view"]).select("session_id", "behavior", "start_frame", "end_frame")
 
 
-@query("with f as (" + S.FRAMES.replace("{lineitem}", "lineitem") + ") select concat('S', cast(session_id as varchar)) as session_id, rn as frame, cast(l_quantity as double) as motion_head from f where session_id % 25 = 1")
+@query("with f as (" + S.FRAMES.replace("{lineitem}", "lineitem") + ") select concat('S', cast(session_id as varchar)) as session_id, rn as frame, cast(l_quantity as double) as motion_head from f")
 def read_sessions(spark, sf):
     """A folder of CSV per session, the id in the folder's name."""
     f = spark.sql(S.FRAMES, lineitem=S.read(spark, sf, "lineitem"))
