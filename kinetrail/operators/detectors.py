@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,7 +13,8 @@ from ..functions.scalars import head_direction, length
 from .intervals import bouts, close_gaps, hysteresis, join_episodes, mask_to_bouts, merge_close_bouts, sustained, touching
 from .timeseries import KEYS, middle_of, moved, path_straightness, smooth
 
-T = C.Thresholds()
+#: Seconds of the rolling median that a detector reads; the speed in px/s from which on a body walks.
+SMOOTH_SEC, WALKING_SPEED = 0.3, 17.0
 
 
 def _speeds(keypoints: Sequence[str]) -> list[Column]:
@@ -25,87 +26,111 @@ def pose_valid(keypoints: Sequence[str] = C.KEYPOINTS) -> Column:
     return F.coalesce(*_speeds(keypoints)).isNotNull()
 
 
+def _rows(seconds: float, fps: float) -> int:
+    return max(1, C.rows_of(seconds, fps))
+
+
 def _sustain(df: DataFrame, flag: Column, seconds: float, fps: float, keys: Sequence[str], out: str) -> DataFrame:
     df = df.withColumn(f"_{out}", flag)
     return sustained(df, f"_{out}", C.rows_of(seconds, fps), keys, out).drop(f"_{out}")
 
 
-def detect_walking(df: DataFrame, fps: float = C.FPS, t: C.Thresholds = T, keys: Sequence[str] = KEYS) -> DataFrame:
+def detect_walking(
+    df: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, speed: float = WALKING_SPEED, seconds: float = 0.5,
+    straight: float = 0.3, straight_sec: float = 1.0, smooth_sec: float = SMOOTH_SEC,
+) -> DataFrame:
     """Fast, and going somewhere: unknown speed is no walking, unknown
     straightness no objection."""
     df = df.withColumn("_step", moved("posx_body", "posy_body", keys))
-    df = df.withColumn("_speed", smooth("speed_body", max(1, C.rows_of(t.smooth_sec, fps)), keys))
-    df = df.withColumn("_straight", path_straightness("posx_body", "posy_body", t.straightness_sec, fps, keys))
-    fast = F.coalesce(F.col("_speed"), F.lit(0.0)) >= t.walking_speed
-    going = F.coalesce(F.col("_straight"), F.lit(1.0)) >= t.straightness
-    return _sustain(df, fast & going, t.walking_sec, fps, keys, "walking").drop("_step", "_speed", "_straight")
+    df = df.withColumn("_speed", smooth("speed_body", _rows(smooth_sec, fps), keys))
+    df = df.withColumn("_straight", path_straightness("posx_body", "posy_body", straight_sec, fps, keys))
+    fast = F.coalesce(F.col("_speed"), F.lit(0.0)) >= speed
+    going = F.coalesce(F.col("_straight"), F.lit(1.0)) >= straight
+    return _sustain(df, fast & going, seconds, fps, keys, "walking").drop("_step", "_speed", "_straight")
 
 
-def detect_freezing(df: DataFrame, fps: float = C.FPS, t: C.Thresholds = T, keys: Sequence[str] = KEYS, keypoints: Sequence[str] = C.KEYPOINTS) -> DataFrame:
+def detect_freezing(
+    df: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, speed: float = 9.0, seconds: float = 1.0,
+    smooth_sec: float = SMOOTH_SEC, keypoints: Sequence[str] = C.KEYPOINTS,
+) -> DataFrame:
     """The median keypoint hardly moves; rows without pose are not freezing."""
     df = df.withColumn("_typical", middle_of(_speeds(keypoints)))
-    df = df.withColumn("_typical", smooth("_typical", max(1, C.rows_of(t.smooth_sec, fps)), keys))
-    slow = F.coalesce(F.col("_typical") <= t.freezing_speed, F.lit(False))
-    return _sustain(df, pose_valid(keypoints) & slow, t.freezing_sec, fps, keys, "freezing").drop("_typical")
+    df = df.withColumn("_typical", smooth("_typical", _rows(smooth_sec, fps), keys))
+    slow = F.coalesce(F.col("_typical") <= speed, F.lit(False))
+    return _sustain(df, pose_valid(keypoints) & slow, seconds, fps, keys, "freezing").drop("_typical")
 
 
-def object_exploration(df: DataFrame, objects: DataFrame, fps: float = C.FPS, t: C.Thresholds = T, keys: Sequence[str] = KEYS) -> DataFrame:
+def object_exploration(
+    df: DataFrame, objects: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, margin: float = 12.0, angle: float = 180.0,
+    seconds: float = 0.3,
+) -> DataFrame:
     """(keys, object_id, frame, exploring): the nose in an object's zone, on
     coordinates of any confidence; objects: session_id, object_id, circle."""
     own = objects.select("session_id", "object_id", "center_x", "center_y", "radius")
     each = df.join(own, "session_id")
     to_x, to_y = F.col("center_x") - F.col("nose_x"), F.col("center_y") - F.col("nose_y")
-    near = length(to_x, to_y) <= F.col("radius") + t.object_margin
-    if t.object_angle < 180.0:
+    near = length(to_x, to_y) <= F.col("radius") + margin
+    if angle < 180.0:
         hx, hy = head_direction()
         cosine = (hx * to_x + hy * to_y) / F.nullif(length(hx, hy) * length(to_x, to_y), F.lit(0.0))
-        near = near & (F.coalesce(cosine, F.lit(-1.0)) >= math.cos(math.radians(t.object_angle)))
-    found = _sustain(each, near, t.object_sec, fps, [*keys, "object_id"], "exploring")
+        near = near & (F.coalesce(cosine, F.lit(-1.0)) >= math.cos(math.radians(angle)))
+    found = _sustain(each, near, seconds, fps, [*keys, "object_id"], "exploring")
     return found.select(*keys, "object_id", "frame", "exploring")
 
 
-def detect_object_interaction(df: DataFrame, objects: DataFrame, fps: float = C.FPS, t: C.Thresholds = T, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Exploration of any object."""
-    any_ = object_exploration(df, objects, fps, t, keys).groupBy(*keys, "frame").agg(F.bool_or("exploring").alias("_any"))
+def detect_object_interaction(df: DataFrame, objects: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, **zone: float) -> DataFrame:
+    """Exploration of any object; zone: settings of object_exploration()."""
+    any_ = object_exploration(df, objects, fps, keys, **zone).groupBy(*keys, "frame").agg(F.bool_or("exploring").alias("_any"))
     return df.join(any_, [*keys, "frame"], "left").withColumn("object_interaction", F.coalesce("_any", F.lit(False))).drop("_any")
 
 
-def detect_low_activity(df: DataFrame, fps: float = C.FPS, t: C.Thresholds = T, keys: Sequence[str] = KEYS, keypoints: Sequence[str] = C.KEYPOINTS) -> DataFrame:
+def detect_low_activity(
+    df: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, speed: float = WALKING_SPEED, seconds: float = 0.5,
+    smooth_sec: float = SMOOTH_SEC, keypoints: Sequence[str] = C.KEYPOINTS,
+) -> DataFrame:
     """Slow but not freezing; needs the column freezing."""
-    df = df.withColumn("_speed", smooth("speed_body", max(1, C.rows_of(t.smooth_sec, fps)), keys))
-    slow = F.coalesce(F.col("_speed") < t.walking_speed, F.lit(False))
-    return _sustain(df, pose_valid(keypoints) & slow & ~F.col("freezing"), t.low_activity_sec, fps, keys, "low_activity").drop("_speed")
+    df = df.withColumn("_speed", smooth("speed_body", _rows(smooth_sec, fps), keys))
+    slow = F.coalesce(F.col("_speed") < speed, F.lit(False))
+    return _sustain(df, pose_valid(keypoints) & slow & ~F.col("freezing"), seconds, fps, keys, "low_activity").drop("_speed")
 
 
-def detect_active_head(df: DataFrame, fps: float = C.FPS, t: C.Thresholds = T, keys: Sequence[str] = KEYS) -> DataFrame:
+def detect_active_head(
+    df: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, speed: float = 12.0, body_speed: float = 12.0, seconds: float = 0.5,
+    smooth_sec: float = 0.5,
+) -> DataFrame:
     """The neck moves against a resting body, away from objects; needs the
     column object_interaction."""
-    rows = max(1, C.rows_of(t.head_smooth_sec, fps))
+    rows = _rows(smooth_sec, fps)
     df = df.withColumn("_rx", F.col("posx_neck") - F.col("posx_body")).withColumn("_ry", F.col("posy_neck") - F.col("posy_body"))
     df = df.withColumn("_head", moved("_rx", "_ry", keys) * fps)
     df = df.withColumn("_head", smooth("_head", rows, keys)).withColumn("_body", smooth("speed_body", rows, keys))
-    busy = F.coalesce(F.col("_head"), F.lit(0.0)) >= t.head_speed
-    rest = F.coalesce(F.col("_body") < t.head_body_speed, F.lit(False))
-    return _sustain(df, busy & rest & ~F.col("object_interaction"), t.head_sec, fps, keys, "active_head").drop("_rx", "_ry", "_head", "_body")
+    busy = F.coalesce(F.col("_head"), F.lit(0.0)) >= speed
+    rest = F.coalesce(F.col("_body") < body_speed, F.lit(False))
+    return _sustain(df, busy & rest & ~F.col("object_interaction"), seconds, fps, keys, "active_head").drop("_rx", "_ry", "_head", "_body")
 
 
-def triage(df: DataFrame, objects: DataFrame, fps: float = C.FPS, t: C.Thresholds = T, keys: Sequence[str] = KEYS) -> DataFrame:
+def triage(
+    df: DataFrame, objects: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, settings: Mapping[str, Mapping[str, float]] | None = None
+) -> DataFrame:
     """All detectors; review is what no routine claims or the head flags, where
-    there is a pose."""
-    df = detect_walking(detect_freezing(df, fps, t, keys), fps, t, keys)
-    df = detect_low_activity(detect_object_interaction(df, objects, fps, t, keys), fps, t, keys)
-    df = detect_active_head(df, fps, t, keys)
+    there is a pose. settings: other parameters of a detector by its column."""
+    own = lambda name: (settings or {}).get(name, {})
+    df = detect_walking(detect_freezing(df, fps, keys, **own("freezing")), fps, keys, **own("walking"))
+    df = detect_object_interaction(df, objects, fps, keys, **own("object_interaction"))
+    df = detect_active_head(detect_low_activity(df, fps, keys, **own("low_activity")), fps, keys, **own("active_head"))
     df = df.withColumn("low_activity", F.col("low_activity") & ~F.col("active_head")).withColumn("unscorable", ~pose_valid())
     claimed = F.col("walking") | F.col("freezing") | F.col("low_activity") | F.col("object_interaction")
     return df.withColumn("review", (~claimed | F.col("active_head")) & ~F.col("unscorable"))
 
 
-def movement_layer(df: DataFrame, objects: DataFrame, fps: float = C.FPS, t: C.Thresholds = T, keys: Sequence[str] = KEYS) -> DataFrame:
+def movement_layer(
+    df: DataFrame, objects: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, speed: float = WALKING_SPEED, smooth_sec: float = SMOOTH_SEC
+) -> DataFrame:
     """Position, speed, moving, still, freezing, unscorable, distance, exploring."""
-    rows = max(1, C.rows_of(t.smooth_sec, fps))
-    df = detect_object_interaction(detect_freezing(df, fps, t, keys), objects, fps, t, keys)
+    rows = _rows(smooth_sec, fps)
+    df = detect_object_interaction(detect_freezing(df, fps, keys), objects, fps, keys)
     df = df.withColumns({"x": smooth("posx_body", rows, keys), "y": smooth("posy_body", rows, keys), "speed": smooth("speed_body", rows, keys)})
-    fast = pose_valid() & (F.coalesce(F.col("speed"), F.lit(0.0)) >= t.walking_speed)
+    fast = pose_valid() & (F.coalesce(F.col("speed"), F.lit(0.0)) >= speed)
     df = _sustain(df, fast, C.MOVING_SEC, fps, keys, "moving")
     df = df.withColumn("unscorable", ~pose_valid()).withColumn("still", ~F.col("unscorable") & ~F.col("moving"))
     df = cumulative_distance(df.withColumn("_step", moved("x", "y", keys)), keys)
