@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import is_notable, label_set
 from .intervals import range_join
-from .metrics import ratio
+from .metrics import global_percentiles, ratio
 
 
 def combine_rounds(key: DataFrame, labels: DataFrame, ambiguous_rounds: Sequence[str] = ("r1",), drop_ambiguous: bool = True) -> DataFrame:
@@ -141,8 +141,8 @@ def score_bands(frames: DataFrame, tiles: DataFrame, cuts: Sequence[float]) -> D
     """Tiles with the band of their score (cuts are quantiles of all frame
     scores, missing poses above all) and the band's share of tiles."""
     value = F.when(F.col("missing"), F.lit(float("inf"))).otherwise(F.col("score"))
-    edges = frames.agg(F.percentile(value, F.array(*map(F.lit, cuts))).alias("_cuts"))
-    banded = tiles.crossJoin(F.broadcast(edges)).withColumn("band", F.size(F.filter("_cuts", lambda c: c <= F.col("score")))).drop("_cuts")
+    edges = F.array(*(F.lit(c).cast("double") for c in global_percentiles(frames, {"v": value}, cuts)["v"]))
+    banded = tiles.withColumn("band", F.size(F.filter(edges, lambda c: c <= F.col("score"))))
     share = F.count(F.lit(1)).over(Window.partitionBy("band")) / F.count(F.lit(1)).over(Window.partitionBy())
     return banded.withColumn("band_share", share)
 

@@ -180,20 +180,59 @@ def per_keypoint(pose: DataFrame, keypoints: Sequence[str], aggregates: dict[str
     return unpivot(pose, groups, "keypoint")
 
 
+#: Values up to this number are sorted in one task.
+ONE_TASK = 1_000_000
+
+
+def global_percentiles(df: DataFrame, values: dict[str, Column], shares: Sequence[float], accuracy: int = 100_000) -> dict[str, list[float | None]]:
+    """Exact percentiles of each value over all rows; nulls take no part, without
+    values null.
+
+    Beyond ONE_TASK values: a sketch gives an interval around every percentile,
+    the rows below and in it are counted, and only what lies in the interval,
+    some 4 / accuracy of the rows, meets in one task.
+    """
+    df = df.select(*(c.cast("double").alias(n) for n, c in values.items()))
+    n = df.agg(*(F.count(name).alias(name) for name in values)).first().asDict()
+    if max(n.values()) <= ONE_TASK:
+        found = df.agg(*(F.percentile(name, F.array(*map(F.lit, shares))).alias(name) for name in values)).first()
+        return {name: list(found[name]) if found[name] is not None else [None] * len(shares) for name in values}
+    ends = {s: [min(1.0, max(0.0, s + d)) for d in (-2.0 / accuracy, 2.0 / accuracy)] for s in shares}
+    wide = sorted({e for pair in ends.values() for e in pair})
+    sketch = df.agg(*(F.percentile_approx(name, wide, accuracy).alias(name) for name in values)).first()
+    spans = {(name, s): [sketch[name][wide.index(e)] for e in ends[s]] for name in values if n[name] for s in shares}
+    inside = {(name, s): F.col(name).between(*map(F.lit, span)) for (name, s), span in spans.items()}
+    facts = df.agg(
+        *(F.count_if(F.col(name) < low).alias(f"{name}|{s}|below") for (name, s), (low, _) in spans.items()),
+        *(F.count_if(inside[name, s]).alias(f"{name}|{s}|in") for name, s in spans),
+    ).first()
+    wanted = []
+    for name, s in spans:
+        at, m = s * (n[name] - 1) - facts[f"{name}|{s}|below"], facts[f"{name}|{s}|in"]
+        share = min(1.0, max(0.0, at / (m - 1))) if m > 1 else 0.0
+        wanted.append(F.percentile(F.when(inside[name, s], F.col(name)), F.lit(share)).alias(f"{name}|{s}"))
+    found = df.agg(*wanted).first()
+    return {name: [found[f"{name}|{s}"] if n[name] else None for s in shares] for name in values}
+
+
 def keypoint_coverage(pose: DataFrame, keypoints: Sequence[str], threshold: float = 0.25) -> DataFrame:
-    return per_keypoint(
-        pose, keypoints,
-        {"coverage": f"avg(cast({{p}} >= {threshold} as double))", "median_p": "percentile({p}, 0.5)", "frames_lost": f"count_if({{p}} < {threshold})"},
-    )
+    middle = global_percentiles(pose, {k: F.col(f"{k}_p") for k in keypoints}, [0.5])
+    medians = F.create_map(*(x for k in keypoints for x in (F.lit(k), F.lit(middle[k][0]).cast("double"))))
+    counts = per_keypoint(pose, keypoints, {"coverage": f"avg(cast({{p}} >= {threshold} as double))", "frames_lost": f"count_if({{p}} < {threshold})"})
+    return counts.select("keypoint", "coverage", medians[F.col("keypoint")].alias("median_p"), "frames_lost")
 
 
 def confidence_percentiles(pose: DataFrame, keypoints: Sequence[str], shares: Sequence[int] = (5, 10, 25, 50, 75, 95)) -> DataFrame:
-    """Exact percentiles; over very large tables use approx_percentile."""
-    return per_keypoint(pose, keypoints, {f"p{s}": f"round(percentile({{p}}, {s / 100}), 3)" for s in shares})
+    found = global_percentiles(pose, {k: F.col(f"{k}_p") for k in keypoints}, [s / 100 for s in shares])
+    rows = [(k, *(None if v is None else float(v) for v in found[k])) for k in keypoints]
+    out = pose.sparkSession.createDataFrame(rows, "keypoint string, " + ", ".join(f"p{s} double" for s in shares))
+    return out.select("keypoint", *(F.round(f"p{s}", 3).alias(f"p{s}") for s in shares))
 
 
 def speed_percentiles(df: DataFrame, speed: str = "speed_body", shares: Sequence[int] = (10, 25, 50, 75, 90, 95)) -> DataFrame:
-    return df.agg(*(F.round(F.percentile(speed, F.lit(s / 100)), 1).alias(f"p{s}") for s in shares))
+    found = global_percentiles(df, {"speed": F.col(speed)}, [s / 100 for s in shares])["speed"]
+    out = df.sparkSession.createDataFrame([tuple(found)], ", ".join(f"p{s} double" for s in shares))
+    return out.select(*(F.round(f"p{s}", 1).alias(f"p{s}") for s in shares))
 
 
 def composition(triaged: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:

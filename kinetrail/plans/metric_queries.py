@@ -403,3 +403,10 @@ def choose_threshold(spark, sf):
     from ..operators.models import choose_threshold as choose
 
     return choose(threshold_counts(spark, sf)).select("threshold", *r6("f1"))
+
+
+@query(_totals(BY_T) + "select max(threshold) as threshold from (select [0.4e0, 0.6e0, 0.8e0][session_id%10+1] as threshold, sum(pairs)/sum(manual) as recall from tot group by 1) where recall >= 0.2")
+def threshold_for_recall(spark, sf):
+    from ..operators.models import threshold_for_recall as choose
+
+    return choose(threshold_counts(spark, sf), 0.2, hits="pairs")

@@ -85,9 +85,25 @@ def stratified_clips(spark, sf):
 OFFSET = "cast(('0x' || substr(md5(concat(cast(session_id as varchar), '|0')), 1, 8)) as bigint) % 30"
 
 
-@query(M + f"""select concat(cast(session_id as varchar), '_', cast(o+30*k as varchar)) as clip_id, session_id, o+30*k as start_frame, o+30*k+29 as end_frame from (select session_id, {OFFSET} as o, count(*) as n from m group by session_id) cross join (select unnest(range(0, 60)) as k) where o+30*k+30 <= n""")
+TILES = f"""select concat(cast(session_id as varchar), '_', cast(o+30*k as varchar)) as clip_id, session_id, o+30*k as start_frame, o+30*k+29 as end_frame from
+    (select *, unnest(range(0, n//30+1)) as k from (select session_id, {OFFSET} as o, count(*) as n from m group by session_id)) where o+30*k+30 <= n"""
+SHOWN = """select t.*, sc[k] as score from tl t join (select clip_id, avg(missing::int) as gone, cast(ceil(0.1*count(*)-1e-9) as int) as k, list(score order by score desc) filter (not missing) as sc
+    from tl c join m on m.session_id=c.session_id and m.rn between c.start_frame and c.end_frame group by 1) using (clip_id) where gone<0.1 and len(sc)>=k"""
+BAND = """select *, (score>=c1)::int + (score>=c2)::int as band from sh cross join (select quantile_cont(v, 0.5) as c1, quantile_cont(v, 0.8) as c2 from (select case when missing then 'inf'::double else score end as v from m))"""
+
+
+@query(S.with_(m=S.MASKS_SQL, tl=TILES, sh=SHOWN, bd=BAND) + """select clip_id, session_id, start_frame, end_frame, ['band_00_50', 'band_50_80', 'band_80_100'][band+1] as triage_label, round(score, 6) as score, round(share, 6) as band_share from (
+    select *, count(*) over (partition by band)/count(*) over () as share, row_number() over (partition by band order by md5(concat(clip_id, '|0'))) as r from bd) where r<=40""")
 def score_band_clips(spark, sf):
-    """Whole tiles of every session from a hashed offset: what bands rank."""
+    """40 tiles of every score band, with the band's share of all tiles."""
+    frames = S.masks(spark, sf).select("session_id", F.col("rn").alias("frame"), "score", "missing")
+    out = sampling.score_band_clips(frames, [0.5, 0.8], 30, 40, ["session_id"])
+    return out.withColumn("score", F.round("score", 6)).withColumn("band_share", F.round("band_share", 6))
+
+
+@query(M + f"select concat(cast(session_id as varchar), '_', cast(start_frame as varchar)) as clip_id, session_id, start_frame, end_frame from ({TILES})")
+def tile_sessions(spark, sf):
+    """Whole tiles of every session from a hashed offset."""
     return sampling.tile_sessions(S.masks(spark, sf), 30, ["session_id"])
 
 

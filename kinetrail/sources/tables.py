@@ -133,11 +133,18 @@ def floor_for(sessions: DataFrame, floors: DataFrame, pose: DataFrame, threshold
 def import_counts(lines: DataFrame, prefix: str = "F") -> DataFrame:
     """Rows of a spreadsheet export without header to reference counts.
 
-    lines: line (order), c0 ... c12. A "Dia n" in the first column holds for the
-    rows below; numbers have a decimal comma.
+    lines: line (order, a whole number), c0 ... c12. A "Dia n" in the first column
+    holds for the rows below; numbers have a decimal comma. Headers are carried
+    down within blocks of 100,000 numbers, and into a block from those before it.
     """
     day = F.when(F.col("c0").startswith("Dia"), F.split("c0", " +")[1].cast("int"))
-    carried = F.last(day, ignorenulls=True).over(Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0))
+    lines = lines.withColumn("_day", day).withColumn("_block", F.expr("line div 100000"))
+    last = lines.groupBy("_block").agg(F.max_by("_day", F.when(F.col("_day").isNotNull(), F.col("line"))).alias("_last"))
+    earlier = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per block
+    before = last.select("_block", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    within = Window.partitionBy("_block").orderBy("line").rowsBetween(Window.unboundedPreceding, 0)
+    lines = lines.withColumn("_own", F.last("_day", ignorenulls=True).over(within)).join(before, "_block")
+    carried = F.coalesce("_own", "_before")
     number = lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), r"\.", ""), ",", ".").try_cast("double")
     rows = lines.withColumn("day", carried).filter(F.col("day").isNotNull() & F.trim("c1").rlike("^[0-9]+$"))
     rat = F.trim("c1").cast("int")
