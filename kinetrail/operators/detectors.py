@@ -13,8 +13,8 @@ from ..functions.scalars import head_direction, length
 from .intervals import bouts, close_gaps, hysteresis, join_episodes, mask_to_bouts, merge_close_bouts, sustained, touching
 from .timeseries import KEYS, middle_of, moved, path_straightness, smooth
 
-#: Seconds of the rolling median that a detector reads; the speed in px/s from which on a body walks.
-SMOOTH_SEC, WALKING_SPEED = 0.3, 17.0
+#: Fixed value: seconds of the rolling median that a detector reads.
+SMOOTH_SEC = 0.3
 
 
 def _speeds(keypoints: Sequence[str]) -> list[Column]:
@@ -36,7 +36,7 @@ def _sustain(df: DataFrame, flag: Column, seconds: float, fps: float, keys: Sequ
 
 
 def detect_walking(
-    df: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, speed: float = WALKING_SPEED, seconds: float = 0.5,
+    df: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, speed: float = C.WALKING_SPEED, seconds: float = 0.5,
     straight: float = 0.3, straight_sec: float = 1.0, smooth_sec: float = SMOOTH_SEC,
 ) -> DataFrame:
     """Fast, and going somewhere: unknown speed is no walking, unknown
@@ -85,7 +85,7 @@ def detect_object_interaction(df: DataFrame, objects: DataFrame, fps: float = C.
 
 
 def detect_low_activity(
-    df: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, speed: float = WALKING_SPEED, seconds: float = 0.5,
+    df: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, speed: float = C.WALKING_SPEED, seconds: float = 0.5,
     smooth_sec: float = SMOOTH_SEC, keypoints: Sequence[str] = C.KEYPOINTS,
 ) -> DataFrame:
     """Slow but not freezing; needs the column freezing."""
@@ -124,7 +124,7 @@ def triage(
 
 
 def movement_layer(
-    df: DataFrame, objects: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, speed: float = WALKING_SPEED, smooth_sec: float = SMOOTH_SEC
+    df: DataFrame, objects: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, speed: float = C.WALKING_SPEED, smooth_sec: float = SMOOTH_SEC
 ) -> DataFrame:
     """Position, speed, moving, still, freezing, unscorable, distance, exploring."""
     rows = _rows(smooth_sec, fps)

@@ -8,8 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import constants as C
 from ..functions.scalars import confident, detected, floor_distance, length, point_distances
@@ -209,10 +212,10 @@ def pose_rise(kinematics: DataFrame, fps: float = C.FPS, keys: Sequence[str] = K
     )
 
 
-def dwell_signals(signals: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS) -> DataFrame:
+def dwell_signals(signals: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, walking: float = C.WALKING_SPEED) -> DataFrame:
     """still_sec and wall_sec; a row without pose does not end stillness."""
     speed = smooth("body_speed", C.rows_of(0.5, fps), keys)
-    df = signals.withColumn("_still", ~(F.coalesce(speed, F.lit(0.0)) > C.Thresholds().walking_speed))
+    df = signals.withColumn("_still", ~(F.coalesce(speed, F.lit(0.0)) > walking))
     df = df.withColumn("_wall", F.coalesce(F.col("wall_distance") < C.WALL_PX, F.lit(False)))
     df = run_seconds(df, "_still", keys, "still_sec", fps, C.DWELL_CAP_SEC)
     return run_seconds(df, "_wall", keys, "wall_sec", fps, C.DWELL_CAP_SEC).drop("_still", "_wall")
@@ -234,14 +237,37 @@ SPEC: dict[str, tuple[str, ...]] = {
     "body_y": ("std",),
     "object_distance": ("p10", "median"),
     "wall_distance": ("p10", "median"),
+    **{f"conf_{k}": ("mean", "p10") for k in C.KEYPOINTS},
+    **{f"rule_{k}": ("mean",) for k in C.RULES},
 }
-TREND = ("body_speed", "full_length", "body_length", "wall_distance", "nose_floor")
+#: Statistics of signals that not every session has.
+EXTRA_SPEC: dict[str, tuple[str, ...]] = {
+    **{k: ("median", "p90") for k in ("motion_head", "motion_body", "motion_ratio")},
+    **{k: ("median", "p10", "p90") for k in ("blob_area", "blob_height", "blob_width", "blob_aspect", "blob_dy")},
+    **{k: ("median", "p10", "p90") for k in ("neck_rel_y", "nose_rel_y", "still_sec", "wall_sec", "nose_floor")},
+    "length_local": ("median", "p10", "std"),
+}
+#: Signals whose later half is compared with the earlier one.
+TREND = (
+    "length_local", "blob_height", "blob_width", "blob_aspect", "blob_area", "blob_dy", "neck_rel_y", "nose_rel_y", "full_length",
+    "body_length", "conf_nose", "motion_body", "body_speed", "wall_distance", "nose_floor",
+)
 
 
 def spec_with_trend(spec: dict[str, tuple[str, ...]], trend: Sequence[str] = TREND) -> dict[str, tuple[str, ...]]:
     return {k: (*v, "trend") if k in trend else v for k, v in spec.items()}
 
 
+def spec_of(columns: Sequence[str]) -> dict[str, tuple[str, ...]]:
+    """The statistics of the signals that a table has."""
+    return spec_with_trend({k: v for k, v in (SPEC | EXTRA_SPEC).items() if k in columns})
+
+
+def with_rules(triaged: DataFrame) -> DataFrame:
+    """Adds the rules' flags as signals."""
+    return triaged.withColumns({f"rule_{k}": F.col(k).cast("double") for k in C.RULES})
+
+
 def statistic(name: str, value: str, late: Column | None = None) -> Column:
     """An aggregate by name; trend needs the rows of the window's later half."""
     if name == "trend":
@@ -261,41 +287,93 @@ def _with_rows(signals: DataFrame, keys: Sequence[str]) -> DataFrame:
     return signals.withColumn("_row", (F.row_number().over(over(keys)) - 1).cast("long"))
 
 
-def centered_features(signals: DataFrame, spec: dict[str, tuple[str, ...]], scales: Sequence[int] = C.SCALES, step: int = C.STEP, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Statistics of windows around the rows 0, step, 2 step...; a window of
-    size rows begins size // 2 rows before its centre and is cut at the ends.
+#: Rows of a block of windows, beside the rows around it that they reach into.
+BLOCK = 4096
 
-    Each row is dealt to the centres whose windows hold it, size / step of them,
-    and grouped by centre: a frame of percentiles would be sorted for every row.
-    """
-    rows = _with_rows(signals.select(*keys, "frame", *spec), keys)
-    last = F.max("_row").over(Window.partitionBy(*keys))
-    rows = rows.withColumn("_last", last)
-    out = None
-    for size in scales:
-        half = size // 2
-        first = F.expr(f"greatest(0, (_row - {size - 1} + {half} + {step - 1}) div {step})")
-        end = F.expr(f"least(_last div {step}, (_row + {half}) div {step})")
-        dealt = rows.withColumn("_a", first).withColumn("_b", end).filter("_a <= _b")
-        dealt = dealt.withColumn("_k", F.explode(F.sequence("_a", "_b"))).withColumn("centre", F.col("_k") * step)
-        late = F.col("_row") - F.col("centre") + half >= size // 2
-        part = describe_window(dealt, [*keys, "centre"], spec, late)
-        part = part.select(*keys, "centre", *(F.col(c).alias(f"w{size}_{c}") for c in part.columns if c not in (*keys, "centre")))
-        out = part if out is None else out.join(part, [*keys, "centre"])
+
+def _quantile(ordered: np.ndarray, counts: np.ndarray, share: float) -> np.ndarray:
+    """Interpolated quantile of each line of ordered; missing values come last."""
+    at = share * np.maximum(counts - 1, 0)
+    low = np.floor(at).astype(np.int64)
+    high = np.minimum(low + 1, np.maximum(counts - 1, 0))
+    a, b = (np.take_along_axis(ordered, i[:, None], 1)[:, 0] for i in (low, high))
+    return np.where(at > low, a + (b - a) * (at - low), a)
+
+
+def window_statistics(windows: np.ndarray, stats: Sequence[str], late: int) -> dict[str, np.ndarray]:
+    """Statistics of each line over what is not missing; NaN where nothing is
+    left. late: the place from which on values count as the later half."""
+    known = ~np.isnan(windows)
+    counts, out = known.sum(axis=1), {}
+    shares = {"median": 0.5, "p10": 0.1, "p90": 0.9}
+    with np.errstate(invalid="ignore", divide="ignore"):
+        mean_of = lambda part, k: np.where(k, part, 0.0).sum(axis=1) / k.sum(axis=1)
+        if any(s in shares for s in stats):
+            ordered = np.sort(windows, axis=1)
+        mean = mean_of(windows, known) if {"mean", "std"} & set(stats) else None
+        for s in stats:
+            if s in shares:
+                out[s] = _quantile(ordered, counts, shares[s])
+            elif s == "mean":
+                out[s] = mean
+            elif s == "std":
+                out[s] = np.sqrt(mean_of((windows - mean[:, None]) ** 2, known))
+            else:
+                out[s] = mean_of(windows[:, late:], known[:, late:]) - mean_of(windows[:, :late], known[:, :late])
     return out
 
 
+def _windows_by_block(
+    rows: DataFrame, spec: dict[str, tuple[str, ...]], shapes: Sequence[tuple[str, int, int]], step: int, keys: Sequence[str], place: str, full: bool
+) -> DataFrame:
+    """A row (keys, place, statistics) per window. rows: keys, _row, _n, signals;
+    shapes: name, rows before the place, rows in all; places are 0, step, ...;
+    full: only windows that lie in the session (or the first).
+
+    A block of BLOCK rows and what its windows reach into is worked off in one
+    piece, all shapes at once: a session of any length is many blocks, and a row
+    is sent to one block, or to two near a border.
+    """
+    before, after = max(b for _, b, _ in shapes), max(n - b for _, b, n in shapes)
+    first, last = (F.greatest(F.lit(0), F.floor((F.col("_row") - after) / BLOCK)), F.least(F.floor((F.col("_n") - 1) / BLOCK), F.floor((F.col("_row") + before) / BLOCK)))
+    dealt = rows.withColumn("_block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
+    columns = [f"{name}{v}_{s}" for name, _, _ in shapes for v, stats in spec.items() for s in stats]
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        block, n, at = int(frame["_block"].iloc[0]), int(frame["_n"].iloc[0]), frame["_row"].to_numpy(np.int64)
+        low = block * BLOCK
+        places = np.arange(-(-low // step) * step, min(low + BLOCK, n), step)
+        if full:
+            places = places[(places + shapes[0][2] <= n) | (places == 0)]
+        found = {}
+        for v, stats in spec.items():
+            line = np.full(before + BLOCK + after, np.nan)
+            line[at - low + before] = frame[v].to_numpy(float)
+            for name, reach, size in shapes:
+                windows = np.lib.stride_tricks.sliding_window_view(line, size)[places - low + before - reach]
+                for s, values in window_statistics(windows, stats, size // 2).items():
+                    found[f"{name}{v}_{s}"] = values
+        return pd.DataFrame({k: [frame[k].iloc[0]] * len(places) for k in keys} | {place: places} | found)[[*keys, place, *columns]]
+
+    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField(place, T.LongType()), *(T.StructField(c, T.DoubleType()) for c in columns)])
+    return dealt.groupBy(*keys, "_block").applyInPandas(work, schema)
+
+
+def centered_features(signals: DataFrame, spec: dict[str, tuple[str, ...]], scales: Sequence[int] = C.SCALES, step: int = C.STEP, keys: Sequence[str] = KEYS) -> DataFrame:
+    """Statistics of windows around the rows 0, step, 2 step...; a window of
+    size rows begins size // 2 rows before its centre and is cut at the ends."""
+    rows = _with_rows(signals.select(*keys, "frame", *spec), keys).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    return _windows_by_block(rows.drop("frame"), spec, [(f"w{size}_", size // 2, size) for size in scales], step, keys, "centre", False)
+
+
 def sliding_features(signals: DataFrame, spec: dict[str, tuple[str, ...]], window: int, step: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Statistics of the full windows that start at 0, step, ...; centre is the
     middle row. A session shorter than a window is one window."""
-    rows = _with_rows(signals.select(*keys, "frame", *spec), keys)
-    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    first = F.expr(f"greatest(0, (_row - {window - 1} + {step - 1}) div {step})")
-    end = F.expr(f"least(greatest(0, (_n - {window}) div {step}), _row div {step})")
-    dealt = rows.withColumn("_a", first).withColumn("_b", end).filter("_a <= _b").withColumn("_k", F.explode(F.sequence("_a", "_b")))
-    dealt = dealt.withColumn("start", F.col("_k") * step)
-    centre = F.when(F.col("_n") < window, (F.expr("_n div 2")).cast("double")).otherwise(F.col("start") + F.lit((window - 1) / 2))
-    return describe_window(dealt.withColumn("centre", centre), [*keys, "start", "centre"], spec)
+    rows = _with_rows(signals.select(*keys, "frame", *spec), keys).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
+    out = _windows_by_block(rows.drop("frame"), spec, [("", 0, window)], step, keys, "start", True)
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    centre = F.when(F.col("_n") < window, F.expr("_n div 2").cast("double")).otherwise(F.col("start") + F.lit((window - 1) / 2))
+    return out.join(sizes, list(keys)).withColumn("centre", centre).drop("_n")
 
 
 def nearest_window_score(frames: DataFrame, scores: DataFrame, step: int, keys: Sequence[str] = KEYS, first: float = 0.0, pos: str = "pos") -> DataFrame:

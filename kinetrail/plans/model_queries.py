@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import detectors, intervals, models, sampling
+from ..operators import timeseries as TS
 from . import standins as S
 from .registry import bout_list, query
+from .series_queries import floors, triaged
 from .table_queries import _shared
 
 MAN = "select o_orderkey as session_id, o_custkey as animal_id from {t}"
@@ -173,25 +175,15 @@ def detect(spark, sf):
 @query()
 def prepare_session(spark, sf):
     """Pose to window features over all sessions, in one plan."""
-    from ..operators import timeseries as TS
-    from .series_queries import signals
-
-    df = TS.dwell_signals(signals(spark, sf))
-    spec = TS.spec_with_trend(TS.SPEC | {"still_sec": ("median",), "wall_sec": ("median",)})
-    return TS.centered_features(df, spec)
-
-
+    own = TS.frame_signals(TS.with_rules(triaged(spark, sf)), S.objects(spark, sf))
+    df = TS.dwell_signals(own)
+    return TS.centered_features(df, TS.spec_of(df.columns))
 
 
 @query()
 def session_features(spark, sf):
-    """The same with marked floors in place of the percentile rectangle, the
-    head's rise over the body and rule flags as signals."""
-    from ..operators import timeseries as TS
-    from .series_queries import floors, triaged
-
-    own = TS.frame_signals(triaged(spark, sf), S.objects(spark, sf))
+    """The same with marked floors in place of the percentile rectangle and the
+    head's rise over the body."""
+    own = TS.frame_signals(TS.with_rules(triaged(spark, sf)), S.objects(spark, sf))
     df = TS.dwell_signals(TS.pose_rise(TS.with_floor(own, floors(spark, sf))))
-    rules = {f"rule_{c}": F.col(c).cast("double") for c in ("walking", "freezing", "low_activity", "active_head")}
-    spec = TS.SPEC | {"nose_floor": ("median", "p10", "p90"), "neck_rel_y": ("median", "p90"), "length_local": ("median", "std"), "still_sec": ("median",), "wall_sec": ("median",)}
-    return TS.centered_features(df.withColumns(rules), TS.spec_with_trend(spec | {r: ("mean",) for r in rules}))
+    return TS.centered_features(df, TS.spec_of(df.columns))

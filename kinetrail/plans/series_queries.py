@@ -202,10 +202,10 @@ def dwell_signals(spark, sf):
 SPEC = {"body_speed": ("mean", "median", "p10", "p90", "std", "trend"), "wall_distance": ("median", "p90")}
 
 
-def stats_sql(late: str) -> str:
+def stats_sql(late: str, spec: dict[str, tuple[str, ...]] = SPEC, prefix: str = "") -> str:
     f = {"mean": "avg({v})", "median": "quantile_cont({v}, 0.5)", "p10": "quantile_cont({v}, 0.1)", "p90": "quantile_cont({v}, 0.9)", "std": "stddev_pop({v})",
          "trend": "avg(case when {l} then {v} end) - avg(case when not {l} then {v} end)"}
-    return ", ".join(f"round({f[s].format(v=v, l=late)}, 6) as {v}_{s}" for v, stats in SPEC.items() for s in stats)
+    return ", ".join(f"round({f[s].format(v=v, l=late)}, 6) as {prefix}{v}_{s}" for v, stats in spec.items() for s in stats)
 
 
 STATS = [f"{v}_{s}" for v, stats in SPEC.items() for s in stats]
@@ -218,26 +218,26 @@ def describe_window(spark, sf):
     return out.select("session_id", "block", *r6(*STATS))
 
 
+#: Every signal that SQL gives, with its own statistics.
+FULL = TS.spec_of(SIGNALS)
+
+
 def _centred_sql(size: int) -> str:
-    return f"""(select c.session_id, c.rn as centre, {stats_sql(f'(s.rn >= c.rn - {size // 2} + {size // 2})')} from (select session_id, rn from sig where rn%8=0) c join sig s on s.session_id=c.session_id
+    return f"""(select c.session_id, c.rn as centre, {stats_sql(f'(s.rn >= c.rn - {size // 2} + {size // 2})', FULL, f'w{size}_')} from (select session_id, rn from sig where rn%8=0) c join sig s on s.session_id=c.session_id
       and s.rn between c.rn-{size // 2} and c.rn-{size // 2}+{size - 1} group by 1, 2)"""
 
 
-@query(SIG + "select a.session_id, a.centre, " + ", ".join(f"a.{c} as w15_{c}" for c in STATS) + ", " + ", ".join(f"b.{c} as w60_{c}" for c in STATS) + f" from {_centred_sql(15)} a join {_centred_sql(60)} b on a.session_id=b.session_id and a.centre=b.centre")
+@query(SIG.replace("sig as (", "sig as materialized (") + "select * from " + _centred_sql(15) + "".join(f" join {_centred_sql(size)} using (session_id, centre)" for size in (60, 120, 300)))
 def centered_features(spark, sf):
-    df = TS.centered_features(signals(spark, sf), SPEC, (15, 60))
+    df = TS.centered_features(signals(spark, sf), FULL)
     return df.select("session_id", "centre", *r6(*(c for c in df.columns if c[0] == "w")))
 
 
 @query(SIG + f"""select c.session_id, c.rn as "start", c.rn+29.5e0 as centre, {stats_sql('(s.rn >= c.rn + 30)').replace('trend', 'trend')} from (select session_id, rn from sig where rn%15=0) c join sig s on s.session_id=c.session_id and s.rn between c.rn and c.rn+59
     where c.rn+59 <= (select max(rn) from sig m where m.session_id=c.session_id) group by all""")
 def sliding_features(spark, sf):
-    spec = {k: tuple(s for s in v if s != "trend") for k, v in SPEC.items()}
-    df = TS.sliding_features(signals(spark, sf), spec, 60, 15)
-    late = TS._with_rows(signals(spark, sf).select(*K2, "frame", "body_speed"), K2)
-    dealt = df.select("session_id", "start").join(late, "session_id").filter("_row between start and start + 59")
-    trend = dealt.groupBy("session_id", "start").agg(TS.statistic("trend", "body_speed", F.expr("_row >= start + 30")).alias("body_speed_trend"))
-    return df.join(trend, ["session_id", "start"]).select("session_id", "start", "centre", *r6(*STATS))
+    df = TS.sliding_features(signals(spark, sf), SPEC, 60, 15)
+    return df.select("session_id", "start", "centre", *r6(*STATS))
 
 
 @query("with clips as (" + S.CLIPS_SQL + "), " + SIG[5:] + f"select c.clip_id, {stats_sql('false').replace('avg(case when false then body_speed end) - avg(case when not false then body_speed end)', 'avg(body_speed)')} from clips c join sig s on s.session_id=c.session_id and s.frame between c.start_frame and c.end_frame group by 1")

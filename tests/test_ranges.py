@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kinetrail.operators import clips, metrics, sampling
+from kinetrail.operators import timeseries as TS
 from kinetrail.sources import tables as TB
 
 
@@ -56,3 +57,25 @@ def test_score_bands_leave_out_what_is_taken(spark):
     assert len(few) == 6 and {tuple(r) for r in few} <= {tuple(r) for r in every}
     assert sampling.score_band_clips(frames.limit(0), [0.5], 30, 2, ["session_id"]).count() == 0
     assert clips.score_bands(frames, frames, [0.5]).count() == 600
+
+
+def test_windows_are_the_same_in_blocks(spark, monkeypatch):
+    rows = [(s, 0, f, None if (f * s) % 7 == 0 else float((f * 31 + s) % 97)) for s, n in ((1, 700), (2, 33), (3, 1)) for f in range(n)]
+    df = spark.createDataFrame(rows, "session_id long, field long, frame long, v double")
+    spec = {"v": ("mean", "median", "p10", "p90", "std", "trend")}
+    both = lambda: (
+        sorted(map(str, TS.centered_features(df, spec, (15, 60, 300)).collect())), sorted(map(str, TS.sliding_features(df, spec, 60, 15).collect()))
+    )
+    whole = both()
+    monkeypatch.setattr(TS, "BLOCK", 50)
+    assert both() == whole
+    assert len(whole[0]) == 88 + 5 + 1 and len(whole[1]) == 43 + 1 + 1
+    plain = {r["centre"]: r for r in TS.centered_features(df.filter("session_id = 1"), spec, (15,)).collect()}
+    v = {r[2]: r[3] for r in rows if r[0] == 1}
+    for centre, r in plain.items():
+        own = [(i, v[i]) for i in range(max(0, centre - 7), min(700, centre + 8)) if v[i] is not None]
+        late, early = [x for i, x in own if i >= centre], [x for i, x in own if i < centre]
+        assert r["w15_v_median"] == pytest.approx(np.median([x for _, x in own]))
+        assert r["w15_v_std"] == pytest.approx(np.std([x for _, x in own]))
+        assert r["w15_v_trend"] == (pytest.approx(np.mean(late) - np.mean(early)) if late and early else None)
+    assert TS.centered_features(df.limit(0), spec).count() == 0
