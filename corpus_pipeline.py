@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written
 as Parquet and read again as the next one's docs.
+
+Defined results: a null text is empty; a null source or lang is a value of its
+own; rows that repeat an id share one decision of the classifier (kept if one of
+them is), rows without an id likewise; of equal texts, and of near copies, one row
+stays, also where rows or ids repeat; documents without words are never taken by
+the mix; an empty table gives no rows; columns beyond those of documents are left
+out, whatever their names.
 """
 
 from __future__ import annotations

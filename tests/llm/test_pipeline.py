@@ -53,5 +53,33 @@ def best_first(before, plan):
         yield best, len(members), digest
 
 
+def test_nulls_and_repeated_rows(spark):
+    words = " ".join(H.prose(3, 60))
+    rows = [(1, words, "en", "a", 9), (1, words, "en", "a", 9), (None, words, None, None, None), (2, None, "en", "a", 0), (None, "", "en", None, None),
+            (3, words + " more", "en", "b", 9), (None, "other text of some words that stand alone here", "en", "b", 9), (4, "x", "en", None, 1), (4, "x", "en", None, 1)]
+    docs = spark.createDataFrame(rows, H.SCHEMA).selectExpr("*", "'c' as kept", "1 as _uid", "'d' as block")
+    seen = []
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, SF), "test-edges")
+        seen.append([r.asDict() for r in docs.collect()])
+        if name != "packing":
+            assert docs.columns == corpus_pipeline.COLUMNS
+    kept, exact, near, mixed, packed = seen
+    assert {r["doc_id"] for r in kept} <= {1, 2, 3, 4, None}
+    texts = lambda rs: sorted((r["text"] or "") for r in rs)
+    assert texts(exact) == sorted({r["text"] or "" for r in kept})
+    alike = [t for t in texts(exact) if t.startswith(words)]
+    assert len(near) == len(exact) - max(0, len(alike) - 1)
+    assert {r["text"] for r in mixed} <= set(texts(near)) - {""}
+    assert sum(r["start"] == 0 for r in packed) == len(mixed)
+
+
+def test_empty_table(spark):
+    docs = spark.createDataFrame([], H.SCHEMA)
+    for name, stage in corpus_pipeline.STAGES:
+        docs = materialise(stage(spark, docs, SF), "test-empty")
+        assert docs.count() == 0, name
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 0
