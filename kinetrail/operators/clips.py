@@ -94,16 +94,19 @@ def escape_summary(clips: DataFrame, kinds: Sequence[str], test_round: str) -> D
 def bootstrap_escape(evaluated: DataFrame, weights: DataFrame, reps: int = 2000, seed: int = 0, stratum: str = "stratum") -> DataFrame:
     """5th and 95th percentile of the weighted escape over stratified resamples.
 
-    A resample's counts per stratum follow from draws of positions by a hash of
-    (seed, repetition, draw): every clip draws reps times, aggregated at once.
+    Of a resample only the numbers of missed and of notable clips per stratum
+    count. So a draw is a place in the stratum's order missed, notable, others,
+    by an md5 hash of (clip, repetition, seed), and two bounds tell what it hit:
+    no drawn clip is looked up. Every clip draws reps times; draws are counted
+    before they are shuffled.
     """
-    w = Window.partitionBy(stratum)
-    rows = evaluated.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("_i", F.row_number().over(w.orderBy("clip_id")) - 1)
-    draws = rows.select(stratum, "_n", "_i", F.explode(F.sequence(F.lit(1), F.lit(reps))).alias("_rep"))
-    draws = draws.withColumn("_i", F.pmod(F.xxhash64(F.lit(seed), "_rep", stratum, "_i"), F.col("_n")))
-    picked = draws.select(stratum, "_rep", "_i").join(rows.select(stratum, "_i", "notable", "surfaced"), [stratum, "_i"])
-    per = picked.groupBy("_rep", stratum).agg(
-        F.avg(F.col("notable").cast("double")).alias("_t"), F.avg((F.col("notable") & ~F.col("surfaced")).cast("double")).alias("_e")
+    notable, missed = F.col("notable"), F.col("notable") & ~F.col("surfaced")
+    sizes = evaluated.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"), F.count_if(notable).alias("_notable"), F.count_if(missed).alias("_missed"))
+    draws = evaluated.select(stratum, "clip_id").join(sizes, stratum).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
+    digits = F.substring(F.md5(F.concat_ws("|", "clip_id", F.col("_rep").cast("string"), F.lit(str(seed)))), 1, 12)
+    draws = draws.withColumn("_place", F.pmod(F.conv(digits, 16, 10).cast("long"), F.col("_n")))
+    per = draws.groupBy("_rep", stratum).agg(
+        (F.count_if(F.col("_place") < F.col("_notable")) / F.max("_n")).alias("_t"), (F.count_if(F.col("_place") < F.col("_missed")) / F.max("_n")).alias("_e")
     )
     each = per.join(weights, stratum).groupBy("_rep").agg(ratio(F.sum(F.col("weight") * F.col("_e")), F.sum(F.col("weight") * F.col("_t")), None).alias("_v"))
     return each.agg(F.percentile("_v", F.lit(0.05)).alias("p5"), F.percentile("_v", F.lit(0.95)).alias("p95"))

@@ -81,6 +81,16 @@ def overlapping_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], start: st
     return pairs.filter(f"_bucket = greatest(a_start, b_start) div {BUCKET}").drop("_bucket")
 
 
+def _grouped(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Adds _g: pairs whose spans chain in time. Pairs that share a bout are in
+    one group, so that a choice in one leaves the others alone."""
+    w = Window.partitionBy(*keys).orderBy("_lo")
+    spans = pairs.withColumn("_lo", F.least("a_start", "b_start")).withColumn("_hi", F.greatest("a_end", "b_end"))
+    chained = F.max("_hi").over(w.rowsBetween(Window.unboundedPreceding, -1)) >= F.col("_lo")
+    fresh = spans.withColumn("_g", F.when(chained, 0).otherwise(1))
+    return fresh.withColumn("_g", F.sum("_g").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_lo", "_hi")
+
+
 #: Greedy one-to-one choice over an ordered array of candidates (a, b).
 _GREEDY = """
     aggregate({pairs}, cast(array() as array<struct<a:int,b:int>>),
@@ -95,7 +105,7 @@ def match_bouts(true: DataFrame, pred: DataFrame, keys: Sequence[str], threshold
     pairs = overlapping_pairs(true, pred, keys, start, end).withColumn(
         "iou", interval_iou(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
     ).filter(F.col("iou") >= threshold)
-    listed = pairs.groupBy(*keys).agg(
+    listed = _grouped(pairs, keys).groupBy(*keys, "_g").agg(
         F.sort_array(F.collect_list(F.struct("iou", F.col("a_index").alias("a"), F.col("b_index").alias("b"))), asc=False).alias("_p")
     )
     chosen = listed.withColumn("_m", F.explode(F.expr(_GREEDY.format(pairs="_p"))))
@@ -126,8 +136,9 @@ def matched_episodes(marked: DataFrame, found: DataFrame, keys: Sequence[str] =
     """(keys, matched): every detection, in order, takes the first unused mark
     that it meets. Both with start, end in rows."""
     pairs = overlapping_pairs(found, marked, keys, "start", "end")
-    listed = pairs.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("a_index").alias("a"), F.col("b_index").alias("b")))).alias("_p"))
-    return listed.select(*keys, F.size(F.expr(_GREEDY.format(pairs="_p"))).cast("long").alias("matched"))
+    listed = _grouped(pairs, keys).groupBy(*keys, "_g").agg(F.sort_array(F.collect_list(F.struct(F.col("a_index").alias("a"), F.col("b_index").alias("b")))).alias("_p"))
+    taken = listed.withColumn("_n", F.size(F.expr(_GREEDY.format(pairs="_p"))).cast("long"))
+    return taken.groupBy(*keys).agg(F.sum("_n").alias("matched"))
 
 
 def _hits(bouts_: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from .metrics import ratio
 
 
+#: Ranges in which the sizes of differences are ranked.
+RANGES = 256
+
+
 def total_error(df: DataFrame, manual: str, automatic: str, session: str, keys: Sequence[str] = ()) -> DataFrame:
     """n, mse, rmse, bias, spread, bias share, relative median, worst session
     (of equals the smallest name)."""
@@ -68,11 +72,19 @@ def agreement_moments(df: DataFrame, manual: str, automatic: str, margin_fractio
 
 def signed_ranks(df: DataFrame, manual: str, automatic: str) -> DataFrame:
     """Wilcoxon's w_plus, w_minus, the number of differences that are not 0 and
-    the tie term; equal sizes share their mean rank."""
+    the tie term; equal sizes share their mean rank. Sizes are ranked in RANGES
+    ranges, each by itself after the count of those before it."""
     d = df.select((F.col(automatic) - F.col(manual)).alias("_d")).filter("_d <> 0").withColumn("_a", F.abs("_d"))
     sizes = d.groupBy("_a").agg(F.count(F.lit(1)).alias("_n"), F.count_if(F.col("_d") > 0).alias("_up"))
-    before = F.coalesce(F.sum("_n").over(Window.orderBy("_a").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = sizes.withColumn("_rank", before + (F.col("_n") + 1) / 2)
+    found = d.agg(F.percentile_approx("_a", [i / RANGES for i in range(RANGES)], 4 * RANGES)).first()[0]
+    edges = sorted(set(found or []))
+    cuts = F.array(*(F.lit(e) for e in edges)) if edges else F.array().cast("array<double>")
+    sizes = sizes.withColumn("_range", F.size(F.filter(cuts, lambda e: e <= F.col("_a"))))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # one row a range
+    bases = sizes.groupBy("_range").agg(F.sum("_n").alias("_n")).select("_range", earlier(Window.orderBy("_range")).alias("_base"))
+    inside = earlier(Window.partitionBy("_range").orderBy("_a"))
+    ranked = sizes.withColumn("_before", inside).join(bases, "_range").withColumn("_rank", F.col("_base") + F.col("_before") + (F.col("_n") + 1) / 2)
     return ranked.agg(
         F.coalesce(F.sum(F.col("_rank") * F.col("_up")), F.lit(0.0)).alias("w_plus"),
         F.coalesce(F.sum(F.col("_rank") * (F.col("_n") - F.col("_up"))), F.lit(0.0)).alias("w_minus"),

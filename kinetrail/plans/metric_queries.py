@@ -295,9 +295,15 @@ def escape_summary(spark, sf):
     return CL.escape_summary(evaluated(spark, sf), ["grooming", "rearing"], "test").select(*r6("escape_all", "escape_test", "seen_grooming", "seen_rearing"))
 
 
-@query()
+DRAWS = """(select stratum, rep, n, notables, missed, cast(('0x' || substr(md5(concat(clip_id, '|', cast(rep as varchar), '|0')), 1, 12)) as bigint) % n as place from ev
+    join (select stratum, count(*) as n, count(*) filter (notable) as notables, count(*) filter (notable and not surfaced) as missed from ev group by 1) using (stratum) cross join (select unnest(range(1, 2001)) as rep))"""
+
+
+#: tri and ev are read several times: computed once.
+@query(EV.replace("tri as (", "tri as materialized (").replace("ev as (", "ev as materialized (") + f"""select round(quantile_cont(v, 0.05), 6) as p5, round(quantile_cont(v, 0.95), 6) as p95 from (select rep, sum(weight*e)/nullif(sum(weight*t), 0) as v from (
+    select rep, stratum, count(*) filter (place<missed)/min(n) as e, count(*) filter (place<notables)/min(n) as t from {DRAWS} group by 1, 2) join wt using (stratum) group by 1)""")
 def bootstrap_ci(spark, sf):
-    return CL.bootstrap_escape(evaluated(spark, sf), weights(spark, sf))
+    return CL.bootstrap_escape(evaluated(spark, sf), weights(spark, sf)).select(*r6("p5", "p95"))
 
 
 SC = S.with_(m=S.MASKS_SQL, clips=CLIP_SQL)

@@ -370,10 +370,13 @@ def cumulative_distance(spark, sf):
     return layer(spark, sf).select("session_id", "frame", F.round("distance", 3).alias("distance"))
 
 
-@query(LAYER + """select session_id, round(count(*)/30e0, 1) as duration_s, round(100*avg(moving::int), 1) as moving_pct, round(100*avg(still::int), 1) as still_pct, round(100*avg(freezing::int), 1) as freezing_pct,
+SUMMARY = """select session_id, round(count(*)/30e0, 1) as duration_s, round(100*avg(moving::int), 1) as moving_pct, round(100*avg(still::int), 1) as still_pct, round(100*avg(freezing::int), 1) as freezing_pct,
     round(100*avg(unscorable::int), 1) as unscorable_pct, round(max(distance), 0) as distance_px, round(coalesce(quantile_cont(case when moving then speed end, 0.5), 0), 1) as speed_moving_px_s,
     round(count(*) filter (exploring)/30e0, 1) as exploration_total_s, count(*) filter (exploring and not coalesce(l, false)) as exploration_bouts
-    from (select *, lag(exploring) over (partition by session_id order by frame) as l from layer) group by 1""")
+    from (select *, lag(exploring) over (partition by session_id order by frame) as l from layer) group by 1"""
+
+
+@query(LAYER + SUMMARY)
 def session_summary(spark, sf):
     return D.session_summary(layer(spark, sf)).drop("field")
 

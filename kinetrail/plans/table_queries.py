@@ -13,7 +13,7 @@ from ..operators import intervals
 from ..sources import tables as TB
 from . import standins as S
 from .registry import query
-from .series_queries import FLOOR, layer, r6
+from .series_queries import FLOOR, LAYER, SUMMARY, layer, r6
 
 
 _own_dirs: dict[str, str] = {}
@@ -150,14 +150,15 @@ def write_round(spark, sf):
     return blind.withColumn("position", F.col("position").cast("long"))
 
 
-@query()
+@query(LAYER + f"select s.*, frames, way from ({SUMMARY}) s join (select session_id, count(*) as frames, round(max(distance), 3) as way from layer group by 1) using (session_id)")
 def write_layers(spark, sf):
-    """The movement layer written by session with its summary, read back."""
+    """The movement layer written by session with its summary; both read back."""
     from ..operators.detectors import session_summary
 
     path, own = _shared(spark, "layers"), layer(spark, sf)
     TB.write_layers(own, session_summary(own), path)
-    return spark.read.parquet(f"{path}/summary")
+    frames = spark.read.parquet(f"{path}/layers").groupBy("session_id").agg(F.count(F.lit(1)).alias("frames"), F.round(F.max("distance"), 3).alias("way"))
+    return spark.read.parquet(f"{path}/summary").drop("field").join(frames, "session_id")
 
 
 DIGESTS = "select o_custkey as session_id, {d}(concat(cast(count(*) as {v}), '|', cast(max(o_orderkey) as {v}))) as digest from {t} group by 1"

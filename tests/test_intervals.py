@@ -113,6 +113,30 @@ def test_matching_counts_once(spark):
     assert matched([(0, 5), (9, 20)], [(1, 4), (10, 11)]) == 2
 
 
+def test_matching_in_groups_is_matching_in_all(spark):
+    rng = random.Random(5)
+    cut = lambda: [(s, s + rng.randint(0, 14)) for s in sorted(rng.sample(range(600), 70))]
+    true, pred = cut(), cut()
+    iou = lambda x, y: max(0, min(x[1], y[1]) - max(x[0], y[0]) + 1) / (max(x[1], y[1]) - min(x[0], y[0]) + 1)
+    pairs = sorted(((iou(x, y), i, j) for i, x in enumerate(true) for j, y in enumerate(pred) if iou(x, y) >= 0.2), reverse=True)
+    want, used_a, used_b = [], set(), set()
+    for _, i, j in pairs:
+        if i not in used_a and j not in used_b:
+            want.append((i, j))
+            used_a.add(i), used_b.add(j)
+    met = sorted((j, i) for i, x in enumerate(true) for j, y in enumerate(pred) if iou(x, y) > 0)
+    first, used_a, used_b = 0, set(), set()
+    for j, i in met:
+        if i not in used_a and j not in used_b:
+            first += 1
+            used_a.add(i), used_b.add(j)
+    table = lambda rows, a, b: spark.createDataFrame([("s", *r) for r in rows], f"session_id string, {a} long, {b} long")
+    out = metrics.match_bouts(table(true, "start_frame", "end_frame"), table(pred, "start_frame", "end_frame"), ["session_id"], 0.2)
+    base = min(r["true_index"] for r in out.collect()) - min(i for i, _ in want)
+    assert sorted((r["true_index"] - base, r["pred_index"] - base) for r in out.collect()) == sorted(want)
+    assert metrics.matched_episodes(table(true, "start", "end"), table(pred, "start", "end"), ["session_id"]).first()["matched"] == first
+
+
 def test_groups_chain(spark):
     ep = spark.createDataFrame([(0, "a", 0, 10), (0, "b", 8, 20), (0, "a", 19, 30), (0, "b", 50, 60)], "session_id int, lane string, start long, end long")
     assert spans(review.decision_groups(ep), "start", "end", "status") == [(0, 30, "both"), (50, 60, "only_b")]

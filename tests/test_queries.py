@@ -9,7 +9,7 @@ from .oracle import connect, rows
 
 SF = "/root/testdata/sf0.001"
 #: Fits of trees and the like: one run each is enough.
-SLOW = {"bootstrap_ci", "context_model", "leave_one_group_out"}
+SLOW = {"context_model", "leave_one_group_out"}
 
 
 @pytest.fixture(scope="module")

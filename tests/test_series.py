@@ -1,13 +1,16 @@
 """Facts of kinematics, detectors, statistics and sampling."""
 
+import itertools
 import math
 
+import numpy as np
 import pytest
 
 from kinetrail.functions import scalars
 from kinetrail.functions.constants import KEYPOINTS
 from kinetrail.operators import clips, detectors, models, sampling, statistics
 from kinetrail.operators import timeseries as TS
+from kinetrail.plans import registry
 from kinetrail.sources import tables
 from pyspark.sql import functions as F
 
@@ -101,6 +104,66 @@ def test_t_distribution():
     assert statistics.t_cdf(-1.0, 1) == pytest.approx(0.25)
 
 
+def t_below(t: float, df: int) -> float:
+    """The t distribution by summing its density."""
+    x = np.linspace(0, abs(t), 200_001)
+    density = np.exp(math.lgamma((df + 1) / 2) - math.lgamma(df / 2)) / math.sqrt(df * math.pi) * (1 + x * x / df) ** (-(df + 1) / 2)
+    half = float(np.sum((density[1:] + density[:-1]) / 2) * (x[1] - x[0])) if t else 0.0
+    return 0.5 + math.copysign(half, t)
+
+
+def signed_rank_p(d: list[float]) -> float:
+    """Two-sided p by all signs; equal sizes share their mean rank."""
+    sizes = [abs(x) for x in d]
+    ranks = [sum(s < x for s in sizes) + (sum(s == x for s in sizes) + 1) / 2 for x in sizes]
+    least = min(sum(r for r, x in zip(ranks, d) if x > 0), sum(r for r, x in zip(ranks, d) if x < 0))
+    low = sum(sum(r for r, s in zip(ranks, signs) if s) <= least for signs in itertools.product((0, 1), repeat=len(d)))
+    return min(1.0, 2 * low / 2 ** len(d))
+
+
+@pytest.mark.parametrize("pairs", [
+    [(10, 11), (20, 18), (31, 34), (40, 44), (52, 47), (60, 66), (71, 78), (80, 88)],
+    [(5, 4), (9, 7), (14, 11), (20, 16), (27, 22), (35, 29), (44, 37)],
+])
+def test_p_values_of_paired_totals(spark, pairs):
+    r = statistics.agreement(spark.createDataFrame([(float(m), float(a)) for m, a in pairs], "m double, a double"), "m", "a").first()
+    m, d = np.array([p[0] for p in pairs], float), np.array([p[1] - p[0] for p in pairs], float)
+    n, se, margin = len(d), d.std(ddof=1) / math.sqrt(len(d)), 0.15 * m.mean()
+    assert r["paired_t_p"] == pytest.approx(2 * (1 - t_below(abs(d.mean() / se), n - 1)), abs=1e-7)
+    assert r["tost_p"] == pytest.approx(max(1 - t_below((d.mean() + margin) / se, n - 1), t_below((d.mean() - margin) / se, n - 1)), abs=1e-7)
+    assert r["wilcoxon_p"] == pytest.approx(signed_rank_p(list(d)), abs=1e-9)
+    # the interval's ends are where the distribution has 2.5 and 97.5 %
+    assert t_below((r["ci95_high"] - d.mean()) / se, n - 1) == pytest.approx(0.975, abs=1e-6)
+    assert r["ci95_high"] - d.mean() == pytest.approx(d.mean() - r["ci95_low"])
+
+
+def test_p_values_of_the_query(spark):
+    from kinetrail.plans import metric_queries
+
+    sf = "/root/testdata/sf0.001"
+    p = metric_queries.paired(spark, sf).toPandas()
+    d = (p["automatic"] - p["manual"]).to_numpy(float)
+    r = registry.QUERIES["agreement"](spark, sf).first()
+    se = d.std(ddof=1) / math.sqrt(len(d))
+    assert r["n"] == len(d)
+    assert r["paired_t_p"] == pytest.approx(2 * (1 - t_below(abs(d.mean() / se), len(d) - 1)), abs=1e-6)
+
+
+def test_signed_ranks_in_ranges(spark, monkeypatch):
+    values = [(float(i % 37 - 18), 0.0) for i in range(400)] + [(0.5 * i, 0.0) for i in range(-30, 50)]
+    df = spark.createDataFrame(values, "m double, a double")
+    got = []
+    for ranges in (1, 7, 256):
+        monkeypatch.setattr(statistics, "RANGES", ranges)
+        got.append(statistics.signed_ranks(df, "m", "a").first())
+    d = np.array([-m for m, _ in values if m])
+    ranks = np.array([(abs(d) < x).sum() + ((abs(d) == x).sum() + 1) / 2 for x in abs(d)])
+    assert got[0] == got[1] == got[2]
+    assert got[0]["w_plus"] == ranks[d > 0].sum() and got[0]["w_minus"] == ranks[d < 0].sum() and got[0]["nonzero"] == len(d)
+    none = statistics.signed_ranks(df.filter("m = 0"), "m", "a").first()
+    assert (none["w_plus"], none["nonzero"], none["ties"]) == (0, 0, 0)
+
+
 def test_mse_is_bias_and_spread(spark):
     df = spark.createDataFrame([(f"S{i}", 10.0 * i, 10.0 * i + i % 3) for i in range(1, 7)], "s string, m double, a double")
     r = statistics.total_error(df, "m", "a", "s").first()
