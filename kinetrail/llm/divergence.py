@@ -153,7 +153,8 @@ def _tile_sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         out["a"] += [names[i]] * len(with_)
         out["b"] += list(names[with_])
         out["value"] += values.tolist()
-    return pd.DataFrame({"lang": lang, **out}).astype({"value": "int64"})
+    names_of = {"lang": [lang] * len(out["a"]), "a": out["a"], "b": out["b"]}
+    return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in names_of.items()} | {"value": pd.Series(out["value"], dtype="int64")})
 
 
 def source_distances(kept: DataFrame, groups: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from . import (
     ann, chat, divergence, exact_dedup, filter_audit, html_text, license_scan, mixing, ngram_join, packing, quality, token_output,
+    url_filter,
 )
 from .common import table
 
@@ -57,6 +58,15 @@ def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_rows(table(spark, sf_dir, "conversations"), own))
 
 
+def op11_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    rules = (
+        ("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
+        ("com", "/fr/", "allow"), ("com", "/de/", "block"),
+    )
+    return url_filter.judge(pages, url_filter.labels_by_number(pages, table(spark, sf_dir, "labels")), rules)
+
+
 def op12_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(spark, f"{sf_dir}/documents.parquet", table(spark, sf_dir, "labels"))
 
@@ -78,6 +88,7 @@ QUERIES = {
         op8_training_order,
         op9_html_text,
         op10_chat_format,
+        op11_url_filter,
         op12_filter_interaction,
         op13_source_divergence,
     )
