@@ -10,11 +10,16 @@ from pyspark.sql import functions as F
 
 from ..functions import constants as C
 from ..functions.scalars import head_direction, length
-from .intervals import bouts, close_gaps, hysteresis, join_episodes, mask_to_bouts, merge_close_bouts, sustained, touching
-from .timeseries import KEYS, middle_of, moved, path_straightness, smooth
+from ..sources.scratch import written
+from .intervals import bouts, close_gaps, hysteresis, join_episodes, mask_to_bouts, merge_close_bouts, sustained, threshold_bouts, touching, with_position
+from .scans import running_sum
+from .timeseries import KEYS, middle_of, moved, over, path_straightness, smooth
 
 #: Fixed value: seconds of the rolling median that a detector reads.
 SMOOTH_SEC = 0.3
+#: Rows that triage() and movement_rows(), kinematics included, look back or ahead
+#: at most with their defaults (4 s): what scans.in_blocks() has to know.
+REACH = C.rows_of(4.0)
 
 
 def _speeds(keypoints: Sequence[str]) -> list[Column]:
@@ -78,10 +83,39 @@ def object_exploration(
     return found.select(*keys, "object_id", "frame", "exploring")
 
 
-def detect_object_interaction(df: DataFrame, objects: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, **zone: float) -> DataFrame:
-    """Exploration of any object; zone: settings of object_exploration()."""
-    any_ = object_exploration(df, objects, fps, keys, **zone).groupBy(*keys, "frame").agg(F.bool_or("exploring").alias("_any"))
-    return df.join(any_, [*keys, "frame"], "left").withColumn("object_interaction", F.coalesce("_any", F.lit(False))).drop("_any")
+def with_objects(df: DataFrame, objects: DataFrame) -> DataFrame:
+    """Adds _objects, the circles of the session, of which there are few."""
+    listed = objects.groupBy("session_id").agg(F.collect_list(F.struct("center_x", "center_y", "radius")).alias("_objects"))
+    return df.join(listed, "session_id", "left")
+
+
+def detect_object_interaction(
+    df: DataFrame, objects: DataFrame | None, fps: float = C.FPS, keys: Sequence[str] = KEYS, margin: float = 12.0, angle: float = 180.0,
+    seconds: float = 0.3,
+) -> DataFrame:
+    """Exploration of any object, as object_exploration() has it, without a row per
+    object: an object that is near in each of the last rows ends an exploration,
+    and so are the rows before explored. objects: none if df has _objects."""
+    df = df if objects is None else with_objects(df, objects)
+    hx, hy = head_direction()
+
+    def near(o: Column) -> Column:
+        to_x, to_y = o["center_x"] - F.col("nose_x"), o["center_y"] - F.col("nose_y")
+        inside = length(to_x, to_y) <= o["radius"] + margin
+        if angle < 180.0:
+            cosine = (hx * to_x + hy * to_y) / F.nullif(length(hx, hy) * length(to_x, to_y), F.lit(0.0))
+            inside = inside & (F.coalesce(cosine, F.lit(-1.0)) >= math.cos(math.radians(angle)))
+        return inside
+
+    none = F.array().cast("array<int>")
+    df = df.withColumn("_near", F.coalesce(F.array_compact(F.transform("_objects", lambda o, i: F.when(near(o), i))), none))
+    rows, w = _rows(seconds, fps), over(keys)
+    last, next_ = w.rowsBetween(1 - rows, 0), w.rowsBetween(0, rows - 1)
+    full = (F.count(F.lit(1)).over(last) == rows) & (F.min(F.size("_near")).over(last) > 0)
+    df = df.withColumns({"_full": full, "_all": F.collect_list("_near").over(last)})
+    common = F.aggregate("_all", F.get("_all", 0), F.array_intersect)
+    df = df.withColumn("_ends", F.when(F.col("_full"), F.size(common) > 0).otherwise(F.lit(False)))
+    return df.withColumn("object_interaction", F.bool_or("_ends").over(next_)).drop("_near", "_full", "_all", "_ends", "_objects")
 
 
 def detect_low_activity(
@@ -110,7 +144,7 @@ def detect_active_head(
 
 
 def triage(
-    df: DataFrame, objects: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, settings: Mapping[str, Mapping[str, float]] | None = None
+    df: DataFrame, objects: DataFrame | None, fps: float = C.FPS, keys: Sequence[str] = KEYS, settings: Mapping[str, Mapping[str, float]] | None = None
 ) -> DataFrame:
     """All detectors; review is what no routine claims or the head flags, where
     there is a pose. settings: other parameters of a detector by its column."""
@@ -123,25 +157,41 @@ def triage(
     return df.withColumn("review", (~claimed | F.col("active_head")) & ~F.col("unscorable"))
 
 
-def movement_layer(
-    df: DataFrame, objects: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, speed: float = C.WALKING_SPEED, smooth_sec: float = SMOOTH_SEC
+def movement_rows(
+    df: DataFrame, objects: DataFrame | None, fps: float = C.FPS, keys: Sequence[str] = KEYS, speed: float = C.WALKING_SPEED, smooth_sec: float = SMOOTH_SEC
 ) -> DataFrame:
-    """Position, speed, moving, still, freezing, unscorable, distance, exploring."""
+    """Position, speed, moving, still, freezing, unscorable, exploring, and the
+    step that the smoothed position has made."""
     rows = _rows(smooth_sec, fps)
     df = detect_object_interaction(detect_freezing(df, fps, keys), objects, fps, keys)
     df = df.withColumns({"x": smooth("posx_body", rows, keys), "y": smooth("posy_body", rows, keys), "speed": smooth("speed_body", rows, keys)})
     fast = pose_valid() & (F.coalesce(F.col("speed"), F.lit(0.0)) >= speed)
     df = _sustain(df, fast, C.MOVING_SEC, fps, keys, "moving")
     df = df.withColumn("unscorable", ~pose_valid()).withColumn("still", ~F.col("unscorable") & ~F.col("moving"))
-    df = cumulative_distance(df.withColumn("_step", moved("x", "y", keys)), keys)
-    return df.select(*keys, "frame", "time_ms", "x", "y", "speed", "moving", "still", "freezing", "unscorable", "distance", F.col("object_interaction").alias("exploring"))
+    return df.withColumn("_step", moved("x", "y", keys)).withColumn("exploring", F.col("object_interaction"))
+
+
+#: Columns of a movement layer besides keys and distance.
+LAYER = ("frame", "time_ms", "x", "y", "speed", "moving", "still", "freezing", "unscorable", "exploring")
+
+
+def movement_layer(
+    df: DataFrame, objects: DataFrame | None, fps: float = C.FPS, keys: Sequence[str] = KEYS, speed: float = C.WALKING_SPEED, smooth_sec: float = SMOOTH_SEC
+) -> DataFrame:
+    """movement_rows() with the distance so far."""
+    return layer_of(movement_rows(df, objects, fps, keys, speed, smooth_sec), keys)
+
+
+def layer_of(rows: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """The layer of movement_rows(), which are written once: the distance reads
+    them twice."""
+    return cumulative_distance(written(rows.select(*keys, *LAYER, "_step"), "movement"), keys)
 
 
 def cumulative_distance(df: DataFrame, keys: Sequence[str] = KEYS, step: str = "_step", most: float = C.MAX_STEP_PX) -> DataFrame:
     """distance: sum so far of the steps made while moving, jumps left out."""
     counted = F.when(F.col("moving") & (F.col(step) <= most), F.col(step)).otherwise(F.lit(0.0))
-    w = Window.partitionBy(*keys).orderBy("frame").rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumn("distance", F.sum(counted).over(w)).drop(step)
+    return running_sum(df, counted, keys, "distance").drop(step)
 
 
 def session_summary(layer: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -181,6 +231,19 @@ def frame_mask(df: DataFrame, score: str, threshold: float, out: str, low: float
     return sustained(df, f"_{out}", C.rows_of(C.MIN_BOUT_SEC, fps), keys, out).drop(f"_{out}")
 
 
+def threshold_episodes(
+    df: DataFrame, score: str, grid: Sequence[float], keys: Sequence[str] = KEYS, fps: float = C.FPS, behavior: str = "rearing",
+    min_sec: float = C.MIN_BOUT_SEC,
+) -> DataFrame:
+    """(keys, level, start, end): what frame_mask() and gate() give at every
+    threshold of a grid at once, on episodes in place of masks. Not for grooming,
+    which needs the frames that freeze."""
+    if behavior == "grooming":
+        raise ValueError("grooming is vetoed by frames: use gate()")
+    found = threshold_bouts(df, score, grid, keys).filter(F.col("end") - F.col("start") + 1 >= _rows(min_sec, fps))
+    return merge_close_bouts(found, [*keys, "level"], C.rows_of(C.MERGE_GAP_SEC.get(behavior, 0.0), fps))
+
+
 def drop_short(df: DataFrame, flag: str, out: str, fps: float = C.FPS, keys: Sequence[str] = KEYS, seconds: float = C.PAIR_RULE["min_sec"]) -> DataFrame:
     return sustained(df, flag, C.rows_of(seconds, fps), keys, out)
 
@@ -212,7 +275,7 @@ def triage_episodes(df: DataFrame, score: str, low: float, high: float, cut: flo
         episodes = main.withColumn("_weak", F.lit(False)).unionByName(
             touching(found(low), main, keys, "left_anti").withColumn("_weak", F.lit(True))
         )
-    rows = df.withColumn("pos", (F.row_number().over(Window.partitionBy(*keys).orderBy("frame")) - 1).cast("long")).select(*keys, "pos", score)
+    rows = with_position(df.select(*keys, "frame", score), keys).select(*keys, "pos", score)
     spread = episodes.withColumn("pos", F.explode(F.sequence("start", "end")))
     peaks = spread.join(rows, [*keys, "pos"]).groupBy(*keys, "start", "end", "_weak").agg(F.max(score).alias("peak"))
     return peaks.withColumn("accepted", ~F.col("_weak") & (F.col("peak") >= high)).drop("_weak")

@@ -11,17 +11,23 @@ chain of these operators is shuffled once.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import MAX_FRAME_GAP, PAIR_RULE
+from ..sources.scratch import written
+from . import scans
 
 KEYS = ("session_id",)
 #: Frames per bucket of a range join.
 BUCKET = 1024
 
 
+with_position = scans.with_position
+
+
 def merge_intervals(df: DataFrame, keys: Sequence[str], gap: int = 0) -> DataFrame:
     """Intervals of a key that overlap, touch or lie up to gap apart become one."""
     order = Window.partitionBy(*keys).orderBy("start_frame", "end_frame")
@@ -90,10 +96,6 @@ def label_matrix(
     return out.withColumn("scorable", ~F.coalesce("_blind", F.lit(False))).drop("_blind") if unscorable else out
 
 
-def with_position(df: DataFrame, keys: Sequence[str], order: str = "frame", name: str = "pos") -> DataFrame:
-    return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).cast("long"))
-
-
 def with_runs(df: DataFrame, flag: str | Column, keys: Sequence[str], order: str = "frame", prefix: str = "_") -> DataFrame:
     """Adds {prefix}flag (null is false), {prefix}run and {prefix}len: runs of
     equal flags in row order and their length in rows."""
@@ -126,25 +128,61 @@ def close_gaps(df: DataFrame, flag: str | Column, gap: int, keys: Sequence[str],
 
 def bouts(df: DataFrame, flag: str | Column, keys: Sequence[str], order: str = "frame") -> DataFrame:
     """Runs of true rows: (keys, start, end) in row positions."""
-    runs = with_runs(with_position(df, keys, order), flag, keys, order).filter("_flag")
-    return runs.groupBy(*keys, "_run").agg(F.min("pos").alias("start"), F.max("pos").alias("end")).drop("_run")
+    return scans.flag_runs(df, flag, keys, order).filter("flag").drop("flag")
 
 
 def bout_count(df: DataFrame, flag: str, keys: Sequence[str], order: str = "frame") -> DataFrame:
-    """Number of runs of true rows per key: rising edges, in one pass."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    on = F.coalesce(F.col(flag), F.lit(False))
-    rises = df.withColumn("_rise", (on & ~F.coalesce(F.lag(on).over(w), F.lit(False))).cast("long"))
-    return rises.groupBy(*keys).agg(F.sum("_rise").alias("n_bouts"))
+    """Number of runs of true rows per key, 0 included."""
+    return scans.flag_runs(df, flag, keys, order).groupBy(*keys).agg(F.count_if("flag").alias("n_bouts"))
+
+
+def first_long_bout(df: DataFrame, flag: str | Column, rows: int, keys: Sequence[str], out: str, order: str = "frame") -> DataFrame:
+    """(keys, out): position of the first run of at least rows true rows, 0
+    where there is none."""
+    long = F.when(F.col("flag") & (F.col("end") - F.col("start") + 1 >= rows), F.col("start"))
+    return scans.flag_runs(df, flag, keys, order).groupBy(*keys).agg(F.coalesce(F.min(long), F.lit(0).cast("long")).alias(out))
 
 
 def mask_to_bouts(df: DataFrame, flag: str, keys: Sequence[str], max_gap: int = MAX_FRAME_GAP) -> DataFrame:
     """Runs of true rows by frame number, split where frames jump by more than
     max_gap: (keys, start_frame, end_frame)."""
-    w = Window.partitionBy(*keys).orderBy("frame")
-    on = df.filter(F.col(flag)).withColumn("_new", F.coalesce((F.col("frame") - F.lag("frame").over(w) > max_gap).cast("int"), F.lit(0)))
-    on = on.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return on.groupBy(*keys, "_run").agg(F.min("frame").alias("start_frame"), F.max("frame").alias("end_frame")).drop("_run")
+    found = scans.stitched_runs(df.filter(F.col(flag)), F.col("frame"), lambda a, b: b - a > max_gap, keys)
+    return found.select(*keys, F.col("low").alias("start_frame"), F.col("high").alias("end_frame"))
+
+
+def threshold_bouts(df: DataFrame, score: str | Column, grid: Sequence[float], keys: Sequence[str], order: str = "frame") -> DataFrame:
+    """(keys, level, start, end): runs of rows with a score of at least grid[level],
+    in row positions, for all thresholds at once.
+
+    A row's height is the number of thresholds that it reaches. An episode of a
+    threshold begins where the height rises past it and ends where it falls below:
+    the rows give each end once, so that the work follows the number of episodes
+    and not that of thresholds. The n-th beginning of a threshold in a session
+    belongs to its n-th end. grid must rise; a null score reaches nothing.
+    """
+    if any(a >= b for a, b in pairwise(grid)):
+        raise ValueError("thresholds must rise")
+    value = F.col(score) if isinstance(score, str) else score
+    steps = F.array(*(F.lit(float(g)) for g in grid))
+    rows = df.select(*keys, F.col(order).alias("_o"), F.size(F.filter(steps, lambda g: value >= g)).alias("_v"))
+    # runs of one height: their neighbours are the rows beside them
+    flat = written(scans.stitched_runs(rows, F.col("_v"), lambda a, b: a != b, keys, "_o").withColumnRenamed("low", "_v"), "heights")
+
+    def edges(d: DataFrame, own: Sequence[str]) -> DataFrame:
+        w = Window.partitionBy(*own).orderBy("start")
+        return d.withColumns({"_before": F.coalesce(F.lag("_v").over(w), F.lit(0)), "_after": F.coalesce(F.lead("_v").over(w), F.lit(0))})
+
+    around = scans.in_blocks(flat, keys, 1, edges, "start").select(*keys, "start", "end", "_v", "_before", "_after")
+    sides = F.array(
+        F.struct(F.lit("start").alias("side"), F.col("start").alias("pos"), F.col("_before").alias("from")),
+        F.struct(F.lit("end").alias("side"), F.col("end").alias("pos"), F.col("_after").alias("from")),
+    )
+    each = around.withColumn("_s", F.explode(sides)).filter("_v > _s.from")
+    each = each.withColumn("level", F.explode(F.expr("sequence(_s.from, _v - 1)")))
+    nth = F.row_number().over(Window.partitionBy(*keys, "level", "_s.side").orderBy("_s.pos"))
+    numbered = each.select(*keys, "level", F.col("_s.side").alias("_side"), F.col("_s.pos").alias("_pos"), nth.alias("_nth"))
+    at = lambda side: F.max(F.when(F.col("_side") == side, F.col("_pos"))).alias(side)
+    return numbered.groupBy(*keys, "level", "_nth").agg(at("start"), at("end")).drop("_nth")
 
 
 def merge_close_bouts(df: DataFrame, keys: Sequence[str], gap: int) -> DataFrame:

@@ -1,19 +1,20 @@
 """Frame and episode metrics.
 
 Frame tables hold one boolean column per behaviour for the truth and one for the
-prediction; totals are one aggregation each. Episode matching is decided within
-a (session, behaviour) by a fold over the candidate pairs of that group, which a
-range join finds.
+prediction; totals are one aggregation each. Episodes are matched on the candidate
+pairs that a range join finds: in rounds of mutual best pairs, or by a scan.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import interval_iou
+from ..sources.scratch import written
 from .intervals import BUCKET, bouts, with_position
 
 KEYS = ("session_id",)
@@ -91,28 +92,68 @@ def _grouped(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
     return fresh.withColumn("_g", F.sum("_g").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_lo", "_hi")
 
 
-#: Greedy one-to-one choice over an ordered array of candidates (a, b).
-_GREEDY = """
-    aggregate({pairs}, cast(array() as array<struct<a:int,b:int>>),
-      (acc, p) -> if(exists(acc, q -> q.a = p.a or q.b = p.b), acc,
-                     concat(acc, array(named_struct('a', p.a, 'b', p.b)))))
-"""
+#: Rounds of mutual best pairs after which what is left is matched chain by chain.
+ROUNDS = 12
+
+
+def _mutual(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """pairs with _taken (the best pair of both its bouts) and _over (one of its
+    bouts is taken)."""
+    rank = F.struct("iou", "a_index", "b_index")
+    a, b = Window.partitionBy(*keys, "a_index"), Window.partitionBy(*keys, "b_index")
+    best = pairs.withColumn("_a", F.max(rank).over(a)).withColumn("_b", F.max(rank).over(b))
+    best = best.withColumn("_taken", (F.col("_a") == rank) & (F.col("_b") == rank)).drop("_a", "_b")
+    used = best.withColumn("_over", F.bool_or("_taken").over(b))
+    return used.withColumn("_over", F.col("_over") | F.bool_or("_taken").over(a))
+
+
+def _greedy(keys: Sequence[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The best pair first, then the best of those that touch none taken, within
+    chains of pairs."""
+
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values(["iou", "a_index", "b_index"], ascending=False)
+        seen_a, seen_b, keep = set(), set(), []
+        own = rows[list(keys)].itertuples(index=False, name=None)
+        for key, a, b in zip(own, rows["a_index"].tolist(), rows["b_index"].tolist(), strict=True):
+            free = (key, a) not in seen_a and (key, b) not in seen_b
+            keep.append(free)
+            if free:
+                seen_a.add((key, a))
+                seen_b.add((key, b))
+        return rows[keep]
+
+    return run
 
 
 def match_bouts(true: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: float = 0.5, start: str = "start_frame", end: str = "end_frame") -> DataFrame:
     """(keys, true_index, pred_index, iou): greedy matching by falling (iou,
-    true index, pred index) from threshold on."""
-    pairs = overlapping_pairs(true, pred, keys, start, end).withColumn(
+    true index, pred index) from threshold on.
+
+    A pair that is the best one of both its bouts is taken whatever else happens.
+    So rounds take all such pairs at once and drop those that share a bout with
+    them, which ends where the greedy order does. Bouts that do not overlap within
+    a side need one round from a threshold of 0.5 on. Long chains of ever smaller
+    overlaps would need a round each: what ROUNDS leave is sorted chain by chain.
+    """
+    keys = list(keys)
+    open_ = overlapping_pairs(true, pred, keys, start, end).withColumn(
         "iou", interval_iou(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
     ).filter(F.col("iou") >= threshold)
-    listed = _grouped(pairs, keys).groupBy(*keys, "_g").agg(
-        F.sort_array(F.collect_list(F.struct("iou", F.col("a_index").alias("a"), F.col("b_index").alias("b"))), asc=False).alias("_p")
-    )
-    chosen = listed.withColumn("_m", F.explode(F.expr(_GREEDY.format(pairs="_p"))))
-    out = chosen.select(*keys, F.col("_m.a").alias("a_index"), F.col("_m.b").alias("b_index"))
-    return out.join(pairs.select(*keys, "a_index", "b_index", "iou"), [*keys, "a_index", "b_index"]).withColumnsRenamed(
-        {"a_index": "true_index", "b_index": "pred_index"}
-    )
+    columns, found = [*keys, "a_index", "b_index", "iou"], None
+    for left in range(ROUNDS, -1, -1):
+        if left:
+            judged = written(_mutual(open_, keys), "pairs")
+            taken, open_ = judged.filter("_taken"), judged.filter("not _over").select(open_.columns)
+        else:
+            chains = _grouped(open_, keys).select(*columns, "_g")
+            schema = chains.drop("_g").schema
+            taken = chains.groupBy(*keys, "_g").applyInPandas(lambda rows: _greedy(keys)(rows.drop(columns="_g")), schema)
+        taken = taken.select(columns)
+        found = taken if found is None else found.unionByName(taken)
+        if open_.isEmpty():
+            break
+    return found.withColumnsRenamed({"a_index": "true_index", "b_index": "pred_index"})
 
 
 def bout_metrics(true: DataFrame, pred: DataFrame, group: Sequence[str] = ("behavior",), keys: Sequence[str] = ("session_id", "behavior"), threshold: float = 0.5) -> DataFrame:
@@ -132,18 +173,51 @@ def bout_metrics(true: DataFrame, pred: DataFrame, group: Sequence[str] = ("beha
     )
 
 
-def matched_episodes(marked: DataFrame, found: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, matched): every detection, in order, takes the first unused mark
-    that it meets. Both with start, end in rows."""
+def episode_hits(marked: DataFrame, found: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, matched, hits, real): marks that meet a detection (hits), detections
+    that meet a mark (real), and pairs where every detection, in order, takes the
+    first unused mark that it meets. Both with start, end in rows, without overlaps
+    within a side; keys without a meeting have no row.
+
+    Detections in order meet stretches of marks of which two neighbours share one
+    mark at most, the last of the one and the first of the other. Whether that one
+    is used is all that a detection has to know: with one mark it is used
+    afterwards, with three or more the last is free, and with two, of which the
+    first is shared, it stays as it was. So it is the last value that was settled.
+    """
     pairs = overlapping_pairs(found, marked, keys, "start", "end")
-    listed = _grouped(pairs, keys).groupBy(*keys, "_g").agg(F.sort_array(F.collect_list(F.struct(F.col("a_index").alias("a"), F.col("b_index").alias("b")))).alias("_p"))
-    taken = listed.withColumn("_n", F.size(F.expr(_GREEDY.format(pairs="_p"))).cast("long"))
-    return taken.groupBy(*keys).agg(F.sum("_n").alias("matched"))
+    met = pairs.groupBy(*keys, "a_index").agg(F.min("b_index").alias("_lo"), F.max("b_index").alias("_hi"))
+    w = Window.partitionBy(*keys).orderBy("a_index")
+    n = F.col("_hi") - F.col("_lo") + 1
+    shared = F.coalesce(F.lag("_hi").over(w) == F.col("_lo"), F.lit(False))
+    settled = F.when(F.col("_shared") & (n == 2), F.lit(None)).otherwise(n == 1)
+    walk = met.withColumn("_shared", shared).withColumn("_settled", settled)
+    used = F.coalesce(F.last("_settled", ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(False))
+    walk = walk.withColumn("_missed", (n == 1) & F.col("_shared") & used)
+    return walk.groupBy(*keys).agg(
+        F.count_if(~F.col("_missed")).alias("matched"),
+        (F.sum(n) - F.count_if("_shared")).cast("long").alias("hits"), F.count(F.lit(1)).alias("real"),
+    )
 
 
-def _hits(bouts_: DataFrame, other: DataFrame, keys: Sequence[str]) -> DataFrame:
-    pairs = overlapping_pairs(bouts_, other, keys, "start", "end")
-    return pairs.groupBy(*keys).agg(F.count_distinct("a_index").alias("hits"))
+def matched_episodes(marked: DataFrame, found: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, matched) of episode_hits()."""
+    return episode_hits(marked, found, keys).select(*keys, "matched")
+
+
+def threshold_counts(marked: DataFrame, found: DataFrame, grid: Sequence[float], keys: Sequence[str] = KEYS) -> DataFrame:
+    """(keys, threshold, manual, found, pairs, hits, real) of every key that has
+    episodes: numbers of episodes and of episode_hits() at every threshold.
+
+    marked: keys, start, end; found: threshold_bouts() on the same grid.
+    """
+    own, last = [*keys, "level"], len(grid) - 1
+    marks = marked.withColumn("level", F.explode(F.expr(f"sequence(0, {last})")))
+    n = lambda d, name: d.groupBy(*own).agg(F.count(F.lit(1)).alias(name))
+    out = n(marks, "manual").join(n(found, "found"), own, "full").join(episode_hits(marks, found, own), own, "left")
+    out = out.withColumnRenamed("matched", "pairs").na.fill(0, ["manual", "found", "pairs", "hits", "real"])
+    threshold = F.get(F.array(*(F.lit(float(g)) for g in grid)), F.col("level"))
+    return out.withColumn("threshold", threshold).drop("level")
 
 
 def compare(df: DataFrame, marked: str, predicted: str, fps: float = 30.0, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -155,9 +229,8 @@ def compare(df: DataFrame, marked: str, predicted: str, fps: float = 30.0, keys:
     manual, found = bouts(df, marked, keys), bouts(df, predicted, keys)
     n = lambda d, c: d.groupBy(*keys).agg(F.count(F.lit(1)).alias(c))
     out = frames.join(n(manual, "manual_bouts"), list(keys), "left").join(n(found, "detected_bouts"), list(keys), "left")
-    out = out.join(_hits(manual, found, keys).withColumnRenamed("hits", "_hit"), list(keys), "left")
-    out = out.join(_hits(found, manual, keys).withColumnRenamed("hits", "_real"), list(keys), "left")
-    out = out.join(matched_episodes(manual, found, keys).withColumnRenamed("matched", "matched_bouts"), list(keys), "left")
+    met = episode_hits(manual, found, keys).withColumnsRenamed({"hits": "_hit", "real": "_real", "matched": "matched_bouts"})
+    out = out.join(met, list(keys), "left")
     out = out.na.fill(0, ["manual_bouts", "detected_bouts", "_hit", "_real", "matched_bouts"])
     return out.select(
         *keys,

@@ -30,10 +30,23 @@ def centred(rows: int, keys: Sequence[str] = KEYS) -> WindowSpec:
     return over(keys).rowsBetween(-(rows // 2), (rows - 1) // 2)
 
 
+#: Rows of a rolling median up to which its values are taken as columns.
+MEDIAN_COLUMNS = 33
+
+
 def smooth(value: Column | str, rows: int, keys: Sequence[str] = KEYS) -> Column:
-    """Centred rolling median over what is not null."""
+    """Centred rolling median over what is not null.
+
+    The neighbours of a row are columns of one window, sorted in the row; only a
+    long window goes through the aggregate, which builds its order anew per row.
+    """
     value = F.col(value) if isinstance(value, str) else value
-    return value if rows <= 1 else F.percentile(value, F.lit(0.5)).over(centred(rows, keys))
+    if rows <= 1:
+        return value
+    if rows > MEDIAN_COLUMNS:
+        return F.percentile(value, F.lit(0.5)).over(centred(rows, keys))
+    w = over(keys)
+    return middle_of([value if i == 0 else F.lag(value, -i).over(w) for i in range(-(rows // 2), (rows - 1) // 2 + 1)])
 
 
 def moved(x: Column | str, y: Column | str, keys: Sequence[str] = KEYS) -> Column:
@@ -118,7 +131,7 @@ def relative_to_session(df: DataFrame, columns: Sequence[str], keys: Sequence[st
 
 def middle_of(values: Sequence[Column]) -> Column:
     """Median of the values of a row that are not null."""
-    got = F.array_sort(F.array_compact(F.array(*values)))
+    got = F.sort_array(F.array_compact(F.array(*values)))
     n = F.size(got)
     return F.when(n > 0, (F.get(got, ((n - 1) / 2).cast("int")) + F.get(got, (n / 2).cast("int"))) / 2)
 

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import is_notable, label_set, primary_label
 from ..operators import clips as CL
-from ..operators import intervals, metrics, statistics
+from ..operators import detectors, intervals, metrics, statistics
 from . import standins as S
 from .interval_queries import MATRIX, labelled
-from .registry import bout_list, query
+from .registry import bout_list, filled, query, sustain
 from .series_queries import RULES, T, TRI, r6, rsql, triaged
 
 MARKS = S.with_(marks=S.MARKS_SQL)
@@ -345,41 +345,43 @@ def exploration_agreement(spark, sf):
 
 
 # --- thresholds ------------------------------------------------------------
-GRID = (0.4, 0.6, 0.8)
+#: The grids of the threshold search.
+GRID = tuple(round(0.2 + 0.05 * k, 2) for k in range(13))
+FINE = tuple(round(0.01 * k, 2) for k in range(1, 96))
 
 
-def threshold_counts(spark, sf) -> DataFrame:
+def threshold_counts(spark, sf, grid) -> DataFrame:
     """Per threshold and session: episodes marked, found, matched, hit."""
-    m, parts = S.masks(spark, sf), None
-    marked = intervals.bouts(m, "b", ["session_id"])
-    for t in GRID:
-        found = intervals.bouts(m.withColumn("_f", F.col("score") >= t), "_f", ["session_id"])
-        n = lambda d, c: d.groupBy("session_id").agg(F.count(F.lit(1)).alias(c))
-        one = n(marked, "manual").join(n(found, "found"), "session_id", "full").join(metrics.matched_episodes(marked, found).withColumnRenamed("matched", "pairs"), "session_id", "left")
-        one = one.join(metrics._hits(marked, found, ["session_id"]), "session_id", "left").join(metrics._hits(found, marked, ["session_id"]).withColumnRenamed("hits", "real"), "session_id", "left").na.fill(0)
-        one = one.withColumn("threshold", F.lit(t))
-        parts = one if parts is None else parts.unionByName(one)
-    return parts
-
-
-def _counts_sql() -> str:
-    parts = []
-    for i, t in enumerate(GRID):
-        f = bout_list("m", f"score >= {t}")
-        parts.append(f"""mb{i} as (select *, row_number() over (partition by session_id order by "start") as i from {B}), fb{i} as (select *, row_number() over (partition by session_id order by "start") as i from {f}),
-          oc{i} as (select m.session_id, m.i as mi, f.i as fi from mb{i} m join fb{i} f on f.session_id=m.session_id and m."start"<=f."end" and f."start"<=m."end"),
-          ct{i} as (select x.session_id, {t}::double as threshold, (select count(*) from mb{i} m where m.session_id=x.session_id) as manual, (select count(*) from fb{i} f where f.session_id=x.session_id) as found,
-            (select count(distinct mi) from oc{i} o where o.session_id=x.session_id) as hits, (select count(distinct fi) from oc{i} o where o.session_id=x.session_id) as "real" from (select distinct session_id from m) x)""")
-    return ", ".join(parts)
-
-
-@query("with m as (" + S.MASKS_SQL + f"), {_counts_sql()} select threshold, cast(sum(manual) as bigint) as episodes, cast(sum(hits) as bigint) as found, cast(sum(found-\"real\") as bigint) as false_alarms from (" + " union all ".join(f"select * from ct{i}" for i in range(len(GRID))) + ") group by 1")
+    m = S.masks(spark, sf)
+    found = detectors.threshold_episodes(m, "score", grid, ["session_id"])
+    return metrics.threshold_counts(intervals.bouts(m, "b", ["session_id"]), found, grid)
+
+
+def by_threshold(grid) -> str:
+    """SQL: the masks once per threshold, as sessions of their own, with the
+    episodes of the marks (tb) and of the score (pb)."""
+    listed = ", ".join(f"{g}e0" for g in grid)
+    masks = f"select session_id*100+i as session_id, rn, frame, b, score >= t as f from m cross join (select unnest(range(0, {len(grid)})) as i, unnest([{listed}]) as t)"
+    kept = sustain(filled(sustain("mm", "f", 9, "s1"), "s1", 15, "s2"), "s2", 9, "s3")
+    return f"mm as materialized ({masks}), fb as materialized (select * from {bout_list(kept, 's3')}), mb as materialized (select * from {bout_list('mm', 'b')})"
+
+
+MEET = """oc as (select mb.session_id, mb."start" as ti, fb."start" as pi from mb join fb on fb.session_id=mb.session_id and mb."start"<=fb."end" and fb."start"<=mb."end"),
+  ct as (select x.session_id, coalesce(a.n, 0) as manual, coalesce(f.n, 0) as found, coalesce(o.h, 0) as hits, coalesce(o.r, 0) as "real" from (select distinct session_id from mm) x
+    left join (select session_id, count(*) as n from mb group by 1) a using (session_id) left join (select session_id, count(*) as n from fb group by 1) f using (session_id)
+    left join (select session_id, count(distinct ti) as h, count(distinct pi) as r from oc group by 1) o using (session_id))"""
+
+
+def of_grid(grid) -> str:
+    return f"[{', '.join(f'{g}e0' for g in grid)}][session_id%100+1]"
+
+
+@query("with m as (" + S.MASKS_SQL + f"), {by_threshold(GRID)}, {MEET} select {of_grid(GRID)} as threshold, cast(sum(manual) as bigint) as episodes, cast(sum(hits) as bigint) as found, cast(sum(found-\"real\") as bigint) as false_alarms from ct group by 1")
 def threshold_table(spark, sf):
-    return threshold_counts(spark, sf).groupBy("threshold").agg(F.sum("manual").alias("episodes"), F.sum("hits").alias("found"), F.sum(F.col("found") - F.col("real")).alias("false_alarms"))
+    counts = threshold_counts(spark, sf, GRID)
+    return counts.groupBy("threshold").agg(F.sum("manual").alias("episodes"), F.sum("hits").alias("found"), F.sum(F.col("found") - F.col("real")).alias("false_alarms"))
 
 
-#: The masks once per threshold, or per method, as sessions of their own.
-BY_T = "select session_id*10+i as session_id, rn, frame, b, score >= t as f from m cross join (select unnest([0, 1, 2]) as i, unnest([0.4e0, 0.6e0, 0.8e0]) as t)"
 BY_M = "select session_id*10+i as session_id, rn, frame, b, case when i=0 then score >= 0.6e0 else a end as f from m cross join (select unnest([0, 1]) as i)"
 
 
@@ -404,15 +406,17 @@ def result_summary(spark, sf):
     return out.select("method", *r6(*(c for c in out.columns if c != "method")))
 
 
-@query(_totals(BY_T) + "select threshold, round(f1, 6) as f1 from (select [0.4e0, 0.6e0, 0.8e0][session_id%10+1] as threshold, 2*sum(pairs)/greatest(1, sum(manual)+sum(found)) as f1 from tot group by 1) order by round(f1, 9) desc, threshold limit 1")
+@query(REC + by_threshold(GRID) + ", " + PAIRS.format(a="mb", b="fb", order="pi, ti", least=0) + f""" select {of_grid(GRID)} as threshold, round(2*sum(coalesce(w, 0))/greatest(1, sum(manual)+sum(found)), 6) as f1
+    from (select session_id, manual, found, w from (select session_id, count(*) as manual from mb group by 1) full join (select session_id, count(*) as found from fb group by 1) using (session_id)
+      left join (select session_id, count(*) filter (ok) as w from walk group by 1) using (session_id)) group by 1 order by round(f1, 9) desc, threshold limit 1""")
 def choose_threshold(spark, sf):
     from ..operators.models import choose_threshold as choose
 
-    return choose(threshold_counts(spark, sf)).select("threshold", *r6("f1"))
+    return choose(threshold_counts(spark, sf, GRID)).select("threshold", *r6("f1"))
 
 
-@query(_totals(BY_T) + "select max(threshold) as threshold from (select [0.4e0, 0.6e0, 0.8e0][session_id%10+1] as threshold, sum(pairs)/sum(manual) as recall from tot group by 1) where recall >= 0.2")
+@query("with m as (" + S.MASKS_SQL + f"), {by_threshold(FINE)}, {MEET} select max(threshold) as threshold from (select {of_grid(FINE)} as threshold, sum(hits)/sum(manual) as recall from ct group by 1) where recall >= 0.6")
 def threshold_for_recall(spark, sf):
     from ..operators.models import threshold_for_recall as choose
 
-    return choose(threshold_counts(spark, sf), 0.2, hits="pairs")
+    return choose(threshold_counts(spark, sf, FINE), 0.6)

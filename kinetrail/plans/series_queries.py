@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..functions.constants import KEYPOINTS
 from ..operators import detectors as D
-from ..operators import intervals, metrics
+from ..operators import intervals, metrics, scans
 from ..operators import timeseries as TS
 from . import standins as S
 from .registry import bout_list, filled, median, query, runs, sustain
@@ -280,8 +280,7 @@ def arrival(spark, sf):
     """First row of the first second with three confident keypoints."""
     pose = S.pose(spark, sf)
     seen = sum((F.when(F.col(f"{k}_p") >= 0.25, 1).otherwise(0) for k in KEYPOINTS), F.lit(0)) >= 3
-    long = intervals.bouts(pose.withColumn("_seen", seen), "_seen", K2).filter("end - start + 1 >= 30").groupBy("session_id").agg(F.min("start").alias("first"))
-    return pose.select("session_id").distinct().join(long, "session_id", "left").select("session_id", F.coalesce("first", F.lit(0).cast("long")).alias("arrival"))
+    return intervals.first_long_bout(pose.withColumn("_seen", seen), "_seen", 30, K2, "arrival").drop("field")
 
 
 # --- detectors -------------------------------------------------------------
@@ -305,7 +304,8 @@ T = S.with_(**TRI)
 
 
 def triaged(spark, sf) -> DataFrame:
-    return D.triage(TS.frame_kinematics(S.pose(spark, sf), distances=False), S.objects(spark, sf))
+    chain = lambda d, keys: D.triage(TS.frame_kinematics(d, keys=keys, distances=False), None, keys=keys)
+    return scans.in_blocks(D.with_objects(S.pose(spark, sf), S.objects(spark, sf)), K2, D.REACH, chain)
 
 
 @query(KIN + f"select session_id, frame, {VALID} as valid from kin")
@@ -357,7 +357,8 @@ LAYER = S.with_(**MOVE)
 
 
 def layer(spark, sf) -> DataFrame:
-    return D.movement_layer(TS.frame_kinematics(S.pose(spark, sf), distances=False), S.objects(spark, sf))
+    chain = lambda d, keys: D.movement_rows(TS.frame_kinematics(d, keys=keys, distances=False), None, keys=keys)
+    return D.layer_of(scans.in_blocks(D.with_objects(S.pose(spark, sf), S.objects(spark, sf)), K2, D.REACH, chain))
 
 
 @query(LAYER + f"select session_id, frame, {rsql('x', 'y', 'speed')}, moving, still, freezing, unscorable, exploring, round(distance, 3) as distance from layer")
