@@ -111,11 +111,29 @@ def _without(df: DataFrame, prefix: str = "_") -> DataFrame:
     return df.drop(f"{prefix}flag", f"{prefix}run", f"{prefix}len")
 
 
+#: Rows of a shortest run up to which sustained() looks ahead row by row.
+LOOK_AHEAD = 128
+
+
 def sustained(df: DataFrame, flag: str | Column, rows: int, keys: Sequence[str], out: str, order: str = "frame") -> DataFrame:
-    """The flag without runs of fewer than rows rows."""
+    """The flag without runs of fewer than rows rows.
+
+    A row stays if its run, counted from its beginning, reaches rows here or in
+    the next rows - 1 rows: a run that began later cannot. So the rows keep their
+    order, and a chain of detectors is sorted once; a very long shortest run is
+    measured by run instead.
+    """
+    value = F.coalesce(F.col(flag) if isinstance(flag, str) else flag, F.lit(False))
     if rows <= 1:
-        return df.withColumn(out, F.coalesce(F.col(flag) if isinstance(flag, str) else flag, F.lit(False)))
-    return _without(with_runs(df, flag, keys, order).withColumn(out, F.col("_flag") & (F.col("_len") >= rows)))
+        return df.withColumn(out, value)
+    if rows > LOOK_AHEAD:
+        return _without(with_runs(df, flag, keys, order).withColumn(out, F.col("_flag") & (F.col("_len") >= rows)))
+    w = Window.partitionBy(*keys).orderBy(order)
+    held = df.withColumns({"_flag": value, "_nth": F.row_number().over(w)})
+    broken = F.max(F.when(~F.col("_flag"), F.col("_nth"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    held = held.withColumn("_far", F.col("_nth") - F.coalesce(broken, F.lit(0)))
+    reached = F.max("_far").over(w.rowsBetween(0, rows - 1)) >= rows
+    return held.withColumn(out, F.col("_flag") & reached).drop("_flag", "_nth", "_far")
 
 
 def close_gaps(df: DataFrame, flag: str | Column, gap: int, keys: Sequence[str], out: str, order: str = "frame") -> DataFrame:

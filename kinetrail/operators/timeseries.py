@@ -30,23 +30,24 @@ def centred(rows: int, keys: Sequence[str] = KEYS) -> WindowSpec:
     return over(keys).rowsBetween(-(rows // 2), (rows - 1) // 2)
 
 
-#: Rows of a rolling median up to which its values are taken as columns.
-MEDIAN_COLUMNS = 33
+#: Rows of a rolling median up to which its values are listed and sorted per row.
+MEDIAN_LIST = 64
 
 
 def smooth(value: Column | str, rows: int, keys: Sequence[str] = KEYS) -> Column:
     """Centred rolling median over what is not null.
 
-    The neighbours of a row are columns of one window, sorted in the row; only a
-    long window goes through the aggregate, which builds its order anew per row.
+    The few values of a window are listed and sorted, in one short expression: the
+    percentile aggregate builds a hash map per row, and a column per neighbour
+    makes generated methods too long for the JVM to compile.
     """
     value = F.col(value) if isinstance(value, str) else value
     if rows <= 1:
         return value
-    if rows > MEDIAN_COLUMNS:
+    if rows > MEDIAN_LIST:
         return F.percentile(value, F.lit(0.5)).over(centred(rows, keys))
-    w = over(keys)
-    return middle_of([value if i == 0 else F.lag(value, -i).over(w) for i in range(-(rows // 2), (rows - 1) // 2 + 1)])
+    found = F.sort_array(F.collect_list(value).over(centred(rows, keys)))
+    return (F.get(found, F.shiftright(F.size(found) - 1, 1)) + F.get(found, F.shiftright(F.size(found), 1))) / 2
 
 
 def moved(x: Column | str, y: Column | str, keys: Sequence[str] = KEYS) -> Column:
@@ -130,10 +131,12 @@ def relative_to_session(df: DataFrame, columns: Sequence[str], keys: Sequence[st
 
 
 def middle_of(values: Sequence[Column]) -> Column:
-    """Median of the values of a row that are not null."""
-    got = F.sort_array(F.array_compact(F.array(*values)))
-    n = F.size(got)
-    return F.when(n > 0, (F.get(got, ((n - 1) / 2).cast("int")) + F.get(got, (n / 2).cast("int"))) / 2)
+    """Median of the values of a row that are not null. Sorted, the nulls come
+    first; without values both places hold none."""
+    found = F.sort_array(F.array(*values))
+    n = sum((v.isNotNull().cast("int") for v in values), F.lit(0))
+    first = F.lit(len(values)) - n
+    return (F.get(found, first + F.shiftright(n - 1, 1)) + F.get(found, first + F.shiftright(n, 1))) / 2
 
 
 def with_object_distance(df: DataFrame, objects: DataFrame, x: str, y: str, out: str, keys: Sequence[str] = ("session_id",)) -> DataFrame:
