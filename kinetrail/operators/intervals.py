@@ -17,12 +17,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.constants import MAX_FRAME_GAP, PAIR_RULE
-from ..sources.scratch import written
-from . import scans
+from . import dyadic, scans
 
 KEYS = ("session_id",)
-#: Frames per bucket of a range join.
-BUCKET = 1024
 
 
 with_position = scans.with_position
@@ -50,32 +47,17 @@ def overlap_audit(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.withColumn("reach", reach).filter(F.col("start_frame") <= F.col("reach"))
 
 
-def range_join(
-    frames: DataFrame, intervals: DataFrame, keys: Sequence[str], how: str = "inner", frame: str = "frame"
-) -> DataFrame:
-    """Frames with the intervals of their key that hold them.
-
-    An equi join on (keys, frame bucket) with the bounds as a residual: an
-    interval is repeated once per bucket that it touches, so that a long session
-    is spread over tasks and no frame meets intervals far away.
-    """
-    cut = intervals.withColumn(
-        "_bucket", F.explode(F.expr(f"sequence(start_frame div {BUCKET}, end_frame div {BUCKET})"))
-    )
-    left = frames.withColumn("_bucket", F.expr(f"{frame} div {BUCKET}"))
-    on = [left[k].eqNullSafe(cut[k]) for k in keys] + [left["_bucket"] == cut["_bucket"]]
-    on.append(left[frame].between(cut["start_frame"], cut["end_frame"]))
-    joined = left.join(cut, on, how)
-    if how in ("left_semi", "left_anti"):
-        return joined.drop("_bucket")
-    right = [cut[c] for c in intervals.columns if c not in keys]
-    return joined.select([left[c] for c in frames.columns] + right)
+def range_join(frames: DataFrame, intervals: DataFrame, keys: Sequence[str], frame: str = "frame") -> DataFrame:
+    """Frames with the intervals (start_frame, end_frame) of their key that hold
+    them. An interval of any length is a few rows of the join, which has keys
+    beyond the session."""
+    return dyadic.point_join(frames, intervals, keys, frame, "start_frame", "end_frame")
 
 
 def intervals_to_mask(frames: DataFrame, intervals: DataFrame, keys: Sequence[str], name: str, frame: str = "frame") -> DataFrame:
     """frames with a boolean column: does an interval of the key hold the frame?"""
-    held = range_join(frames.select(*keys, frame), intervals.select(*keys, "start_frame", "end_frame"), keys, "left_semi", frame)
-    held = held.distinct().select([F.col(k).alias(f"_{k}") for k in keys] + [F.col(frame).alias("_frame"), F.lit(True).alias("_held")])
+    held = range_join(frames.select(*keys, frame), intervals.select(*keys, "start_frame", "end_frame"), keys, frame)
+    held = held.select(*keys, frame).distinct().select([F.col(k).alias(f"_{k}") for k in keys] + [F.col(frame).alias("_frame"), F.lit(True).alias("_held")])
     on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col(frame) == F.col("_frame")]
     out = frames.join(held, on, "left").withColumn(name, F.coalesce("_held", F.lit(False)))
     return out.drop("_frame", "_held", *(f"_{k}" for k in keys))
@@ -184,7 +166,7 @@ def threshold_bouts(df: DataFrame, score: str | Column, grid: Sequence[float], k
     steps = F.array(*(F.lit(float(g)) for g in grid))
     rows = df.select(*keys, F.col(order).alias("_o"), F.size(F.filter(steps, lambda g: value >= g)).alias("_v"))
     # runs of one height: their neighbours are the rows beside them
-    flat = written(scans.stitched_runs(rows, F.col("_v"), lambda a, b: a != b, keys, "_o").withColumnRenamed("low", "_v"), "heights")
+    flat = scans.stitched_runs(rows, F.col("_v"), lambda a, b: a != b, keys, "_o").withColumnRenamed("low", "_v")
 
     def edges(d: DataFrame, own: Sequence[str]) -> DataFrame:
         w = Window.partitionBy(*own).orderBy("start")
@@ -273,15 +255,9 @@ def seen_intervals(progress: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
 
 
 def touching(bouts_: DataFrame, others: DataFrame, keys: Sequence[str], how: str, margin: int = 0) -> DataFrame:
-    """Bouts that meet (left_semi) or don't meet (left_anti) a bout of others.
-
-    Both sides are cut into buckets of rows, so that the join has an equi key
-    beyond the session; a bout is judged once, by its own key.
-    """
-    left = bouts_.select(*keys, "start", "end").distinct().withColumn("_b", F.explode(F.expr(f"sequence((start - {margin}) div {BUCKET}, (end + {margin}) div {BUCKET})")))
-    right = others.select([F.col(k).alias(f"_{k}") for k in keys] + [F.col("start").alias("_s"), F.col("end").alias("_e")])
-    right = right.withColumn("_ob", F.explode(F.expr(f"sequence(_s div {BUCKET}, _e div {BUCKET})")))
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys] + [F.col("_b") == F.col("_ob")]
-    on += [F.col("_s") <= F.col("end") + margin, F.col("start") - margin <= F.col("_e")]
-    hit = left.join(right, on, "left_semi").select(*keys, "start", "end").distinct()
+    """Bouts that meet (left_semi) or don't meet (left_anti) a bout of others, or
+    come within margin of one."""
+    own = bouts_.select(*keys, "start", "end").distinct()
+    right = others.select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"))
+    hit = dyadic.meeting(own, right, keys, margin=margin).select(*keys, "start", "end").distinct()
     return bouts_.join(hit, [*keys, "start", "end"], how)

@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import interval_iou
 from ..sources.scratch import written
-from .intervals import BUCKET, bouts, with_position
+from .dyadic import meeting
+from .intervals import bouts, with_position
 
 KEYS = ("session_id",)
 
@@ -73,13 +74,10 @@ def _numbered(df: DataFrame, keys: Sequence[str], start: str, name: str) -> Data
 
 
 def overlapping_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
-    """(keys, a_index, a_start, a_end, b_...): pairs that meet, found once in the
-    bucket in which the later of the two begins."""
+    """(keys, a_index, a_start, a_end, b_...): pairs that meet."""
     left = _numbered(a, keys, start, "a_index").select(*keys, "a_index", F.col(start).alias("a_start"), F.col(end).alias("a_end"))
     right = _numbered(b, keys, start, "b_index").select(*keys, "b_index", F.col(start).alias("b_start"), F.col(end).alias("b_end"))
-    cut = lambda d, p: d.withColumn("_bucket", F.explode(F.expr(f"sequence({p}_start div {BUCKET}, {p}_end div {BUCKET})")))
-    pairs = cut(left, "a").join(cut(right, "b"), [*keys, "_bucket"]).filter("a_start <= b_end and b_start <= a_end")
-    return pairs.filter(f"_bucket = greatest(a_start, b_start) div {BUCKET}").drop("_bucket")
+    return meeting(left, right, keys, ("a_start", "a_end"), ("b_start", "b_end"))
 
 
 def _grouped(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -11,9 +11,12 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+from .dyadic import meeting
 from .intervals import bouts, touching
 
 KEYS = ("session_id",)
+MARK = ("start_frame", "end_frame")
 
 
 def frame_status(df: DataFrame, a: str = "a", b: str = "b", unscorable: str = "unscorable") -> DataFrame:
@@ -27,12 +30,14 @@ def compare_episodes(df: DataFrame, keys: Sequence[str] = KEYS, a: str = "a", b:
     """(keys, lane, start, end, status): episodes of either lane outside what is
     unscorable; both if the other lane is marked somewhere in them."""
     lanes = {"a": bouts(df, F.col(a) & ~F.col(unscorable), keys), "b": bouts(df, F.col(b) & ~F.col(unscorable), keys)}
+    pairs = written(meeting(lanes["a"], lanes["b"].withColumnsRenamed({"start": "_s", "end": "_e"}), keys), "lane-pairs")
+    ends = {"a": pairs.select(*keys, "start", "end"), "b": pairs.select(*keys, F.col("_s").alias("start"), F.col("_e").alias("end"))}
     parts = []
-    for lane, other in (("a", "b"), ("b", "a")):
-        shared = touching(lanes[lane], lanes[other], keys, "left_semi").withColumn("status", F.lit("both"))
-        alone = touching(lanes[lane], lanes[other], keys, "left_anti").withColumn("status", F.lit(f"only_{lane}"))
-        parts.append(shared.unionByName(alone).withColumn("lane", F.lit(lane)))
-    return parts[0].unionByName(parts[1]).select(*keys, "lane", "start", "end", "status")
+    for lane, found in lanes.items():
+        met = ends[lane].distinct().withColumn("_met", F.lit(True))
+        status = F.when(F.col("_met"), "both").otherwise(f"only_{lane}").alias("status")
+        parts.append(found.join(met, [*keys, "start", "end"], "left").select(*keys, F.lit(lane).alias("lane"), "start", "end", status))
+    return parts[0].unionByName(parts[1])
 
 
 def disagreements(episodes: DataFrame) -> DataFrame:
@@ -54,7 +59,7 @@ def decision_groups(episodes: DataFrame, keys: Sequence[str] = KEYS) -> DataFram
 def group_marks(groups: DataFrame, marks: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, start, end, lane, marks): the original marks of each lane that meet
     a group, sorted; marks: keys, lane, start_frame, end_frame."""
-    hit = groups.join(marks, list(keys)).filter("start_frame <= end and end_frame >= start")
+    hit = meeting(groups, marks, keys, b_span=MARK)
     return hit.groupBy(*keys, "start", "end", "lane").agg(F.sort_array(F.collect_list(F.struct("start_frame", "end_frame"))).alias("marks"))
 
 
@@ -67,7 +72,7 @@ def initial_consensus(groups: DataFrame, marks: DataFrame, prefill: str, keys: S
     marks of the lane prefill; nothing for "none"."""
     both = groups.filter("status = 'both'")
     chosen = marks.filter(F.col("lane") == prefill)
-    hit = both.join(chosen, list(keys)).filter("start_frame <= end and end_frame >= start")
+    hit = meeting(both, chosen, keys, b_span=MARK)
     return hit.select(*keys, span_key().alias("group_key"), "start_frame", "end_frame")
 
 
@@ -76,11 +81,11 @@ def apply_decisions(groups: DataFrame, marks: DataFrame, decisions: DataFrame, b
     chosen lane (a, b or none). decisions: keys, group_key, choice; base: keys,
     start_frame, end_frame."""
     decided = groups.withColumn("group_key", span_key()).join(decisions, [*keys, "group_key"])
-    span = decided.select([F.col(k).alias(f"_{k}") for k in keys] + [F.col("start").alias("_s"), F.col("end").alias("_e")])
-    on = [F.col(k) == F.col(f"_{k}") for k in keys] + [F.col("start_frame") <= F.col("_e"), F.col("end_frame") >= F.col("_s")]
-    rest = base.join(span, on, "left_anti")
+    spans = decided.select(*keys, "start", "end")
+    gone = meeting(spans, base.select(*keys, *MARK).distinct(), keys, b_span=MARK).select(*keys, *MARK).distinct()
+    rest = base.join(gone, [*keys, *MARK], "left_anti")
     lanes = marks.withColumnRenamed("lane", "choice")
-    fresh = decided.join(lanes, [*keys, "choice"]).filter("start_frame <= end and end_frame >= start").select(*keys, "start_frame", "end_frame")
+    fresh = meeting(decided, lanes, [*keys, "choice"], b_span=MARK).select(*keys, *MARK)
     return rest.unionByName(fresh.distinct())
 
 

@@ -25,6 +25,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import written
+
 #: Order values in a block: rows of a block at most.
 BLOCK = 1 << 18
 #: Order values that in_blocks() counts together.
@@ -60,7 +62,8 @@ def stitched_runs(
 
     Runs are found per block. Those at the end of a block and the beginning of the
     next one get a common number where they belong together; an inner run is
-    final. Both passes read the same exchange of (keys, order, value).
+    final. Both passes read the same exchange of (keys, order, value). The runs, which
+    are far fewer than the rows and mostly read more than once, become a table.
     """
     keys = list(keys)
     rows = df.select(*keys, F.col(order).alias("_o"), value.alias("_v"))
@@ -94,11 +97,10 @@ def stitched_runs(
             "_start": F.col("_start") + F.col("_offset"), "_end": F.col("_end") + F.col("_offset"),
         }
     )
-    return (
-        joined.groupBy(*keys, "_g", "_n")
-        .agg(F.min("_start").alias("start"), F.max("_end").alias("end"), F.min("low").alias("low"), F.max("high").alias("high"))
-        .drop("_g", "_n")
+    found = joined.groupBy(*keys, "_g", "_n").agg(
+        F.min("_start").alias("start"), F.max("_end").alias("end"), F.min("low").alias("low"), F.max("high").alias("high")
     )
+    return written(found.drop("_g", "_n"), "runs")
 
 
 def flag_runs(df: DataFrame, flag: str | Column, keys: Sequence[str], order: str = "frame", block: int | None = None) -> DataFrame:
