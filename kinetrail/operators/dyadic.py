@@ -1,8 +1,8 @@
 """Joins of points and intervals by aligned spans.
 
 An interval is the disjoint union of few aligned spans: at level k a span is
-BASE * FAN ** k frames long and begins at a multiple of that, and an interval of n
-frames needs some 2 * (FAN - 1) spans a level. A point lies in one span of each
+2 ** (BASE_BITS + FAN_BITS * k) frames long and begins at a multiple of that, and an interval of n
+frames needs 6 spans a level at most. A point lies in one span of each
 level. So an interval and a point that it holds meet in exactly one equal
 (level, span), whatever the interval's length: an equi join, with the bounds as a
 residual at the two ends. A point is looked up in the levels that occur, one in
@@ -19,8 +19,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Frames of a span of level 0: 2 ** BASE_BITS; spans of a level in one of the next: 4.
-BASE_BITS, FAN_BITS, LEVELS = 10, 2, 26
+#: Frames of a span of level 0 and spans of a level in one of the next, as powers of 2.
+BASE_BITS, FAN_BITS = 10, 2
 
 
 def spans(start: str, end: str) -> Column:
@@ -35,7 +35,12 @@ def spans(start: str, end: str) -> Column:
         struct(1L as lo, 0L as hi, concat(acc.found, {part('acc.lo', 'acc.hi')}) as found)))"""
     first = f"""struct(shiftright(cast({start} as bigint), {BASE_BITS}) as lo, shiftright(cast({end} as bigint), {BASE_BITS}) as hi,
         cast(array() as array<struct<level:int,at:bigint>>) as found)"""
-    return F.when(F.col(start) <= F.col(end), F.expr(f"aggregate(sequence(0, {LEVELS}), {first}, (acc, l) -> {step}, acc -> acc.found)"))
+    bucket = lambda name: F.shiftright(F.col(name).cast("long"), BASE_BITS)
+    # a cover of n spans of level 0 ends at the level of one span, and most have one
+    last = f"cast(ceil(log(2, shiftright(cast({end} as bigint) - cast({start} as bigint), {BASE_BITS}) + 2)) / {FAN_BITS} as int) + 1"
+    covered = F.expr(f"aggregate(sequence(0, {last}), {first}, (acc, l) -> {step}, acc -> acc.found)")
+    one = F.array(F.struct(F.lit(0).alias("level"), bucket(start).alias("at")))
+    return F.when(F.col(start) <= F.col(end), F.when(bucket(start) == bucket(end), one).otherwise(covered))
 
 
 def point_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], point: str, start: str, end: str) -> DataFrame:
@@ -46,7 +51,7 @@ def point_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], poi
     cut = cut.select(*(F.col(c).alias(name) for c, name in own.items()), F.col("_span.level").alias("_level"), F.col("_span.at").alias("_at"))
     levels = intervals.select(F.explode(F.transform(spans(start, end), lambda s: s["level"])).alias("_l")).agg(F.collect_set("_l").alias("_levels"))
     probes = F.expr(f"transform(_levels, l -> struct(l as level, shiftright(cast({point} as bigint), {BASE_BITS} + {FAN_BITS} * l) as at))")
-    # one row, of LEVELS numbers at most
+    # one row, of 28 numbers at most
     left = points.crossJoin(F.broadcast(levels)).withColumn("_p", F.explode(probes))
     left = left.select(*points.columns, F.col("_p.level").alias("_plevel"), F.col("_p.at").alias("_pat"))
     on = [F.col(k).eqNullSafe(F.col(own[k])) for k in keys] + [F.col("_plevel") == F.col("_level"), F.col("_pat") == F.col("_at")]

@@ -67,21 +67,28 @@ def exclude_overlaps(spark, sf):
     return sampling.exclude_overlaps(clips, intervals.bouts(m, "a", ["session_id"]).filter("start % 4 = 0"), ["session_id"], 2)
 
 
-CAND = """cd as (select 'a' as stratum, session_id, s, e, md5(concat('a', ':', cast(session_id as varchar), ':', cast(s as varchar), '|3')) as h from {a} union all select 'b', session_id, s, e, md5(concat('b', ':', cast(session_id as varchar), ':', cast(s as varchar), '|3')) from {b})"""
+#: Strata whose runs overlap, and what holds in them.
+STRATA = {"a": "a", "b": "b", "freezing": "freezing", "idle": "not a and not b", "high": "score >= 0.5e0"}
+CAND = "cd as (" + " union all ".join(
+    f"select '{n}' as stratum, session_id, s, e, md5(concat('{n}', ':', cast(session_id as varchar), ':', cast(s as varchar), '|3')) as h from {tiles_sql(flag, 5)}" for n, flag in STRATA.items()) + ")"
 TAKE = """{n}o as (select *, row_number() over (partition by session_id order by h) as k from cd where stratum='{n}' {not_}),
   {n}w as (select session_id, k, s, e, h, [s] as used, true as ok from {n}o where k=1 union all select p.session_id, p.k, p.s, p.e, p.h, case when p.ok2 then list_append(w.used, p.s) else w.used end, p.ok2 from {n}w w join lateral
     (select *, len([u for u in w.used if abs(u-s)<5])=0 as ok2 from {n}o where {n}o.session_id=w.session_id and {n}o.k=w.k+1) p on true),
   {n}_taken as (select session_id, '{n}' as stratum, s, e from {n}w where ok order by h limit 200)"""
 
 
-@query("with recursive m as (" + S.MASKS_SQL + "), " + CAND.format(a=tiles_sql("a", 5), b=tiles_sql("b", 5)) + ", " + TAKE.format(n="a", not_="") + ", "
-    + TAKE.format(n="b", not_="and not exists (select 1 from a_taken x where x.session_id=cd.session_id and x.s<=cd.e and cd.s<=x.e)") + ' select session_id, stratum, s as "start", e as "end" from a_taken union all select session_id, stratum, s, e from b_taken')
+def _clear_of(names) -> str:
+    return " ".join(f"and not exists (select 1 from {n}_taken x where x.session_id=cd.session_id and x.s<=cd.e and cd.s<=x.e)" for n in names)
+
+
+@query("with recursive m as (" + S.MASKS_SQL + "), " + CAND + ", " + ", ".join(TAKE.format(n=n, not_=_clear_of(list(STRATA)[:i])) for i, n in enumerate(STRATA))
+    + " " + " union all ".join(f'select session_id, stratum, s as "start", e as "end" from {n}_taken' for n in STRATA))
 def stratified_clips(spark, sf):
     m, parts = S.masks(spark, sf), None
-    for stratum in ("a", "b"):
-        one = sampling._tiles(m, stratum, 5, ["session_id"]).select("session_id", F.lit(stratum).alias("stratum"), "start", "end")
+    for stratum, flag in STRATA.items():
+        one = sampling._tiles(m.withColumn("_in", F.expr(flag)), "_in", 5, ["session_id"]).select("session_id", F.lit(stratum).alias("stratum"), "start", "end")
         parts = one if parts is None else parts.unionByName(one)
-    return sampling.stratified_clips(parts, ["a", "b"], 200, ["session_id"], 3)
+    return sampling.stratified_clips(parts, list(STRATA), 200, ["session_id"], 3)
 
 
 OFFSET = "cast(('0x' || substr(md5(concat(cast(session_id as varchar), '|0')), 1, 8)) as bigint) % 30"
