@@ -92,30 +92,36 @@ def interval_iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column)
     return common / (a_end - a_start + 1 + b_end - b_start + 1 - common)
 
 
-def _corner(polygon: Column, i: int, sides: int = 4) -> tuple[Column, Column]:
-    p = polygon[i % sides]
-    return p["x"], p["y"]
+def _sides(polygon: Column) -> Column:
+    """The sides of a polygon of any number of corners: from (ax, ay) to (bx, by)."""
+    return F.transform(
+        polygon,
+        lambda p, i: F.struct(
+            p["x"].alias("ax"), p["y"].alias("ay"),
+            F.get(polygon, (i + 1) % F.size(polygon))["x"].alias("bx"), F.get(polygon, (i + 1) % F.size(polygon))["y"].alias("by"),
+        ),
+    )
+
+
+def in_polygon(x: Column, y: Column, polygon: Column) -> Column:
+    """Crossing parity over the sides; a missing point is outside, and so is every
+    point without a polygon."""
 
+    def crossed(s: Column) -> Column:
+        return ((s["ay"] > y) != (s["by"] > y)) & (x < (s["bx"] - s["ax"]) * (y - s["ay"]) / F.nullif(s["by"] - s["ay"], F.lit(0.0)) + s["ax"])
 
-def in_polygon(x: Column, y: Column, polygon: Column, sides: int = 4) -> Column:
-    """Crossing parity over the sides; a missing point is outside."""
-    crossings = F.lit(0)
-    for i in range(sides):
-        (ax, ay), (bx, by) = _corner(polygon, i, sides), _corner(polygon, i + 1, sides)
-        hit = ((ay > y) != (by > y)) & (x < (bx - ax) * (y - ay) / F.nullif(by - ay, F.lit(0.0)) + ax)
-        crossings = crossings + F.coalesce(hit, F.lit(False)).cast("int")
-    return crossings % 2 == 1
+    return F.coalesce(F.size(F.filter(_sides(polygon), crossed)) % 2 == 1, F.lit(False))
 
 
-def floor_distance(x: Column, y: Column, polygon: Column, sides: int = 4) -> Column:
+def floor_distance(x: Column, y: Column, polygon: Column) -> Column:
     """Distance to the border: positive inside, negative outside, null for a
-    missing point."""
-    away = []
-    for i in range(sides):
-        (ax, ay), (bx, by) = _corner(polygon, i, sides), _corner(polygon, i + 1, sides)
-        dx, dy = bx - ax, by - ay
-        t = F.coalesce(((x - ax) * dx + (y - ay) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
+    missing point or polygon."""
+
+    def away(s: Column) -> Column:
+        dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
+        t = F.coalesce(((x - s["ax"]) * dx + (y - s["ay"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
         t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-        away.append(length(x - (ax + t * dx), y - (ay + t * dy)))
-    near = F.least(*away)
-    return F.when(x.isNotNull() & y.isNotNull(), F.when(in_polygon(x, y, polygon, sides), near).otherwise(-near))
+        return length(x - (s["ax"] + t * dx), y - (s["ay"] + t * dy))
+
+    near = F.array_min(F.transform(_sides(polygon), away))
+    return F.when(x.isNotNull() & y.isNotNull(), F.when(in_polygon(x, y, polygon), near).otherwise(-near))

@@ -279,18 +279,24 @@ def global_percentiles(df: DataFrame, values: dict[str, Column], shares: Sequenc
     if max(n.values()) <= ONE_TASK:
         found = df.agg(*(F.percentile(name, F.array(*map(F.lit, shares))).alias(name) for name in values)).first()
         return {name: list(found[name]) if found[name] is not None else [None] * len(shares) for name in values}
-    ends = {s: [min(1.0, max(0.0, s + d)) for d in (-2.0 / accuracy, 2.0 / accuracy)] for s in shares}
-    wide = sorted({e for pair in ends.values() for e in pair})
-    sketch = df.agg(*(F.percentile_approx(name, wide, accuracy).alias(name) for name in values)).first()
-    spans = {(name, s): [sketch[name][wide.index(e)] for e in ends[s]] for name in values if n[name] for s in shares}
-    inside = {(name, s): F.col(name).between(*map(F.lit, span)) for (name, s), span in spans.items()}
-    facts = df.agg(
-        *(F.count_if(F.col(name) < low).alias(f"{name}|{s}|below") for (name, s), (low, _) in spans.items()),
-        *(F.count_if(inside[name, s]).alias(f"{name}|{s}|in") for name, s in spans),
-    ).first()
+    width = 2.0 / accuracy
+    while True:
+        ends = {s: [min(1.0, max(0.0, s + d)) for d in (-width, width)] for s in shares}
+        wide = sorted({e for pair in ends.values() for e in pair})
+        sketch = df.agg(*(F.percentile_approx(name, wide, accuracy).alias(name) for name in values)).first()
+        spans = {(name, s): [sketch[name][wide.index(e)] for e in ends[s]] for name in values if n[name] for s in shares}
+        inside = {(name, s): F.col(name).between(*map(F.lit, span)) for (name, s), span in spans.items()}
+        facts = df.agg(
+            *(F.count_if(F.col(name) < low).alias(f"{name}|{s}|below") for (name, s), (low, _) in spans.items()),
+            *(F.count_if(inside[name, s]).alias(f"{name}|{s}|in") for name, s in spans),
+        ).first()
+        places = {(name, s): (s * (n[name] - 1) - facts[f"{name}|{s}|below"], facts[f"{name}|{s}|in"]) for name, s in spans}
+        # the sketch's ranks are near, not sure: an interval that misses its percentile is widened
+        if width >= 1.0 or all(-1e-6 <= at <= m - 1 + 1e-6 for at, m in places.values()):
+            break
+        width *= 8
     wanted = []
-    for name, s in spans:
-        at, m = s * (n[name] - 1) - facts[f"{name}|{s}|below"], facts[f"{name}|{s}|in"]
+    for (name, s), (at, m) in places.items():
         share = min(1.0, max(0.0, at / (m - 1))) if m > 1 else 0.0
         wanted.append(F.percentile(F.when(inside[name, s], F.col(name)), F.lit(share)).alias(f"{name}|{s}"))
     found = df.agg(*wanted).first()

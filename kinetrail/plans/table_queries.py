@@ -38,7 +38,7 @@ def read_features(spark, sf):
     f = spark.sql(FEATURE_SQL.replace("{frames}", S.FRAMES), lineitem=S.read(spark, sf, "lineitem"))
     path = _shared(spark, "features")
     others = [c.name for c in TB.FEATURES if c.name not in f.columns]
-    f.select("session_id", *(F.lit("").alias(c) for c in others), *TB.FEATURES.fieldNames()[:0], "frame", "move_nose", "move_body", "rule_label").write.csv(path, header=True)
+    f.select("session_id", *(F.lit("").alias(c) for c in others), "frame", "move_nose", "move_body", "rule_label").write.csv(path, header=True)
     raw = TB.read_csv(spark, path, TB.T.StructType([TB.T.StructField("session_id", TB.T.LongType()), *TB.FEATURES.fields]))
     return TB.checked_features(raw, ["session_id", "frame"]).select("frame", "session_id", "move_nose", "move_body", "rule_label")
 
@@ -52,6 +52,15 @@ def read_labels(spark, sf):
     return TB.label_violations(S.marks(spark, sf), ["click", "view"]).select("session_id", "behavior", "start_frame", "end_frame")
 
 
+@query(S.with_(marks=S.MARKS_SQL) + "select session_id, behavior, start_frame, end_frame from marks")
+def load_labels(spark, sf):
+    """Bouts written as CSV by session and read through the check in the plan."""
+    m, path = S.marks(spark, sf), _shared(spark, "labels")
+    m.select("session_id", F.lit("").alias("animal_id"), F.lit(0).alias("field"), "behavior", "start_frame", "end_frame", "annotator").write.csv(path, header=True)
+    kinds = sorted(r[0] for r in m.select("behavior").distinct().collect())  # a vocabulary: few words
+    return TB.read_labels(spark, path, kinds).select(F.col("session_id").cast("long").alias("session_id"), "behavior", "start_frame", "end_frame")
+
+
 @query("with f as (" + S.FRAMES.replace("{lineitem}", "lineitem") + ") select concat('S', cast(session_id as varchar)) as session_id, rn as frame, cast(l_quantity as double) as motion_head from f")
 def read_sessions(spark, sf):
     """A folder of CSV per session, the id in the folder's name."""

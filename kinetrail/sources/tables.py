@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,27 +65,43 @@ def duplicate_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
 
 
+def refused(df: DataFrame, bad: Column, why: str) -> DataFrame:
+    """df; the job that reads it fails at a row where bad holds. The check is part
+    of the plan, so that nothing is read for it alone, and no column list drops it."""
+    return df.filter(F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit(why))).otherwise(F.lit(True)))
+
+
 def checked_features(df: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
-    """df, or an error if a frame occurs twice."""
-    if duplicate_keys(df, keys).limit(1).count():
-        raise ValueError("duplicate frames")
-    return df
+    """df; an error where it is read if a frame occurs twice."""
+    twice = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
+    return refused(df.withColumn("_twice", twice), F.col("_twice"), "duplicate frames").drop("_twice")
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
     return checked_features(read_csv(spark, path, FEATURES)).orderBy("frame")
 
 
-def label_violations(df: DataFrame, behaviors: Sequence[str] = (*BEHAVIORS, *SESSION_BEHAVIORS, UNSCORABLE)) -> DataFrame:
+def _violation(behaviors: Sequence[str]) -> Column:
+    known = F.coalesce(F.col("behavior").isin(*behaviors), F.lit(False))
+    return ~known | F.coalesce(F.col("start_frame") > F.col("end_frame"), F.lit(False))
+
+
+VOCABULARY = (*BEHAVIORS, *SESSION_BEHAVIORS, UNSCORABLE)
+
+
+def label_violations(df: DataFrame, behaviors: Sequence[str] = VOCABULARY) -> DataFrame:
     """Rows with an unknown behaviour or an end before the start."""
-    return df.filter(~F.col("behavior").isin(*behaviors) | F.col("behavior").isNull() | (F.col("start_frame") > F.col("end_frame")))
+    return df.filter(_violation(behaviors))
+
+
+def checked_labels(df: DataFrame, behaviors: Sequence[str] = VOCABULARY) -> DataFrame:
+    """df; an error where it is read if a behaviour is unknown or an interval ends
+    before it starts."""
+    return refused(df, _violation(behaviors), "unknown behaviours or intervals that end before they start")
 
 
-def read_labels(spark: SparkSession, path: str) -> DataFrame:
-    df = read_csv(spark, path, LABELS)
-    if label_violations(df).limit(1).count():
-        raise ValueError("unknown behaviours or intervals that end before they start")
-    return df
+def read_labels(spark: SparkSession, path: str, behaviors: Sequence[str] = VOCABULARY) -> DataFrame:
+    return checked_labels(read_csv(spark, path, LABELS), behaviors)
 
 
 def read_sessions(spark: SparkSession, path: str, schema: T.StructType, objects: DataFrame | None = None) -> DataFrame:
