@@ -94,63 +94,64 @@ def _grouped(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
 ROUNDS = 12
 
 
-def _mutual(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
+def _mutual(pairs: DataFrame, keys: Sequence[str], rank: Sequence[str]) -> DataFrame:
     """pairs with _taken (the best pair of both its bouts) and _over (one of its
     bouts is taken)."""
-    rank = F.struct("iou", "a_index", "b_index")
+    own = F.struct(*rank)
     a, b = Window.partitionBy(*keys, "a_index"), Window.partitionBy(*keys, "b_index")
-    best = pairs.withColumn("_a", F.max(rank).over(a)).withColumn("_b", F.max(rank).over(b))
-    best = best.withColumn("_taken", (F.col("_a") == rank) & (F.col("_b") == rank)).drop("_a", "_b")
+    best = pairs.withColumn("_a", F.max(own).over(a)).withColumn("_b", F.max(own).over(b))
+    best = best.withColumn("_taken", (F.col("_a") == own) & (F.col("_b") == own)).drop("_a", "_b")
     used = best.withColumn("_over", F.bool_or("_taken").over(b))
     return used.withColumn("_over", F.col("_over") | F.bool_or("_taken").over(a))
 
 
-def _greedy(keys: Sequence[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    """The best pair first, then the best of those that touch none taken, within
-    chains of pairs."""
+def _greedy(rank: Sequence[str]) -> Callable[[pd.DataFrame], pd.DataFrame]:
+    """The best pair first, then the best of those that touch none taken, in a
+    chain of pairs."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["iou", "a_index", "b_index"], ascending=False)
+        rows = rows.sort_values(list(rank), ascending=False)
         seen_a, seen_b, keep = set(), set(), []
-        own = rows[list(keys)].itertuples(index=False, name=None)
-        for key, a, b in zip(own, rows["a_index"].tolist(), rows["b_index"].tolist(), strict=True):
-            free = (key, a) not in seen_a and (key, b) not in seen_b
-            keep.append(free)
-            if free:
-                seen_a.add((key, a))
-                seen_b.add((key, b))
-        return rows[keep]
+        for a, b in zip(rows["a_index"].tolist(), rows["b_index"].tolist(), strict=True):
+            keep.append(a not in seen_a and b not in seen_b)
+            if keep[-1]:
+                seen_a.add(a)
+                seen_b.add(b)
+        return rows[keep].drop(columns="_g")
 
     return run
 
 
-def match_bouts(true: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: float = 0.5, start: str = "start_frame", end: str = "end_frame") -> DataFrame:
-    """(keys, true_index, pred_index, iou): greedy matching by falling (iou,
-    true index, pred index) from threshold on.
+def one_to_one(pairs: DataFrame, keys: Sequence[str], rank: Sequence[str]) -> DataFrame:
+    """The pairs that a walk by falling rank takes, if it leaves out every pair with
+    a bout that is taken. pairs: overlapping_pairs() with the columns of rank.
 
     A pair that is the best one of both its bouts is taken whatever else happens.
     So rounds take all such pairs at once and drop those that share a bout with
-    them, which ends where the greedy order does. Bouts that do not overlap within
-    a side need one round from a threshold of 0.5 on. Long chains of ever smaller
-    overlaps would need a round each: what ROUNDS leave is sorted chain by chain.
+    them, which ends where the walk does. Long chains of ever lower ranks would
+    need a round a pair: what ROUNDS leave is walked, chain by chain.
     """
-    keys = list(keys)
-    open_ = overlapping_pairs(true, pred, keys, start, end).withColumn(
-        "iou", interval_iou(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
-    ).filter(F.col("iou") >= threshold)
-    columns, found = [*keys, "a_index", "b_index", "iou"], None
+    keys, open_, found = list(keys), pairs, None
     for left in range(ROUNDS, -1, -1):
         if left:
-            judged = written(_mutual(open_, keys), "pairs")
-            taken, open_ = judged.filter("_taken"), judged.filter("not _over").select(open_.columns)
+            judged = written(_mutual(open_, keys, rank), "pairs")
+            taken, open_ = judged.filter("_taken").select(pairs.columns), judged.filter("not _over").select(pairs.columns)
         else:
-            chains = _grouped(open_, keys).select(*columns, "_g")
-            schema = chains.drop("_g").schema
-            taken = chains.groupBy(*keys, "_g").applyInPandas(lambda rows: _greedy(keys)(rows.drop(columns="_g")), schema)
-        taken = taken.select(columns)
+            taken = _grouped(open_, keys).select(*pairs.columns, "_g").groupBy(*keys, "_g").applyInPandas(_greedy(rank), pairs.schema)
         found = taken if found is None else found.unionByName(taken)
-        if open_.isEmpty():
+        if not left or open_.isEmpty():
             break
+    return found
+
+
+def match_bouts(true: DataFrame, pred: DataFrame, keys: Sequence[str], threshold: float = 0.5, start: str = "start_frame", end: str = "end_frame") -> DataFrame:
+    """(keys, true_index, pred_index, iou): greedy matching by falling (iou,
+    true index, pred index) from threshold on. Bouts that do not overlap within a
+    side need one round of one_to_one() from a threshold of 0.5 on."""
+    pairs = overlapping_pairs(true, pred, keys, start, end).withColumn(
+        "iou", interval_iou(F.col("a_start"), F.col("a_end"), F.col("b_start"), F.col("b_end"))
+    ).filter(F.col("iou") >= threshold)
+    found = one_to_one(pairs, keys, ["iou", "a_index", "b_index"]).select(*keys, "a_index", "b_index", "iou")
     return found.withColumnsRenamed({"a_index": "true_index", "b_index": "pred_index"})
 
 
@@ -199,8 +200,10 @@ def episode_hits(marked: DataFrame, found: DataFrame, keys: Sequence[str] = KEYS
 
 
 def matched_episodes(marked: DataFrame, found: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, matched) of episode_hits()."""
-    return episode_hits(marked, found, keys).select(*keys, "matched")
+    """(keys, matched) as in episode_hits(), also for episodes that overlap within
+    a side."""
+    pairs = overlapping_pairs(found, marked, keys, "start", "end").withColumns({"_first": -F.col("a_index"), "_second": -F.col("b_index")})
+    return one_to_one(pairs, keys, ["_first", "_second"]).groupBy(*keys).agg(F.count(F.lit(1)).alias("matched"))
 
 
 def threshold_counts(marked: DataFrame, found: DataFrame, grid: Sequence[float], keys: Sequence[str] = KEYS) -> DataFrame:
