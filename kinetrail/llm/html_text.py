@@ -7,13 +7,16 @@ text. The best container is kept with all of the article or main around it, or
 else with its siblings, except for blocks that are mostly links; beside an
 article, others and what scores well. Scripts, styles, forms, menus, page headers,
 footers, sidebars, notices, adverts and reader comments take no part, by their
-tag, role, class or id; a class or id does not drop what holds most of the page's
-unlinked text, unless the page names its content elsewhere, nor does it drop the
-wrapper of a part that is named as content and holds most of it. A form around
+tag, role, class or id. A class or id drops containers and lists only, never a
+paragraph, a heading, preformatted or inline text. Inside an article it must name
+nothing else (related-posts, not related-work), and prose stays under a name that
+a chapter may have as well (search, but not comments). It does not drop what holds
+most of the page's unlinked text, unless the page names its content elsewhere, nor
+the wrapper of a part that is named as content and holds most of it. A form around
 all paragraphs of a page is a wrapper too.
 
-Blocks are joined by "\n" in page order; inside a block white space becomes one
-space, a line break included. Character references are decoded once, as HTML5
+Blocks are joined by "\n" in page order; inside a block white space (what Unicode
+counts as such) becomes one space, a line break included. Character references are decoded once, as HTML5
 does, in text only.
 
 Defined results: null and empty html and pages without text give the empty
@@ -32,17 +35,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SPACE = re.compile(r"[ \t\n\x0b\f\r\xa0  ]+")
+SPACE = re.compile(r"\s+")
 TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|template|svg|iframe|select|object)\b[^>]*>.*?(?:</\1\s*>|\Z)"
+    r"<!--.*?(?:-->|\Z)|<(script|style|textarea|title|noscript|iframe)\b[^>]*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][\w:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>|<[!?/][^>]*(?:>|\Z)|<[a-zA-Z][^<>]*\Z",
     re.DOTALL | re.IGNORECASE,
 )
+#: What a tag, comment or the like at the cut end of a page begins with.
+CUT_TAG = re.compile(r"<[a-zA-Z!?/]")
 ATTRIBUTE = re.compile(r"([\w:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
 HIDDEN = re.compile(r"\shidden(?=[\s=/>]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.IGNORECASE)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("nav footer aside button fieldset menu dialog head".split())
+DROPPED = frozenset("nav footer aside button fieldset menu dialog head select svg object template".split())
+#: Of these, the ones in which no block can stand: a block ends them.
+NO_BLOCKS = ("select", "svg")
 DROPPED_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu".split())
 BLOCKS = frozenset(
     "address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form "
@@ -59,6 +66,20 @@ BAD_NAME = re.compile(
     r"pagination|pager|tags|login|search)(?:$|[\s_-])",
     re.IGNORECASE,
 )
+#: Elements that a class or id may drop.
+NAMED_TAGS = frozenset("center dd details div dl figure form header iframe li main ol section table tbody td tr ul".split())
+#: Names of what no chapter of an article is about.
+SURE_NAME = re.compile(
+    r"(?:ads?|advert\w*|adsense|adbox|sponsor\w*|promo\w*|cookies?|consent|gdpr|popup|modal|overlay|newsletter|subscribe|signup|"
+    r"sidebar|breadcrumbs?|comments?|commentlist|disqus|respond|replies|pagination|pager)",
+    re.IGNORECASE,
+)
+#: Parts of a name that say nothing on the content.
+PLAIN_PARTS = frozenset(
+    "area articles bar block body bottom box button buttons container content form group icons inline inner items label left link "
+    "links list media module nav outer panel pages post posts right row section site slot stories text thread title top unit "
+    "widget widgets wrap wrapper".split()
+)
 GOOD_NAME = re.compile(r"(?:^|[\s_-])(?:article|body|content|entry|main|post|story|text)(?:$|[\s_-])", re.IGNORECASE)
 #: A class that tells what a page has or lacks does not name the element.
 STATE = re.compile(r"(?<!\S)(?:has|no|not|with|without)[_-]\S+", re.IGNORECASE)
@@ -67,11 +88,11 @@ SIBLING_SHARE, FEW_LINKS, MOST, ALL = 0.2, 0.25, 0.5, 0.9
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "bad", "named", "good", "inside", "bonus", "score", "chars", "linked")
+    __slots__ = ("tag", "parent", "children", "bad", "named", "unsure", "good", "inside", "bonus", "score", "chars", "linked")
 
     def __init__(self, tag: str, parent: Node | None, bad: bool = False, bonus: float = 0.0, named: bool = False) -> None:
         self.tag, self.parent, self.children, self.bad, self.bonus = tag, parent, [], bad, bonus
-        self.named, self.good = named, bonus > 0.0
+        self.named, self.unsure, self.good = named, False, bonus > 0.0
         self.inside = tag in ("article", "main") or (parent is not None and parent.inside)
         self.score, self.chars, self.linked = 0.0, 0, 0
 
@@ -94,11 +115,30 @@ def _named_bad(tag: str, attributes: str, inside: bool) -> tuple[bool, float, bo
                 return True, 0.0, False
             bonus += 25.0 if value.lower() in ("main", "article") else 0.0
         elif name in ("class", "id") and tag not in ("article", "main"):
-            named = named or BAD_NAME.search(STATE.sub("", value)) is not None
+            named = named or (tag in NAMED_TAGS and _names_boilerplate(STATE.sub("", value), inside))
             bonus += 10.0 if GOOD_NAME.search(value) else 0.0
     return False, 0.0 if named else bonus, named
 
 
+def _names_boilerplate(value: str, inside: bool) -> bool:
+    """Does a class or id name boilerplate? Inside an article a word of it must do
+    so in all of its parts."""
+    if not inside:
+        return BAD_NAME.search(value) is not None
+    for word in value.split():
+        parts = [x for x in re.split("[-_]+", word.lower()) if x]
+        bad = [x for x in parts if BAD_NAME.search(x)]
+        if bad and all(x in bad or x in PLAIN_PARTS or x.isdigit() for x in parts):
+            return True
+    return False
+
+
+def _unsure(attributes: str) -> bool:
+    """Could a chapter have these names as well?"""
+    words = [next(filter(None, values), "") for name, *values in ATTRIBUTE.findall(attributes) if name.lower() in ("class", "id")]
+    return not any(SURE_NAME.fullmatch(x) for word in words for x in re.split(r"[-_\s]+", word))
+
+
 def parse(page: str) -> Node:
     """The tree of a page; text is a string child."""
     root = Node("html", None)
@@ -113,12 +153,15 @@ def parse(page: str) -> Node:
         open_tags[last.tag] -= 1
         return last.parent
 
-    for match in TOKEN.finditer(page):
+    end = page.rfind(">") + 1  # beyond it no tag is whole
+    for match in TOKEN.finditer(page, 0, end):
         if match.start() > at and not node.bad:
             node.children.append(page[at : match.start()])
         at = match.end()
         tag = match.group(3)
         if tag is None:
+            if at == end and _open_to_the_end(match):
+                at = len(page)
             continue
         tag = tag.lower()
         if match.group(2):  # an end tag closes up to its start, if there is one
@@ -132,8 +175,15 @@ def parse(page: str) -> Node:
             continue
         if tag in VOID:
             if not node.bad:
-                node.children.append("\n" if tag in ("br", "wbr") else Node(tag, node))
+                node.children.append("\n" if tag == "br" else "" if tag == "wbr" else Node(tag, node))
             continue
+        if tag in BLOCKS and node.bad:
+            for kind in NO_BLOCKS:
+                if open_tags[kind] > 0:
+                    up = node
+                    while up.tag != kind:
+                        up = up.parent
+                    node = close(node, up)
         if tag in ENDS_P:
             # li, td and the like end their own kind; any block ends an open p
             ended = {"p", tag, *(("dt", "dd") if tag in ("dt", "dd") else ())}
@@ -148,15 +198,26 @@ def parse(page: str) -> Node:
                 node = close(node, node)
         bad, bonus, named = (True, 0.0, False) if node.bad else _named_bad(tag, match.group(4), node.inside)
         child = Node(tag, node, bad, bonus, named)
+        child.unsure = named and node.inside and tag != "form" and _unsure(match.group(4))
         open_tags[tag] += 1
         if not bad:
             node.children.append(child)
         node = child
     if at < len(page) and not node.bad:
-        node.children.append(page[at:])
+        cut = CUT_TAG.search(page, max(at, end))
+        node.children.append(page[at : cut.start() if cut else len(page)])
     return root
 
 
+def _open_to_the_end(match: re.Match) -> bool:
+    """A comment or a script and the like that nothing ends."""
+    text = match.group().lower()
+    if text.startswith("<!--"):
+        return not text.endswith("-->")
+    kind = match.group(1)
+    return kind is not None and re.search(rf"</{kind}\s*>\Z", text, re.IGNORECASE) is None
+
+
 def _drop_named(root: Node) -> None:
     """Takes boilerplate by class or id out of the tree, except for what holds
     most of the unlinked text while no other part is named as content."""
@@ -175,6 +236,11 @@ def _drop_named(root: Node) -> None:
         size = 0 if link else sum(len(c.strip()) for c in node.children if isinstance(c, str))
         own[id(node)] = size + sum(own[id(c)] for c in parts)
         prose[id(node)] = own[id(node)] if node.tag == "p" else sum(prose[id(c)] for c in parts)
+    full: dict[int, int] = {}  # linked characters too
+    for node, _ in reversed(order):
+        full[id(node)] = sum(len(c.strip()) if isinstance(c, str) else full[id(c)] for c in node.children)
+        if node.unsure and prose[id(node)] > MOST * full[id(node)]:
+            node.named = False
     page = own[id(root)]
     wraps: dict[int, bool] = {}  # a part named as content with most of the page's text lies in it
     for node, _ in reversed(order):

@@ -1,6 +1,7 @@
 import hashlib
 import html.parser
 import random
+import re
 import time
 
 import numpy as np
@@ -83,6 +84,57 @@ def test_deep_pages_in_linear_time():
     assert time.time() - began < 30
 
 
+WORDS = "Long words of this chapter, which any reader would miss, and some more of them to fill a line."
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<h2 id='search'>{}</h2>", "<h2 id='related-work'>{}</h2>", "<section id='related-work'><p>{}</p></section>",
+        "<section id='side-effects'><p>{}</p></section>", "<p id='share-price'>{}</p>", "<div class='social-history'><p>{}</p></div>",
+        "<pre class='language-nav menu'>{}</pre>", "<p>{} <code class='login shell'>sh</code> ends.</p>", "<section id='search'><p>{}</p></section>",
+    ],
+)
+def test_html_names_of_chapters(part):
+    shown = re.sub(r"<[^>]*>", "", part).format(WORDS)
+    for page in (f"<body><article><p>{WORDS * 2}</p>{part.format(WORDS)}<p>The end.</p></article></body>", f"<body><main><p>{WORDS}</p>{part.format(WORDS)}</main></body>"):
+        assert shown in html_text.main_text(page)
+    if "<section" not in part and "<div" not in part:
+        assert shown in html_text.main_text(f"<body><div><p>{WORDS * 2}</p>{part.format(WORDS)}<p>The end.</p></div></body>")
+
+
+@pytest.mark.parametrize(
+    "part",
+    [
+        "<div class='related-posts'><a href='/x'>{}</a></div>", "<div class='ad-slot'>{}</div>", "<section id='comments'><p>{}</p></section>",
+        "<div class='share-buttons'><a href='/x'>{}</a></div>", "<div class='newsletter box'><p>{}</p></div>", "<ul class='social'><li><a href='/x'>{}</a></li></ul>",
+    ],
+)
+def test_html_boilerplate_in_an_article(part):
+    assert html_text.main_text(f"<body><article><p>{WORDS * 3}</p>{part.format('Away with this, please.')}</article></body>") == WORDS * 3
+
+
+def test_html_what_is_no_raw_text():
+    for tag in ("select", "svg"):
+        assert html_text.main_text(f"<body><article><{tag}><option>x<p>{WORDS}</article>") == WORDS
+    assert html_text.main_text(f"<body><article><object>fallback</object><p>{WORDS}</p></article>") == WORDS
+    assert html_text.main_text(f"<article><p>{WORDS}</p><template><p>x</p></template></article>") == WORDS
+    assert html_text.main_text("<article><p>super<wbr>cali</p></article>") == "supercali"
+    assert html_text.main_text("<article><p>a\u2003b\x85c\u2009\xa0d</p></article>") == "a b c d"
+    assert html_text.main_text(f"<article><p>{WORDS}</p><!-- never ended <p>x</p> y") == WORDS
+    assert html_text.main_text(f"<article><p>{WORDS}</p><script>if (a > b) never ended") == WORDS
+    assert html_text.main_text(f"<article><p>{WORDS} 1 < 2 <a href='x") == WORDS + " 1 < 2"
+
+
+def test_html_many_starts_take_linear_time():
+    def took(n):
+        began = time.perf_counter()
+        html_text.main_text("<article><p>x</p>" + "<script " * n)
+        return time.perf_counter() - began
+
+    assert took(64_000) < 2.0
+
+
 class Article(html.parser.HTMLParser):
     """The blocks of the article, read plainly."""
 
