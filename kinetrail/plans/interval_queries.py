@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import detectors, intervals, metrics, review
+from ..operators import detectors, intervals, metrics, review, scans
 from . import standins as S
 from .registry import bout_list, filled, query, runs, sustain
 
@@ -104,7 +104,8 @@ def bout_count(spark, sf):
 
 @query(M + f"select session_id, frame, s from {sustain('m', 'a', 6, 's')}")
 def sustained(spark, sf):
-    return intervals.sustained(S.masks(spark, sf), "a", 6, KEY, "s").select("session_id", "frame", "s")
+    found = scans.in_blocks(S.masks(spark, sf), KEY, 6, lambda d, keys: intervals.sustained(d, "a", 6, keys, "s"))
+    return found.select("session_id", "frame", "s")
 
 
 @query(M + f"select session_id, frame, s from {filled('m', 'a', 3, 's')}")
@@ -150,7 +151,7 @@ def hysteresis(spark, sf):
 
 @query(M + f"select session_id, frame, case when _f then round(least(row_number() over (partition by session_id, _r order by frame)/30e0, 0.2e0), 6) else 0e0 end as sec from {runs('m', 'a')}")
 def run_seconds(spark, sf):
-    df = intervals.run_seconds(S.masks(spark, sf), "a", KEY, "sec", cap=0.2)
+    df = scans.in_blocks(S.masks(spark, sf), KEY, 6, lambda d, keys: intervals.run_seconds(d, "a", keys, "sec", cap=0.2))
     return df.select("session_id", "frame", F.round("sec", 6).alias("sec"))
 
 
@@ -175,7 +176,7 @@ def targets(spark, sf):
 GATED = sustain("(select *, j and not freezing as k from " + filled("m", "a", 0, "j") + ")", "k", 9, "s")
 
 
-@query(M + f"select session_id, frame, s from {GATED.replace('>= 9', '>= 9')}")
+@query(M + f"select session_id, frame, s from {GATED}")
 def gate(spark, sf):
     return detectors.gate(S.masks(spark, sf), "a", "grooming", "s", keys=KEY).select("session_id", "frame", "s")
 

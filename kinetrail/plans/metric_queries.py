@@ -195,7 +195,7 @@ def reference_counts(spark, sf):
 
 # --- clips -----------------------------------------------------------------
 NAMES = "case when labels<>'' then list_distinct(string_split(labels, ';')) when also<>'' then list_distinct(list_concat([label], string_split(also, ';'))) else [label] end"
-CLIP_SQL = S.CLIPS_SQL.replace("%", "%")
+CLIP_SQL = S.CLIPS_SQL
 C = dict(clips=CLIP_SQL, cn=f"select *, {NAMES} as names from clips")
 
 

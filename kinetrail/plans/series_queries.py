@@ -233,7 +233,7 @@ def centered_features(spark, sf):
     return df.select("session_id", "centre", *r6(*(c for c in df.columns if c[0] == "w")))
 
 
-@query(SIG + f"""select c.session_id, c.rn as "start", c.rn+29.5e0 as centre, {stats_sql('(s.rn >= c.rn + 30)').replace('trend', 'trend')} from (select session_id, rn from sig where rn%15=0) c join sig s on s.session_id=c.session_id and s.rn between c.rn and c.rn+59
+@query(SIG + f"""select c.session_id, c.rn as "start", c.rn+29.5e0 as centre, {stats_sql('(s.rn >= c.rn + 30)')} from (select session_id, rn from sig where rn%15=0) c join sig s on s.session_id=c.session_id and s.rn between c.rn and c.rn+59
     where c.rn+59 <= (select max(rn) from sig m where m.session_id=c.session_id) group by all""")
 def sliding_features(spark, sf):
     df = TS.sliding_features(signals(spark, sf), SPEC, 60, 15)

@@ -73,11 +73,6 @@ MARKS_SQL = """
     cast(floor((epoch_us(ts)/1000000-1704067200)/60)+ceil(value*10) as bigint) as end_frame,
     cast(json_extract_string(props,'$.k') as bigint) % 2 as annotator
   from events"""
-#: Frames that the marks lie in: every 5th minute of a user's range.
-TICKS = """
-  select session_id, start_frame + 5*k as frame from (
-    select session_id, min(start_frame) as start_frame from ({marks}) group by session_id) cross join ({ks})"""
-
 KEYPOINTS = ("nose", "ear_left", "ear_right", "neck", "body", "tail_base")
 
 

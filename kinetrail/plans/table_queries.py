@@ -2,33 +2,18 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import intervals
 from ..sources import tables as TB
+from ..sources.scratch import fresh_path as _shared
 from . import standins as S
 from .registry import query
 from .series_queries import FLOOR, LAYER, SUMMARY, layer, r6
 
 
-_own_dirs: dict[str, str] = {}
-
-
-def _shared(spark, name: str) -> str:
-    """A fresh folder that all executors see."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local["):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors see")
-        base = _own_dirs.setdefault(spark.sparkContext.applicationId, "file://" + tempfile.mkdtemp(prefix="kinetrail-"))
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
-
-
 FEATURE_SQL = """select cast(rn as bigint) as frame, session_id, cast(l_quantity as double) as move_nose, cast(l_discount as double) as move_body, cast(rn % 6 as int) as rule_label from ({frames})"""
 
 
