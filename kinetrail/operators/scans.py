@@ -62,12 +62,18 @@ def stitched_runs(
 
     Runs are found per block. Those at the end of a block and the beginning of the
     next one get a common number where they belong together; an inner run is
-    final. Both passes read the same exchange of (keys, order, value). The runs, which
-    are far fewer than the rows and mostly read more than once, become a table.
+    final. The runs, which are far fewer than the rows and mostly read more than once,
+    become a table.
     """
+    return written(_runs(df, value, differs, keys, order, block or BLOCK), "runs")
+
+
+def _runs(df: DataFrame, value: Column, differs: Callable[[Column, Column], Column], keys: Sequence[str], order: str, block: int) -> DataFrame:
+    """The plan of stitched_runs(): both passes read one exchange of (keys, order,
+    value)."""
     keys = list(keys)
     rows = df.select(*keys, F.col(order).alias("_o"), value.alias("_v"))
-    rows = _in_order(rows, keys, "_o", block or BLOCK)
+    rows = _in_order(rows, keys, "_o", block)
     w = Window.partitionBy(*keys, "_block").orderBy("_o")
     opens = F.coalesce(differs(F.lag("_v").over(w), F.col("_v")).cast("int"), F.lit(0))
     rows = rows.withColumns({"_new": opens, "_pos": (F.row_number().over(w) - 1).cast("long")})
@@ -100,7 +106,7 @@ def stitched_runs(
     found = joined.groupBy(*keys, "_g", "_n").agg(
         F.min("_start").alias("start"), F.max("_end").alias("end"), F.min("low").alias("low"), F.max("high").alias("high")
     )
-    return written(found.drop("_g", "_n"), "runs")
+    return found.drop("_g", "_n")
 
 
 def flag_runs(df: DataFrame, flag: str | Column, keys: Sequence[str], order: str = "frame", block: int | None = None) -> DataFrame:

@@ -25,7 +25,7 @@ def read_features(spark, sf):
     others = [c.name for c in TB.FEATURES if c.name not in f.columns]
     f.select("session_id", *(F.lit("").alias(c) for c in others), "frame", "move_nose", "move_body", "rule_label").write.csv(path, header=True)
     raw = TB.read_csv(spark, path, TB.T.StructType([TB.T.StructField("session_id", TB.T.LongType()), *TB.FEATURES.fields]))
-    return TB.checked_features(raw, ["session_id", "frame"]).select("frame", "session_id", "move_nose", "move_body", "rule_label")
+    return TB.unique_frames(raw, ["session_id", "frame"]).select("frame", "session_id", "move_nose", "move_body", "rule_label")
 
 
 

@@ -72,13 +72,20 @@ def refused(df: DataFrame, bad: Column, why: str) -> DataFrame:
 
 
 def checked_features(df: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
+    """df, or a ValueError at once if a frame occurs twice: a job of its own."""
+    if not duplicate_keys(df, keys).isEmpty():
+        raise ValueError("duplicate frames")
+    return df
+
+
+def unique_frames(df: DataFrame, keys: Sequence[str] = ("frame",)) -> DataFrame:
     """df; an error where it is read if a frame occurs twice."""
     twice = F.count(F.lit(1)).over(Window.partitionBy(*keys)) > 1
     return refused(df.withColumn("_twice", twice), F.col("_twice"), "duplicate frames").drop("_twice")
 
 
 def read_features(spark: SparkSession, path: str) -> DataFrame:
-    return checked_features(read_csv(spark, path, FEATURES)).orderBy("frame")
+    return unique_frames(read_csv(spark, path, FEATURES)).orderBy("frame")
 
 
 def _violation(behaviors: Sequence[str]) -> Column:

@@ -73,8 +73,7 @@ def test_runs_positions_and_sums(spark, monkeypatch, rows, block):
 
 def test_both_passes_read_one_exchange(spark, rows, capsys):
     df = spark.createDataFrame(rows, "s int, frame long, m boolean, v double").repartition(5)
-    scans.flag_runs(df, "m", KEYS).collect()
-    found = scans.flag_runs(df, "m", KEYS)
+    found = scans._runs(df, F.coalesce("m", F.lit(False)), lambda a, b: a != b, KEYS, "frame", 64)
     found.collect()
     found.explain()
     assert "ReusedExchange" in capsys.readouterr().out

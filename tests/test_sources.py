@@ -27,9 +27,9 @@ def test_labels_are_checked_where_they_are_read(spark):
 
 def test_frames_are_checked_where_they_are_read(spark):
     once = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "s int, frame long")
-    assert TB.checked_features(once, ["s", "frame"]).columns == ["s", "frame"] and TB.checked_features(once, ["s", "frame"]).count() == 3
+    assert TB.unique_frames(once, ["s", "frame"]).columns == ["s", "frame"] and TB.unique_frames(once, ["s", "frame"]).count() == 3
     with pytest.raises(Exception, match="duplicate frames"):
-        TB.checked_features(once, ["frame"]).count()
+        TB.unique_frames(once, ["frame"]).count()
 
 
 def test_a_session_in_three_batches(spark):
