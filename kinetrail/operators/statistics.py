@@ -4,7 +4,7 @@ the t distribution and are worked out on the one row that comes out."""
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -193,3 +193,49 @@ def calibrate_leave_one_out(counts: DataFrame, option: Sequence[str] = ("option"
         session, *(F.col(f"_b.{o}") for o in option), F.col("_b.truth").alias("truth"), F.col("_b.counted").alias("counted"),
         (100 * (F.col("_b.counted") - F.col("_b.truth")) / F.col("_b.truth")).alias("error_pct"),
     )
+
+
+def reference_counts(
+    episodes: DataFrame, arrivals: DataFrame, layer: DataFrame, reference: DataFrame, windows: Mapping[str, int], keys: Sequence[str] = ("session_id",)
+) -> DataFrame:
+    """Counts and distances after arrival against a reference, one row per key of
+    the reference: for every window, count_ (episodes that begin in it), distance_
+    (px moved), ratio_ (count over the reference's) and px_per_m_.
+
+    episodes: keys, start; arrivals: keys, arrival; layer: keys, pos, distance, of
+    which the row at the arrival and the last one of each window are read; all in
+    rows. reference: keys, and reference_ and metres_ per window. windows: rows.
+    """
+    keys = list(keys)
+    came = episodes.join(arrivals, keys).withColumn("_since", F.col("start") - F.col("arrival"))
+    counts = came.groupBy(*keys).agg(*(F.count_if((F.col("_since") >= 0) & (F.col("_since") < rows)).alias(f"count_{w}") for w, rows in windows.items()))
+    own = layer.join(arrivals, keys).withColumn("_since", F.col("pos") - F.col("arrival")).filter(F.col("_since") >= 0)
+    # the distance only grows: its greatest value in a window is that of its last row
+    moved = own.groupBy(*keys).agg(
+        *((F.max(F.when(F.col("_since") < rows, F.col("distance"))) - F.min("distance")).alias(f"distance_{w}") for w, rows in windows.items())
+    )
+    out = reference.join(arrivals, keys).join(counts, keys, "left").join(moved, keys, "left").na.fill(0, [f"count_{w}" for w in windows])
+    for w in windows:
+        out = out.withColumn(f"ratio_{w}", ratio(F.col(f"count_{w}"), F.col(f"reference_{w}"), None))
+        out = out.withColumn(f"px_per_m_{w}", ratio(F.col(f"distance_{w}"), F.col(f"metres_{w}"), None))
+    return out
+
+
+def correlation(a: Column, b: Column) -> Column:
+    """Pearson's r; null where one side does not vary."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
+def reference_summary(counts: DataFrame, windows: Sequence[str]) -> DataFrame:
+    """(window, correlation, median_ratio, px_per_m, px_correlation) of
+    reference_counts() over all its rows."""
+    parts = []
+    for w in windows:
+        c = {n: F.col(f"{n}_{w}").cast("double") for n in ("count", "reference", "ratio", "px_per_m", "distance", "metres")}
+        parts.append(
+            F.struct(
+                F.lit(w).alias("window"), correlation(c["count"], c["reference"]).alias("correlation"), F.percentile(c["ratio"], F.lit(0.5)).alias("median_ratio"),
+                F.percentile(c["px_per_m"], F.lit(0.5)).alias("px_per_m"), correlation(c["distance"], c["metres"]).alias("px_correlation"),
+            )
+        )
+    return counts.agg(F.array(*parts).alias("_p")).select(F.explode("_p").alias("_r")).select("_r.*")

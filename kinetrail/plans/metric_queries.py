@@ -11,7 +11,7 @@ from ..operators import detectors, intervals, metrics, statistics
 from . import standins as S
 from .interval_queries import MATRIX, labelled
 from .registry import bout_list, filled, query, sustain
-from .series_queries import RULES, T, TRI, r6, rsql, triaged
+from .series_queries import ARRIVAL, MOVE, RULES, T, TRI, arrived, layer, r6, rsql, triaged
 
 MARKS = S.with_(marks=S.MARKS_SQL)
 MX = S.with_(marks=S.MARKS_SQL, mx=f"select *, (frame+session_id)%4 as rule from {MATRIX}")
@@ -177,20 +177,37 @@ def calibrate_loo(spark, sf):
     return statistics.calibrate_leave_one_out(counts).select("session_id", "option", *r6("truth", "counted", "error_pct"))
 
 
-REFERENCE = """select x.session_id, coalesce(count(b."start") filter (b."start" >= 60 and b."start" < 260), 0) as count_short, coalesce(count(b."start") filter (b."start" >= 60), 0) as count_long, max(x.manual) as reference from pr x
-    left join bo b on b.session_id=x.session_id group by 1"""
+#: Rows after arrival that are counted.
+WINDOWS = {"short": 200, "long": 400}
+_ROW = "r.session_id, r.arrival, r.manual, r.metres"
+REFERENCE = f"""select {_ROW}, """ + ", ".join(
+    f"""(select count(*) from bo b where b.session_id=r.session_id and b."start">=r.arrival and b."start"<r.arrival+{n}) as count_{w},
+    (select l.distance from layer l where l.session_id=r.session_id and l.frame=least(r.arrival+{n}, r.n)-1) - (select l.distance from layer l where l.session_id=r.session_id and l.frame=r.arrival) as distance_{w}"""
+    for w, n in WINDOWS.items()) + " from rf r"
+REF = S.with_(**MOVE, pr=PAIRED.replace("{li}", "lineitem"), m=S.MASKS_SQL, bo=f"select * from {A}", ar=ARRIVAL,
+    rf="select session_id, arrival, manual, automatic+1 as metres, n from pr join ar using (session_id) join (select session_id, count(*) as n from pose group by 1) using (session_id)", re=REFERENCE)
+_EACH = ", ".join(f"count_{w}, round(distance_{w}, 3) as distance_{w}, round(count_{w}/nullif(manual, 0), 6) as ratio_{w}, round(distance_{w}/nullif(metres, 0), 6) as px_per_m_{w}" for w in WINDOWS)
 
 
-@query(S.with_(pr=PAIRED.replace("{li}", "lineitem"), m=S.MASKS_SQL, bo=f"select * from {A}", re=REFERENCE) + "select session_id, count_short, count_long, round(count_long/reference, 6) as ratio, round((select corr(count_long, reference) from re), 6) as correlation, round((select quantile_cont(count_long/reference, 0.5) from re), 6) as median_ratio from re")
-def reference_counts(spark, sf):
-    """Episodes that begin in a short and a long time after arrival (row 60)
-    against reference counts."""
+def against_reference(spark, sf) -> DataFrame:
+    """Episodes and distances after arrival, with the paired totals as reference."""
     a, _ = two(spark, sf)
-    n = lambda c: F.count_if(c)
-    counts = a.groupBy("session_id").agg(n(F.expr("start >= 60 and start < 260")).alias("count_short"), n(F.col("start") >= 60).alias("count_long"))
-    joined = paired(spark, sf).join(counts, "session_id", "left").na.fill(0, ["count_short", "count_long"]).withColumn("_r", F.col("count_long") / F.col("manual"))
-    facts = joined.agg(F.round(F.corr("count_long", "manual"), 6).alias("correlation"), F.round(F.percentile("_r", F.lit(0.5)), 6).alias("median_ratio"))
-    return joined.crossJoin(F.broadcast(facts)).select("session_id", "count_short", "count_long", F.round("_r", 6).alias("ratio"), "correlation", "median_ratio")
+    own = paired(spark, sf).select("session_id", *(F.col("manual").alias(f"reference_{w}") for w in WINDOWS), *((F.col("automatic") + 1).alias(f"metres_{w}") for w in WINDOWS))
+    moved = layer(spark, sf).select("session_id", F.col("frame").alias("pos"), "distance")
+    return statistics.reference_counts(a, arrived(spark, sf), moved, own, WINDOWS)
+
+
+@query(REF + f"select session_id, arrival, {_EACH} from re")
+def reference_counts(spark, sf):
+    out = against_reference(spark, sf)
+    return out.select("session_id", "arrival", *(x for w in WINDOWS for x in (f"count_{w}", F.round(f"distance_{w}", 3).alias(f"distance_{w}"), *r6(f"ratio_{w}", f"px_per_m_{w}"))))
+
+
+@query(REF + " union all ".join(f"""select '{w}' as "window", round(corr(count_{w}, manual), 6) as correlation, round(quantile_cont(count_{w}/nullif(manual, 0), 0.5), 6) as median_ratio,
+    round(quantile_cont(distance_{w}/nullif(metres, 0), 0.5), 6) as px_per_m, round(corr(distance_{w}, metres), 6) as px_correlation from re""" for w in WINDOWS))
+def reference_summary(spark, sf):
+    out = statistics.reference_summary(against_reference(spark, sf), list(WINDOWS))
+    return out.select("window", *r6("correlation", "median_ratio", "px_per_m", "px_correlation"))
 
 
 # --- clips -----------------------------------------------------------------

@@ -274,13 +274,19 @@ def score_context(spark, sf):
 _SEEN = "(" + "+".join(f"case when {k}_p>=0.25 then 1 else 0 end" for k in KEYPOINTS) + ")>=3"
 
 
-@query(P + f"""select s.session_id, coalesce(b.first, 0) as arrival from (select distinct session_id from pose) s left join (
-    select session_id, min("start") as first from {bout_list('pose', _SEEN, KS)} where "end"-"start"+1>=30 group by 1) b using (session_id)""")
+ARRIVAL = f"""select s.session_id, coalesce(b.first, 0) as arrival from (select distinct session_id from pose) s left join (
+    select session_id, min("start") as first from {bout_list('pose', _SEEN, KS)} where "end"-"start"+1>=30 group by 1) b using (session_id)"""
+
+
+def arrived(spark, sf) -> DataFrame:
+    seen = sum((F.when(F.col(f"{k}_p") >= 0.25, 1).otherwise(0) for k in KEYPOINTS), F.lit(0)) >= 3
+    return intervals.first_long_bout(S.pose(spark, sf).withColumn("_seen", seen), "_seen", 30, K2, "arrival").drop("field")
+
+
+@query(P + ARRIVAL)
 def arrival(spark, sf):
     """First row of the first second with three confident keypoints."""
-    pose = S.pose(spark, sf)
-    seen = sum((F.when(F.col(f"{k}_p") >= 0.25, 1).otherwise(0) for k in KEYPOINTS), F.lit(0)) >= 3
-    return intervals.first_long_bout(pose.withColumn("_seen", seen), "_seen", 30, K2, "arrival").drop("field")
+    return arrived(spark, sf)
 
 
 # --- detectors -------------------------------------------------------------

@@ -116,3 +116,20 @@ def test_triage_of_a_long_session_in_blocks(spark, monkeypatch):
     want = sorted(map(tuple, whole.select(cols).collect()))
     assert sorted(map(tuple, cut.select(cols).collect())) == want
     assert all(len({r[i] for r in want}) == 2 for i in (1, 4, 6))
+
+
+def test_counts_after_arrival(spark):
+    """Only what begins after arrival counts, also where a window outlasts the session."""
+    from kinetrail.operators import statistics
+
+    frames = spark.createDataFrame([("a", i, float(2 * i)) for i in range(100)] + [("b", i, 0.0) for i in range(5)], "session_id string, pos long, distance double")
+    arrivals = spark.createDataFrame([("a", 10), ("b", 0)], "session_id string, arrival long")
+    episodes = spark.createDataFrame([("a", s) for s in (3, 10, 29, 30, 95)], "session_id string, start long")
+    own = spark.createDataFrame([("a", 4.0, 2.0, 5.0, 1.0), ("b", 0.0, 0.0, 1.0, 1.0)], "session_id string, reference_s double, reference_l double, metres_s double, metres_l double")
+    got = {r["session_id"]: r for r in statistics.reference_counts(episodes, arrivals, frames, own, {"s": 20, "l": 1000}).collect()}
+    a, b = got["a"], got["b"]
+    assert (a["count_s"], a["count_l"], a["ratio_s"], a["ratio_l"]) == (2, 4, 0.5, 2.0)
+    assert (a["distance_s"], a["distance_l"], a["px_per_m_s"]) == (38.0, 178.0, 38.0 / 5)
+    assert (b["count_l"], b["distance_l"], b["ratio_s"]) == (0, 0.0, None)
+    summary = statistics.reference_summary(spark.createDataFrame(list(got.values())), ["s", "l"]).collect()
+    assert [r["window"] for r in summary] == ["s", "l"] and summary[0]["median_ratio"] == 0.5
