@@ -10,7 +10,7 @@ chain of these operators is shuffled once.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from itertools import pairwise
 
 from pyspark.sql import Column, DataFrame, Window
@@ -126,9 +126,10 @@ def close_gaps(df: DataFrame, flag: str | Column, gap: int, keys: Sequence[str],
     return _without(runs.withColumn(out, F.col("_flag") | (inner & (F.col("_len") + 1 <= gap))))
 
 
-def bouts(df: DataFrame, flag: str | Column, keys: Sequence[str], order: str = "frame") -> DataFrame:
-    """Runs of true rows: (keys, start, end) in row positions."""
-    return scans.flag_runs(df, flag, keys, order).filter("flag").drop("flag")
+def bouts(df: DataFrame, flag: str | Column, keys: Sequence[str], order: str = "frame", most: Mapping[str, Column] | None = None) -> DataFrame:
+    """Runs of true rows: (keys, start, end) in row positions, and the greatest
+    value in each of the columns of most."""
+    return scans.flag_runs(df, flag, keys, order, most=most).filter("flag").drop("flag")
 
 
 def bout_count(df: DataFrame, flag: str, keys: Sequence[str], order: str = "frame") -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import interval_iou
 from ..sources.scratch import written
 from .dyadic import meeting
-from .intervals import bouts, with_position
+from .intervals import bouts
 
 KEYS = ("session_id",)
 
@@ -343,7 +343,6 @@ def object_bouts(df: DataFrame, marked: str, objects: DataFrame, margin: float =
     x, y = F.col("nose_x"), F.col("nose_y")
     edge = F.array_min(F.transform("_o", lambda o: F.sqrt((x - o.center_x) * (x - o.center_x) + (y - o.center_y) * (y - o.center_y)) - o.radius))
     near = F.coalesce((x >= 0) & (y >= 0) & (edge < margin), F.lit(False))
-    rows = with_position(df, keys).join(listed, "session_id").withColumn("_near", near).select(*keys, "pos", "_near")
-    spread = bouts(df, marked, keys).withColumn("pos", F.explode(F.sequence("start", "end")))
-    hit = spread.join(rows, [*keys, "pos"]).groupBy(*keys, "start", "end").agg(F.bool_or("_near").alias("_near"))
-    return hit.filter("_near").drop("_near")
+    # found along with the episodes: no row is looked up by its place
+    found = bouts(df.join(listed, "session_id", "left"), marked, keys, most={"_near": near})
+    return found.filter("_near").drop("_near")

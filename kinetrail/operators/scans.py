@@ -20,7 +20,7 @@ a place take no part.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -52,10 +52,11 @@ def _in_order(df: DataFrame, keys: Sequence[str], order: str, size: int) -> Data
 
 def stitched_runs(
     df: DataFrame, value: Column, differs: Callable[[Column, Column], Column], keys: Sequence[str], order: str = "frame",
-    block: int | None = None,
+    block: int | None = None, most: Mapping[str, Column] | None = None,
 ) -> DataFrame:
     """(keys, start, end, low, high): runs of rows, in row positions from 0, with
-    the least and the greatest value of each.
+    the least and the greatest value of each, and the greatest of each column of
+    most.
 
     differs(before, value): does a row with value open a new run after a row with
     before? Within a run, values must be equal or grow.
@@ -65,21 +66,23 @@ def stitched_runs(
     final. The runs, which are far fewer than the rows and mostly read more than once,
     become a table.
     """
-    return written(_runs(df, value, differs, keys, order, block or BLOCK), "runs")
+    return written(_runs(df, value, differs, keys, order, block or BLOCK, most or {}), "runs")
 
 
-def _runs(df: DataFrame, value: Column, differs: Callable[[Column, Column], Column], keys: Sequence[str], order: str, block: int) -> DataFrame:
+def _runs(
+    df: DataFrame, value: Column, differs: Callable[[Column, Column], Column], keys: Sequence[str], order: str, block: int, most: Mapping[str, Column]
+) -> DataFrame:
     """The plan of stitched_runs(): both passes read one exchange of (keys, order,
     value)."""
-    keys = list(keys)
-    rows = df.select(*keys, F.col(order).alias("_o"), value.alias("_v"))
+    keys, greatest = list(keys), [F.max(c).alias(c) for c in most]
+    rows = df.select(*keys, F.col(order).alias("_o"), value.alias("_v"), *(c.alias(n) for n, c in most.items()))
     rows = _in_order(rows, keys, "_o", block)
     w = Window.partitionBy(*keys, "_block").orderBy("_o")
     opens = F.coalesce(differs(F.lag("_v").over(w), F.col("_v")).cast("int"), F.lit(0))
     rows = rows.withColumns({"_new": opens, "_pos": (F.row_number().over(w) - 1).cast("long")})
     rows = rows.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     pieces = rows.groupBy(*keys, "_block", "_run").agg(
-        F.min("_pos").alias("_start"), F.max("_pos").alias("_end"), F.min("_v").alias("low"), F.max("_v").alias("high")
+        F.min("_pos").alias("_start"), F.max("_pos").alias("_end"), F.min("_v").alias("low"), F.max("_v").alias("high"), *greatest
     )
     blocks = pieces.groupBy(*keys, "_block").agg(
         (F.max("_end") + 1).alias("_rows"), F.max("_run").alias("_last"), F.min_by("low", "_run").alias("_first_v"), F.max_by("high", "_run").alias("_last_v")
@@ -104,16 +107,19 @@ def _runs(df: DataFrame, value: Column, differs: Callable[[Column, Column], Colu
         }
     )
     found = joined.groupBy(*keys, "_g", "_n").agg(
-        F.min("_start").alias("start"), F.max("_end").alias("end"), F.min("low").alias("low"), F.max("high").alias("high")
+        F.min("_start").alias("start"), F.max("_end").alias("end"), F.min("low").alias("low"), F.max("high").alias("high"), *greatest
     )
     return found.drop("_g", "_n")
 
 
-def flag_runs(df: DataFrame, flag: str | Column, keys: Sequence[str], order: str = "frame", block: int | None = None) -> DataFrame:
-    """(keys, start, end, flag): runs of equal flags in row positions; null is false."""
+def flag_runs(
+    df: DataFrame, flag: str | Column, keys: Sequence[str], order: str = "frame", block: int | None = None, most: Mapping[str, Column] | None = None
+) -> DataFrame:
+    """(keys, start, end, flag): runs of equal flags in row positions; null is false.
+    With the greatest value in the run of each column of most."""
     value = F.coalesce(F.col(flag) if isinstance(flag, str) else flag, F.lit(False))
-    found = stitched_runs(df, value, lambda a, b: a != b, keys, order, block)
-    return found.select(*keys, "start", "end", F.col("low").alias("flag"))
+    found = stitched_runs(df, value, lambda a, b: a != b, keys, order, block, most)
+    return found.select(*keys, "start", "end", F.col("low").alias("flag"), *(most or {}))
 
 
 def _carried(df: DataFrame, keys: Sequence[str], order: str, size: int, amount: Column) -> DataFrame:
@@ -140,10 +146,14 @@ def running_sum(df: DataFrame, value: Column, keys: Sequence[str], out: str, ord
     return cut.withColumn(out, own + F.coalesce("_carry", F.lit(0))).drop("_block", "_carry", "_value")
 
 
-def _bounds(df: DataFrame, keys: Sequence[str], order: str, reach: int, rows: int) -> DataFrame:
+def _bounds(df: DataFrame, keys: Sequence[str], order: str, reach: int, rows: int) -> DataFrame | None:
     """(keys, _bucket, _blocks) of keys with more than rows rows: the blocks that
-    need a bucket, and whether it is their own."""
-    counts = df.groupBy(*keys, _block(order, BUCKET).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
+    need a bucket, and whether it is their own. None without such keys."""
+    # keys are counted before their order is looked at: mostly none is that long
+    long = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > rows).select(*keys)
+    if long.isEmpty():
+        return None
+    counts = df.join(long, keys, "left_semi").groupBy(*keys, _block(order, BUCKET).alias("_bucket")).agg(F.count(F.lit(1)).alias("_n"))
     line = Window.partitionBy(*keys).orderBy("_bucket")
     before = F.coalesce(F.sum("_n").over(line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = counts.withColumns({"_before": before, "_total": F.sum("_n").over(Window.partitionBy(*keys))}).filter(F.col("_total") > rows)
@@ -166,7 +176,7 @@ def in_blocks(df: DataFrame, keys: Sequence[str], reach: int, apply: Apply, orde
     apply: a chain of windows over the keys that it is given, in the given order,
     that look reach rows back or ahead at most and keep the columns they get. Keys
     of more than rows rows are cut into blocks, each with reach rows of its
-    neighbours; which keys these are is counted first, on keys and order alone. A
+    neighbours; which keys these are is counted first, on the keys alone. A
     key of fewer rows is one block. The cut goes by counted rows, so that holes in
     the order do no harm.
     """
@@ -174,7 +184,7 @@ def in_blocks(df: DataFrame, keys: Sequence[str], reach: int, apply: Apply, orde
     if reach + BUCKET > rows // 2:
         raise ValueError("a block must be larger than twice its reach")
     bounds = _bounds(df, keys, order, reach, rows)
-    few = bounds.limit(BROADCAST_ROWS + 1).count()
+    few = bounds.limit(BROADCAST_ROWS + 1).count() if bounds is not None else 0
     whole = F.struct(F.lit(0).cast("long").alias("block"), F.lit(True).alias("own"))
     if few:
         bounds = F.broadcast(bounds) if few <= BROADCAST_ROWS else bounds
