@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.scalars import head_direction, length
 from ..sources.scratch import written
-from .intervals import bouts, close_gaps, hysteresis, join_episodes, mask_to_bouts, merge_close_bouts, sustained, threshold_bouts, touching, with_position
+from .intervals import bouts, close_gaps, hysteresis, join_episodes, mask_to_bouts, merge_close_bouts, sustained, threshold_bouts, touching
 from .scans import running_sum
 from .timeseries import KEYS, middle_of, moved, over, path_straightness, smooth
 
@@ -263,10 +263,12 @@ def gate(df: DataFrame, mask: str, behavior: str, out: str, fps: float = C.FPS,
 
 def triage_episodes(df: DataFrame, score: str, low: float, high: float, cut: float | None = None, behavior: str = "rearing", fps: float = C.FPS, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, start, end, peak, accepted): episodes at cut, and weak ones at low
-    that meet none of them; accepted from a peak of high on."""
+    that meet none of them; accepted from a peak of high on. The peaks come with
+    the episodes."""
 
     def found(threshold: float) -> DataFrame:
-        return bouts(gate(frame_mask(df, score, threshold, "_m", None, fps, keys), "_m", behavior, "_g", fps, "gap", keys), "_g", keys)
+        gated = gate(frame_mask(df, score, threshold, "_m", None, fps, keys), "_m", behavior, "_g", fps, "gap", keys)
+        return bouts(gated, "_g", keys, most={"peak": F.col(score)})
 
     if cut is None:
         episodes = found(low).withColumn("_weak", F.lit(False))
@@ -275,7 +277,4 @@ def triage_episodes(df: DataFrame, score: str, low: float, high: float, cut: flo
         episodes = main.withColumn("_weak", F.lit(False)).unionByName(
             touching(found(low), main, keys, "left_anti").withColumn("_weak", F.lit(True))
         )
-    rows = with_position(df.select(*keys, "frame", score), keys).select(*keys, "pos", score)
-    spread = episodes.withColumn("pos", F.explode(F.sequence("start", "end")))
-    peaks = spread.join(rows, [*keys, "pos"]).groupBy(*keys, "start", "end", "_weak").agg(F.max(score).alias("peak"))
-    return peaks.withColumn("accepted", ~F.col("_weak") & (F.col("peak") >= high)).drop("_weak")
+    return episodes.withColumn("accepted", ~F.col("_weak") & (F.col("peak") >= high)).drop("_weak")
