@@ -55,7 +55,9 @@ def point_join(points: DataFrame, intervals: DataFrame, keys: Sequence[str], poi
     left = points.crossJoin(F.broadcast(levels)).withColumn("_p", F.explode(probes))
     left = left.select(*points.columns, F.col("_p.level").alias("_plevel"), F.col("_p.at").alias("_pat"))
     on = [F.col(k).eqNullSafe(F.col(own[k])) for k in keys] + [F.col("_plevel") == F.col("_level"), F.col("_pat") == F.col("_at")]
-    joined = left.join(cut, on).filter(F.col(point).between(F.col(own[start]), F.col(own[end])))
+    # a written table of intervals is small on disk and large in memory: not to be
+    # broadcast by the size of its files
+    joined = left.join(cut.hint("merge"), on).filter(F.col(point).between(F.col(own[start]), F.col(own[end])))
     return joined.select(*points.columns, *(F.col(own[c]).alias(c) for c in intervals.columns if c not in keys))
 
 

@@ -73,9 +73,10 @@ def _numbered(df: DataFrame, keys: Sequence[str], start: str, name: str) -> Data
     return df.withColumn(name, (F.row_number().over(Window.partitionBy(*keys).orderBy(start)) - 1).cast("int"))
 
 
-def overlapping_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str) -> DataFrame:
-    """(keys, a_index, a_start, a_end, b_...): pairs that meet."""
-    left = _numbered(a, keys, start, "a_index").select(*keys, "a_index", F.col(start).alias("a_start"), F.col(end).alias("a_end"))
+def overlapping_pairs(a: DataFrame, b: DataFrame, keys: Sequence[str], start: str, end: str, parts: Sequence[str] = ()) -> DataFrame:
+    """(keys, parts, a_index, a_start, a_end, b_...): pairs that meet. parts: columns
+    that split the rows of a further, of which each part meets all of b."""
+    left = _numbered(a, [*keys, *parts], start, "a_index").select(*keys, *parts, "a_index", F.col(start).alias("a_start"), F.col(end).alias("a_end"))
     right = _numbered(b, keys, start, "b_index").select(*keys, "b_index", F.col(start).alias("b_start"), F.col(end).alias("b_end"))
     return meeting(left, right, keys, ("a_start", "a_end"), ("b_start", "b_end"))
 
@@ -172,11 +173,12 @@ def bout_metrics(true: DataFrame, pred: DataFrame, group: Sequence[str] = ("beha
     )
 
 
-def episode_hits(marked: DataFrame, found: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """(keys, matched, hits, real): marks that meet a detection (hits), detections
+def episode_hits(marked: DataFrame, found: DataFrame, keys: Sequence[str] = KEYS, parts: Sequence[str] = ()) -> DataFrame:
+    """(keys, parts, matched, hits, real): marks that meet a detection (hits), detections
     that meet a mark (real), and pairs where every detection, in order, takes the
     first unused mark that it meets. Both with start, end in rows, without overlaps
-    within a side; keys without a meeting have no row.
+    within a side; keys without a meeting have no row. parts: columns of found, each
+    part by itself against all marks, which are not repeated.
 
     Detections in order meet stretches of marks of which two neighbours share one
     mark at most, the last of the one and the first of the other. Whether that one
@@ -184,7 +186,8 @@ def episode_hits(marked: DataFrame, found: DataFrame, keys: Sequence[str] = KEYS
     afterwards, with three or more the last is free, and with two, of which the
     first is shared, it stays as it was. So it is the last value that was settled.
     """
-    pairs = overlapping_pairs(found, marked, keys, "start", "end")
+    pairs = overlapping_pairs(found, marked, keys, "start", "end", parts)
+    keys = [*keys, *parts]
     met = pairs.groupBy(*keys, "a_index").agg(F.min("b_index").alias("_lo"), F.max("b_index").alias("_hi"))
     w = Window.partitionBy(*keys).orderBy("a_index")
     n = F.col("_hi") - F.col("_lo") + 1
@@ -213,9 +216,11 @@ def threshold_counts(marked: DataFrame, found: DataFrame, grid: Sequence[float],
     marked: keys, start, end; found: threshold_bouts() on the same grid.
     """
     own, last = [*keys, "level"], len(grid) - 1
-    marks = marked.withColumn("level", F.explode(F.expr(f"sequence(0, {last})")))
-    n = lambda d, name: d.groupBy(*own).agg(F.count(F.lit(1)).alias(name))
-    out = n(marks, "manual").join(n(found, "found"), own, "full").join(episode_hits(marks, found, own), own, "left")
+    n = lambda d, by, name: d.groupBy(*by).agg(F.count(F.lit(1)).alias(name))
+    manual = n(marked, keys, "manual").withColumn("level", F.explode(F.expr(f"sequence(0, {last})")))
+    # a row per key and level: more than the sizes that are known before tell
+    out = manual.hint("merge").join(n(found, own, "found").hint("merge"), own, "full")
+    out = out.join(episode_hits(marked, found, keys, ["level"]).hint("merge"), own, "left")
     out = out.withColumnRenamed("matched", "pairs").na.fill(0, ["manual", "found", "pairs", "hits", "real"])
     threshold = F.get(F.array(*(F.lit(float(g)) for g in grid)), F.col("level"))
     return out.withColumn("threshold", threshold).drop("level")
