@@ -47,7 +47,7 @@ def disagreements(episodes: DataFrame) -> DataFrame:
 def decision_groups(episodes: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """(keys, start, end, status): episodes of both lanes that chain by overlap
     are one decision."""
-    w = Window.partitionBy(*keys).orderBy("start", "end")
+    w = Window.partitionBy(*keys).orderBy("start", "end", "lane")
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     opened = F.coalesce((F.col("start") > reach).cast("int"), F.lit(0))
     grouped = episodes.withColumn("_new", opened).withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))

@@ -229,7 +229,7 @@ LANES = f"""la as (select * from {bout_list('m', 'a and not unscorable')}), lb a
   ep as (select session_id, 'a' as lane, "start", "end", case when exists (select 1 from lb where lb.session_id=la.session_id and lb."start"<=la."end" and la."start"<=lb."end") then 'both' else 'only_a' end as status from la
     union all select session_id, 'b', "start", "end", case when exists (select 1 from la where lb.session_id=la.session_id and lb."start"<=la."end" and la."start"<=lb."end") then 'both' else 'only_b' end from lb),
   grp as (select session_id, min("start") as "start", max("end") as "end", case when min(lane)<>max(lane) then 'both' else 'only_'||min(lane) end as status from (
-    select *, sum(n) over (partition by session_id order by "start", "end" rows unbounded preceding) as g from (select *, case when "start" > max("end") over (partition by session_id order by "start", "end"
+    select *, sum(n) over (partition by session_id order by "start", "end", lane rows unbounded preceding) as g from (select *, case when "start" > max("end") over (partition by session_id order by "start", "end", lane
       rows between unbounded preceding and 1 preceding) then 1 else 0 end as n from ep)) group by session_id, g),
   mk as (select session_id, 'a' as lane, "start" as start_frame, "end" as end_frame from la union all select session_id, 'b', "start", "end" from lb)"""
 L = "with m as (" + S.MASKS_SQL + f"), {LANES} "
