@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import is_notable, label_set, primary_label
 from ..operators import clips as CL
 from ..operators import detectors, intervals, metrics, statistics
+from ..sources.scratch import written
 from . import standins as S
 from .interval_queries import MATRIX, labelled
 from .registry import bout_list, filled, query, sustain
@@ -260,14 +261,19 @@ E = dict(TRI, **C, kept=KEPT, pres=f"select c.clip_id, {PRES} from kept c left j
 EV = S.with_(**E)
 
 
-def evaluated(spark, sf) -> DataFrame:
-    clips = named(spark, sf)
-    pres = CL.clip_presence(triaged(spark, sf), clips, ["review", "unscorable", "object_interaction"])
+def evaluated(spark, sf, frames: DataFrame | None = None) -> DataFrame:
+    clips, frames = named(spark, sf), triaged(spark, sf) if frames is None else frames
+    pres = CL.clip_presence(frames, clips, ["review", "unscorable", "object_interaction"])
     return CL.clip_evaluation(clips, pres).join(clips.select("clip_id", "session_id", "round", "band_share"), "clip_id")
 
 
-def weights(spark, sf) -> DataFrame:
-    return CL.stratum_weights(triaged(spark, sf), ["walking", "freezing", "review"])
+def weights(spark, sf, frames: DataFrame | None = None) -> DataFrame:
+    return CL.stratum_weights(triaged(spark, sf) if frames is None else frames, ["walking", "freezing", "review"])
+
+
+def flags(spark, sf) -> DataFrame:
+    """The flags of triaged() as a table, for what reads them twice."""
+    return written(triaged(spark, sf).select("session_id", "frame", "walking", "freezing", "object_interaction", "unscorable", "review"), "flags")
 
 
 @query(EV + f"select clip_id, {', '.join(f'round({c}, 6) as {c}, any_{c}' for c in ('review', 'unscorable', 'object_interaction'))} from pres")
@@ -297,7 +303,8 @@ PER = "(select stratum, avg(notable::int) as t, avg((notable and not surfaced)::
 
 @query(EV + f"select round(sum(weight*e)/nullif(sum(weight*t), 0), 6) as weighted_escape from {PER} join wt using (stratum)")
 def weighted_escape(spark, sf):
-    return CL.weighted_escape(evaluated(spark, sf), weights(spark, sf)).select(*r6("weighted_escape"))
+    frames = flags(spark, sf)
+    return CL.weighted_escape(evaluated(spark, sf, frames), weights(spark, sf, frames)).select(*r6("weighted_escape"))
 
 
 @query(EV + """select round(sum(w*tp)/nullif(sum(w*ps), 0), 6) as recall, round(sum(w*tp)/nullif(sum(w*(tp+fp)), 0), 6) as "precision" from (select stratum, min(band_share)/count(*) as w, count(*) filter (notable and surfaced) as tp,
@@ -320,7 +327,9 @@ DRAWS = """(select stratum, rep, n, notables, missed, cast(('0x' || substr(md5(c
 @query(EV.replace("tri as (", "tri as materialized (").replace("ev as (", "ev as materialized (") + f"""select round(quantile_cont(v, 0.05), 6) as p5, round(quantile_cont(v, 0.95), 6) as p95 from (select rep, sum(weight*e)/nullif(sum(weight*t), 0) as v from (
     select rep, stratum, count(*) filter (place<missed)/min(n) as e, count(*) filter (place<notables)/min(n) as t from {DRAWS} group by 1, 2) join wt using (stratum) group by 1)""")
 def bootstrap_ci(spark, sf):
-    return CL.bootstrap_escape(evaluated(spark, sf), weights(spark, sf)).select(*r6("p5", "p95"))
+    frames = flags(spark, sf)
+    clips = written(evaluated(spark, sf, frames).select("clip_id", "stratum", "notable", "surfaced"), "evaluated")
+    return CL.bootstrap_escape(clips, weights(spark, sf, frames)).select(*r6("p5", "p95"))
 
 
 SC = S.with_(m=S.MASKS_SQL, clips=CLIP_SQL)
