@@ -10,6 +10,7 @@ from ..functions.constants import KEYPOINTS
 from ..operators import detectors as D
 from ..operators import intervals, metrics, scans
 from ..operators import timeseries as TS
+from ..sources.scratch import written
 from . import standins as S
 from .registry import bout_list, filled, median, query, runs, sustain
 
@@ -399,7 +400,8 @@ SEG = f"""(select session_id, min(lo) as start_frame, max(hi) as end_frame from
 @query(T.replace("tri as (", "tri as materialized (") + f"""select s.session_id, s.start_frame, s.end_frame, round(a.time_ms, 3) as start_ms, round(b.time_ms, 3) as end_ms, s.end_frame-s.start_frame+1 as n_frames from {SEG} s
     join tri a on a.session_id=s.session_id and a.frame=s.start_frame join tri b on b.session_id=s.session_id and b.frame=s.end_frame""")
 def review_segments(spark, sf):
-    out = D.review_segments(triaged(spark, sf))
+    # read three times
+    out = D.review_segments(written(triaged(spark, sf).select("session_id", "field", "frame", "time_ms", "review"), "review"))
     return out.select("session_id", "start_frame", "end_frame", F.round("start_ms", 3).alias("start_ms"), F.round("end_ms", 3).alias("end_ms"), "n_frames")
 
 
