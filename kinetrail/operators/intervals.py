@@ -97,25 +97,37 @@ def _without(df: DataFrame, prefix: str = "_") -> DataFrame:
 LOOK_AHEAD = 128
 
 
+def _since_broken(df: DataFrame, flag: str | Column, keys: Sequence[str], order: str) -> DataFrame:
+    """Adds _flag (null is false) and _far, the rows since the last false one: how
+    long a true run has lasted, in the order of the rows."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    value = F.coalesce(F.col(flag) if isinstance(flag, str) else flag, F.lit(False))
+    held = df.withColumns({"_flag": value, "_nth": F.row_number().over(w)})
+    broken = F.max(F.when(~F.col("_flag"), F.col("_nth"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return held.withColumn("_far", F.col("_nth") - F.coalesce(broken, F.lit(0))).drop("_nth")
+
+
 def sustained(df: DataFrame, flag: str | Column, rows: int, keys: Sequence[str], out: str, order: str = "frame") -> DataFrame:
     """The flag without runs of fewer than rows rows.
 
     A row stays if its run, counted from its beginning, reaches rows here or in
     the next rows - 1 rows: a run that began later cannot. So the rows keep their
-    order, and a chain of detectors is sorted once; a very long shortest run is
-    measured by run instead.
+    order, and a chain of detectors is sorted once. Runs that have reached rows are
+    counted as they go, and the count rows - 1 rows on tells, whatever rows is,
+    where a maximum over the rows ahead would be taken anew for every row; a very long
+    shortest run is measured by run instead.
     """
-    value = F.coalesce(F.col(flag) if isinstance(flag, str) else flag, F.lit(False))
     if rows <= 1:
-        return df.withColumn(out, value)
+        return df.withColumn(out, F.coalesce(F.col(flag) if isinstance(flag, str) else flag, F.lit(False)))
     if rows > LOOK_AHEAD:
         return _without(with_runs(df, flag, keys, order).withColumn(out, F.col("_flag") & (F.col("_len") >= rows)))
     w = Window.partitionBy(*keys).orderBy(order)
-    held = df.withColumns({"_flag": value, "_nth": F.row_number().over(w)})
-    broken = F.max(F.when(~F.col("_flag"), F.col("_nth"))).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    held = held.withColumn("_far", F.col("_nth") - F.coalesce(broken, F.lit(0)))
-    reached = F.max("_far").over(w.rowsBetween(0, rows - 1)) >= rows
-    return held.withColumn(out, F.col("_flag") & reached).drop("_flag", "_nth", "_far")
+    held = _since_broken(df, flag, keys, order)
+    so_far = F.sum((F.col("_far") == rows).cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    held = held.withColumn("_reached", so_far)
+    ahead = F.coalesce(F.lead("_reached", rows - 1).over(w), F.last("_reached").over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    held = held.withColumn("_ahead", ahead)
+    return held.withColumn(out, F.col("_flag") & ((F.col("_far") >= rows) | (F.col("_ahead") > F.col("_reached")))).drop("_flag", "_far", "_reached", "_ahead")
 
 
 def close_gaps(df: DataFrame, flag: str | Column, gap: int, keys: Sequence[str], out: str, order: str = "frame") -> DataFrame:
@@ -228,9 +240,8 @@ def hysteresis(df: DataFrame, seed: str | Column, allowed: str | Column, keys: S
 
 def run_seconds(df: DataFrame, flag: str | Column, keys: Sequence[str], out: str, fps: float = 30.0, cap: float = 60.0, order: str = "frame") -> DataFrame:
     """Seconds for which the flag has held so far, capped; 0 where it is false."""
-    runs = with_runs(df, flag, keys, order)
-    nth = F.row_number().over(Window.partitionBy(*keys, "_run").orderBy(order))
-    return _without(runs.withColumn(out, F.when(F.col("_flag"), F.least(nth / F.lit(fps), F.lit(cap))).otherwise(F.lit(0.0))))
+    held = _since_broken(df, flag, keys, order)
+    return held.withColumn(out, F.when(F.col("_flag"), F.least(F.col("_far") / F.lit(fps), F.lit(cap))).otherwise(F.lit(0.0))).drop("_flag", "_far")
 
 
 def encode_ranges(df: DataFrame, flag: str, keys: Sequence[str]) -> DataFrame:

@@ -7,6 +7,7 @@ keys, so that one exchange and one sort serve a chain of these operators.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -121,10 +122,16 @@ def interpolate_skipped(pose: DataFrame, keypoints: Sequence[str], inferred: str
     return out.withColumns(made).drop(*ends)
 
 
+def _keyed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows of a session. What a session has in all is a window over it, in the order
+    that the rows have, so that what leads to them is worked out once."""
+    return reduce(lambda d, k: d.filter(F.col(k).isNotNull()), keys, df)
+
+
 def relative_to_session(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = KEYS) -> DataFrame:
     """Columns divided by the session's median; null where it is not positive."""
-    medians = df.groupBy(*keys).agg(*(F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in columns))
-    joined = df.join(medians, list(keys))
+    session = Window.partitionBy(*keys)
+    joined = _keyed(df, keys).withColumns({f"_m_{c}": F.percentile(c, F.lit(0.5)).over(session) for c in columns})
     return joined.withColumns({c: F.when(F.col(f"_m_{c}") > 0, F.col(c) / F.col(f"_m_{c}")) for c in columns}).drop(
         *(f"_m_{c}" for c in columns)
     )
@@ -191,10 +198,11 @@ def frame_signals(kinematics: DataFrame, objects: DataFrame, fps: float = C.FPS,
 def with_wall_distance(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Distance of the neck from the rectangle of the body's 1st and 99th
     percentiles."""
-    box = df.groupBy(*keys).agg(F.percentile("posx_body", F.array(F.lit(0.01), F.lit(0.99))).alias("_bx"), F.percentile("posy_body", F.array(F.lit(0.01), F.lit(0.99))).alias("_by"))
+    session, ends = Window.partitionBy(*keys), F.array(F.lit(0.01), F.lit(0.99))
+    boxed = _keyed(df, keys).withColumns({"_bx": F.percentile("posx_body", ends).over(session), "_by": F.percentile("posy_body", ends).over(session)})
     x, y, bx, by = F.col("posx_neck"), F.col("posy_neck"), F.col("_bx"), F.col("_by")
     away = F.when(x.isNotNull() & y.isNotNull(), F.least(x - bx[0], bx[1] - x, y - by[0], by[1] - y))
-    return df.join(box, list(keys)).withColumn("wall_distance", away).drop("_bx", "_by")
+    return boxed.withColumn("wall_distance", away).drop("_bx", "_by")
 
 
 def with_floor(df: DataFrame, floors: DataFrame, keys: Sequence[str] = ("session_id",)) -> DataFrame:
@@ -215,13 +223,13 @@ def pose_rise(kinematics: DataFrame, fps: float = C.FPS, keys: Sequence[str] = K
     """neck_rel_y, nose_rel_y over the session's body length; length_local over
     the median of the 5 s around, from one second of values on."""
     c = F.col
-    df = kinematics.withColumn("_length", length(c("posx_neck") - c("posx_tail_base"), c("posy_neck") - c("posy_tail_base")))
-    typical = df.groupBy(*keys).agg(F.percentile("_length", F.lit(0.5)).alias("_typical"))
+    df = _keyed(kinematics, keys).withColumn("_length", length(c("posx_neck") - c("posx_tail_base"), c("posy_neck") - c("posy_tail_base")))
+    typical = F.percentile("_length", F.lit(0.5)).over(Window.partitionBy(*keys))
     w = centred(C.rows_of(5, fps), keys)
     local = F.when(F.count("_length").over(w) >= int(fps), F.percentile("_length", F.lit(0.5)).over(w))
     return (
         df.withColumn("length_local", c("_length") / local)
-        .join(typical, list(keys))
+        .withColumn("_typical", typical)
         .withColumn("neck_rel_y", (c("posy_neck") - c("posy_body")) / c("_typical"))
         .withColumn("nose_rel_y", (c("posy_nose") - c("posy_body")) / c("_typical"))
         .drop("_length", "_typical")
