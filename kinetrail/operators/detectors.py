@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 from ..functions import constants as C
 from ..functions.scalars import head_direction, length
 from ..sources.scratch import written
-from .intervals import bouts, close_gaps, hysteresis, join_episodes, mask_to_bouts, merge_close_bouts, sustained, threshold_bouts, touching
+from .intervals import bouts, close_gaps, hysteresis, join_episodes, mask_to_bouts, merge_close_bouts, sustained, sustained_each, threshold_bouts, touching
 from .scans import running_sum
-from .timeseries import KEYS, middle_of, moved, over, path_straightness, smooth
+from .timeseries import KEYS, middle_of, moved, over, smoothed, straightness_parts
 
 #: Fixed value: seconds of the rolling median that a detector reads.
 SMOOTH_SEC = 0.3
@@ -40,18 +41,64 @@ def _sustain(df: DataFrame, flag: Column, seconds: float, fps: float, keys: Sequ
     return sustained(df, f"_{out}", C.rows_of(seconds, fps), keys, out).drop(f"_{out}")
 
 
+@dataclass
+class _Part:
+    """What a detector asks for: columns from a row and the one before, columns
+    made of those, medians and other windows of these, its flag, and the rows of
+    its shortest run."""
+
+    flag: Column
+    rows: int
+    before: dict[str, Column] = field(default_factory=dict)
+    made: dict[str, Column] = field(default_factory=dict)
+    medians: dict[str, tuple[str, int]] = field(default_factory=dict)
+    around: dict[str, Column] = field(default_factory=dict)
+
+    def columns(self) -> list[str]:
+        return [*self.before, *self.made, *self.medians, *self.around]
+
+
+def _looked(df: DataFrame, parts: Sequence[_Part], keys: Sequence[str], more: Mapping[str, Column] | None = None) -> DataFrame:
+    """df with the columns of several detectors, whose windows are shared."""
+    joint = lambda name: {k: v for p in parts for k, v in getattr(p, name).items()}
+    df = df.withColumns(joint("before")) if joint("before") else df
+    df = df.withColumns(joint("made")) if joint("made") else df
+    return smoothed(df, joint("medians"), keys, joint("around") | dict(more or {}))
+
+
+def _detect(df: DataFrame, part: _Part, keys: Sequence[str], out: str) -> DataFrame:
+    df = _looked(df, [part], keys)
+    return sustained_each(df, {out: (part.flag, part.rows)}, keys).drop(*part.columns())
+
+
+def _walking(
+    fps: float, keys: Sequence[str], speed: float = C.WALKING_SPEED, seconds: float = 0.5, straight: float = 0.3, straight_sec: float = 1.0,
+    smooth_sec: float = SMOOTH_SEC,
+) -> _Part:
+    around, straightness = straightness_parts("posx_body", "posy_body", straight_sec, fps, keys)
+    fast = F.coalesce(F.col("_w_speed"), F.lit(0.0)) >= speed
+    going = F.coalesce(straightness, F.lit(1.0)) >= straight
+    return _Part(
+        fast & going, C.rows_of(seconds, fps), before={"_step": moved("posx_body", "posy_body", keys)},
+        medians={"_w_speed": ("speed_body", _rows(smooth_sec, fps))}, around=around,
+    )
+
+
 def detect_walking(
     df: DataFrame, fps: float = C.FPS, keys: Sequence[str] = KEYS, speed: float = C.WALKING_SPEED, seconds: float = 0.5,
     straight: float = 0.3, straight_sec: float = 1.0, smooth_sec: float = SMOOTH_SEC,
 ) -> DataFrame:
     """Fast, and going somewhere: unknown speed is no walking, unknown
     straightness no objection."""
-    df = df.withColumn("_step", moved("posx_body", "posy_body", keys))
-    df = df.withColumn("_speed", smooth("speed_body", _rows(smooth_sec, fps), keys))
-    df = df.withColumn("_straight", path_straightness("posx_body", "posy_body", straight_sec, fps, keys))
-    fast = F.coalesce(F.col("_speed"), F.lit(0.0)) >= speed
-    going = F.coalesce(F.col("_straight"), F.lit(1.0)) >= straight
-    return _sustain(df, fast & going, seconds, fps, keys, "walking").drop("_step", "_speed", "_straight")
+    return _detect(df, _walking(fps, keys, speed, seconds, straight, straight_sec, smooth_sec), keys, "walking")
+
+
+def _freezing(
+    fps: float, keys: Sequence[str], speed: float = 9.0, seconds: float = 1.0, smooth_sec: float = SMOOTH_SEC, keypoints: Sequence[str] = C.KEYPOINTS
+) -> _Part:
+    slow = F.coalesce(F.col("_f_typical") <= speed, F.lit(False))
+    made = {"_typical": middle_of(_speeds(keypoints)), "_f_valid": pose_valid(keypoints)}
+    return _Part(F.col("_f_valid") & slow, C.rows_of(seconds, fps), made=made, medians={"_f_typical": ("_typical", _rows(smooth_sec, fps))})
 
 
 def detect_freezing(
@@ -59,10 +106,7 @@ def detect_freezing(
     smooth_sec: float = SMOOTH_SEC, keypoints: Sequence[str] = C.KEYPOINTS,
 ) -> DataFrame:
     """The median keypoint hardly moves; rows without pose are not freezing."""
-    df = df.withColumn("_typical", middle_of(_speeds(keypoints)))
-    df = df.withColumn("_typical", smooth("_typical", _rows(smooth_sec, fps), keys))
-    slow = F.coalesce(F.col("_typical") <= speed, F.lit(False))
-    return _sustain(df, pose_valid(keypoints) & slow, seconds, fps, keys, "freezing").drop("_typical")
+    return _detect(df, _freezing(fps, keys, speed, seconds, smooth_sec, keypoints), keys, "freezing")
 
 
 def object_exploration(
@@ -89,14 +133,8 @@ def with_objects(df: DataFrame, objects: DataFrame) -> DataFrame:
     return df.join(listed, "session_id", "left")
 
 
-def detect_object_interaction(
-    df: DataFrame, objects: DataFrame | None, fps: float = C.FPS, keys: Sequence[str] = KEYS, margin: float = 12.0, angle: float = 180.0,
-    seconds: float = 0.3,
-) -> DataFrame:
-    """Exploration of any object, as object_exploration() has it, without a row per
-    object: an object that is near in each of the last rows ends an exploration,
-    and so are the rows before explored. objects: none if df has _objects."""
-    df = df if objects is None else with_objects(df, objects)
+def _near_objects(margin: float, angle: float) -> Column:
+    """Places in _objects of those that the nose is near."""
     hx, hy = head_direction()
 
     def near(o: Column) -> Column:
@@ -108,14 +146,43 @@ def detect_object_interaction(
         return inside
 
     none = F.array().cast("array<int>")
-    df = df.withColumn("_near", F.coalesce(F.array_compact(F.transform("_objects", lambda o, i: F.when(near(o), i))), none))
+    return F.coalesce(F.array_compact(F.transform("_objects", lambda o, i: F.when(near(o), i))), none)
+
+
+def _explored(
+    fps: float, keys: Sequence[str], margin: float = 12.0, angle: float = 180.0, seconds: float = 0.3
+) -> tuple[_Part, Column]:
+    """The flag of rows that end an exploration, and the exploration made of it."""
     rows, w = _rows(seconds, fps), over(keys)
     last, next_ = w.rowsBetween(1 - rows, 0), w.rowsBetween(0, rows - 1)
-    full = (F.count(F.lit(1)).over(last) == rows) & (F.min(F.size("_near")).over(last) > 0)
-    df = df.withColumns({"_full": full, "_all": F.collect_list("_near").over(last)})
+    around = {"_n_rows": F.count(F.lit(1)).over(last), "_n_near": F.min(F.size("_near")).over(last), "_all": F.collect_list("_near").over(last)}
     common = F.aggregate("_all", F.get("_all", 0), F.array_intersect)
-    df = df.withColumn("_ends", F.when(F.col("_full"), F.size(common) > 0).otherwise(F.lit(False)))
-    return df.withColumn("object_interaction", F.bool_or("_ends").over(next_)).drop("_near", "_full", "_all", "_ends", "_objects")
+    ends = F.when((F.col("_n_rows") == rows) & (F.col("_n_near") > 0), F.size(common) > 0).otherwise(F.lit(False))
+    return _Part(ends, rows, made={"_near": _near_objects(margin, angle)}, around=around), F.bool_or("_ends").over(next_)
+
+
+def detect_object_interaction(
+    df: DataFrame, objects: DataFrame | None, fps: float = C.FPS, keys: Sequence[str] = KEYS, margin: float = 12.0, angle: float = 180.0,
+    seconds: float = 0.3,
+) -> DataFrame:
+    """Exploration of any object, as object_exploration() has it, without a row per
+    object: an object that is near in each of the last rows ends an exploration,
+    and so are the rows before explored. objects: none if df has _objects."""
+    df = df if objects is None else with_objects(df, objects)
+    part, explored = _explored(fps, keys, margin, angle, seconds)
+    df = _looked(df, [part], keys).withColumn("_ends", part.flag).withColumn("object_interaction", explored)
+    return df.drop("_ends", "_objects", *part.columns())
+
+
+def _low_activity(
+    fps: float, keys: Sequence[str], speed: float = C.WALKING_SPEED, seconds: float = 0.5, smooth_sec: float = SMOOTH_SEC,
+    keypoints: Sequence[str] = C.KEYPOINTS,
+) -> _Part:
+    slow = F.coalesce(F.col("_l_speed") < speed, F.lit(False))
+    return _Part(
+        F.col("_l_valid") & slow & ~F.col("freezing"), C.rows_of(seconds, fps), made={"_l_valid": pose_valid(keypoints)},
+        medians={"_l_speed": ("speed_body", _rows(smooth_sec, fps))},
+    )
 
 
 def detect_low_activity(
@@ -123,9 +190,21 @@ def detect_low_activity(
     smooth_sec: float = SMOOTH_SEC, keypoints: Sequence[str] = C.KEYPOINTS,
 ) -> DataFrame:
     """Slow but not freezing; needs the column freezing."""
-    df = df.withColumn("_speed", smooth("speed_body", _rows(smooth_sec, fps), keys))
-    slow = F.coalesce(F.col("_speed") < speed, F.lit(False))
-    return _sustain(df, pose_valid(keypoints) & slow & ~F.col("freezing"), seconds, fps, keys, "low_activity").drop("_speed")
+    return _detect(df, _low_activity(fps, keys, speed, seconds, smooth_sec, keypoints), keys, "low_activity")
+
+
+def _active_head(
+    fps: float, keys: Sequence[str], speed: float = 12.0, body_speed: float = 12.0, seconds: float = 0.5, smooth_sec: float = 0.5
+) -> _Part:
+    rows, w = _rows(smooth_sec, fps), over(keys)
+    # the neck as seen from the body, by the row before of each
+    step = lambda a: F.col(f"pos{a}_neck") - F.col(f"pos{a}_body") - (F.lag(f"pos{a}_neck").over(w) - F.lag(f"pos{a}_body").over(w))
+    busy = F.coalesce(F.col("_h_head"), F.lit(0.0)) >= speed
+    rest = F.coalesce(F.col("_h_body") < body_speed, F.lit(False))
+    return _Part(
+        busy & rest & ~F.col("object_interaction"), C.rows_of(seconds, fps), before={"_hx": step("x"), "_hy": step("y")},
+        made={"_head": length(F.col("_hx"), F.col("_hy")) * fps}, medians={"_h_head": ("_head", rows), "_h_body": ("speed_body", rows)},
+    )
 
 
 def detect_active_head(
@@ -134,13 +213,7 @@ def detect_active_head(
 ) -> DataFrame:
     """The neck moves against a resting body, away from objects; needs the
     column object_interaction."""
-    rows = _rows(smooth_sec, fps)
-    df = df.withColumn("_rx", F.col("posx_neck") - F.col("posx_body")).withColumn("_ry", F.col("posy_neck") - F.col("posy_body"))
-    df = df.withColumn("_head", moved("_rx", "_ry", keys) * fps)
-    df = df.withColumn("_head", smooth("_head", rows, keys)).withColumn("_body", smooth("speed_body", rows, keys))
-    busy = F.coalesce(F.col("_head"), F.lit(0.0)) >= speed
-    rest = F.coalesce(F.col("_body") < body_speed, F.lit(False))
-    return _sustain(df, busy & rest & ~F.col("object_interaction"), seconds, fps, keys, "active_head").drop("_rx", "_ry", "_head", "_body")
+    return _detect(df, _active_head(fps, keys, speed, body_speed, seconds, smooth_sec), keys, "active_head")
 
 
 def triage(
@@ -149,9 +222,15 @@ def triage(
     """All detectors; review is what no routine claims or the head flags, where
     there is a pose. settings: other parameters of a detector by its column."""
     own = lambda name: (settings or {}).get(name, {})
-    df = detect_walking(detect_freezing(df, fps, keys, **own("freezing")), fps, keys, **own("walking"))
-    df = detect_object_interaction(df, objects, fps, keys, **own("object_interaction"))
-    df = detect_active_head(detect_low_activity(df, fps, keys, **own("low_activity")), fps, keys, **own("active_head"))
+    df = df if objects is None else with_objects(df, objects)
+    walking, freezing = _walking(fps, keys, **own("walking")), _freezing(fps, keys, **own("freezing"))
+    low, head = _low_activity(fps, keys, **own("low_activity")), _active_head(fps, keys, **own("active_head"))
+    near, explored = _explored(fps, keys, **own("object_interaction"))
+    parts = [walking, freezing, near, low, head]
+    df = _looked(df, parts, keys, {"_nth": F.row_number().over(over(keys))}).withColumn("_ends", near.flag).withColumn("object_interaction", explored)
+    df = sustained_each(df, {"freezing": (freezing.flag, freezing.rows), "walking": (walking.flag, walking.rows)}, keys, nth="_nth")
+    df = sustained_each(df, {"low_activity": (low.flag, low.rows), "active_head": (head.flag, head.rows)}, keys, nth="_nth")
+    df = df.drop("_nth", "_ends", "_objects", *(c for p in parts for c in p.columns()))
     df = df.withColumn("low_activity", F.col("low_activity") & ~F.col("active_head")).withColumn("unscorable", ~pose_valid())
     claimed = F.col("walking") | F.col("freezing") | F.col("low_activity") | F.col("object_interaction")
     return df.withColumn("review", (~claimed | F.col("active_head")) & ~F.col("unscorable"))
@@ -163,10 +242,16 @@ def movement_rows(
     """Position, speed, moving, still, freezing, unscorable, exploring, and the
     step that the smoothed position has made."""
     rows = _rows(smooth_sec, fps)
-    df = detect_object_interaction(detect_freezing(df, fps, keys), objects, fps, keys)
-    df = df.withColumns({"x": smooth("posx_body", rows, keys), "y": smooth("posy_body", rows, keys), "speed": smooth("speed_body", rows, keys)})
-    fast = pose_valid() & (F.coalesce(F.col("speed"), F.lit(0.0)) >= speed)
-    df = _sustain(df, fast, C.MOVING_SEC, fps, keys, "moving")
+    df = df if objects is None else with_objects(df, objects)
+    freezing, (near, explored) = _freezing(fps, keys), _explored(fps, keys)
+    moving = _Part(
+        pose_valid() & (F.coalesce(F.col("speed"), F.lit(0.0)) >= speed), C.rows_of(C.MOVING_SEC, fps),
+        medians={"x": ("posx_body", rows), "y": ("posy_body", rows), "speed": ("speed_body", rows)},
+    )
+    df = _looked(df, [freezing, near, moving], keys, {"_nth": F.row_number().over(over(keys))})
+    df = df.withColumn("_ends", near.flag).withColumn("object_interaction", explored)
+    df = sustained_each(df, {"freezing": (freezing.flag, freezing.rows), "moving": (moving.flag, moving.rows)}, keys, nth="_nth")
+    df = df.drop("_nth", "_ends", "_objects", *freezing.columns(), *near.columns())
     df = df.withColumn("unscorable", ~pose_valid()).withColumn("still", ~F.col("unscorable") & ~F.col("moving"))
     return df.withColumn("_step", moved("x", "y", keys)).withColumn("exploring", F.col("object_interaction"))
 
