@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kinetrail.operators import intervals
+from kinetrail.operators import intervals, sampling
 from kinetrail.operators import timeseries as TS
 from kinetrail.plans import series_queries
 
@@ -40,3 +40,16 @@ def test_flags_share_windows(spark):
     for out, flag, n in (("x", "f", 5), ("y", "g", 3), ("z", "g", 1), ("l", "f", 150)):
         both = intervals.sustained(both, flag, n, ["session_id"], f"own_{out}")
     assert both.filter("x <> own_x or y <> own_y or z <> own_z or l <> own_l").count() == 0
+
+
+def test_windows_that_meet_nothing_are_not_compared(spark, monkeypatch):
+    rows = [(1, 0, 4, "c"), (1, 5, 9, "b"), (1, 9, 12, "a"), (1, 20, 24, "d"), (1, 20, 24, "e"), (2, 0, 600000, "f"), (2, 500000, 500004, "a"), (2, 700000, 700001, "z")]
+    df = spark.createDataFrame(rows, "session_id long, start long, end long, _h string")
+    compared = []
+    meeting = sampling.meeting
+    monkeypatch.setattr(sampling, "meeting", lambda a, b, keys: compared.append(a.count()) or meeting(a, b, keys))
+    got = {(r.session_id, r.start, r.end) for r in sampling.first_come(df, ["session_id"]).collect()}
+    assert got == {(1, 0, 4), (1, 9, 12), (1, 20, 24), (2, 500000, 500004), (2, 700000, 700001)}
+    assert compared == [5]
+    apart = spark.createDataFrame([(1, 0, 4, "b"), (1, 5, 9, "a")], df.schema)
+    assert sampling.first_come(apart, ["session_id"]).count() == 2 and len(compared) == 1
