@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import cache
 from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -92,36 +96,73 @@ def interval_iou(a_start: Column, a_end: Column, b_start: Column, b_end: Column)
     return common / (a_end - a_start + 1 + b_end - b_start + 1 - common)
 
 
-def _sides(polygon: Column) -> Column:
-    """The sides of a polygon of any number of corners: from (ax, ay) to (bx, by)."""
-    return F.transform(
-        polygon,
-        lambda p, i: F.struct(
-            p["x"].alias("ax"), p["y"].alias("ay"),
-            F.get(polygon, (i + 1) % F.size(polygon))["x"].alias("bx"), F.get(polygon, (i + 1) % F.size(polygon))["y"].alias("by"),
-        ),
-    )
+def _corners(polygon: Column) -> tuple[Column, Column]:
+    """The corners of a polygon as two arrays of numbers."""
+    return polygon["x"].cast("array<double>"), polygon["y"].cast("array<double>")
+
+
+def _numbers(values: pa.Array) -> np.ndarray:
+    return values.to_numpy(zero_copy_only=False).astype(float)
+
+
+def _each_side(xs: pa.Array, ys: pa.Array) -> Iterator[tuple[np.ndarray, tuple[np.ndarray, ...]]]:
+    """For the n-th sides of all polygons of a batch: which rows have one, and
+    from where (ax, ay) to where (bx, by)."""
+    n = np.nan_to_num(_numbers(pc.list_value_length(xs))).astype(np.int64)
+    first = np.concatenate([[0], np.cumsum(n)[:-1]]).astype(np.int64)
+    cx, cy = _numbers(xs.flatten()), _numbers(ys.flatten())
+    for i in range(n.max(initial=0)):
+        rows = np.flatnonzero(n > i)
+        a, b = first[rows] + i, first[rows] + (i + 1) % n[rows]
+        yield rows, (cx[a], cy[a], cx[b], cy[b])
+
+
+def _inside(x: pa.Array, y: pa.Array, xs: pa.Array, ys: pa.Array) -> np.ndarray:
+    px, py, crossings = _numbers(x), _numbers(y), np.zeros(len(x), np.int64)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for rows, (ax, ay, bx, by) in _each_side(xs, ys):
+            cut = (bx - ax) * (py[rows] - ay) / (by - ay) + ax
+            crossings[rows] += ((ay > py[rows]) != (by > py[rows])) & (px[rows] < cut)
+    return crossings % 2 == 1
+
+
+def _away(x: pa.Array, y: pa.Array, xs: pa.Array, ys: pa.Array) -> np.ndarray:
+    px, py, near = _numbers(x), _numbers(y), np.full(len(x), np.inf)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        for rows, (ax, ay, bx, by) in _each_side(xs, ys):
+            dx, dy, ox, oy = bx - ax, by - ay, px[rows], py[rows]
+            long = dx * dx + dy * dy
+            t = np.where(long == 0, 0.0, ((ox - ax) * dx + (oy - ay) * dy) / np.where(long == 0, 1.0, long))
+            t = np.maximum(0.0, np.minimum(1.0, t))
+            sx, sy = ox - (ax + t * dx), oy - (ay + t * dy)
+            near[rows] = np.minimum(near[rows], np.sqrt(sx * sx + sy * sy))
+    return near
+
+
+@cache
+def _polygon_udfs() -> tuple[Callable, Callable]:
+    """Sides of polygons by numpy, over the batches of a task: as expressions they are
+    functions of arrays, or methods that are too long for the JVM to compile."""
+
+    def inside(x: pa.Array, y: pa.Array, xs: pa.Array, ys: pa.Array) -> pa.Array:
+        return pa.array(_inside(x, y, xs, ys))
+
+    def distance(x: pa.Array, y: pa.Array, xs: pa.Array, ys: pa.Array) -> pa.Array:
+        near = _away(x, y, xs, ys)
+        gone = ~np.isfinite(near) & (_numbers(pc.fill_null(pc.list_value_length(xs), 0)) == 0)
+        missing = gone | ~np.asarray(x.is_valid()) | ~np.asarray(y.is_valid())
+        return pa.array(np.where(_inside(x, y, xs, ys), near, -near), mask=missing)
+
+    return F.arrow_udf(inside, "boolean"), F.arrow_udf(distance, "double")
 
 
 def in_polygon(x: Column, y: Column, polygon: Column) -> Column:
     """Crossing parity over the sides; a missing point is outside, and so is every
     point without a polygon."""
-
-    def crossed(s: Column) -> Column:
-        return ((s["ay"] > y) != (s["by"] > y)) & (x < (s["bx"] - s["ax"]) * (y - s["ay"]) / F.nullif(s["by"] - s["ay"], F.lit(0.0)) + s["ax"])
-
-    return F.coalesce(F.size(F.filter(_sides(polygon), crossed)) % 2 == 1, F.lit(False))
+    return _polygon_udfs()[0](x.cast("double"), y.cast("double"), *_corners(polygon))
 
 
 def floor_distance(x: Column, y: Column, polygon: Column) -> Column:
     """Distance to the border: positive inside, negative outside, null for a
     missing point or polygon."""
-
-    def away(s: Column) -> Column:
-        dx, dy = s["bx"] - s["ax"], s["by"] - s["ay"]
-        t = F.coalesce(((x - s["ax"]) * dx + (y - s["ay"]) * dy) / F.nullif(dx * dx + dy * dy, F.lit(0.0)), F.lit(0.0))
-        t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), t))
-        return length(x - (s["ax"] + t * dx), y - (s["ay"] + t * dy))
-
-    near = F.array_min(F.transform(_sides(polygon), away))
-    return F.when(x.isNotNull() & y.isNotNull(), F.when(in_polygon(x, y, polygon), near).otherwise(-near))
+    return _polygon_udfs()[1](x.cast("double"), y.cast("double"), *_corners(polygon))

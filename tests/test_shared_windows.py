@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from kinetrail.functions import scalars
 from kinetrail.operators import intervals, sampling
 from kinetrail.operators import timeseries as TS
 from kinetrail.plans import series_queries
@@ -53,3 +54,17 @@ def test_windows_that_meet_nothing_are_not_compared(spark, monkeypatch):
     assert compared == [5]
     apart = spark.createDataFrame([(1, 0, 4, "b"), (1, 5, 9, "a")], df.schema)
     assert sampling.first_come(apart, ["session_id"]).count() == 2 and len(compared) == 1
+
+
+def test_sides_of_floors_are_worked_off_in_batches(spark):
+    text = optimized(series_queries.with_floor(spark, SF))
+    assert "lambdafunction" not in text and "distance(" in text
+
+
+def test_points_and_polygons_that_are_missing(spark):
+    square = [(0.0, 0.0), (10.0, 0.0), (10.0, 10.0), (0.0, 10.0)]
+    rows = [(5.0, 4.0, square), (5.0, None, square), (1.0, 1.0, None), (1.0, 1.0, []), (12.0, 5.0, square), (3.0, 3.0, [(3.0, 5.0)]), (5.0, 0.0, square)]
+    df = spark.createDataFrame(rows, "x double, y double, p array<struct<x:double,y:double>>")
+    got = df.select(scalars.floor_distance(F.col("x"), F.col("y"), F.col("p")), scalars.in_polygon(F.col("x"), F.col("y"), F.col("p"))).collect()
+    assert [r[0] for r in got] == [4.0, None, None, None, -2.0, -2.0, got[6][0]] and got[6][0] == 0.0
+    assert [r[1] for r in got][:6] == [True, False, False, False, False, False]
