@@ -6,11 +6,11 @@ keys, so that one exchange and one sort serve a chain of these operators.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -335,97 +335,156 @@ def describe_window(df: DataFrame, group: Sequence[str], spec: dict[str, tuple[s
     return df.groupBy(*group).agg(*(statistic(s, v, late).alias(f"{v}_{s}") for v, stats in spec.items() for s in stats))
 
 
-def _with_rows(signals: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return signals.withColumn("_row", (F.row_number().over(over(keys)) - 1).cast("long"))
-
-
-#: Rows of a block of windows, beside the rows around it that they reach into.
-BLOCK = 4096
+#: Rows that are worked off together, beside the rows around them that their windows reach into.
+BLOCK = 16384
 
 
 def _quantile(ordered: np.ndarray, counts: np.ndarray, share: float) -> np.ndarray:
     """Interpolated quantile of each line of ordered; missing values come last."""
-    at = share * np.maximum(counts - 1, 0)
-    low = np.floor(at).astype(np.int64)
-    high = np.minimum(low + 1, np.maximum(counts - 1, 0))
-    a, b = (np.take_along_axis(ordered, i[:, None], 1)[:, 0] for i in (low, high))
-    return np.where(at > low, a + (b - a) * (at - low), a)
-
-
-def window_statistics(windows: np.ndarray, stats: Sequence[str], late: int) -> dict[str, np.ndarray]:
-    """Statistics of each line over what is not missing; NaN where nothing is
-    left. late: the place from which on values count as the later half."""
-    known = ~np.isnan(windows)
-    counts, out = known.sum(axis=1), {}
-    shares = {"median": 0.5, "p10": 0.1, "p90": 0.9}
-    with np.errstate(invalid="ignore", divide="ignore"):
-        mean_of = lambda part, k: np.where(k, part, 0.0).sum(axis=1) / k.sum(axis=1)
+    most = np.maximum(counts - 1, 0)
+    at = share * most
+    low, first = at.astype(np.int64), np.arange(len(ordered)) * ordered.shape[1]
+    flat = ordered.ravel()
+    a, b = flat[first + low], flat[first + np.minimum(low + 1, most)]
+    with np.errstate(invalid="ignore"):
+        return np.where(at > low, a + (b - a) * (at - low), a)
+
+
+class _Line:
+    """The values of a signal in a line, whose windows are described. Sums are taken
+    window by window, for running sums would lose digits; only counts are running."""
+
+    def __init__(self, values: np.ndarray):
+        known = ~np.isnan(values)
+        self.values, self.filled = values, np.where(known, values, 0.0)
+        self.known, self.counted = known, np.concatenate([[0], np.cumsum(known)])
+
+    def windows(self, values: np.ndarray, starts: np.ndarray, size: int) -> np.ndarray:
+        return np.lib.stride_tricks.sliding_window_view(values, size)[starts]
+
+    def counts(self, starts: np.ndarray, size: int) -> np.ndarray:
+        return self.counted[starts + size] - self.counted[starts]
+
+    def mean(self, starts: np.ndarray, size: int) -> np.ndarray:
+        with np.errstate(invalid="ignore", divide="ignore"):
+            return self.windows(self.filled, starts, size).sum(axis=1) / self.counts(starts, size)
+
+    def describe(self, starts: np.ndarray, size: int, stats: Sequence[str]) -> dict[str, np.ndarray]:
+        """Statistics of the windows of size values from starts on, over what is not
+        missing; NaN where nothing is left. trend: later half minus earlier one."""
+        shares, out = {"median": 0.5, "p10": 0.1, "p90": 0.9}, {}
         if any(s in shares for s in stats):
-            ordered = np.sort(windows, axis=1)
-        mean = mean_of(windows, known) if {"mean", "std"} & set(stats) else None
+            ordered, counts = self.windows(self.values, starts, size), self.counts(starts, size)
+            ordered.sort(axis=1)
         for s in stats:
             if s in shares:
                 out[s] = _quantile(ordered, counts, shares[s])
             elif s == "mean":
-                out[s] = mean
+                out[s] = self.mean(starts, size)
             elif s == "std":
-                out[s] = np.sqrt(mean_of((windows - mean[:, None]) ** 2, known))
+                away = self.windows(self.filled, starts, size) - self.mean(starts, size)[:, None]
+                squares = np.where(self.windows(self.known, starts, size), away * away, 0.0).sum(axis=1)
+                with np.errstate(invalid="ignore", divide="ignore"):
+                    out[s] = np.sqrt(squares / self.counts(starts, size))
             else:
-                out[s] = mean_of(windows[:, late:], known[:, late:]) - mean_of(windows[:, :late], known[:, :late])
-    return out
+                late = size // 2
+                out[s] = self.mean(starts + late, size - late) - self.mean(starts, late)
+        return out
+
+
+def _stretches(batches: Iterator[pa.RecordBatch], keys: Sequence[str], rows: int) -> Iterator[list[tuple[pa.RecordBatch, np.ndarray, bool]]]:
+    """Lists of stretches, rows rows together: of each its session's keys as one row,
+    its signals' values and whether a session begins with it. Batches: keys, _row, signals."""
+    for batch in batches:
+        names, begins = batch.select(list(keys)), batch.column(len(keys)).to_numpy() == 1
+        values = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns[len(keys) + 1 :]])
+        for low in range(0, batch.num_rows, rows):
+            high = min(low + rows, batch.num_rows)
+            ends = [low, *(low + 1 + np.flatnonzero(begins[low + 1 : high])).tolist(), high]
+            yield [(names.slice(i, 1), values[:, i:j], bool(begins[i])) for i, j in zip(ends, ends[1:], strict=False)]
 
 
-def _windows_by_block(
-    rows: DataFrame, spec: dict[str, tuple[str, ...]], shapes: Sequence[tuple[str, int, int]], step: int, keys: Sequence[str], place: str, full: bool
+def _windows(
+    signals: DataFrame, spec: dict[str, tuple[str, ...]], shapes: Sequence[tuple[str, int, int]], step: int, keys: Sequence[str], place: str, full: bool
 ) -> DataFrame:
-    """A row (keys, place, statistics) per window. rows: keys, _row, _n, signals;
-    shapes: name, rows before the place, rows in all; places are 0, step, ...;
-    full: only windows that lie in the session (or the first).
+    """A row (keys, place, statistics, _rows) per window. shapes: name, rows before
+    the place, rows in all; places are 0, step, ...; full: only windows that lie in
+    the session (or the first). _rows: those of the session up to the window's end.
 
-    A block of BLOCK rows and what its windows reach into is worked off in one
-    piece, all shapes at once: a session of any length is many blocks, and a row
-    is sent to one block, or to two near a border.
+    Tasks read their sessions in order, some thousand rows at a time, short
+    sessions together; of a session that goes on, the rows that later windows
+    reach into are kept. So what a task holds is bounded whatever a session's length.
     """
     before, after = max(b for _, b, _ in shapes), max(n - b for _, b, n in shapes)
-    first, last = (F.greatest(F.lit(0), F.floor((F.col("_row") - after) / BLOCK)), F.least(F.floor((F.col("_n") - 1) / BLOCK), F.floor((F.col("_row") + before) / BLOCK)))
-    dealt = rows.withColumn("_block", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
-    columns = [f"{name}{v}_{s}" for name, _, _ in shapes for v, stats in spec.items() for s in stats]
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        block, n, at = int(frame["_block"].iloc[0]), int(frame["_n"].iloc[0]), frame["_row"].to_numpy(np.int64)
-        low = block * BLOCK
-        places = np.arange(-(-low // step) * step, min(low + BLOCK, n), step)
+    gap, block, columns = max(before, after), BLOCK, [f"{name}{v}_{s}" for name, _, _ in shapes for v, stats in spec.items() for s in stats]
+
+    def described(parts: list[tuple]) -> pa.RecordBatch:
+        """parts: keys, position of the first row at hand, values, places, rows."""
+        offsets = np.cumsum([gap, *(values.shape[1] + gap for _, _, values, _, _ in parts)])
+        rows = np.concatenate([np.arange(o, o + p[2].shape[1]) for o, p in zip(offsets, parts, strict=False)])
+        at = np.concatenate([p[3] - p[1] + o for o, p in zip(offsets, parts, strict=False)])
+        lines, found = np.full((len(spec), offsets[-1]), np.nan), {}
+        lines[:, rows] = np.concatenate([p[2] for p in parts], axis=1)
+        for (v, stats), values in zip(spec.items(), lines, strict=True):
+            line = _Line(values)
+            for name, reach, size in shapes:
+                for s, values in line.describe(at - reach, size, stats).items():
+                    found[f"{name}{v}_{s}"] = pa.array(values, from_pandas=True)
+        each = pa.array(np.repeat(np.arange(len(parts)), [len(p[3]) for p in parts]))
+        named = [pa.concat_arrays([p[0].column(k) for p in parts]).take(each) for k in keys]
+        places = np.concatenate([p[3] for p in parts])
+        left = np.concatenate([np.minimum(p[4], p[3] + shapes[0][2] - shapes[0][1]) for p in parts])
+        return pa.RecordBatch.from_arrays([*named, pa.array(places), *(found[c] for c in columns), pa.array(left)], names=[*keys, place, *columns, "_rows"])
+
+    def part(session: tuple, ended: bool) -> tuple:
+        key, low, values, first = session
+        n = low + values.shape[1]
+        places = np.arange(first, n if ended else max(first, n - after + 1), step)
         if full:
             places = places[(places + shapes[0][2] <= n) | (places == 0)]
-        found = {}
-        for v, stats in spec.items():
-            line = np.full(before + BLOCK + after, np.nan)
-            line[at - low + before] = frame[v].to_numpy(float)
-            for name, reach, size in shapes:
-                windows = np.lib.stride_tricks.sliding_window_view(line, size)[places - low + before - reach]
-                for s, values in window_statistics(windows, stats, size // 2).items():
-                    found[f"{name}{v}_{s}"] = values
-        return pd.DataFrame({k: [frame[k].iloc[0]] * len(places) for k in keys} | {place: places} | found)[[*keys, place, *columns]]
-
-    schema = T.StructType([*(rows.schema[k] for k in keys), T.StructField(place, T.LongType()), *(T.StructField(c, T.DoubleType()) for c in columns)])
-    return dealt.groupBy(*keys, "_block").applyInPandas(work, schema)
+        return key, low, values, places, n
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        going = None  # keys, position of the first row that is kept, values, next place
+        for stretches in _stretches(batches, keys, block):
+            parts = []
+            for key, values, begins in stretches:
+                if not begins:
+                    going = (key, going[1], np.concatenate([going[2], values], axis=1), going[3])
+                    continue
+                if going is not None:
+                    parts.append(part(going, True))
+                going = (key, 0, values, 0)
+            parts.append(part(going, False))
+            _, low, values, places, _ = parts[-1]
+            following = going[3] + step * len(places)
+            kept = min(max(0, following - before - low), values.shape[1])
+            going = (going[0], low + kept, values[:, kept:], following)
+            if any(len(p[3]) for p in parts):
+                yield described(parts)
+        if going is not None and len((last := part(going, True))[3]):
+            yield described([last])
+
+    schema = T.StructType(
+        [*(signals.schema[k] for k in keys), T.StructField(place, T.LongType()), *(T.StructField(c, T.DoubleType()) for c in columns), T.StructField("_rows", T.LongType())]
+    )
+    # the window deals the rows out and orders them, where they are not so already
+    rows = signals.select(*keys, F.row_number().over(over(keys)).alias("_row"), *(F.col(v).cast("double").alias(v) for v in spec))
+    return rows.mapInArrow(work, schema)
 
 
 def centered_features(signals: DataFrame, spec: dict[str, tuple[str, ...]], scales: Sequence[int] = C.SCALES, step: int = C.STEP, keys: Sequence[str] = KEYS) -> DataFrame:
     """Statistics of windows around the rows 0, step, 2 step...; a window of
     size rows begins size // 2 rows before its centre and is cut at the ends."""
-    rows = _with_rows(signals.select(*keys, "frame", *spec), keys).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    return _windows_by_block(rows.drop("frame"), spec, [(f"w{size}_", size // 2, size) for size in scales], step, keys, "centre", False)
+    return _windows(signals, spec, [(f"w{size}_", size // 2, size) for size in scales], step, keys, "centre", False).drop("_rows")
 
 
 def sliding_features(signals: DataFrame, spec: dict[str, tuple[str, ...]], window: int, step: int, keys: Sequence[str] = KEYS) -> DataFrame:
     """Statistics of the full windows that start at 0, step, ...; centre is the
     middle row. A session shorter than a window is one window."""
-    rows = _with_rows(signals.select(*keys, "frame", *spec), keys).withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*keys)))
-    out = _windows_by_block(rows.drop("frame"), spec, [("", 0, window)], step, keys, "start", True)
-    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    centre = F.when(F.col("_n") < window, F.expr("_n div 2").cast("double")).otherwise(F.col("start") + F.lit((window - 1) / 2))
-    return out.join(sizes, list(keys)).withColumn("centre", centre).drop("_n")
+    out = _windows(signals, spec, [("", 0, window)], step, keys, "start", True)
+    centre = F.when(F.col("_rows") < window, F.expr("_rows div 2").cast("double")).otherwise(F.col("start") + F.lit((window - 1) / 2))
+    return out.withColumn("centre", centre).drop("_rows")
 
 
 def nearest_window_score(frames: DataFrame, scores: DataFrame, step: int, keys: Sequence[str] = KEYS, first: float = 0.0, pos: str = "pos") -> DataFrame:

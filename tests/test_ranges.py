@@ -79,3 +79,28 @@ def test_windows_are_the_same_in_blocks(spark, monkeypatch):
         assert r["w15_v_std"] == pytest.approx(np.std([x for _, x in own]))
         assert r["w15_v_trend"] == (pytest.approx(np.mean(late) - np.mean(early)) if late and early else None)
     assert TS.centered_features(df.limit(0), spec).count() == 0
+
+
+def test_short_sessions_are_worked_off_together(spark):
+    rows = [(s, 0, f, None if (f + s) % 5 == 0 else float((f * 13 + s) % 29)) for s in range(60) for f in range(1 + 7 * s % 41)]
+    df = spark.createDataFrame([*rows, (None, 0, 0, 4.0), (None, 0, 1, 6.0)], "session_id long, field long, frame long, v double").repartition(5)
+    spec = {"v": ("mean", "median", "p90", "std", "trend")}
+    centred = TS.centered_features(df, spec, (15, 60))
+    plan = centred._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan and plan.count("Exchange hashpartitioning") == 1
+    both = lambda: (sorted(map(str, centred.collect())), sorted(map(str, TS.sliding_features(df, spec, 20, 5).collect())))
+    whole = both()
+    asked = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(asked)
+    spark.conf.set(asked, "3")  # sessions go on over many batches
+    try:
+        assert both() == whole
+    finally:
+        spark.conf.set(asked, before)
+    got = {(r["session_id"], r["centre"]): r for r in centred.collect()}
+    assert got[None, 0]["w15_v_mean"] == 5.0 and got[None, 0]["w15_v_trend"] is None
+    assert len(got) == 1 + sum(-(-(1 + 7 * s % 41) // 8) for s in range(60))
+    for (s, centre), r in got.items():
+        own = [v for i, _, f, v in rows if i == s and centre - 7 <= f <= centre + 7 and v is not None]
+        if s is not None:
+            assert r["w15_v_median"] == (pytest.approx(np.median(own)) if own else None)
