@@ -52,7 +52,7 @@ def read_sessions(spark, sf):
     f = spark.sql(S.FRAMES, lineitem=S.read(spark, sf, "lineitem"))
     path = _shared(spark, "sessions")
     one = f.select(F.concat(F.lit("S"), F.col("session_id").cast("string")).alias("session_id"), F.col("rn").alias("frame"), F.col("l_quantity").alias("motion_head"))
-    one.repartition("session_id").write.partitionBy("session_id").csv(path, header=True)
+    TB.write_sessions(one, path)
     schema = TB.struct("frame long, motion_head double")
     return TB.read_sessions(spark, path, schema)
 

@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import os
+import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from urllib.parse import quote
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,19 +116,82 @@ def read_labels(spark: SparkSession, path: str, behaviors: Sequence[str] = VOCAB
     return checked_labels(read_csv(spark, path, LABELS), behaviors)
 
 
+def _plain(name: Column) -> Column:
+    """An escaped name as it was; most names hold nothing to decode."""
+    return F.when(name.contains("%"), F.url_decode(F.replace(name, F.lit("+"), F.lit("%2B")))).otherwise(name)
+
+
+@contextmanager
+def _few_listing_tasks(spark: SparkSession) -> Iterator[None]:
+    """Folders are listed by some tasks a core: by default each folder, up to 10,000,
+    is a task of its own, which takes far longer to start than to list it."""
+    asked = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(asked)
+    spark.conf.set(asked, str(min(int(before), max(32, 4 * spark.sparkContext.defaultParallelism))))
+    try:
+        yield
+    finally:
+        spark.conf.set(asked, before)
+
+
 def read_sessions(spark: SparkSession, path: str, schema: T.StructType, objects: DataFrame | None = None) -> DataFrame:
     """CSV by session; the session id is the name of a session_id=... folder, else
     the file's stem. With objects only sessions that have some."""
-    folder = F.regexp_extract(F.col("_metadata.file_path"), r"/session_id=([^/]+)/[^/]+$", 1)
-    for _ in range(2):  # escaped once as a partition's name, once as a path
-        folder = F.url_decode(F.regexp_replace(folder, r"\+", "%2B"))
-    stem = F.regexp_extract(F.col("_metadata.file_name"), r"([^/]+)\.csv$", 1)
-    raw = spark.read.csv(path, header=True).withColumn("session_id", F.when(folder != "", folder).otherwise(stem))
+    parent = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -2), "/", 1)
+    folder = F.when(parent.startswith("session_id="), F.substring(parent, len("session_id=") + 1, 1 << 30)).otherwise("")
+    name = F.col("_metadata.file_name")
+    stem = F.when(name.endswith(".csv"), F.expr("left(_metadata.file_name, length(_metadata.file_name) - 4)")).otherwise("")
+    with _few_listing_tasks(spark):
+        listed = spark.read.csv(path, header=True)
+    # a folder's name is escaped once as a partition's name, once as a path
+    raw = listed.withColumn("session_id", F.when(folder != "", _plain(_plain(folder))).otherwise(stem))
     require_columns(raw, schema)
     df = without_nan(raw.select("session_id", *(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema)))
     return df if objects is None else df.join(objects.select("session_id"), "session_id", "left_semi")
 
 
+def write_sessions(df: DataFrame, path: str) -> None:
+    """A session_id=... folder with one CSV per session, as partitionBy() gives.
+
+    On a local or mounted file system Spark's writer starts a process for every folder
+    and file that it makes, to set its mode; there the tasks write the lines
+    that Spark has formatted themselves. A file appears under its name when it is whole,
+    so that a task may be repeated.
+    """
+    spark, columns = df.sparkSession, [c for c in df.columns if c != "session_id"]
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    dealt = df.repartition("session_id")
+    if system.getUri().getScheme() != "file":
+        dealt.write.partitionBy("session_id").csv(path, header=True)
+        return
+    home, header = system.makeQualified(target).toUri().getPath(), ",".join(columns)
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        session, file = None, None
+
+        def finish() -> None:
+            file.close()
+            os.replace(file.name, os.path.join(os.path.dirname(file.name), "part.csv"))
+
+        for batch in batches:
+            for own, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if file is None or own != session:
+                    if file is not None:
+                        finish()
+                    session, folder = own, os.path.join(home, "session_id=" + (quote(own, safe="") if own else "__HIVE_DEFAULT_PARTITION__"))
+                    os.makedirs(folder, exist_ok=True)
+                    file = open(os.path.join(folder, f".{uuid.uuid4().hex}"), "w", encoding="utf-8", newline="")  # noqa: SIM115 closed by finish()
+                    file.write(header + "\n")
+                file.write(line + "\n")
+            yield batch.slice(0, 0)
+        if file is not None:
+            finish()
+
+    lines = dealt.select("session_id", F.to_csv(F.struct(*columns)).alias("line")).sortWithinPartitions("session_id")
+    lines.mapInArrow(write, lines.schema).write.format("noop").mode("overwrite").save()
+
+
 def load_floors(corners: DataFrame) -> DataFrame:
     """(arena, polygon): corners in order."""
     listed = F.sort_array(F.collect_list(F.struct("corner", "x", "y")))

@@ -78,3 +78,32 @@ def test_a_rough_sketch_is_widened(spark, monkeypatch):
     for accuracy in (2, 5, 400):
         got = metrics.global_percentiles(df, {"x": F.col("x")}, [0.01, 0.5, 0.77, 0.999], accuracy=accuracy)["x"]
         assert got == pytest.approx(np.quantile(x, [0.01, 0.5, 0.77, 0.999]), rel=1e-9)
+
+
+def test_sessions_are_written_without_a_process_per_file(spark, tmp_path):
+    ids = ["001", "S1", "a b+c:d%e", "é/x=1"]
+    rows = [(s, f, f"{s}, \"{f}\"") for s in ids for f in range(50)]
+    df = spark.createDataFrame(rows, "session_id string, frame long, note string").repartition(3)
+    TB.write_sessions(df, f"file://{tmp_path}/sessions")
+    assert len(list((tmp_path / "sessions").iterdir())) == len(ids)
+    files = list((tmp_path / "sessions").rglob("*"))
+    assert [f.name for f in files if f.is_file()] == ["part.csv"] * len(ids)  # and no checksum beside it
+    kept = spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism")
+    got = TB.read_sessions(spark, f"{tmp_path}/sessions", TB.struct("frame long, note string"))
+    assert sorted(map(tuple, got.collect())) == sorted(rows)
+    assert spark.conf.get("spark.sql.sources.parallelPartitionDiscovery.parallelism") == kept
+
+
+def test_folders_are_listed_by_few_tasks(spark, tmp_path):
+    for i in range(200):
+        (tmp_path / f"session_id=S{i}").mkdir()
+        (tmp_path / f"session_id=S{i}" / "a.csv").write_text(f"frame\n{i}\n")
+    spark.sparkContext.setJobGroup("listing", "listing")
+    try:
+        got = TB.read_sessions(spark, str(tmp_path), TB.struct("frame long"))
+        status = spark.sparkContext.statusTracker()
+        stages = [s for j in status.getJobIdsForGroup("listing") for s in status.getJobInfo(j).stageIds]
+        assert stages and all(status.getStageInfo(s).numTasks <= 32 for s in stages)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert sorted(map(tuple, got.collect())) == sorted((f"S{i}", i) for i in range(200))
