@@ -136,13 +136,17 @@ def _few_listing_tasks(spark: SparkSession) -> Iterator[None]:
 
 def read_sessions(spark: SparkSession, path: str, schema: T.StructType, objects: DataFrame | None = None) -> DataFrame:
     """CSV by session; the session id is the name of a session_id=... folder, else
-    the file's stem. With objects only sessions that have some."""
+    the file's stem; folders below path are searched. With objects only sessions that
+    have some."""
     parent = F.substring_index(F.substring_index(F.col("_metadata.file_path"), "/", -2), "/", 1)
     folder = F.when(parent.startswith("session_id="), F.substring(parent, len("session_id=") + 1, 1 << 30)).otherwise("")
     name = F.col("_metadata.file_name")
     stem = F.when(name.endswith(".csv"), F.expr("left(_metadata.file_name, length(_metadata.file_name) - 4)")).otherwise("")
     with _few_listing_tasks(spark):
-        listed = spark.read.csv(path, header=True)
+        # what Spark does to find columns in the folders' names grows with the square of their number
+        listed = spark.read.csv(path, header=True, recursiveFileLookup=True)
+        if any(f.name not in listed.columns for f in schema):
+            listed = spark.read.csv(path, header=True)
     # a folder's name is escaped once as a partition's name, once as a path
     raw = listed.withColumn("session_id", F.when(folder != "", _plain(_plain(folder))).otherwise(stem))
     require_columns(raw, schema)

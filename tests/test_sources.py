@@ -107,3 +107,14 @@ def test_folders_are_listed_by_few_tasks(spark, tmp_path):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert sorted(map(tuple, got.collect())) == sorted((f"S{i}", i) for i in range(200))
+
+
+def test_columns_in_folder_names_are_looked_for_where_they_are_asked_for(spark, tmp_path):
+    for day in (1, 2):
+        (tmp_path / f"day={day}" / f"session_id=00{day}").mkdir(parents=True)
+        (tmp_path / f"day={day}" / f"session_id=00{day}" / "a.csv").write_text("frame\n7\n")
+    plain = TB.read_sessions(spark, str(tmp_path), TB.struct("frame long"))
+    assert sorted(map(tuple, plain.collect())) == [("001", 7), ("002", 7)]
+    assert plain._jdf.queryExecution().toString().count("day") == str(tmp_path).count("day")  # no folder was parsed for columns
+    dated = TB.read_sessions(spark, str(tmp_path), TB.struct("frame long, day long"))
+    assert sorted(map(tuple, dated.collect())) == [("001", 7, 1), ("002", 7, 2)]
