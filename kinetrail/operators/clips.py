@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.hashes import md5_numbers
 from ..functions.scalars import is_notable, label_set
 from .intervals import range_join
 from .metrics import global_percentiles, ratio
 
+#: Clips whose draws are a task.
+DRAWING = 4096
+
 
 def combine_rounds(key: DataFrame, labels: DataFrame, ambiguous_rounds: Sequence[str] = ("r1",), drop_ambiguous: bool = True) -> DataFrame:
     """Keys with the label sets of their clips; clips that are only unscorable
@@ -91,23 +97,42 @@ def escape_summary(clips: DataFrame, kinds: Sequence[str], test_round: str) -> D
     )
 
 
+def _drawn(stratum: str, reps: int, seed: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Per batch of clips, stratum and repetition: how many draws hit a notable and
+    how many a missed one."""
+    ends = [f"{rep}|{seed}".encode() for rep in range(1, reps + 1)]
+
+    def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, own in frame.groupby(stratum, sort=False):
+                n, notable, missed = (np.uint64(own[c].iloc[0]) for c in ("_n", "_notable", "_missed"))
+                hit, lost = np.zeros(reps, "int64"), np.zeros(reps, "int64")
+                for _, at, drawn in md5_numbers([clip.encode() for clip in own["_clip"]], ends):
+                    place = drawn - drawn // n * n
+                    hit[at] += (place < notable).sum(axis=0)
+                    lost[at] += (place < missed).sum(axis=0)
+                yield pd.DataFrame({stratum: name, "_rep": np.arange(1, reps + 1), "_n": int(n), "_hit": hit, "_lost": lost})
+
+    return count
+
+
 def bootstrap_escape(evaluated: DataFrame, weights: DataFrame, reps: int = 2000, seed: int = 0, stratum: str = "stratum") -> DataFrame:
     """5th and 95th percentile of the weighted escape over stratified resamples.
 
     Of a resample only the numbers of missed and of notable clips per stratum
     count. So a draw is a place in the stratum's order missed, notable, others,
     by an md5 hash of (clip, repetition, seed), and two bounds tell what it hit:
-    no drawn clip is looked up. Every clip draws reps times; draws are counted
-    before they are shuffled.
+    no drawn clip is looked up. Every clip draws reps times; the clips are dealt out
+    to tasks evenly, which hash their draws together and count them. evaluated is
+    read three times: hand in a table.
     """
     notable, missed = F.col("notable"), F.col("notable") & ~F.col("surfaced")
     sizes = evaluated.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"), F.count_if(notable).alias("_notable"), F.count_if(missed).alias("_missed"))
-    draws = evaluated.select(stratum, "clip_id").join(sizes, stratum).withColumn("_rep", F.explode(F.sequence(F.lit(1), F.lit(reps))))
-    digits = F.substring(F.md5(F.concat_ws("|", "clip_id", F.col("_rep").cast("string"), F.lit(str(seed)))), 1, 12)
-    draws = draws.withColumn("_place", F.pmod(F.conv(digits, 16, 10).cast("long"), F.col("_n")))
-    per = draws.groupBy("_rep", stratum).agg(
-        (F.count_if(F.col("_place") < F.col("_notable")) / F.max("_n")).alias("_t"), (F.count_if(F.col("_place") < F.col("_missed")) / F.max("_n")).alias("_e")
-    )
+    # few clips are much work: the size of their table says nothing of it
+    dealt = evaluated.select(stratum, F.coalesce(F.concat("clip_id", F.lit("|")), F.lit("")).alias("_clip")).repartition(max(1, -(-evaluated.count() // DRAWING)))
+    kind = evaluated.schema[stratum].dataType.simpleString()
+    drawn = dealt.join(F.broadcast(sizes), stratum).mapInPandas(_drawn(stratum, reps, seed), f"`{stratum}` {kind}, _rep int, _n long, _hit long, _lost long")
+    per = drawn.groupBy("_rep", stratum).agg((F.sum("_hit") / F.max("_n")).alias("_t"), (F.sum("_lost") / F.max("_n")).alias("_e"))
     each = per.join(weights, stratum).groupBy("_rep").agg(ratio(F.sum(F.col("weight") * F.col("_e")), F.sum(F.col("weight") * F.col("_t")), None).alias("_v"))
     return each.agg(F.percentile("_v", F.lit(0.05)).alias("p5"), F.percentile("_v", F.lit(0.95)).alias("p95"))
 
