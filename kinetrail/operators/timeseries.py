@@ -489,11 +489,12 @@ def sliding_features(signals: DataFrame, spec: dict[str, tuple[str, ...]], windo
 
 def nearest_window_score(frames: DataFrame, scores: DataFrame, step: int, keys: Sequence[str] = KEYS, first: float = 0.0, pos: str = "pos") -> DataFrame:
     """Frames with the score of the window whose centre is nearest: window
-    rint((pos - first) / step), clipped. scores: keys, window from 0, score."""
+    rint((pos - first) / step), clipped. scores: keys, window from 0, score. Not
+    broadcast by the size of a file of windows, which is far smaller than its rows."""
     most = scores.groupBy(*keys).agg(F.max("window").alias("_most"))
     at = F.rint((F.col(pos) - F.lit(first)) / F.lit(step)).cast("long")
-    placed = frames.join(most, list(keys)).withColumn("window", F.greatest(F.lit(0), F.least(at, F.col("_most"))))
-    return placed.join(scores, [*keys, "window"]).drop("_most", "window")
+    placed = frames.join(most.hint("merge"), list(keys)).withColumn("window", F.greatest(F.lit(0), F.least(at, F.col("_most"))))
+    return placed.join(scores.hint("merge"), [*keys, "window"]).drop("_most", "window")
 
 
 def score_context(scores: DataFrame, keys: Sequence[str] = KEYS, order: str = "window", score: str = "score") -> DataFrame:

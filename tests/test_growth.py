@@ -5,7 +5,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from kinetrail.operators import intervals, metrics, models, scans
+from kinetrail.operators import intervals, metrics, models, scans, timeseries
 from kinetrail.plans import interval_queries, model_queries, registry, series_queries
 
 from .oracle import connect
@@ -61,6 +61,15 @@ def test_training_rows_are_a_table(spark):
     assert "Window" not in text and "FileScan parquet" in text
 
 
+def test_scores_of_windows_are_not_broadcast(spark):
+    scores = spark.createDataFrame([(1, 0, 0.1), (1, 1, 0.9), (2, 0, 0.5)], "session_id long, window long, score double")
+    frames = spark.createDataFrame([(s, f, f) for s in (1, 2, 3) for f in range(20)], "session_id long, frame long, pos long")
+    out = timeseries.nearest_window_score(frames, scores, 8, ["session_id"])
+    assert "BroadcastHashJoin" not in out._jdf.queryExecution().executedPlan().toString()
+    got = {(r.session_id, r.frame): r.score for r in out.collect()}
+    assert got == {(1, f): 0.1 if f <= 4 else 0.9 for f in range(20)} | {(2, f): 0.5 for f in range(20)}
+
+
 def test_context_is_fitted_on_tables(spark, monkeypatch):
     seen = []
     fit = models.fit_model
