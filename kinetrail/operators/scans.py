@@ -66,15 +66,16 @@ def stitched_runs(
     final. The runs, which are far fewer than the rows and mostly read more than once,
     become a table.
     """
-    return written(_runs(df, value, differs, keys, order, block or BLOCK, most or {}), "runs")
+    return written(_runs(df, value, differs, keys, order, block or BLOCK, most), "runs")
 
 
 def _runs(
-    df: DataFrame, value: Column, differs: Callable[[Column, Column], Column], keys: Sequence[str], order: str, block: int, most: Mapping[str, Column]
+    df: DataFrame, value: Column, differs: Callable[[Column, Column], Column], keys: Sequence[str], order: str, block: int, most: Mapping[str, Column] | None = None
 ) -> DataFrame:
     """The plan of stitched_runs(): both passes read one exchange of (keys, order,
     value)."""
-    keys, greatest = list(keys), [F.max(c).alias(c) for c in most]
+    keys, most = list(keys), most or {}
+    greatest = [F.max(c).alias(c) for c in most]
     rows = df.select(*keys, F.col(order).alias("_o"), value.alias("_v"), *(c.alias(n) for n, c in most.items()))
     rows = _in_order(rows, keys, "_o", block)
     w = Window.partitionBy(*keys, "_block").orderBy("_o")
